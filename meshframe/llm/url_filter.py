@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import stored
+
 #: Fixed values: (host, path, verdict); the longest fitting rule wins.
 RULES = (
     ("com", "/", "allow"),
@@ -86,13 +88,13 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     Counts combine before each shuffle, so one host with a third of all pages is a
     few rows. Rows with a null host or outcome count for nothing."""
     domain, suffix = registered_domain(F.col("host"))
-    hosts = (
+    hosts = stored(
         outcomes.where(F.col("host").isNotNull() & F.col("bad").isNotNull())
         .groupBy("host").agg(F.sum(F.col("bad").cast("double")).alias("bad"), F.count("*").cast("double").alias("n"))
         .withColumn("domain", domain).withColumn("suffix", suffix)
     )
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    domains = stored(hosts.groupBy("domain", "suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")))
+    suffixes = stored(domains.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")))
     whole = suffixes.agg((F.sum("bad") + 0.5).alias("wbad"), (F.sum("n") + 1).alias("wn")).select((F.col("wbad") / F.col("wn")).alias("p0"))
 
     def shrink(level: DataFrame, prior: DataFrame, on: list[str], name: str) -> DataFrame:
