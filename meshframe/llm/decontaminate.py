@@ -7,6 +7,9 @@ necessary prefix is one shingle, the rarest. Documents meet windows on that
 shingle; its place in the window fixes where the window would start and end
 (positional and length bounds), and the words there are compared exactly.
 
+Arrays are exploded with the outer variant, as the other one gets a filter that the
+optimizer copies, lambdas and all, below the projection of the words.
+
 DataFrame functions only. Each document's words stay one row until they meet the
 windows; only matches are shuffled.
 """
@@ -34,11 +37,19 @@ def _hash(k: int, words: Column, i: Column) -> Column:
     return F.xxhash64(F.lit(k), *[F.get(words, i + j) for j in range(k)])
 
 
+def _at(k: int, words: Column):
+    return lambda i: _hash(k, words, i)
+
+
+def _placed(k: int, words: Column):
+    return lambda _, i: F.struct(i.alias("i"), _hash(k, words, i).alias("h"))
+
+
 def benchmark_windows(items: DataFrame, length: int, between: str = BETWEEN) -> DataFrame:
     """items: item_id, text. A row per distinct window: wid, w (its words), items."""
     w = items.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text"), between).alias("all"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("all") - length + 1, F.lit(1)))
-    rows = w.where(F.size("all") > 0).select("item", "all", F.explode(starts).alias("s")).select("item", F.slice("all", F.col("s"), length).alias("w"))
+    rows = w.where(F.size("all") > 0).select("item", "all", F.explode_outer(starts).alias("s")).select("item", F.slice("all", F.col("s"), length).alias("w"))
     return rows.groupBy("w").agg(F.sort_array(F.collect_set("item")).alias("items")).withColumn("wid", F.xxhash64(F.concat_ws(" ", "w")))
 
 
@@ -47,8 +58,8 @@ def _shingles(windows: DataFrame, shingle: int) -> DataFrame:
     per = []
     for k in range(1, shingle + 1):
         own = windows.where(F.size("w") == k if k < shingle else F.size("w") >= k)
-        grams = F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i, k=k: _hash(k, F.col("w"), i))
-        per.append(own.select("wid", F.posexplode(grams).alias("off", "h"), F.lit(k).alias("k")))
+        grams = F.transform(F.sequence(F.lit(0), F.size("w") - k), _at(k, F.col("w")))
+        per.append(own.select("wid", F.posexplode_outer(grams).alias("off", "h"), F.lit(k).alias("k")))
     out = per[0]
     for x in per[1:]:
         out = out.unionByName(x)
@@ -57,10 +68,7 @@ def _shingles(windows: DataFrame, shingle: int) -> DataFrame:
 
 def _grams(words: Column, ks: list[int]) -> Column:
     """All shingle hashes of a document: (i, h) structs."""
-    each = [
-        F.slice(F.transform(words, lambda _, i, k=k: F.struct(i.alias("i"), _hash(k, words, i).alias("h"))), 1, F.greatest(F.size(words) - (k - 1), F.lit(0)))
-        for k in ks
-    ]
+    each = [F.slice(F.transform(words, _placed(k, words)), 1, F.greatest(F.size(words) - (k - 1), F.lit(0))) for k in ks]
     return each[0] if len(each) == 1 else F.concat(*each)
 
 
@@ -78,7 +86,7 @@ def hits(documents: DataFrame, items: DataFrame, length: int = 10, shingle: int
     def sent(side: DataFrame) -> DataFrame:
         return F.broadcast(side) if small else side
 
-    seen = docs.select(F.explode(F.transform(_grams(F.col("words"), ks), lambda g: g["h"])).alias("h"))
+    seen = docs.select(F.explode_outer(F.transform(_grams(F.col("words"), ks), lambda g: g["h"])).alias("h"))
     counts = seen.join(sent(each.select("h").distinct()), "h").groupBy("h").agg(F.count("*").alias("n"))
     rarity = F.struct(F.coalesce(F.col("n"), F.lit(0)), F.col("h"), F.col("off"))
     prefix = stored(each.join(counts, "h", "left").groupBy("wid").agg(F.min_by(F.struct("h", "off"), rarity).alias("p")).select("wid", "p.h", "p.off"))
@@ -90,19 +98,19 @@ def hits(documents: DataFrame, items: DataFrame, length: int = 10, shingle: int
     if small:
         table = prefix.join(windows, "wid").select("h", "off", "w", "items")
         end = spark.createDataFrame([(_END, 0, [], [])], "h long, off int, w array<string>, items array<string>")
-        flat = grams.select("doc_id", "text_hash", "words", F.explode("g").alias("g"))
+        flat = grams.select("doc_id", "text_hash", "words", F.explode_outer("g").alias("g"))
         start = F.col("g.i") - F.col("off")
         met = flat.join(F.broadcast(table.unionByName(end)), F.col("g.h") == F.col("h"))
         met = met.where((start >= 0) & (start + F.size("w") <= F.size("words")))
         met = met.where(F.slice("words", start + 1, F.size("w")) == F.col("w"))
         found = met.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), start.alias("start"), (start + F.size("w")).alias("end"), "items")
     else:
-        flat = grams.select("doc_id", "text_hash", F.size("words").alias("n"), F.explode("g").alias("g")).select("doc_id", "text_hash", "n", "g.i", "g.h")
+        flat = grams.select("doc_id", "text_hash", F.size("words").alias("n"), F.explode_outer("g").alias("g")).select("doc_id", "text_hash", "n", "g.i", "g.h")
         ends = flat.where(F.col("h") == _END).select("doc_id", "text_hash", F.col("n").cast("long").alias("n_words"), F.col("n").alias("start"), F.col("n").alias("end"), F.array().cast("array<string>").alias("items"))
         start = F.col("i") - F.col("off")
         near = flat.join(prefix.join(windows.select("wid", F.size("w").alias("len")), "wid"), "h").where((start >= 0) & (start + F.col("len") <= F.col("n")))
         near = near.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct(start.alias("start"), "wid")).alias("c"))
-        back = docs.join(near, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "words", F.explode("c").alias("c"))
+        back = docs.join(near, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "words", F.explode_outer("c").alias("c"))
         met = back.select("doc_id", "text_hash", "words", "c.start", "c.wid").join(windows, "wid").where(F.slice("words", F.col("start") + 1, F.size("w")) == F.col("w"))
         found = ends.unionByName(met.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), "start", (F.col("start") + F.size("w")).alias("end"), "items"))
     spans = F.collect_set(F.when(F.col("end") > F.col("start"), F.struct("start", "end")))

@@ -63,8 +63,24 @@ def shape(n_words: int, least: float = LEAST, shingle: int = SHINGLE) -> Shape:
     return Shape(k, m, width, stride, 2 * math.ceil(math.log(1 - RECALL) / math.log(1 - jaccard) / 2))
 
 
-def _permuted(h: Column, j: int) -> Column:
-    return F.xxhash64(F.lit(j), h)
+def _permuted(j: int):
+    return lambda h: F.xxhash64(F.lit(j), h)
+
+
+def _cell(shape: int, at: Column, j: int, v: Column) -> Column:
+    return F.struct(F.lit(shape).alias("shape"), at.alias("at"), F.lit(j).alias("j"), v.alias("v"))
+
+
+def _cells(s: Shape, number: int, grams: Column, permuted: list[Column]) -> Column:
+    """The bands of all windows of one shape."""
+    if s.bands == 1 and s.width == 1:
+        return F.transform(grams, lambda h, i: _cell(number, i + 1, 0, h))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(grams) - s.m + 1, F.lit(1)), F.lit(s.stride))
+    if s.bands == 1:
+        cells = F.transform(starts, lambda i: _cell(number, i, 0, F.array_min(F.slice(grams, i, s.width))))
+    else:
+        cells = F.flatten(F.transform(starts, lambda i: F.array(*[_cell(number, i, j, b) for j, b in enumerate(_bands(permuted, i, s.width, s.bands))])))
+    return F.when(F.size(grams) > 0, cells).otherwise(F.slice(cells, 1, 0))
 
 
 def _bands(permuted: list[Column], start: Column, width: int, bands: int) -> list[Column]:
@@ -97,22 +113,10 @@ def matches(documents: DataFrame, templates=TEMPLATES, least: float = LEAST, shi
     def banded(df: DataFrame, keep: list[str], only: list[Shape]) -> DataFrame:
         """A row per window and band: keep, shape, at (first word), j, v."""
         df = df.select(*keep, "_w", *[_grams(F.col("_w"), k).alias(f"_g{k}") for k in ks])
-        more = [F.transform(f"_g{k}", lambda h, j=j: _permuted(h, j)).alias(f"_g{k}_{j}") for k in ks for j in range(perms[k])]
+        more = [F.transform(f"_g{k}", _permuted(j)).alias(f"_g{k}_{j}") for k in ks for j in range(perms[k])]
         df = df.select(*keep, "_w", *[f"_g{k}" for k in ks], *more)
-        parts = []
-        for s in only:
-            g, number = f"_g{s.k}", shapes.index(s)
-            own = [F.col(f"{g}_{j}") for j in range(perms[s.k])]
-            if s.bands == 1 and s.width == 1:
-                parts.append(F.transform(g, lambda h, i, n=number: F.struct(F.lit(n).alias("shape"), (i + 1).alias("at"), F.lit(0).alias("j"), h.alias("v"))))
-                continue
-            starts = F.sequence(F.lit(1), F.greatest(F.size(g) - s.m + 1, F.lit(1)), F.lit(s.stride))
-            if s.bands == 1:
-                cells = F.transform(starts, lambda i, g=g, s=s, n=number: F.struct(F.lit(n).alias("shape"), i.alias("at"), F.lit(0).alias("j"), F.array_min(F.slice(F.col(g), i, s.width)).alias("v")))
-            else:
-                cells = F.flatten(F.transform(starts, lambda i, own=own, s=s, n=number: F.array(*[F.struct(F.lit(n).alias("shape"), i.alias("at"), F.lit(j).alias("j"), b.alias("v")) for j, b in enumerate(_bands(own, i, s.width, s.bands))])))
-            parts.append(F.when(F.size(g) > 0, cells).otherwise(F.array()))
-        return df.select(*keep, "_w", F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("c")).select(*keep, "_w", "c.*")
+        parts = [_cells(s, shapes.index(s), F.col(f"_g{s.k}"), [F.col(f"_g{s.k}_{j}") for j in range(perms[s.k])]) for s in only]
+        return df.select(*keep, "_w", F.explode_outer(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("c")).select(*keep, "_w", "c.*")
 
     wanted = spark.createDataFrame([(a, w, shapes.index(shape(len(w), least, shingle))) for a, w in table], "license_id string, _w array<string>, own int")
     keys = banded(wanted, ["license_id", "own"], shapes).where("shape = own and at = 1")

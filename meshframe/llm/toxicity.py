@@ -66,11 +66,15 @@ def fit_arrays(row: np.ndarray, key: np.ndarray, times: np.ndarray, toxic: np.nd
     keys, inverse = np.unique(key, return_inverse=True)
     in_bad = np.bincount(inverse, weights=toxic[row], minlength=len(keys))
     in_all = np.bincount(inverse, minlength=len(keys))
-    p, q = (in_bad + 0.5) / (n_bad + 1), (in_all - in_bad + 0.5) / (n_good + 1)
-    z = (np.log(p / (1 - p)) - np.log(q / (1 - q))) / np.sqrt(1 / (in_bad + 0.5) + 1 / (in_all - in_bad + 0.5))
+    # signed root of the likelihood ratio of word and class
+    cells = np.stack([in_bad, n_bad - in_bad, in_all - in_bad, n_good - (in_all - in_bad)])
+    share = in_all / (n_bad + n_good)
+    expected = np.stack([n_bad * share, n_bad * (1 - share), n_good * share, n_good * (1 - share)])
+    ratio = 2 * np.where(cells > 0, cells * np.log(np.maximum(cells, 1e-9) / np.maximum(expected, 1e-9)), 0.0).sum(axis=0)
+    z = np.sign(cells[0] - expected[0]) * np.sqrt(np.maximum(ratio, 0.0))
     score = np.where(in_all >= 3, np.abs(z), 0.0)
     most = np.argsort(-score, kind="stable")[:vocabulary]
-    take = np.sort(most[score[most] > 3.5])
+    take = np.sort(most[score[most] > 4.5])
     if not len(take):
         return None
     place = np.full(len(keys), -1)
