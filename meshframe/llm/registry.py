@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, ngram_join, packing, quality_rules, token_counts, toxicity, url_filter
+from . import decontaminate, license_scan, ngram_join, packing, quality_rules, substring_dedup, token_counts, toxicity, url_filter
 from .tables import documents
 
 
@@ -42,6 +42,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(documents(spark, sf_dir))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
