@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, ngram_join, packing, quality_rules, substring_dedup, token_counts, toxicity, url_filter
+from . import decontaminate, katz, license_scan, ngram_join, packing, quality_rules, substring_dedup, token_counts, toxicity, url_filter
 from .tables import documents
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scores(documents(spark, sf_dir))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.joined(documents(spark, sf_dir))
 
