@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vec import Vec, affine, angle, face_vector, field
-from ..plans.iterate import fixpoint
+from ..plans.iterate import fixpoint, stored
 from ..schema import MeshFrame
 from ..sources.meshes import corner_vecs, corners
 from .topology import EDGE, half_edges, neighbours
@@ -23,7 +23,11 @@ def face_geometry(mesh: MeshFrame) -> DataFrame:
 
 def vertex_normals(mesh: MeshFrame) -> DataFrame:
     """Unit sum of the vectors of a vertex's faces; zero without faces."""
-    g = face_geometry(mesh).select("mesh_id", F.explode(F.array("v0", "v1", "v2")).alias("vid"), "n")
+    return _normals(mesh, face_geometry(mesh))
+
+
+def _normals(mesh: MeshFrame, geometry: DataFrame) -> DataFrame:
+    g = geometry.select("mesh_id", F.explode(F.array("v0", "v1", "v2")).alias("vid"), "n")
     s = g.groupBy("mesh_id", "vid").agg(*[F.sum(f"n.{a}").alias(f"s{a}") for a in "xyz"])
     n = Vec(*(F.coalesce(f"s{a}", F.lit(0.0)) for a in "xyz")).unit()
     return mesh.vertices.join(s, ["mesh_id", "vid"], "left").select("mesh_id", "vid", "x", "y", "z", *[c.alias(f"n{a}") for c, a in zip(n, "xyz", strict=True)])
@@ -87,11 +91,11 @@ def axes_to_rotation(vectors: np.ndarray) -> np.ndarray:
 def curvature(mesh: MeshFrame) -> DataFrame:
     """Principal curvatures of each vertex from the tensor sum of w k T T' over its ring,
     read off the diagonal in the tangent frame: mesh_id, vid, nx, ny, nz, kp1, kp2."""
-    g = face_geometry(mesh)
+    g = stored(face_geometry(mesh).select("mesh_id", "fid", "v0", "v1", "v2", "n", "area"))
     h = half_edges(mesh.faces).select(*EDGE, "fid").join(g.select("mesh_id", "fid", "area"), ["mesh_id", "fid"])
     s_edge = h.groupBy(*EDGE).agg(F.sum("area").alias("s_e"))
     s_vtx = g.select("mesh_id", F.explode(F.array("v0", "v1", "v2")).alias("vid"), "area").groupBy("mesh_id", "vid").agg(F.sum("area").alias("s_v"))
-    v = vertex_normals(mesh).join(s_vtx, ["mesh_id", "vid"])
+    v = stored(_normals(mesh, g).join(s_vtx, ["mesh_id", "vid"]))
     ends = s_edge.select("mesh_id", F.explode(F.array(F.struct(F.col("u").alias("vid"), F.col("w").alias("nbr")), F.struct(F.col("w").alias("vid"), F.col("u").alias("nbr")))).alias("d"), "s_e").select("mesh_id", "d.*", "s_e")
     r = ends.join(v, ["mesh_id", "vid"]).join(mesh.vertices.select("mesh_id", F.col("vid").alias("nbr"), *Vec.of().columns("p")), ["mesh_id", "nbr"])
     n, u = Vec.of("n"), (Vec.of("p") - Vec.of()).unit()
@@ -158,7 +162,7 @@ def front_round(state: DataFrame) -> DataFrame:
 def smooth_round(mesh: MeshFrame, most: float) -> DataFrame:
     """One Jacobi round: vertices whose mean absolute curvature exceeds ``most`` move to
     the mean of their ring. Returns all vertices, and whether each moved."""
-    high = curvature(mesh).where((F.abs("kp1") + F.abs("kp2")) / 2 > most).select("mesh_id", "vid")
+    high = stored(curvature(mesh)).where((F.abs("kp1") + F.abs("kp2")) / 2 > most).select("mesh_id", "vid")
     ring = neighbours(mesh.faces).join(mesh.vertices.select("mesh_id", F.col("vid").alias("nbr"), "x", "y", "z"), ["mesh_id", "nbr"])
     mean = ring.join(high, ["mesh_id", "vid"], "left_semi").groupBy("mesh_id", "vid").agg(*[F.avg(a).alias(f"m{a}") for a in "xyz"])
     out = mesh.vertices.join(mean, ["mesh_id", "vid"], "left")
@@ -167,8 +171,6 @@ def smooth_round(mesh: MeshFrame, most: float) -> DataFrame:
 
 def smoothed(mesh: MeshFrame, most: float, rounds: int = 10) -> MeshFrame:
     """Rounds until no curvature exceeds ``most``, ``rounds`` at the most."""
-    from ..plans.iterate import stored
-
     for _ in range(rounds):
         v = stored(smooth_round(mesh, most))
         if not v.where("moved").take(1):
