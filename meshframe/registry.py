@@ -684,11 +684,6 @@ def planar_path(spark, d):
     return kernels.planar_paths(*_between(spark, d)).select("qid", r("length").alias("length"), "n")
 
 
-@query()
-def straight_path(spark, d):
-    return kernels.straight_paths(*_between(spark, d)).select("qid", r("length").alias("length"), "n")
-
-
 @query()
 def unfolded_strip(spark, d):
     m = X.grid(spark, d)
@@ -721,6 +716,106 @@ def icp_fit(spark, d):
     return spark.createDataFrame([(i, float(round(x, 4))) for i, x in enumerate(fit.entries())], "k int, value double")
 
 
+# --- further operators ------------------------------------------------------------------
+
+@query(GRID + " SELECT fid, v0, v1, v2 FROM f WHERE fid % 4 <> 1")
+def set_faces(spark, d):
+    m = X.grid(spark, d)
+    f = m.faces
+    bad = f.where("fid % 4 = 1").select("mesh_id", "fid", "v0", "v1", F.when(F.col("fid") % 8 == 1, F.col("v0")).otherwise(F.lit(-5)).alias("v2"))
+    again = f.where("fid % 4 = 0").select("mesh_id", (F.col("fid") + 10**6).alias("fid"), F.col("v1").alias("v0"), F.col("v2").alias("v1"), F.col("v0").alias("v2"))
+    return meshes.set_faces(m.vertices, f.where("fid % 4 <> 1").unionByName(bad).unionByName(again)).faces.select("fid", "v0", "v1", "v2")
+
+
+@query(GRID + " SELECT vid, round(x,6)+0.0 x, round(CASE WHEN vid%4=0 THEN y+0.5 ELSE y END,6)+0.0 y, round(CASE WHEN vid%4=0 THEN 1.0 ELSE z END,6)+0.0 z FROM v")
+def move_vertices(spark, d):
+    v = X.grid(spark, d).vertices
+    u = v.where("vid % 4 = 0").select("mesh_id", "vid", "x", (F.col("y") + 0.5).alias("y"), F.lit(1.0).alias("z"))
+    nan = v.where("vid % 4 = 1").select("mesh_id", "vid", F.lit(float("nan")).alias("x"), "y", "z")
+    return edit.move(v, u.unionByName(nan)).select("vid", *xyz())
+
+
+@query(GRID + CORNERS + _CURVED + """, fd AS (SELECT f.fid, c.nx*(a.ny*b.nz-a.nz*b.ny)+c.ny*(a.nz*b.nx-a.nx*b.nz)+c.nz*(a.nx*b.ny-a.ny*b.nx) det FROM f JOIN cu a ON a.vid=v0 JOIN cu b ON b.vid=v1 JOIN cu c ON c.vid=v2)
+ SELECT a AS vid, round(avg(det),6)+0.0 det FROM fe JOIN fd USING (fid) GROUP BY a""")
+def vertex_determinants(spark, d):
+    m = X.grid(spark, d)
+    return measure.curvature_metrics(m, measure.curvature(m))[1].select("vid", r("det").alias("det"))
+
+
+_LABELS = "l AS (SELECT vid, x, y, z, CASE WHEN j < 20 THEN 0 ELSE 1 END lb, CAST(abs(j-20) AS DOUBLE) t, 1.0+(vid%3) f FROM v)"
+
+
+@query(GRID + ", " + _LABELS + """, nb AS (SELECT u vid, w nbr FROM e UNION ALL SELECT w, u FROM e),
+ p AS (SELECT a.vid, a.x ax, a.y ay, a.z az, b.x bx, b.y by_, b.z bz, a.t ta, b.t tb, a.f fa, b.f fb, sqrt((a.x-b.x)^2+(a.y-b.y)^2+(a.z-b.z)^2) dd FROM nb JOIN l a ON a.vid=nb.vid JOIN l b ON b.vid=nbr WHERE a.lb<>b.lb),
+ k AS (SELECT *, (tb-ta+fb*dd)/(dd*(fa+fb)) s FROM p), g AS (SELECT vid, count(*) n, sum(ax+s*(bx-ax)) sx, sum(ay+s*(by_-ay)) sy, sum(az+s*(bz-az)) sz FROM k GROUP BY vid)
+ SELECT vid, round((4*x+coalesce(sx,0))/(4+coalesce(n,0)),6)+0.0 x, round((4*y+coalesce(sy,0))/(4+coalesce(n,0)),6)+0.0 y, round((4*z+coalesce(sz,0))/(4+coalesce(n,0)),6)+0.0 z FROM l LEFT JOIN g USING (vid)""")
+def interpolated_vertices(spark, d):
+    m = X.grid(spark, d)
+    j = F.col("vid") % 1000
+    lab = m.vertices.select("mesh_id", "vid", F.when(j < 20, 0).otherwise(1).alias("label"), F.abs(j - 20).cast("double").alias("t"), (1.0 + F.col("vid") % 3).alias("f"))
+    return graph.interpolated(m, lab).select("vid", *xyz())
+
+
+@query(GRID + " SELECT vid AS uvid FROM v WHERE vid NOT IN (SELECT a FROM fe WHERE fid % 5 <> 0 AND fid % 3 = 0)")
+def unused_uvs(spark, d):
+    m = _textured(spark, d)
+    return texture.unused_uvs(m.uvs, m.face_uvs.where("fid % 3 = 0")).select("uvid")
+
+
+@query(GRID + " SELECT fid FROM f WHERE fid % 2 = 0 AND fid % 5 <> 0")
+def remove_materials(spark, d):
+    m = _textured(spark, d)
+    m = m.with_(face_uvs=m.face_uvs.withColumn("mid", F.col("fid") % 2), materials=None)
+    return texture.remove_materials(m, spark.createDataFrame([(0, 1)], "mesh_id bigint, mid bigint")).face_uvs.select("fid")
+
+
+@query("SELECT CAST(m AS BIGINT) mid, CAST(n AS BIGINT) n FROM (VALUES (0,3),(1,3),(2,7),(3,7)) t(m,n)")
+def copy_materials(spark, d):
+    one = lambda n: spark.createDataFrame([(0, 0, n, 2, None), (0, 1, n, 2, None)], "mesh_id bigint, mid bigint, rows int, cols int, texture binary")
+    return texture.copy_materials(one(3), one(7)).select("mid", F.col("rows").cast("bigint").alias("n"))
+
+
+@query(GRID + " SELECT CASE WHEN v0//1000 <= 5 THEN 0 ELSE 1 END AS manifold, CAST(count(*) AS BIGINT) n FROM f GROUP BY 1")
+def components_behind_a_line(spark, d):
+    m = X.grid(spark, d)
+    row = lambda c: F.floor(F.col(c) / 1000)
+    parts = graph.manifolds(m, ~((row("u") == 5) & (row("w") == 5)))
+    return parts.groupBy("manifold").agg(F.count("*").alias("n"))
+
+
+@query(CLOUD + """, t AS (SELECT a.vid, a.x ax, a.y ay, a.z az, b.x bx, b.y by_, b.z bz, c.x cx, c.y cy, c.z cz FROM p a JOIN p b ON b.vid=a.vid+1 JOIN p c ON c.vid=a.vid+2),
+ s AS (SELECT *, bx-ax ux, by_-ay uy, bz-az uz, cx-ax vx, cy-ay vy, cz-az vz FROM t), q AS (SELECT *, uy*vz-uz*vy nx, uz*vx-ux*vz ny, ux*vy-uy*vx nz, sqrt(ux*ux+uy*uy+uz*uz) lu, sqrt(vx*vx+vy*vy+vz*vz) lv, ux*vx+uy*vy+uz*vz dt FROM s)
+ SELECT vid, round(sqrt(nx*nx+ny*ny+nz*nz)/2,6)+0.0 area, round(dt/(lu*lv),6)+0.0 cosine, round(acos(greatest(-1,least(1,dt/(lu*lv)))),6)+0.0 angle, round(ax-2*ax,6)+0.0 mirror_x, round(lu,6)+0.0 gx, round((ax+bx)/2,6)+0.0 mid_x, round(2*ax-az+1,6)+0.0 tx FROM q""")
+def scalar_geometry(spark, d):
+    p = X.points(spark, d)
+    at = lambda k, n: p.select((F.col("vid") - k).alias("vid"), *Vec.of().columns(n))
+    j = at(0, "a").join(at(1, "b"), "vid").join(at(2, "c"), "vid")
+    a, b, c = (Vec.of(n) for n in "abc")
+    g = vec.givens((b - a).norm(), F.lit(0.0))
+    m = vec.affine([2, 0, -1, 1, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1], a)
+    return j.select("vid", r(vec.area(a, b, c)).alias("area"), r(vec.cosine(a, b, c)).alias("cosine"), r(vec.angle(b - a, c - a)).alias("angle"), r(vec.reflect(a, Vec(0, 0, 0), Vec(1, 0, 0)).x).alias("mirror_x"), r(g["r"]).alias("gx"), r(vec.lerp(a, b, F.lit(0.5)).x).alias("mid_x"), r(m.x).alias("tx"))
+
+
+@query(GRID + CORNERS + """, a AS (SELECT fid, (x0+x1+x2)/3 cx, (y0+y1+y2)/3 cy FROM k) SELECT CAST(0 AS BIGINT) qid, round(sqrt((p.cx-q.cx)^2+(p.cy-q.cy)^2),6)+0.0 length FROM a p, a q WHERE p.fid = 2*2005 AND q.fid = 2*8040""")
+def straight_path_on_a_plane(spark, d):
+    m, q = _between(spark, d)
+    flat = q.withColumns({"z0": F.lit(0.0), "z1": F.lit(0.0)})
+    return kernels.straight_paths(m.with_(vertices=m.vertices.withColumn("z", F.lit(0.0))), flat).select("qid", r("length").alias("length"))
+
+
+@query(GRID + CORNERS + """, a AS (SELECT fid, (x0+x1+x2)/3 cx, (y0+y1+y2)/3 cy FROM k) SELECT CAST(0 AS BIGINT) qid, round(sqrt((p.cx-q.cx)^2+(p.cy-q.cy)^2),6)+0.0 length FROM a p, a q WHERE p.fid = 2*2005 AND q.fid = 2*8040""")
+def planar_path_on_a_plane(spark, d):
+    m, q = _between(spark, d)
+    flat = q.withColumns({"z0": F.lit(0.0), "z1": F.lit(0.0)})
+    return kernels.planar_paths(m.with_(vertices=m.vertices.withColumn("z", F.lit(0.0))), flat).select("qid", r("length").alias("length"))
+
+
+@query()
+def aligned_faces(spark, d):
+    p = X.probes(spark, d).withColumn("vid", F.when(F.col("qid") % 2 == 0, 5025).otherwise(3010).cast("bigint"))
+    return spatial.aligned_faces(p, X.grid(spark, d)).select("qid", "fid")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
