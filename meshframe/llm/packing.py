@@ -61,6 +61,7 @@ def dearest(prices: np.ndarray, limits: np.ndarray, capacity: int) -> np.ndarray
     """The configuration of the highest price: a knapsack with repetition over the
     lengths with a price. Returns how often it has each length, within limits."""
     lengths = np.flatnonzero(prices > 0)
+    lengths = lengths[lengths > 0]
     value = np.zeros(capacity + 1)
     took = np.zeros(capacity + 1, dtype=np.int64)
     own = prices[lengths]
