@@ -71,6 +71,17 @@ def _cell(shape: int, at: Column, j: int, v: Column) -> Column:
     return F.struct(F.lit(shape).alias("shape"), at.alias("at"), F.lit(j).alias("j"), v.alias("v"))
 
 
+def _band(s: Shape, grams: Column, permuted: list[Column], j: int) -> Column:
+    """Band j of all windows of one shape, without their places."""
+    if s.bands == 1 and s.width == 1:
+        return grams
+    starts = F.sequence(F.lit(1), F.greatest(F.size(grams) - s.m + 1, F.lit(1)), F.lit(s.stride))
+    if s.bands == 1:
+        return F.transform(starts, lambda i: F.array_min(F.slice(grams, i, s.width)))
+    pick = F.array_max if j % 2 else F.array_min
+    return F.transform(starts, lambda i: pick(F.slice(permuted[j // 2], i, s.width)))
+
+
 def _cells(s: Shape, number: int, grams: Column, permuted: list[Column]) -> Column:
     """The bands of all windows of one shape."""
     if s.bands == 1 and s.width == 1:
@@ -110,18 +121,33 @@ def matches(documents: DataFrame, templates=TEMPLATES, least: float = LEAST, shi
         return docs.limit(0).select("doc_id", none.cast("string").alias("license_id"), none.cast("double").alias("containment"), none.cast("int").alias("start"), none.cast("long").alias("n_windows"))
     perms = {k: max(-(-s.bands // 2) for s in shapes if s.k == k) if any(s.bands > 1 for s in shapes if s.k == k) else 0 for k in ks}
 
-    def banded(df: DataFrame, keep: list[str], only: list[Shape]) -> DataFrame:
-        """A row per window and band: keep, shape, at (first word), j, v."""
+    def arrays(df: DataFrame, keep: list[str]) -> DataFrame:
+        """Adds the shingle hashes and their permutations, an array each."""
         df = df.select(*keep, "_w", *[_grams(F.col("_w"), k).alias(f"_g{k}") for k in ks])
         more = [F.transform(f"_g{k}", _permuted(j)).alias(f"_g{k}_{j}") for k in ks for j in range(perms[k])]
-        df = df.select(*keep, "_w", *[f"_g{k}" for k in ks], *more)
-        parts = [_cells(s, shapes.index(s), F.col(f"_g{s.k}"), [F.col(f"_g{s.k}_{j}") for j in range(perms[s.k])]) for s in only]
+        return df.select(*keep, "_w", *[f"_g{k}" for k in ks], *more)
+
+    def own_arrays(s: Shape) -> list[Column]:
+        return [F.col(f"_g{s.k}_{j}") for j in range(perms[s.k])]
+
+    def banded(df: DataFrame, keep: list[str]) -> DataFrame:
+        """A row per window and band: keep, shape, at (first word), j, v."""
+        parts = [_cells(s, n, F.col(f"_g{s.k}"), own_arrays(s)) for n, s in enumerate(shapes)]
         return df.select(*keep, "_w", F.explode_outer(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("c")).select(*keep, "_w", "c.*")
 
     wanted = spark.createDataFrame([(a, w, shapes.index(shape(len(w), least, shingle))) for a, w in table], "license_id string, _w array<string>, own int")
-    keys = banded(wanted, ["license_id", "own"], shapes).where("shape = own and at = 1")
+    keys = banded(arrays(wanted, ["license_id", "own"]), ["license_id", "own"]).where("shape = own and at = 1")
     keys = keys.select("license_id", F.col("_w").alias("t"), F.col("shape").alias("s"), F.col("j").alias("jj"), F.col("v").alias("vv")).distinct()
-    cells = banded(docs, ["doc_id", "_h"], shapes)
+    # bands of all windows as plain arrays first: only texts that share a band with a template
+    # go on. The flag passes a generator, as a filter on it would else move into the lambdas.
+    values = {(r["s"], r["jj"]): r["v"] for r in keys.groupBy("s", "jj").agg(F.sort_array(F.collect_set("vv")).alias("v")).collect()}
+    shared = F.lit(False)
+    for n, s in enumerate(shapes):
+        for j, v in ((j, values.get((n, j), [])) for j in range(s.bands)):
+            shared = shared | F.coalesce(F.arrays_overlap(_band(s, F.col(f"_g{s.k}"), own_arrays(s), j), F.array(*map(F.lit, v))), F.lit(False))
+    full = arrays(docs, ["doc_id", "_h"])
+    flat = full.select("doc_id", "_h", F.inline(F.array(F.struct(*[c for c in full.columns if c not in ("doc_id", "_h")], shared.alias("_shared")))))
+    cells = banded(flat.where("_shared"), ["doc_id", "_h"])
     met = cells.join(F.broadcast(keys), (F.col("v") == F.col("vv")) & (F.col("shape") == F.col("s")) & (F.col("j") == F.col("jj")))  # a few bands per template
     reach = F.element_at(F.array(*[F.lit(s.width + s.k - 1) for s in shapes]), F.col("shape") + 1)
     size = F.element_at(F.array(*[F.lit(s.k) for s in shapes]), F.col("shape") + 1)
