@@ -30,10 +30,10 @@ def test_closed_face_vectors_cancel(spark):
 
 
 def test_cloud_drops_nan_and_merges(spark):
-    rows = [(0, 0, 0.0, 0.0, 0.0), (0, 1, 0.00001, 0.0, 0.0), (0, 2, float("nan"), 0.0, 0.0), (0, 3, None, 0.0, 0.0), (0, 4, -1.23456, 0.0, 0.0), (0, 5, -1.2345, 0.0, 0.0)]
+    rows = [(0, 0, 0.0, 0.0, 0.0), (0, 1, 0.00001, 0.0, 0.0), (0, 2, float("nan"), 0.0, 0.0), (0, 3, None, 0.0, 0.0), (0, 4, -1.23452, 0.0, 0.0), (0, 5, -1.2345, 0.0, 0.0)]
     p = spark.createDataFrame(rows, "mesh_id bigint, ord bigint, x double, y double, z double")
     out = meshes.cloud(p).orderBy("vid").collect()
-    assert [(r["vid"], r["x"]) for r in out] == [(0, 0.0), (1, -1.23456)]
+    assert [(r["vid"], r["x"]) for r in out] == [(0, 0.0), (1, -1.23452)]
 
 
 def test_invalid_faces_go(spark):
