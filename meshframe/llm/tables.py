@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,14 +29,12 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that are done: they go when the driver
+    collects its garbage, which else may be late."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
-def spread(rows: int, per_task: int, spark: SparkSession) -> int:
-    """Partitions for so many rows: by volume, and no fewer than the session's."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
 
-
-def stripped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("url").cast("string").alias("url"))
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
