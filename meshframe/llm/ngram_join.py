@@ -57,19 +57,16 @@ def dealing(low: int, high: int, far: int, least: int) -> tuple[int, int, int]:
     """For sizes low..high of a band and up to ``far`` in the next: parts, the fewest
     shingles of a key, and how many thin parts a document may have."""
     d = (100 - least) * (high + min(far, high * 100 // least)) // (100 + least)
-    thick = THICK if low >= 12 * THICK else 1
-    parts = d + 1
-    while True:
-        mean = low / parts
-        thin = parts * sum(math.exp(-mean) * mean**k / math.factorial(k) for k in range(thick))
-        slack = math.ceil(thin + 3 * math.sqrt(thin)) if thin > 1e-6 else 0
-        if parts >= d + 1 + slack:
-            return parts, thick, parts - d - 1
-        parts = d + 1 + slack
-        if parts > max(4 * (d + 1), d + 8):  # sets too small for thick parts
-            thick, parts = 1, d + 1 if thick > 1 else parts
-            if mean < 1:
-                return d + 1, 1, 0
+    for thick in (THICK, 1) if low >= 12 * THICK else (1,):
+        parts = d + 1
+        while parts <= 4 * (d + 1):
+            mean = low / parts
+            thin = parts * sum(math.exp(-mean) * mean**k / math.factorial(k) for k in range(thick))
+            need = d + 1 + (math.ceil(thin + 3 * math.sqrt(thin)) if thin > 1e-6 else 0)
+            if parts >= need:
+                return parts, thick, parts - d - 1
+            parts = need
+    return d + 1, 1, 0  # sets too small to leave room: documents with a thin part are dealt again
 
 
 def shingle_sets(texts: pa.Array, size: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:

@@ -50,8 +50,19 @@ def anchors(chunk: W.Chunk, h: np.ndarray, length: int) -> tuple[np.ndarray, np.
     start, row = W.windows(chunk.first, length)
     if not len(start):
         return start, row, start, grams
-    least = np.lib.stride_tricks.sliding_window_view(grams, length - PREFIX + 1).argmin(axis=1)
-    return start, row, start + least[start], grams
+    return start, row, first_least(grams, length - PREFIX + 1)[start], grams
+
+
+def first_least(values: np.ndarray, width: int) -> np.ndarray:
+    """Where the least value of each run of ``width`` stands, the first of equals. Runs
+    double in length, so memory does not grow with the width."""
+    at, size = np.arange(len(values)), 1
+    while size < width:
+        step = min(size, width - size)
+        a, b = at[: len(at) - step], at[step:]
+        at = np.where(values[b] < values[a], b, a)
+        size += step
+    return at
 
 
 def deep_nodes(ids: np.ndarray, start: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
