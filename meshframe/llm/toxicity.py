@@ -16,10 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .tables import stored
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 20_000
@@ -58,37 +59,27 @@ def word_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row[at], h[at], np.diff(np.append(at, len(h)))
 
 
-def fit_arrays(row: np.ndarray, key: np.ndarray, times: np.ndarray, toxic: np.ndarray, vocabulary: int = VOCABULARY, rounds: int = 400) -> Model | None:
-    """row, key, times: distinct words of each training text. None without both classes."""
-    n_bad, n_good = int(toxic.sum()), int((~toxic).sum())
-    if not n_bad or not n_good:
-        return None
-    keys, inverse = np.unique(key, return_inverse=True)
-    in_bad = np.bincount(inverse, weights=toxic[row], minlength=len(keys))
-    in_all = np.bincount(inverse, minlength=len(keys))
-    # signed root of the likelihood ratio of word and class
-    cells = np.stack([in_bad, n_bad - in_bad, in_all - in_bad, n_good - (in_all - in_bad)])
+def association(in_bad: Column, in_all: Column, n_bad: int, n_good: int) -> Column:
+    """Signed root of the likelihood ratio of a word and the toxic class."""
     share = in_all / (n_bad + n_good)
-    expected = np.stack([n_bad * share, n_bad * (1 - share), n_good * share, n_good * (1 - share)])
-    ratio = 2 * np.where(cells > 0, cells * np.log(np.maximum(cells, 1e-9) / np.maximum(expected, 1e-9)), 0.0).sum(axis=0)
-    z = np.sign(cells[0] - expected[0]) * np.sqrt(np.maximum(ratio, 0.0))
-    score = np.where(in_all >= 3, np.abs(z), 0.0)
-    most = np.argsort(-score, kind="stable")[:vocabulary]
-    take = np.sort(most[score[most] > 4.5])
-    if not len(take):
-        return None
-    place = np.full(len(keys), -1)
-    place[take] = np.arange(len(take))
-    col = place[inverse]
-    use = col >= 0
-    x = np.zeros((len(toxic), len(take)), dtype=np.float64)
-    x[row[use], col[use]] = 1.0
-    telling = use & (z[inverse] > 0)
+    total = F.lit(0.0)
+    for seen, of in ((in_bad, n_bad), (in_all - in_bad, n_good)):
+        for cell, mean in ((seen, of * share), (of - seen, of * (1 - share))):
+            total = total + F.when(cell > 0, cell * F.log(cell / mean)).otherwise(0.0)
+    return F.signum(in_bad - n_bad * share) * F.sqrt(F.greatest(2 * total, F.lit(0.0)))
+
+
+def fit_arrays(row: np.ndarray, col: np.ndarray, times: np.ndarray, toxic: np.ndarray, keys: np.ndarray, z: np.ndarray, rounds: int = 400) -> Model:
+    """row, col, times: how often training text ``row`` has word ``col``; keys and z: the
+    words' hashes (sorted) and associations; toxic: the texts' labels."""
+    x = np.zeros((len(toxic), len(keys)))
+    x[row, col] = 1.0
+    telling = z[col] > 0
     amount = np.bincount(row[telling], weights=times[telling], minlength=len(toxic))
     cuts = np.quantile(amount[toxic], [1 / 3, 2 / 3])
     grade = np.where(toxic, 1 + (amount > cuts[0]).astype(int) + (amount > cuts[1]).astype(int), 0)
     # thresholds rise by exponents of free steps, so they stay ordered
-    w, first, steps = np.zeros(len(take)), 2.0, np.zeros(GRADES - 2)
+    w, first, steps = np.zeros(len(keys)), 2.0, np.zeros(GRADES - 2)
     moment = [np.zeros_like(w), 0.0, np.zeros_like(steps)]
     spread = [np.zeros_like(w), 0.0, np.zeros_like(steps)]
     sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -50, 50)))
@@ -112,13 +103,13 @@ def fit_arrays(row: np.ndarray, key: np.ndarray, times: np.ndarray, toxic: np.nd
             values[k] = values[k] - 0.1 * (moment[k] / (1 - 0.9**t)) / (np.sqrt(spread[k] / (1 - 0.99**t)) + 1e-9)
         w, first, steps = values
     theta = first + np.concatenate([[0.0], np.cumsum(np.exp(steps))])
-    return Model(keys[take], w, theta)
+    return Model(keys, w, theta)
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> Model | None:
     """documents: doc_id, text; labels: doc_id, toxic (0/1). The labelled ids with the
-    least hashes, ``sample`` at most, are joined to their texts; their word counts
-    (bounded by that number) come to the driver."""
+    least hashes, ``sample`` at most, are joined to their texts. Words are counted and
+    chosen on the cluster; the chosen ones' places in these texts come to the driver."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic")
@@ -133,12 +124,24 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabular
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(2).slice(low, high - low), lists, counts], names=["doc_id", "toxic", "keys", "times"])
 
     got = texts.mapInArrow(kernel, "doc_id long, toxic int, keys array<long>, times array<int>")
-    got = got.groupBy("doc_id").agg(F.max(F.struct("keys", "times", "toxic")).alias("r")).select("doc_id", "r.*").orderBy("doc_id").toArrow()  # one row per id
-    keys = got["keys"].combine_chunks()
-    row = np.repeat(np.arange(len(got)), np.array(keys.value_lengths()).astype(np.int64)) if len(got) else np.zeros(0, np.int64)
-    flat = np.array(keys.flatten()).view(np.uint64) if len(got) else np.zeros(0, np.uint64)
-    times = np.array(got["times"].combine_chunks().flatten()) if len(got) else np.zeros(0, np.int64)
-    return fit_arrays(row, flat, times, np.array(got["toxic"]) > 0, vocabulary)
+    got = stored(got.groupBy("doc_id").agg(F.max(F.struct("keys", "times", "toxic")).alias("r")).select("doc_id", "r.*"))  # one row per id
+    n_all, n_bad = got.agg(F.count("*"), F.sum("toxic")).first()
+    if not n_bad or n_bad == n_all:
+        return None
+    seen = got.select("toxic", F.explode("keys").alias("key")).groupBy("key").agg(F.sum("toxic").alias("b"), F.count("*").alias("a")).where("a >= 3")
+    told = seen.select("key", association(F.col("b"), F.col("a"), n_bad, n_all - n_bad).alias("z")).where(F.abs("z") > 4.5)
+    told = told.orderBy(F.desc(F.abs("z")), "key").limit(vocabulary).collect()
+    if not told:
+        return None
+    table = sorted((r["key"] % 2**64, r["z"]) for r in told)
+    keys, z = np.array([k for k, _ in table], dtype=np.uint64), np.array([v for _, v in table])
+    words = documents.sparkSession.createDataFrame([(r["key"],) for r in told], "key long")
+    flat = got.select("doc_id", F.explode(F.arrays_zip("keys", "times")).alias("w")).select("doc_id", F.col("w.keys").alias("key"), F.col("w.times").alias("times"))
+    hits = flat.join(F.broadcast(words), "key").toArrow()  # of 512 words at most
+    ids = got.select("doc_id", "toxic").orderBy("doc_id").toArrow()
+    row = np.searchsorted(ids["doc_id"].to_numpy(), hits["doc_id"].to_numpy())
+    col = np.searchsorted(keys, hits["key"].to_numpy().view(np.uint64))
+    return fit_arrays(row, col, hits["times"].to_numpy(), ids["toxic"].to_numpy() > 0, keys, z)
 
 
 def scored(documents: DataFrame, model: Model | None) -> DataFrame:
