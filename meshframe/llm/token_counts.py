@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encode import encoded, tokenizer_path
+from .tables import stored
 
 
 def lengths(documents: DataFrame, path: str | None = None, end: int = 1) -> DataFrame:
@@ -30,8 +31,9 @@ def lengths(documents: DataFrame, path: str | None = None, end: int = 1) -> Data
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
-    """A row per distinct length: length, n_docs, n_tokens."""
-    return lengths.groupBy("length").agg(F.count("*").alias("n_docs"), F.sum("length").alias("n_tokens"))
+    """A row per distinct length: length, n_docs, n_tokens; a stored table, as it is read
+    more than once and its making encodes every text."""
+    return stored(lengths.groupBy("length").agg(F.count("*").alias("n_docs"), F.sum("length").alias("n_tokens")))
 
 
 def answers(hist: DataFrame) -> DataFrame:
