@@ -3,7 +3,8 @@
 Labelled page outcomes (good or bad) are counted by host, registered domain and
 suffix. Each level's beta prior has the mean of the level above and a strength
 fitted by moments, so a host with few labels is shrunk to its domain, a domain to
-its suffix, and a suffix to the whole table. A page is blocked when the posterior
+its suffix, and a suffix to the whole table. A host without labels takes the posterior of its domain,
+else of its suffix, else of the whole table. A page is blocked when the posterior
 of its host puts the rate of bad pages above ``max_bad`` with confidence, that is,
 when the lower posterior bound exceeds it.
 """
@@ -81,9 +82,11 @@ def _strength(counts: DataFrame, prior: Column) -> Column:
     return 1 / rho - 1
 
 
-def reputations(outcomes: DataFrame) -> DataFrame:
+def reputations(outcomes: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """outcomes: host, bad (0/1), a row per labelled page. Returns a row per labelled
-    host (host, domain, suffix, a, b): the beta posterior of its rate of bad pages.
+    host (host, domain, suffix, a, b): the beta posterior of its rate of bad pages; and
+    one per further host of ``others`` (host): that of its domain, else of its suffix,
+    else of the whole table, null when nothing is labelled.
 
     Counts combine before each shuffle, so one host with a third of all pages is a
     few rows. Rows with a null host or outcome count for nothing."""
@@ -95,7 +98,7 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     )
     domains = stored(hosts.groupBy("domain", "suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")))
     suffixes = stored(domains.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")))
-    whole = suffixes.agg((F.sum("bad") + 0.5).alias("wbad"), (F.sum("n") + 1).alias("wn")).select((F.col("wbad") / F.col("wn")).alias("p0"))
+    whole = suffixes.agg((F.sum("bad") + 0.5).alias("wbad"), (F.sum("n") + 1).alias("wn")).withColumn("p0", F.col("wbad") / F.col("wn"))
 
     def shrink(level: DataFrame, prior: DataFrame, on: list[str], name: str) -> DataFrame:
         """Posterior mean of each group of a level under its parent's mean."""
@@ -105,21 +108,28 @@ def reputations(outcomes: DataFrame) -> DataFrame:
         a, b = F.col("p0") * F.col("s") + F.col("bad"), (1 - F.col("p0")) * F.col("s") + F.col("n") - F.col("bad")
         return out.withColumn("a", a).withColumn("b", b).withColumn(name, a / (a + b))
 
-    top = shrink(suffixes, whole, [], "p").select("suffix", F.col("p").alias("p0"))
-    mid = shrink(domains, top, ["suffix"], "p").select("domain", "suffix", F.col("p").alias("p0"))
-    return shrink(hosts, mid, ["domain", "suffix"], "p").select("host", "domain", "suffix", "a", "b")
+    top = shrink(suffixes, whole.select("p0"), [], "p").select("suffix", F.col("p").alias("p0"), F.col("a").alias("sa"), F.col("b").alias("sb"))
+    mid = shrink(domains, top.select("suffix", "p0"), ["suffix"], "p").select("domain", "suffix", F.col("p").alias("p0"), F.col("a").alias("da"), F.col("b").alias("db"))
+    labelled = shrink(hosts, mid.select("domain", "suffix", "p0"), ["domain", "suffix"], "p").select("host", "domain", "suffix", "a", "b")
+    if others is None:
+        return labelled
+    rest = others.select("host").where("host is not null").distinct().join(hosts.select("host"), "host", "left_anti").withColumn("domain", domain).withColumn("suffix", suffix)
+    above = rest.join(mid.drop("p0"), ["domain", "suffix"], "left").join(top.drop("p0"), "suffix", "left").join(F.broadcast(whole))  # one row
+    a, b = F.coalesce("da", "sa", "wbad"), F.coalesce("db", "sb", F.col("wn") - F.col("wbad"))
+    return labelled.unionByName(above.select("host", "domain", "suffix", a.alias("a"), b.alias("b")))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: float = 0.5, z: float = BOUND_Z) -> DataFrame:
     """pages: page_id, url. outcomes: page_id, bad (0/1). A row per page: page_id, host,
-    path, rule (or null), verdict, bad_rate and bad_lower (null for hosts without labels).
+    path, rule (or null), verdict, bad_rate and bad_lower (null for the empty host without labels).
 
     Repeated pages stay repeated rows; null and malformed urls have empty host and
-    path, and are allowed unless their labels say otherwise. Other columns are dropped."""
+    path, and are allowed unless their labels say otherwise: the empty host has no domain
+    to judge it by. Other columns are dropped."""
     host, path = host_and_path(F.col("url"))
     seen = pages.select("page_id", host.alias("host"), path.alias("path"))
     one = outcomes.select("page_id", "bad").where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    table = reputations(seen.dropDuplicates(["page_id"]).join(one, "page_id").select("host", "bad"))
+    table = reputations(seen.dropDuplicates(["page_id"]).join(one, "page_id").select("host", "bad"), seen.where("host <> ''"))
     n = F.col("a") + F.col("b")
     mean = F.col("a") / n
     table = table.select("host", mean.alias("bad_rate"), (mean - z * F.sqrt(mean * (1 - mean) / (n + 1))).alias("bad_lower"))

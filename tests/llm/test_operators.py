@@ -419,6 +419,19 @@ def test_url_filter(spark):
     assert got[1003]["bad_rate"] > got[2003]["bad_rate"]
 
 
+def test_hosts_without_labels_take_the_reputation_above(spark):
+    rows = [(1000 + k, f"http://h{k % 20}.bad.org/x") for k in range(200)] + [(2000 + k, f"http://h{k % 20}.good.org/x") for k in range(200)] + [(3000 + k, f"http://h{k}.d{k}.biz/") for k in range(200)]
+    new = [(5000, "http://new.bad.org/"), (5001, "http://new.good.org/"), (5002, "http://new.biz/"), (5003, "http://new.info/"), (5004, "no scheme"), (5005, "http://new.bad.org/2"), (5005, "http://new.bad.org/2")]
+    out = [(k, int(not 2000 <= k < 3000 and k % 10 != 0)) for k, _ in rows]
+    pages = spark.createDataFrame(rows + new, "page_id long, url string")
+    judged = url_filter.judge(pages, spark.createDataFrame(out, "page_id long, bad int")).collect()
+    assert len(judged) == len(rows) + len(new)
+    got = {r["page_id"]: r for r in judged}
+    assert [got[5000 + k]["verdict"] for k in range(6)] == ["block", "allow", "block", "block", "allow", "block"]
+    assert abs(got[5003]["bad_rate"] - 360.5 / 601) < 1e-9 and got[5004]["bad_rate"] is None
+    assert abs(got[5003]["bad_lower"] - (360.5 / 601 - 1.6449 * math.sqrt(360.5 * 240.5 / 601**2 / 602))) < 1e-9
+
+
 def test_reputation_shrinks_towards_the_domain(spark):
     rows = [(f"h{k}.d.org", int(k % 2)) for k in range(40) for _ in range(10)] + [("one.d.org", 1), ("one.e.org", 1)] + [(f"g{k}.e.org", 0) for k in range(40) for _ in range(10)]
     t = {r["host"]: r["a"] / (r["a"] + r["b"]) for r in url_filter.reputations(spark.createDataFrame(rows, "host string, bad int")).collect()}
