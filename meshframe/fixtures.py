@@ -37,8 +37,13 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query points over the grid: the first 40 embeddings, scaled into its box."""
-    p = points(spark, sf_dir).where("vid < 40")
+    """Query points over the grid: the first 40 embeddings, as the SQL has them."""
+    return all_probes(spark, sf_dir).where("qid < 40")
+
+
+def all_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query points over the grid: every embedding, scaled into its box."""
+    p = points(spark, sf_dir)
     return p.select(F.col("vid").alias("qid"), (F.col("x") * 40 + 25).alias("x"), (F.col("y") * 8 + 5).alias("y"), (F.col("z") * 20 + 50).alias("z"))
 
 

@@ -812,10 +812,29 @@ def planar_path_on_a_plane(spark, d):
 
 @query()
 def aligned_faces(spark, d):
-    p = X.probes(spark, d).withColumn("vid", F.when(F.col("qid") % 2 == 0, 5025).otherwise(3010).cast("bigint"))
+    p = X.all_probes(spark, d).withColumn("vid", F.when(F.col("qid") % 2 == 0, 5025).otherwise(3010).cast("bigint"))
     return spatial.aligned_faces(p, X.grid(spark, d)).select("qid", "fid")
 
 
+# --- whole tables: without SQL, as a cross join of all rows is too slow; checked by tests ---
+
+@query()
+def nearest_vertex_all(spark, d):
+    p = X.all_probes(spark, d)
+    return spatial.nearest(p, p.select((F.col("qid") * 100).alias("vid"), "x", "y", "z"), 2).select("qid", "k", "vid", r("d2").alias("d2"))
+
+
+@query()
+def closest_surface_point_all(spark, d):
+    return spatial.closest_surface_point(X.all_probes(spark, d), X.grid(spark, d), 4.0).select("qid", r("d2").alias("d2"))
+
+
+@query()
+def ray_cast_all(spark, d):
+    rays = X.all_probes(spark, d).withColumn("z", F.lit(0.0)).select("qid", "x", "y", "z", F.lit(0.0).alias("ux"), F.lit(0.0).alias("uy"), F.lit(1.0).alias("uz"))
+    return spatial.ray_cast(rays, X.grid(spark, d), 2.0).select("qid", r("t").alias("t"), r("z").alias("z"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshframe import fixtures as X
+from meshframe import registry
 from meshframe.functions import vec
 from meshframe.functions.vec import Vec
 from meshframe.operators import edit, frames, graph, kernels, measure, spatial, texture, topology
@@ -203,3 +204,65 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("fresh").count() == 2
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def _probed(spark):
+    """All probes, grid vertices and grid faces, by id."""
+    m = X.grid(spark, SF)
+    at = lambda rows: {r[0]: np.array(r[1:]) for r in rows.collect()}
+    e = X.points(spark, SF).select("vid", F.col("x") * 40 + 25, F.col("y") * 8 + 5, F.col("z") * 20 + 50)
+    return at(e), at(m.vertices.select("vid", "x", "y", "z")), at(m.faces.select("fid", "v0", "v1", "v2"))
+
+
+def _to_segment(q, a, b):
+    t = min(1.0, max(0.0, float((q - a) @ (b - a) / ((b - a) @ (b - a)))))
+    return float(((a + t * (b - a) - q) ** 2).sum())
+
+
+def _to_face(q, a, b, c):
+    n = np.cross(b - a, c - a)
+    if all(np.cross(t - s, q - s) @ n >= 0 for s, t in ((a, b), (b, c), (c, a))):
+        return float(((q - a) @ n) ** 2 / (n @ n))
+    return min(_to_segment(q, a, b), _to_segment(q, b, c), _to_segment(q, c, a))
+
+
+def test_nearest_vertex_of_every_probe(spark):
+    q, _, _ = _probed(spark)
+    want = {}
+    for i, p in q.items():
+        for k, (d2, j) in enumerate(sorted((float(((x - p) ** 2).sum()), j) for j, x in q.items())[:2]):
+            want[i, k + 1] = (j * 100, d2)
+    got = {(r["qid"], r["k"]): (r["vid"], r["d2"]) for r in registry.queries()["nearest_vertex_all"](spark, SF).collect()}
+    assert len(q) > 40 and set(got) == set(want)
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+
+
+def test_surface_under_every_probe(spark):
+    q, v, f = _probed(spark)
+    tri = [tuple(v[i] for i in t) for t in f.values()]
+    got = {r["qid"]: r["d2"] for r in registry.queries()["closest_surface_point_all"](spark, SF).collect()}
+    want = {i: min(_to_face(p, *t) for t in tri) for i, p in q.items()}
+    assert len(q) > 40 and set(got) == set(q) and all(abs(got[i] - want[i]) < 2e-6 for i in q)
+    want = {}
+    for i, p in q.items():
+        for a, b, c in tri:
+            s = [(t[0] - u[0]) * (p[1] - u[1]) - (t[1] - u[1]) * (p[0] - u[0]) for u, t in ((a, b), (b, c), (c, a))]
+            n = np.cross(b - a, c - a)
+            if n[2] and (min(s) >= 0 or max(s) <= 0):
+                want[i] = min(want.get(i, math.inf), a[2] + ((a[0] - p[0]) * n[0] + (a[1] - p[1]) * n[1]) / n[2])
+    got = {r["qid"]: r["z"] for r in registry.queries()["ray_cast_all"](spark, SF).collect()}
+    assert any(i >= 40 for i in want) and set(got) == set(want) and all(abs(got[i] - want[i]) < 2e-6 for i in want)
+
+
+def test_aligned_face_of_every_probe(spark):
+    q, v, f = _probed(spark)
+    unit = lambda a: a / np.linalg.norm(a)
+    got = {r["qid"]: r["fid"] for r in registry.queries()["aligned_faces"](spark, SF).collect()}
+    assert len(q) > 40 and set(got) == set(q)
+    for i, p in q.items():
+        at = 5025 if i % 2 == 0 else 3010
+        score = {k: float(unit(sum(v[j] for j in t) / 3 - v[at]) @ unit(p - v[at])) for k, t in f.items() if at in t}
+        assert abs(score[got[i]] - max(score.values())) < 1e-9
