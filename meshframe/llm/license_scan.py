@@ -12,6 +12,9 @@ found with probability ``RECALL`` or more. Where ``least`` of a template is all
 it (four shingles or fewer), windows are as long as the template and stand at every
 word, and one band finds every match for certain.
 
+A text without any of a template's first shingles, of which ``least`` can miss all but
+one, cannot match it; bands are made for the templates that a text may match only.
+
 DataFrame functions only. The templates are literals of the plan's small side.
 """
 
@@ -25,18 +28,58 @@ from pyspark.sql import functions as F
 
 from .decontaminate import BETWEEN, words_of
 
-#: The notices to look for.
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_AS_IS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+
+
+def _gnu(name: str, version: str) -> str:
+    return f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details. You should have received a copy of the GNU {name} along with this program"
+
+
+def _cc(name: str) -> str:
+    return f"This work is licensed under a Creative Commons {name} 4.0 International License."
+
+
+def _cc_text(name: str) -> str:
+    return f'By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons {name} 4.0 International Public License ("Public License").'
+
+
+#: Short notices, the standard headers and texts of common licenses, and
+#: openings of long ones. Headers also stand at the end of the full texts of Apache, GPL
+#: and MPL.
 TEMPLATES = (
     ("all-rights-reserved", "All rights reserved."),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("mit", "Released under the MIT License."),
+    ("cc-by-4.0", "Licensed under CC BY 4.0."),
+    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0."),
+    ("mit-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _AS_IS),
+    ("isc-text", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("bsd-2-clause-text", _BSD + _BSD_AS_IS),
+    ("bsd-3-clause-text", _BSD + _BSD3 + _BSD_AS_IS),
+    ("apache-2.0-header", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("mpl-2.0-header", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("gpl-2.0-header", _gnu("General Public License", "2")),
+    ("gpl-3.0-header", _gnu("General Public License", "3")),
+    ("lgpl-2.1-header", _gnu("Lesser General Public License", "2.1")),
+    ("lgpl-3.0-header", _gnu("Lesser General Public License", "3")),
+    ("agpl-3.0-header", _gnu("Affero General Public License", "3")),
+    ("gpl-2.0-text", "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users."),
+    ("gpl-3.0-text", "The GNU General Public License is a free, copyleft license for software and other kinds of works."),
+    ("lgpl-3.0-text", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+    ("unlicense-text", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    *((f"cc-{i}-4.0-notice", _cc(n)) for i, n in (("by", "Attribution"), ("by-sa", "Attribution-ShareAlike"), ("by-nc", "Attribution-NonCommercial"))),
+    *((f"cc-{i}-4.0-text", _cc_text(n)) for i, n in (("by", "Attribution"), ("by-sa", "Attribution-ShareAlike"), ("by-nc", "Attribution-NonCommercial"))),
 )
 
 SHINGLE = 5
 LEAST = 0.8
 RECALL = 0.999
+_CELLS = "array<struct<shape:int,at:int,j:int,v:bigint>>"
 
 
 @dataclass(frozen=True)
@@ -71,17 +114,6 @@ def _cell(shape: int, at: Column, j: int, v: Column) -> Column:
     return F.struct(F.lit(shape).alias("shape"), at.alias("at"), F.lit(j).alias("j"), v.alias("v"))
 
 
-def _band(s: Shape, grams: Column, permuted: list[Column], j: int) -> Column:
-    """Band j of all windows of one shape, without their places."""
-    if s.bands == 1 and s.width == 1:
-        return grams
-    starts = F.sequence(F.lit(1), F.greatest(F.size(grams) - s.m + 1, F.lit(1)), F.lit(s.stride))
-    if s.bands == 1:
-        return F.transform(starts, lambda i: F.array_min(F.slice(grams, i, s.width)))
-    pick = F.array_max if j % 2 else F.array_min
-    return F.transform(starts, lambda i: pick(F.slice(permuted[j // 2], i, s.width)))
-
-
 def _cells(s: Shape, number: int, grams: Column, permuted: list[Column]) -> Column:
     """The bands of all windows of one shape."""
     if s.bands == 1 and s.width == 1:
@@ -121,33 +153,51 @@ def matches(documents: DataFrame, templates=TEMPLATES, least: float = LEAST, shi
         return docs.limit(0).select("doc_id", none.cast("string").alias("license_id"), none.cast("double").alias("containment"), none.cast("int").alias("start"), none.cast("long").alias("n_windows"))
     perms = {k: max(-(-s.bands // 2) for s in shapes if s.k == k) if any(s.bands > 1 for s in shapes if s.k == k) else 0 for k in ks}
 
-    def arrays(df: DataFrame, keep: list[str]) -> DataFrame:
-        """Adds the shingle hashes and their permutations, an array each."""
-        df = df.select(*keep, "_w", *[_grams(F.col("_w"), k).alias(f"_g{k}") for k in ks])
-        more = [F.transform(f"_g{k}", _permuted(j)).alias(f"_g{k}_{j}") for k in ks for j in range(perms[k])]
-        return df.select(*keep, "_w", *[f"_g{k}" for k in ks], *more)
+    def hashed(df: DataFrame, keep: list[str]) -> DataFrame:
+        """Adds the shingle hashes, an array a size."""
+        return df.select(*keep, "_w", *[_grams(F.col("_w"), k).alias(f"_g{k}") for k in ks])
+
+    def permuted() -> list[Column]:
+        return [F.transform(f"_g{k}", _permuted(j)).alias(f"_g{k}_{j}") for k in ks for j in range(perms[k])]
+
+    def made(df: DataFrame, keep: list[str], *columns: Column) -> DataFrame:
+        """Makes the columns once: they pass a generator, else they would move into the
+        filters and lambdas that use them."""
+        rest = [c for c in df.columns if c not in keep]
+        return df.select(*keep, F.inline(F.array(F.struct(*rest, *columns))))
 
     def own_arrays(s: Shape) -> list[Column]:
         return [F.col(f"_g{s.k}_{j}") for j in range(perms[s.k])]
 
-    def banded(df: DataFrame, keep: list[str]) -> DataFrame:
+    def banded(df: DataFrame, keep: list[str], wanted_only=lambda n, cells: cells) -> DataFrame:
         """A row per window and band: keep, shape, at (first word), j, v."""
-        parts = [_cells(s, n, F.col(f"_g{s.k}"), own_arrays(s)) for n, s in enumerate(shapes)]
+        parts = [wanted_only(n, _cells(s, n, F.col(f"_g{s.k}"), own_arrays(s))) for n, s in enumerate(shapes)]
         return df.select(*keep, "_w", F.explode_outer(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("c")).select(*keep, "_w", "c.*")
 
     wanted = spark.createDataFrame([(a, w, shapes.index(shape(len(w), least, shingle))) for a, w in table], "license_id string, _w array<string>, own int")
-    keys = banded(arrays(wanted, ["license_id", "own"]), ["license_id", "own"]).where("shape = own and at = 1")
+    wanted = hashed(wanted, ["license_id", "own"])
+    keys = banded(wanted.select("*", *permuted()), ["license_id", "own"]).where("shape = own and at = 1")
     keys = keys.select("license_id", F.col("_w").alias("t"), F.col("shape").alias("s"), F.col("j").alias("jj"), F.col("v").alias("vv")).distinct()
-    # bands of all windows as plain arrays first: only texts that share a band with a template
-    # go on. The flag passes a generator, as a filter on it would else move into the lambdas.
-    values = {(r["s"], r["jj"]): r["v"] for r in keys.groupBy("s", "jj").agg(F.sort_array(F.collect_set("vv")).alias("v")).collect()}
-    shared = F.lit(False)
-    for n, s in enumerate(shapes):
-        for j, v in ((j, values.get((n, j), [])) for j in range(s.bands)):
-            shared = shared | F.coalesce(F.arrays_overlap(_band(s, F.col(f"_g{s.k}"), own_arrays(s), j), F.array(*map(F.lit, v))), F.lit(False))
-    full = arrays(docs, ["doc_id", "_h"])
-    flat = full.select("doc_id", "_h", F.inline(F.array(F.struct(*[c for c in full.columns if c not in ("doc_id", "_h")], shared.alias("_shared")))))
-    cells = banded(flat.where("_shared"), ["doc_id", "_h"])
+    values = {r["s"]: r["v"] for r in keys.groupBy("s").agg(F.sort_array(F.collect_set("vv")).alias("v")).collect()}
+    # a match holds ``least`` of a template's distinct shingles, so at least one of the first few
+    few: dict[int, set[int]] = {n: set() for n in range(len(shapes))}
+    for row in wanted.collect():
+        grams = list(dict.fromkeys(row[f"_g{shapes[row['own']].k}"]))
+        few[row["own"]].update(grams[: len(grams) - max(1, math.ceil(least * len(grams) - 1e-9)) + 1])
+
+    def holds(k: int, hashes: set[int]) -> Column:
+        return F.coalesce(F.arrays_overlap(f"_g{k}", F.array(*map(F.lit, sorted(hashes)))), F.lit(False))
+
+    def wanted_only(n: int, cells: Column) -> Column:
+        found = F.filter(cells, lambda c: c["v"].isin(values.get(n, [])))
+        return F.when(F.col(f"_may{n}"), found).otherwise(F.array().cast(_CELLS))
+
+    any_ = F.lit(False)
+    for k in ks:
+        any_ = any_ | holds(k, set().union(*(few[n] for n, s in enumerate(shapes) if s.k == k)))
+    full = made(hashed(docs, ["doc_id", "_h"]), ["doc_id", "_h"], any_.alias("_any")).where("_any")
+    full = made(full, ["doc_id", "_h"], *permuted(), *[holds(s.k, few[n]).alias(f"_may{n}") for n, s in enumerate(shapes)])
+    cells = banded(full, ["doc_id", "_h"], wanted_only)
     met = cells.join(F.broadcast(keys), (F.col("v") == F.col("vv")) & (F.col("shape") == F.col("s")) & (F.col("j") == F.col("jj")))  # a few bands per template
     reach = F.element_at(F.array(*[F.lit(s.width + s.k - 1) for s in shapes]), F.col("shape") + 1)
     size = F.element_at(F.array(*[F.lit(s.k) for s in shapes]), F.col("shape") + 1)

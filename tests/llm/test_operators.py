@@ -226,6 +226,27 @@ def test_licenses(spark, empty):
     assert license_scan.matches(spark.createDataFrame(rows, "doc_id long, text string"), templates=(("none", " "),)).count() == 0
 
 
+def test_common_licenses(spark):
+    texts = dict(license_scan.TEMPLATES)
+    say = lambda k: " ".join(f"w{(k * 7919 + i * i) % 997}" for i in range(k))
+    names = ["mit-text", "bsd-3-clause-text", "mpl-2.0-header", "lgpl-3.0-header", "apache-2.0-header", "cc-by-4.0-notice", "gpl-3.0-text", "cc-by-sa-4.0"]
+    rows = [(k, f"{say(40 + 30 * k)} {texts[n]} {say(60)}") for k, n in enumerate(names)]
+    rows += [(10, f"{say(9)} " + texts["mit-text"].replace("furnished", "given").upper()), (11, say(500)), (12, texts["bsd-2-clause-text"][:300]), (13, f"{say(3000)} {texts['apache-2.0-header'].replace('Unless', 'If not')}")]
+    out = license_scan.matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r["doc_id"], r["license_id"]): r["containment"] for r in out}
+
+    def share(t, w):
+        k = min(5, len(t))
+        a = {tuple(t[i : i + k]) for i in range(len(t) - k + 1)}
+        return len(a & {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}) / len(a)
+
+    want = {(i, n): share(ALNUM.findall(low(lic)), ALNUM.findall(low(t))) for i, t in rows for n, lic in texts.items()}
+    want = {k: c for k, c in want.items() if c >= 0.8}
+    assert {(k, n) for k, n in enumerate(names)} | {(10, "mit-text"), (13, "apache-2.0-header")} <= set(want)
+    assert set(got) == set(want) and all(got[k, n] == 1 for k, n in enumerate(names))
+    assert all(got[k] <= want[k] + 1e-9 for k in want)  # a window may hold less than the whole text: BSD's two clauses among its three
+
+
 def test_license_bands_reach_their_probability():
     for n in range(1, 300):
         s = license_scan.shape(n)
