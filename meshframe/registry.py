@@ -698,7 +698,7 @@ def split_boundary_loops(spark, d):
 
 @query()
 def bending_energy(spark, d):
-    p = X.points(spark, d).where("vid < 200")
+    p = X.points(spark, d)
     return kernels.bending_energies(p.select(F.col("mesh_id").alias("pid"), "vid", "x", "y", "z", (F.col("x") * 2).alias("tx"), (F.col("y") + F.col("x") * F.col("x")).alias("ty"), F.col("z").alias("tz"))).select("pid", r("energy").alias("energy"))
 
 
@@ -712,7 +712,7 @@ def faces_from_edges(spark, d):
 def icp_fit(spark, d):
     m = X.grid(spark, d, winding="consistent")
     t = frames.Transform.angle_axis(0.01, (0, 0, 1), (0.05, 0.02, 0.1))
-    fit = frames.icp(t.apply(m.vertices.where("vid % 3 = 0")), m, 5)
+    fit = frames.icp(t.apply(m.vertices), m, 5)
     return spark.createDataFrame([(i, float(round(x, 4))) for i, x in enumerate(fit.entries())], "k int, value double")
 
 
@@ -818,6 +818,26 @@ def aligned_faces(spark, d):
 
 # --- whole tables: without SQL, as a cross join of all rows is too slow; checked by tests ---
 
+@query()
+def knn_vertices_all(spark, d):
+    p = X.points(spark, d)
+    return spatial.nearest(p.withColumnRenamed("vid", "qid"), p, 5).select("qid", "k", "vid", r("d2").alias("d2"))
+
+
+@query()
+def find_faces_all(spark, d):
+    m = X.grid(spark, d)
+    t = m.vertices.select("mesh_id", F.col("vid").alias("qid"), (F.col("vid") - 1001).alias("v0"), F.col("vid").alias("v1"), (F.col("vid") - 1).alias("v2"))
+    return topology.find_faces(m.faces, t).select("qid", "fid")
+
+
+@query()
+def fill_holes_all(spark, d):
+    """Closes every loop of the perforated grid but the outer one, the longest."""
+    m = X.grid(spark, d, (F.col("i") * 31 + F.col("j") * 17) % 11 != 0, "consistent")
+    return kernels.fill_holes(m, kernels.split_loops(m).where("loop > 0")).select("loop", "k", "v0", "v1", "v2")
+
+
 @query()
 def nearest_vertex_all(spark, d):
     p = X.all_probes(spark, d)

@@ -266,3 +266,45 @@ def test_aligned_face_of_every_probe(spark):
         at = 5025 if i % 2 == 0 else 3010
         score = {k: float(unit(sum(v[j] for j in t) / 3 - v[at]) @ unit(p - v[at])) for k, t in f.items() if at in t}
         assert abs(score[got[i]] - max(score.values())) < 1e-9
+
+
+def test_neighbours_and_faces_of_every_id(spark):
+    p = {r["vid"]: np.array([r["x"], r["y"], r["z"]]) for r in X.points(spark, SF).collect()}
+    got = {(r["qid"], r["k"]): r["d2"] for r in registry.queries()["knn_vertices_all"](spark, SF).collect()}
+    assert set(got) == {(i, k) for i in p for k in range(1, 6)}
+    for i, q in p.items():
+        want = sorted(float(((x - q) ** 2).sum()) for x in p.values())[:5]
+        assert np.allclose([got[i, k] for k in range(1, 6)], want, atol=2e-6)
+    _, v, f = _probed(spark)
+    at = {frozenset(map(int, t)): k for k, t in f.items()}
+    got = {r["qid"]: r["fid"] for r in registry.queries()["find_faces_all"](spark, SF).collect()}
+    assert got == {i: at.get(frozenset((i, i - 1, i - 1001)), -1) for i in v}
+
+
+def test_every_hole_of_the_perforated_grid_is_filled(spark):
+    m = X.grid(spark, SF, (F.col("i") * 31 + F.col("j") * 17) % 11 != 0, "consistent")
+    n = {r["loop"]: r["count"] for r in kernels.split_loops(m).groupBy("loop").count().collect()}
+    got = {}
+    for r in registry.queries()["fill_holes_all"](spark, SF).collect():
+        got[r["loop"]] = got.get(r["loop"], 0) + 1
+    assert len(n) > 2 and got == {k: c - 2 for k, c in n.items() if k > 0 and c > 2}
+
+
+def test_energies_take_every_point(spark):
+    p = {}
+    for r in X.points(spark, SF).collect():
+        p.setdefault(r["mesh_id"], []).append((r["vid"], r["x"], r["y"], r["z"]))
+    got = {r["pid"]: r["energy"] for r in registry.queries()["bending_energy"](spark, SF).collect()}
+    assert set(got) == set(p)
+    for k, rows in p.items():
+        a = np.array([x[1:] for x in sorted(rows)])
+        b = np.stack([a[:, 0] * 2, a[:, 1] + a[:, 0] ** 2, a[:, 2]], axis=1)
+        assert abs(got[k] - kernels.bending_energy(a, b)) < 1e-4
+
+
+def test_registration_takes_every_vertex(spark, monkeypatch):
+    seen, icp = [], frames.icp
+    monkeypatch.setattr(frames, "icp", lambda source, target, rounds: seen.append(source.count()) or icp(source, target, rounds))
+    rows = registry.queries()["icp_fit"](spark, SF).collect()
+    assert seen == [X.grid(spark, SF).vertices.count()]
+    assert len(rows) > 0 and all(math.isfinite(r["value"]) for r in rows)
