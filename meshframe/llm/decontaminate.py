@@ -76,7 +76,8 @@ def hits(documents: DataFrame, items: DataFrame, length: int = 10, shingle: int
     """documents: doc_id, text; items: item_id, text. A row per distinct (doc_id, text):
     doc_id, text_hash, n_words, spans (start and end of each occurrence, sorted) and
     items (ids as sorted strings). Null text has no words; repeated rows count once;
-    items without words have no windows; other columns are dropped."""
+    items without words have no windows; a null doc_id is an id like others; other columns
+    are dropped."""
     windows = stored(benchmark_windows(items, length, between))
     small = windows.count() <= broadcast_windows
     each = stored(_shingles(windows, shingle))
@@ -110,7 +111,8 @@ def hits(documents: DataFrame, items: DataFrame, length: int = 10, shingle: int
         start = F.col("i") - F.col("off")
         near = flat.join(prefix.join(windows.select("wid", F.size("w").alias("len")), "wid"), "h").where((start >= 0) & (start + F.col("len") <= F.col("n")))
         near = near.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct(start.alias("start"), "wid")).alias("c"))
-        back = docs.join(near, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "words", F.explode_outer("c").alias("c"))
+        same = F.col("doc_id").eqNullSafe(F.col("near_id")) & (F.col("text_hash") == F.col("near_hash"))
+        back = docs.join(near.select(F.col("doc_id").alias("near_id"), F.col("text_hash").alias("near_hash"), "c"), same).select("doc_id", "text_hash", "words", F.explode_outer("c").alias("c"))
         met = back.select("doc_id", "text_hash", "words", "c.start", "c.wid").join(windows, "wid").where(F.slice("words", F.col("start") + 1, F.size("w")) == F.col("w"))
         found = ends.unionByName(met.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), "start", (F.col("start") + F.size("w")).alias("end"), "items"))
     spans = F.collect_set(F.when(F.col("end") > F.col("start"), F.struct("start", "end")))
@@ -141,4 +143,6 @@ def contamination(documents: DataFrame, items: DataFrame, **parameters) -> DataF
 def decontaminated(documents: DataFrame, items: DataFrame, **parameters) -> DataFrame:
     """The documents without a hit, all columns kept."""
     bad = contamination(documents, items, **parameters).where("contaminated").select("doc_id", "text_hash")
-    return documents.withColumn("_h", F.xxhash64(F.col("text").cast("string"))).join(bad.select("doc_id", F.col("text_hash").alias("_h")), ["doc_id", "_h"], "left_anti").select(*documents.columns)
+    bad = bad.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_bad"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_bad"))
+    return documents.withColumn("_h", F.xxhash64(F.col("text").cast("string"))).join(bad, same, "left_anti").select(*documents.columns)

@@ -351,6 +351,17 @@ def test_decontamination(spark, docs, empty, most):
     assert not any(r["contaminated"] for r in decontaminate.contamination(docs, none, broadcast_windows=most).collect())
 
 
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_decontamination_of_null_ids(spark, most):
+    leak = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(None, "x " + leak), (None, "clean words only"), (1, leak + " y"), (2, "z")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, leak)], "item_id long, text string")
+    out = decontaminate.contamination(docs, items, broadcast_windows=most).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"]) for r in out) == [("1", 12, 11), ("2", 1, 0), ("None", 3, 0), ("None", 12, 11)]
+    kept = decontaminate.decontaminated(docs, items, broadcast_windows=most).collect()
+    assert sorted(r["text"] for r in kept) == ["clean words only", "z"]
+
+
 def test_packing(spark, docs, empty):
     out = packing.packed(docs, 256).collect()
     ids, n = encode.encode_chunk(pa.array([t for _, t in corpus()], pa.large_string()), encode.tokenizer_path())
