@@ -10,30 +10,54 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
+    """The cluster's checkpoint folder. Where none is set, a temporary one in local mode
+    (one machine); a cluster without one is an error, as its machines share no folder."""
     context = spark.sparkContext
     have = context._jsc.sc().getCheckpointDir()
-    if not have.isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-        have = context._jsc.sc().getCheckpointDir()
-    return have.get()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: later rounds neither repeat it nor need the
-    executors that made it."""
-    path = f"{shared_folder(df.sparkSession)}/rounds/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], measure: Callable[[DataFrame], tuple], rounds: int = 1000) -> DataFrame:
-    """Repeats ``step`` until ``measure`` (a few aggregates) no longer changes."""
+    if have.isDefined():
+        return have.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+    context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def stored(df: DataFrame, *partition_by: str) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back, so that later stages
+    neither repeat its work nor depend on executors that may be lost."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables once nothing will read them again."""
+    for table in tables:
+        session = table.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+class Unfinished(RuntimeError):
+    """A loop reached its bound before its end; there is no result."""
+
+
+def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], measure: Callable[[DataFrame], tuple], rounds: int | None = None) -> DataFrame:
+    """Repeats ``step`` until ``measure`` (a few aggregates) no longer changes. With
+    ``rounds`` it raises ``Unfinished`` if that takes more of them."""
     state = stored(state)
     mark = measure(state)
-    for _ in range(rounds):
-        state = stored(step(state))
+    done = 0
+    while rounds is None or done < rounds:
+        last, state = state, stored(step(state))
+        discard(last)
         was, mark = mark, measure(state)
+        done += 1
         if was == mark:
-            break
-    return state
+            return state
+    raise Unfinished(f"no end after {rounds} rounds")
