@@ -11,14 +11,18 @@ A document is the set of its distinct shingles. Two documents link when
    parts with few shingles are no keys, and there are so many more parts that an
    equal one remains. A document with too many thin parts is dealt again by another
    hash (its partners in a missed pair are, too), and at last meets on thin parts.
-3. Tiles. What meets, directly or not, is a group; groups are cut into tiles of
-   bounded size, by band and block, so that every two documents of a group that can
-   link share a tile. In a tile, parity bitmaps bound the overlap from above, and
-   pairs within the bound are counted by exact intersection of sorted arrays. Pairs
-   that are already connected are not compared again, so a group of copies of one
-   text costs its size, not its square.
-
-Exact copies of a set are one class first and never multiply keys or pairs.
+3. Signatures. What meets is compared by parity bitmaps first, which bound the overlap
+   from above; only pairs within the bound go on. Each set meets one hub, the least
+   set of the keys that it shares most of; then every key whose sets are not yet one
+   group is a tile (or, if large, tiles of two blocks), where sets of different groups
+   are compared. So copies and near copies of one text cost their number, not its
+   square, and no text or array moves for what the bitmaps refuse.
+4. Tiles. The groups that pairs within the bound connect are counted by exact
+   intersection of sorted arrays, in tiles of bounded size. A larger group is cut into
+   blocks that each hold its hub; only if that leaves it in pieces do blocks meet,
+   banded by size. Pairs that are already connected are not compared again.
+
+Exact copies of a set are one class first, and one of them stands for all.
 """
 
 from __future__ import annotations
@@ -33,12 +37,12 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .tables import stored
+from .tables import discard, stored
 
 #: Documents of a tile, at most about.
 TILE = 2048
-#: Bits of a signature.
-BITS = 1024
+#: Fewest bits of a signature.
+BITS = 64
 #: Hashes by which a document can be dealt before thin parts become keys.
 SEEDS = 4
 #: Fewest shingles of a part that is a key (in sets large enough for such parts).
@@ -145,34 +149,86 @@ def keys_of(value: np.ndarray, begin: np.ndarray, least: int) -> tuple[np.ndarra
     return np.concatenate(out_row), np.concatenate(out_key)
 
 
-def signatures(value: np.ndarray, begin: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Parity bitmaps: bit k says whether an odd number of shingles hash to k. Two sets
-    differ in at least as many shingles as their bitmaps in bits."""
-    n = len(begin) - 1
-    row = np.repeat(np.arange(n), np.diff(begin))
-    odd = np.bincount(row * bits + (value & np.uint64(bits - 1)).astype(np.int64), minlength=n * bits) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1).view(np.uint64)
+def signatures(value: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bitmaps, one after the other, and where each begins in bytes: bit k says
+    whether an odd number of shingles hash to k. Two sets differ in at least as many
+    shingles as their bitmaps in bits. A bitmap has twice as many bits as its set has
+    shingles, rounded up to a power of two, so its halves laid together are the bitmap of
+    half the size."""
+    n = np.diff(begin)
+    bits = 1 << np.ceil(np.log2(np.maximum(2 * n, BITS))).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(bits)])
+    at = np.repeat(base[:-1], n) + (value & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=base[-1]) & 1).astype(np.uint8)), base // 8
+
+
+def folded(mark: bytes, size: int) -> int:
+    """The bitmap of ``size`` bytes as a number."""
+    while len(mark) > size:
+        half = len(mark) // 2
+        mark = (int.from_bytes(mark[:half], "little") ^ int.from_bytes(mark[half:], "little")).to_bytes(half, "little")
+    return int.from_bytes(mark, "little")
+
+
+def within(n: int, a: bytes, m: int, b: bytes, least: int) -> bool:
+    """Can sets of n and m shingles with these bitmaps be linked?"""
+    size = min(len(a), len(b))
+    most = min((n + m - (folded(a, size) ^ folded(b, size)).bit_count()) // 2, n, m)
+    return 100 * most >= least * (n + m - most)
+
+
+def near(ids: list[int], group: list[int], n: list[int], marks: list[bytes], least: int) -> list[tuple[int, int]]:
+    """Pairs of one tile whose bitmaps are within the bound, as many as connect them;
+    sets of one group are connected."""
+    if len(ids) <= 16:
+        label, out = list(group), []
+        for q in range(1, len(ids)):
+            for p in range(q):
+                if label[p] != label[q] and ids[p] != ids[q] and within(n[p], marks[p], n[q], marks[q], least):
+                    old, new = label[q], label[p]
+                    label = [new if x == old else x for x in label]
+                    out.append((ids[p], ids[q]))
+        return out
+    size = min(map(len, marks))
+    rows = np.frombuffer(b"".join(folded(m, size).to_bytes(size, "little") for m in marks), dtype=np.uint64).reshape(len(marks), -1)
+    label, sizes = np.unique(np.array(group), return_inverse=True)[1], np.array(n, dtype=np.int64)
+    out, todo = [], np.ones(len(ids), dtype=bool)
+    biggest = np.bincount(label)[label]
+    for p in np.argsort(-biggest, kind="stable"):
+        todo[p] = False
+        far = np.flatnonzero(todo & (label != label[p]))
+        if not len(far):
+            continue
+        both = sizes[far] + sizes[p]
+        most = np.minimum((both - np.bitwise_count(rows[far] ^ rows[p]).sum(axis=1).astype(np.int64)) // 2, np.minimum(sizes[far], sizes[p]))
+        for q in far[100 * most >= least * (both - most)].tolist():
+            if label[q] != label[p]:
+                label[label == label[q]] = label[p]
+                if ids[p] != ids[q]:
+                    out.append((ids[p], ids[q]))
+    return out
 
 
-def links(value: np.ndarray, begin: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Linked pairs that connect the components of a tile (at most one less than sets)."""
+def links(value: np.ndarray, begin: np.ndarray, least: int, group: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Linked pairs that connect the components of a tile (at most one less than sets);
+    sets of one group are connected."""
     m = len(begin) - 1
     sizes = np.diff(begin).astype(np.int64)
-    marks = signatures(value, begin)
+    packed, base = signatures(value, begin)
+    size = int(np.diff(base).min())
+    raw = packed.tobytes()
+    marks = np.frombuffer(b"".join(folded(raw[base[k] : base[k + 1]], size).to_bytes(size, "little") for k in range(m)), dtype=np.uint64).reshape(m, -1)
     ones = np.unpackbits(marks.view(np.uint8), axis=1)
     centre = np.packbits((2 * ones.sum(axis=0) > m).astype(np.uint8)).view(np.uint64)
     order = np.argsort(np.bitwise_count(marks ^ centre).sum(axis=1), kind="stable")  # hubs of a group of copies come first
-    label, out = np.arange(m), []
-    todo = np.ones(m, dtype=bool)
-    todo[sizes == 0] = False
+    label, out = np.arange(m) if group is None else np.unique(group, return_inverse=True)[1], []
+    todo = sizes > 0
     for p in order:
         if not todo[p]:
             continue
         todo[p] = False
         far = np.flatnonzero(todo & (label != label[p]))
         if not len(far):
-            if not todo.any():
-                break
             continue
         both = sizes[far] + sizes[p]
         most = np.minimum((both - np.bitwise_count(marks[far] ^ marks[p]).sum(axis=1).astype(np.int64)) // 2, np.minimum(sizes[far], sizes[p]))
@@ -189,124 +245,214 @@ def links(value: np.ndarray, begin: np.ndarray, least: int) -> list[tuple[int, i
     return out
 
 
-def joined(documents: DataFrame, size: int = 4, least: int = 85, tile: int = TILE, lower: bool = True) -> DataFrame:
-    """documents: doc_id, text. A row per doc_id: doc_id, n_shingles, component_id (the
-    least doc_id reachable by links, itself included).
+def by_group(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """Tables of the rows of one value each; rows of a value follow one another."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        key = batch.column(column).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+        if held and held[-1].column(column)[0] != batch.column(column)[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        low = 0
+        for high in cuts.tolist():
+            yield pa.Table.from_batches([*held, batch.slice(low, high - low)])
+            held, low = [], high
+        held.append(batch.slice(low))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+_PAIR = "a long, b long"
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([q for _, q in found], pa.int64())], names=["a", "b"])
 
-    Null, empty and wordless texts are empty sets and link with nothing. Repeated rows
-    are one document; rows of one id with other texts give it the larger set and all
-    their links. Rows with a null id and all other columns are dropped."""
-    spark = documents.sparkSession
-    docs = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+def _sets(docs: DataFrame, size: int, lower: bool) -> DataFrame:
+    """doc_id, n, one, two, mark: the size of each text's set, two hashes of it, its bitmap."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, part in W.chunks(batch):
                 value, begin = shingle_sets(part, size, lower)
                 one, two = fingerprints(value, begin)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(np.diff(begin)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["doc_id", "n", "one", "two"])
+                packed, base = signatures(value, begin)
+                mark = pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(base.astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(np.diff(begin)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), mark], names=["doc_id", "n", "one", "two", "mark"])
+
+    return docs.mapInArrow(prints, "doc_id long, n long, one long, two long, mark binary")
+
 
-    sets = stored(docs.mapInArrow(prints, "doc_id long, n long, one long, two long"))
-    classes = sets.where("n > 0").groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep"))
-    members = stored(sets.join(classes, ["n", "one", "two"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
+def _met(docs: DataFrame, size: int, least: int, lower: bool) -> DataFrame:
+    """key, doc_id: the keys on which at least two documents meet."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
         for batch in batches:
             for low, high, part in W.chunks(batch):
                 value, begin = shingle_sets(part, size, lower)
                 one, two = fingerprints(value, begin)
-                # a set that this task has met already brings no keys again
-                first = np.zeros(high - low, dtype=bool)
-                for k, f in enumerate(zip(one.tolist(), two.tolist(), strict=True)):
-                    if f not in seen:
-                        first[k] = True
-                        seen.add(f)
-                if len(seen) > 2_000_000:
-                    seen.clear()
+                order = np.lexsort((two, one))  # of equal sets of a chunk one brings keys
+                first = np.ones(len(order), dtype=bool)
+                first[order[1:]] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
                 keep = np.repeat(first, np.diff(begin))
                 sizes = np.where(first, np.diff(begin), 0)
                 row, key = keys_of(value[keep], np.concatenate([[0], np.cumsum(sizes)]), least)
                 ids = batch.column(0).slice(low, high - low).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row])], names=["key", "doc_id"])
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.mapInArrow(emit, "key long, doc_id long").repartition(parts, "key").sortWithinPartitions("key", "doc_id")
-
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, last_doc = None, None
+        last = None  # the last row so far, and whether it is told
         for batch in batches:
             key, doc = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            if last_key is not None:
-                key, doc = np.append(last_key, key), np.append(last_doc, doc)
-            same = (key[1:] == key[:-1]) & (doc[1:] != doc[:-1])
-            pair = np.unique(np.stack([doc[1:][same], doc[:-1][same]]), axis=1)
-            last_key, last_doc = key[-1:], doc[-1:]
-            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
-
-    groups = stored(components(keyed.mapInArrow(meet, "a long, b long")))
-    tiles = _tiles(groups.join(sets.groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n"), F.min("n").alias("n0")), "node"), least, tile)
-    texts = docs.join(tiles.withColumnRenamed("node", "doc_id"), "doc_id").select(F.explode("g").alias("g"), "doc_id", "text")
+            told = False
+            if last is not None:
+                key, doc, told = np.append(last[0], key), np.append(last[1], doc), last[2]
+            if not len(key):
+                continue
+            fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
+            key, doc = key[fresh], doc[fresh]
+            same = key[1:] == key[:-1]
+            out = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            last = (key[-1:], doc[-1:], bool(out[-1]) or (told and len(key) == 1))
+            out[0] &= not told
+            yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(doc[out])], names=["key", "doc_id"])
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = docs.mapInArrow(emit, "key long, doc_id long").repartition(parts, "key").sortWithinPartitions("key", "doc_id")
+    return keyed.mapInArrow(meet, "key long, doc_id long")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, parts_ = None, [], []
 
-        def solve() -> pa.RecordBatch:
-            begin = np.concatenate([[0], np.cumsum([len(x) for x in parts_])]).astype(np.int64)
-            got = links(np.concatenate(parts_), begin, least) if len(ids) > 1 else []
-            pairs = [(ids[p], ids[q]) for p, q in got if ids[p] != ids[q]]
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in pairs], pa.int64()), pa.array([q for _, q in pairs], pa.int64())], names=["a", "b"])
+def _hubs(met: DataFrame, marks: DataFrame, least: int) -> DataFrame:
+    """met: key, rep. A pair (a, b) within the bound for each set a and its hub b: of the
+    least sets of its keys, the one that it meets most often. Both sides of every join
+    are stored, so a hub's rows can be split."""
+    first = stored(met.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("_top")).where("hub <> _top").select("key", "hub"))
+    often = met.join(first, "key").where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("n"))
+    best = stored(often.groupBy("rep").agg(F.max_by("hub", F.struct(F.col("n"), (-F.col("hub")).alias("h"))).alias("hub")))
 
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, part in W.chunks(batch):
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            yield _pairs([(a, b) for a, b, n, x, m, y in rows if within(n, x, m, y, least)])
+
+    both = best.join(marks, "rep").join(marks.select(F.col("rep").alias("hub"), F.col("n").alias("m"), F.col("mark").alias("other")), "hub")
+    out = stored(both.select("rep", "hub", "n", "mark", "m", "other").mapInArrow(test, _PAIR).distinct())
+    discard(first, best)
+    return out
+
+
+def _others(met: DataFrame, hubs: DataFrame, marks: DataFrame, least: int, tile: int) -> DataFrame:
+    """Further pairs within the bound, from the keys whose sets are not all of one hub."""
+    above = hubs.select(F.col("a").alias("b"), F.col("b").alias("top"))
+    group = stored(hubs.join(above, "b", "left").groupBy("a").agg(F.min(F.coalesce("top", "b")).alias("grp")).withColumnRenamed("a", "rep"))
+    rows = stored(met.join(group, "rep", "left").select("key", "rep", F.coalesce("grp", "rep").alias("grp")))
+    open_ = stored(rows.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("key", F.ceil(F.when(F.col("k") > tile, F.col("k") / (tile // 2)).otherwise(1)).cast("int").alias("blocks")))
+    i = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    at = rows.join(open_, "key").withColumn("i", i)
+    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("i", j), F.greatest("i", j))))
+    at = at.select(F.explode(tiles).alias("t"), "rep", "grp").join(marks, "rep").select("t", "rep", "grp", "n", "mark")
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for rows in by_group(batches, "t"):
+            if len(rows) > 1:
+                out += near(*(rows.column(c).to_pylist() for c in ("rep", "grp", "n", "mark")), least)
+            if len(out) > 50_000:
+                yield _pairs(out)
+                out = []
+        yield _pairs(out)
+
+    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = stored(at.repartition(parts, "t").sortWithinPartitions("t").mapInArrow(test, _PAIR).distinct())
+    discard(group, rows, open_)
+    return out
+
+
+def _compared(docs: DataFrame, tiles: DataFrame, size: int, least: int, lower: bool) -> DataFrame:
+    """tiles: g, doc_id, grp (sets of one group are connected). Linked pairs, by exact
+    intersection, as many as connect each tile; a stored table."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_group(batches, "g"):
+            ids, group, arrays = rows.column("doc_id").to_numpy(), rows.column("grp").to_numpy(), []
+            for _, _, part in W.chunks(rows.combine_chunks()):
                 value, begin = shingle_sets(part, size, lower)
-                tile_of = batch.column("g").slice(low, high - low).to_pylist()
-                own = batch.column("doc_id").slice(low, high - low).to_pylist()
-                for k in range(high - low):
-                    if tile_of[k] != now:
-                        if len(ids) > 1:
-                            yield solve()
-                        now, ids, parts_ = tile_of[k], [], []
-                    ids.append(own[k])
-                    parts_.append(value[begin[k] : begin[k + 1]])
-        if len(ids) > 1:
-            yield solve()
-
-    found = stored(texts.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(compare, "a long, b long"))
-    # links between classes, then every document by its class
-    rep = members.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.collect_set("rep").alias("reps"), F.max("n").alias("n"))
-    rep = stored(rep.select("doc_id", "rep", "n", F.when(F.size("reps") > 1, F.col("reps")).alias("reps")))
-    to = rep.select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))
-    edges = found.join(to.withColumnRenamed("x", "a").withColumnRenamed("y", "ra"), "a").join(to.withColumnRenamed("x", "b").withColumnRenamed("y", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    split = rep.where("reps is not null").select(F.col("rep").alias("a"), F.explode("reps").alias("b"))
-    roots = components(edges.unionByName(split))
-    out = rep.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.least("doc_id", F.coalesce("root", "rep")).alias("component_id"))
+                arrays += np.split(value, begin[1:-1])
+            if len(ids) > 1:
+                begin = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int64)
+                yield _pairs([(int(ids[p]), int(ids[q])) for p, q in links(np.concatenate(arrays), begin, least, group) if ids[p] != ids[q]])
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.join(tiles, "doc_id").select("g", "doc_id", "grp", "text")
+    return stored(texts.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(compare, _PAIR))
 
 
-def _tiles(groups: DataFrame, least: int, tile: int) -> DataFrame:
-    """groups: node, root, n. Adds g, the tiles of each node. A group of at most ``tile``
-    nodes is one tile; else nodes fall into blocks by size band and hash, and a tile is
-    a pair of blocks of one band or of neighbouring ones."""
-    edges = bands(least, 1 << 40)
+def _banded(rows: DataFrame, least: int, tile: int) -> DataFrame:
+    """rows: node, root, n, grp. Tiles of groups that are too large for one: nodes fall
+    into blocks by size band and hash, and a tile is a pair of blocks of one band or of
+    neighbouring ones. Returns g, doc_id, grp."""
     band = F.lit(0)
-    for first in edges[1:]:
+    for first in bands(least, 1 << 40)[1:]:
         band = band + (F.col("n") >= F.lit(first)).cast("int")
-    rows = groups.withColumn("band", band)
-    whole = rows.groupBy("root").agg(F.count("*").alias("total"))
-    held = rows.join(whole.where(F.col("total") > tile), "root").groupBy("root", "band").agg(F.ceil(F.count("*") / (tile // 2)).cast("int").alias("blocks"))
-    blocks = held.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks"))
-    rows = rows.join(blocks, "root", "left")
+    rows = stored(rows.withColumn("band", band))
+    held = rows.groupBy("root", "band").agg(F.ceil(F.count("*") / max(1, tile // 2)).cast("int").alias("blocks"))
+    blocks = stored(held.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks")))  # a few hundred bands
     nb = lambda b: F.coalesce(F.try_element_at("blocks", b), F.lit(0))
-    mine = F.pmod(F.xxhash64("node"), nb(F.col("band"))).cast("int")
     upto = lambda b: F.when(nb(b) > 0, F.sequence(F.lit(0), nb(b) - 1)).otherwise(F.array().cast("array<int>"))
     b = F.col("band")
-    rows = rows.withColumn("i", F.when(F.col("blocks").isNotNull(), mine))
+    rows = rows.join(blocks, "root").withColumn("i", F.pmod(F.xxhash64("node"), nb(b)).cast("int"))
     inside = F.transform(upto(b), lambda j: F.xxhash64("root", b, b, F.least("i", j), F.greatest("i", j)))
     ahead = F.transform(upto(b + 1), lambda j: F.xxhash64("root", b, b + 1, F.col("i"), j))
     behind = F.transform(upto(b - 1), lambda j: F.xxhash64("root", b - 1, b, j, F.col("i")))
-    g = F.when(F.col("blocks").isNull(), F.array(F.xxhash64("root"))).otherwise(F.array_distinct(F.concat(inside, ahead, behind)))
-    return rows.select("node", g.alias("g"))
+    return rows.select(F.explode(F.array_distinct(F.concat(inside, ahead, behind))).alias("g"), F.col("node").alias("doc_id"), "grp")
+
+
+def joined(documents: DataFrame, size: int = 4, least: int = 85, tile: int = TILE, lower: bool = True) -> DataFrame:
+    """documents: doc_id, text. A row per doc_id: doc_id, n_shingles, component_id (the
+    least doc_id reachable by links, itself included).
+
+    Null, empty and wordless texts are empty sets and link with nothing. Repeated rows
+    are one document; rows of one id with other texts give it the larger set and all
+    their links. Rows with a null id and all other columns are dropped."""
+    docs = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sets = stored(_sets(docs, size, lower))
+    classes = stored(sets.where("n > 0").groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep")))
+    members = stored(sets.join(classes, ["n", "one", "two"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.col("rep") == F.col("doc_id"), F.col("mark")).alias("mark")))
+    marks = stored(members.where("mark is not null").groupBy("rep", "n", "mark").agg(F.lit(1).alias("_")).drop("_"))
+    own = stored(members.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("top"), F.max("n").alias("n")))
+
+    keys = stored(_met(docs, size, least, lower))
+    met = stored(keys.join(members.where("n > 0").select("doc_id", "rep").distinct(), "doc_id").select("key", "rep").distinct())
+    hubs = _hubs(met, marks, least)
+    more = _others(met, hubs, marks, least, tile)
+    groups = stored(components(hubs.unionByName(more)))
+    discard(sets, classes, keys, met)
+
+    total = groups.groupBy("root").agg(F.count("*").alias("total")).where(F.col("total") > tile)
+    total = stored(total.select("root", F.ceil(F.col("total") / tile).cast("int").alias("blocks")))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    tiles = groups.join(total, "root", "left").select(F.when(F.col("blocks").isNull(), F.xxhash64("root")).otherwise(F.xxhash64("root", block)).alias("g"), F.col("node").alias("doc_id"))
+    # the hub that most sets of a large group have stands in all its blocks
+    degree = hubs.groupBy("b").agg(F.count("*").alias("n")).join(groups.withColumnRenamed("node", "b"), "b").groupBy("root").agg(F.max_by("b", F.struct("n", "b")).alias("hub"))
+    spread = degree.join(total, "root").select(F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("root", j))).alias("g"), F.col("hub").alias("doc_id"))
+    tiles = tiles.unionByName(spread).distinct().withColumn("grp", F.col("doc_id"))
+    found = _compared(docs, tiles, size, least, lower)
+    split = members.join(own.where("rep <> top").select("doc_id", F.col("rep").alias("lo")), "doc_id").select(F.col("lo").alias("a"), F.col("rep").alias("b"))
+    edges = stored(found.unionByName(split))
+    roots = stored(components(edges))
+    if not total.isEmpty():  # large groups that their hub left in pieces
+        large = groups.join(total, "root").join(roots.withColumnRenamed("root", "grp"), "node", "left").select("node", "root", F.coalesce("grp", "node").alias("grp"))
+        large = stored(large)
+        pieces = stored(large.groupBy("root").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("root"))
+        rest = large.join(pieces, "root").join(marks.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n")), "node")
+        more_found = _compared(docs, _banded(rest, least, tile), size, least, lower)
+        roots = stored(components(edges.unionByName(more_found)))
+    out = own.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.least("doc_id", F.coalesce("root", "rep")).alias("component_id"))
 
 
 def one_of_each(documents: DataFrame, **parameters) -> DataFrame:

@@ -2,38 +2,11 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.iterate import discard, shared_folder, stored
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
-    context = spark.sparkContext
-    have = context._jsc.sc().getCheckpointDir()
-    if have.isDefined():
-        return have.get()
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def stored(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back, so that later
-    stages neither repeat its work nor depend on executors that may be lost."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(schema).parquet(path).select(*schema.names)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that are done: they go when the driver
-    collects its garbage, which else may be late."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+__all__ = ["discard", "documents", "shared_folder", "stored"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
