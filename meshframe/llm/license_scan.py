@@ -13,7 +13,8 @@ it (four shingles or fewer), windows are as long as the template and stand at ev
 word, and one band finds every match for certain.
 
 A text without any of a template's first shingles, of which ``least`` can miss all but
-one, cannot match it; bands are made for the templates that a text may match only.
+one, cannot match it. So a text goes on only if it holds one of a few telling words, one
+of each such shingle at least, and bands are made for the templates that it may match.
 
 DataFrame functions only. The templates are literals of the plan's small side.
 """
@@ -137,20 +138,47 @@ def _grams(words: Column, k: int) -> Column:
     return F.slice(all_, 1, F.greatest(F.size(words) - (k - 1), F.lit(0)))
 
 
+def telling_words(few: list[tuple[str, ...]]) -> list[str]:
+    """Words, as few and as long as may be, of which each of these shingles holds one."""
+    out, left = [], set(few)
+    while left:
+        count: dict[str, int] = {}
+        for gram in left:
+            for w in set(gram):
+                count[w] = count.get(w, 0) + 1
+        best = max(count, key=lambda w: (count[w] * max(len(w) - 4, 0.01), w))
+        out.append(best)
+        left = {gram for gram in left if best not in gram}
+    return out
+
+
 def matches(documents: DataFrame, templates=TEMPLATES, least: float = LEAST, shingle: int = SHINGLE) -> DataFrame:
-    """documents: doc_id, text. A row per distinct document and template that one of its
+    """documents: doc_id, text. A row per distinct (doc_id, text) and template that one of its
     windows holds ``least`` of: doc_id, license_id, containment (the most of any window),
-    start (first word of the first such window) and n_windows. Null and empty texts match
-    nothing, templates without words are left out, and repeated rows count once."""
+    start (first word of the first such window), n_windows and text_hash. Null and empty
+    texts match nothing, templates without words are left out, repeated rows count once, a
+    null doc_id is an id like others, and other columns are dropped."""
     spark = documents.sparkSession
     rows = spark.createDataFrame(list(templates), "license_id string, text string").dropDuplicates()
     table = [(r["license_id"], r["w"]) for r in rows.select("license_id", words_of(F.col("text"), BETWEEN).alias("w")).collect() if r["w"]]
     shapes = sorted({shape(len(w), least, shingle) for _, w in table}, key=lambda s: (s.k, s.m))
     ks = sorted({s.k for s in shapes})
-    docs = documents.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("_h"), words_of(F.col("text").cast("string"), BETWEEN).alias("_w"))
     if not shapes:
         none = F.lit(None)
-        return docs.limit(0).select("doc_id", none.cast("string").alias("license_id"), none.cast("double").alias("containment"), none.cast("int").alias("start"), none.cast("long").alias("n_windows"))
+        return documents.limit(0).select("doc_id", none.cast("string").alias("license_id"), none.cast("double").alias("containment"), none.cast("int").alias("start"), none.cast("long").alias("n_windows"), none.cast("long").alias("text_hash"))
+    first: list[tuple[str, ...]] = []
+    for _, w in table:
+        s = shape(len(w), least, shingle)
+        grams = list(dict.fromkeys(zip(*(w[i:] for i in range(s.k)), strict=False)))
+        first += grams[: len(grams) - max(1, math.ceil(least * len(grams) - 1e-9)) + 1]
+    # lower() changes more letters than A-Z, so it keeps whatever could match; the row of a
+    # generator holds it, else it would move into each condition
+    text = documents.select("doc_id", F.col("text").cast("string").alias("_t")).where(F.col("_t").isNotNull())
+    text = text.select("doc_id", F.inline(F.array(F.struct("_t", F.lower("_t").alias("_low")))))
+    told = F.lit(False)
+    for w in telling_words(first):
+        told = told | F.contains("_low", F.lit(w))
+    docs = text.where(told).select("doc_id", F.xxhash64("_t").alias("_h"), words_of(F.col("_t"), BETWEEN).alias("_w"))
     perms = {k: max(-(-s.bands // 2) for s in shapes if s.k == k) if any(s.bands > 1 for s in shapes if s.k == k) else 0 for k in ks}
 
     def hashed(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -208,7 +236,7 @@ def matches(documents: DataFrame, templates=TEMPLATES, least: float = LEAST, shi
 
     near = near.withColumn("a", shingles(F.col("t"))).withColumn("b", shingles(F.col("window")))
     share = F.size(F.array_intersect("a", "b")) / F.size("a")
-    good = near.select("doc_id", "license_id", "at", share.alias("share")).where(F.col("share") >= least)
+    good = near.select("doc_id", "_h", "license_id", "at", share.alias("share")).where(F.col("share") >= least)
     best = F.max(F.struct(F.col("share"), (-F.col("at")).alias("back")))
-    out = good.groupBy("doc_id", "license_id").agg(best.alias("best"), F.countDistinct("at").alias("n_windows"))
-    return out.select("doc_id", "license_id", F.col("best.share").alias("containment"), (-F.col("best.back") - 1).cast("int").alias("start"), "n_windows")
+    out = good.groupBy("doc_id", "_h", "license_id").agg(best.alias("best"), F.countDistinct("at").alias("n_windows"))
+    return out.select("doc_id", "license_id", F.col("best.share").alias("containment"), (-F.col("best.back") - 1).cast("int").alias("start"), "n_windows", F.col("_h").alias("text_hash"))
