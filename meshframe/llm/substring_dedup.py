@@ -5,18 +5,20 @@ holds an anchor, the ``PREFIX`` words in it with the least hash, and equal runs
 the same anchor. So suffixes need to meet only on anchors that stand in two
 documents:
 
-1. Anchors are counted by hash over all documents. Those of one document alone are
-   dropped by a bitmap of fixed size, which may let some through but loses none.
-2. Suffixes are dealt to groups by prefix: the words of their anchor, or, where
-   that group would be large, the whole run (the longest prefix). Before they are
+1. Anchors are counted by hash over all documents, with the suffixes that they lead.
+   Those of one document alone are dropped by a bitmap of bounded size, which may let
+   some through but loses none.
+2. Suffixes are dealt to groups by prefix: the words of their anchor, or, where that
+   group has too many suffixes, the whole run (the longest prefix). Before they are
    sent, each chunk settles what repeats within it and keeps one document of each
    run, so a passage of a third of all documents is one suffix a chunk.
-3. Each group becomes a suffix tree (its suffixes in order, with the lengths of the
-   prefixes that neighbours share). The nodes at least ``length`` words deep are the
-   repeats; all documents below a node but the least give up these words.
+3. Each group becomes a suffix tree, cut off at ``length`` words: its suffixes in order,
+   with the number of words that neighbours share. Its nodes of that depth are the
+   repeats; all documents below a node but the least give up these words. Deeper nodes
+   would change nothing, as overlapping runs of a longer repeat are found one by one.
 
-A word is a 32-bit id of its hash; a repeat is ``length`` equal ids in a row and one
-equal 64-bit hash of the prefix.
+Words are compared by 64-bit hashes within a chunk and by 32 bits of these between
+chunks, where the 64-bit hash of the prefix must be equal, too.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from .tables import stored
 PREFIX = 4
 #: log2 of the bits of the bitmap of repeated anchors (16 MB).
 FILTER_BITS = 27
-#: An anchor with more suffixes than this, or a hundred-thousandth of all, gets the longest prefix.
+#: Anchors with more suffixes than this, or a hundred-thousandth of all, give way to the longest prefix.
 HEAVY = 20_000
 #: Suffix records that a reducer holds at once, about.
 HELD = 400_000
@@ -65,20 +67,22 @@ def first_least(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def deep_nodes(ids: np.ndarray, start: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix trees of all groups at once. ids: words; start: where each suffix begins;
-    group: its tree. Returns the suffixes in tree order and, for each, the number of its
-    node at ``depth`` words (suffixes below one node share so many words)."""
-    columns = [ids[start + k].astype(np.uint64) for k in range(depth)]
-    keys = [(columns[k] << np.uint64(32)) | (columns[k + 1] if k + 1 < depth else np.uint64(0)) for k in range(0, depth, 2)]
+def suffix_trees(ids: np.ndarray, start: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix trees of all groups at once, down to ``depth`` words. ids: words; start: where
+    each suffix begins; group: its tree. Returns the suffixes in tree order and, for each,
+    how many words it shares with the one before it (-1: another tree). Suffixes between
+    which no number is below d hang below one node of d words."""
+    columns = [ids[start + k] for k in range(depth)]
+    keys = [(columns[k].astype(np.uint64) << np.uint64(32)) | (columns[k + 1] if k + 1 < depth else np.uint64(0)) for k in range(0, depth, 2)]
     order = np.lexsort((*keys[::-1], group))
-    shared = np.ones(max(len(order) - 1, 0), dtype=bool)  # neighbours that share ``depth`` words
-    for k in (group, *keys):
-        v = k[order]
-        shared &= v[1:] == v[:-1]
-    node = np.zeros(len(order), dtype=np.int64)
-    node[1:] = np.cumsum(~shared)
-    return order, node
+    shared = np.full(len(order), -1, dtype=np.int64)
+    same = group[order][1:] == group[order][:-1]
+    shared[1:][same] = 0
+    for c in columns:
+        c = c[order]
+        same &= c[1:] == c[:-1]
+        shared[1:] += same
+    return order, shared
 
 
 def _runs(flag_doc: np.ndarray, at: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,10 +99,22 @@ def _runs(flag_doc: np.ndarray, at: np.ndarray, *same: np.ndarray) -> tuple[np.n
 
 def _texts(documents: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    return documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("th"), text.alias("text"))
+    return documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-_RECORD = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
+def _summed(key: np.ndarray, doc: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+    """Rows of equal neighbouring keys as one: the least document, and the sum of all |n|,
+    below zero if one of them was or documents differ."""
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    if not len(first):
+        return [pa.array(key), pa.array(doc), pa.array(n)]
+    low, high = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
+    many = (low < high) | (np.minimum.reduceat(n, first) < 0)
+    total = np.add.reduceat(np.abs(n), first)
+    return [pa.array(key[first]), pa.array(low), pa.array(np.where(many, -total, total))]
+
+
+_RECORD = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
 
 
 def spans(documents: DataFrame, length: int = 13, filter_bits: int = FILTER_BITS, heavy: int = HEAVY) -> DataFrame:
@@ -109,39 +125,36 @@ def spans(documents: DataFrame, length: int = 13, filter_bits: int = FILTER_BITS
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per anchor of a chunk: its least document and the number of its suffixes,
+        below zero if they are of more documents than one."""
         for batch in batches:
             for low, high, part in W.chunks(batch):
                 chunk = W.Chunk(part)
                 _, row, anchor, grams = anchors(chunk, chunk.hashes(), length)
-                new = np.ones(len(anchor), dtype=bool)
-                new[1:] = anchor[1:] != anchor[:-1]
+                new = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, np.int64)
+                n = np.diff(np.append(new, len(anchor)))
                 key, doc = grams[anchor[new]], batch.column(0).slice(low, high - low).to_numpy(zero_copy_only=False)[row[new]]
-                order = np.lexsort((doc, key))
-                key, doc = key[order], doc[order]
-                edge = np.ones(len(key), dtype=bool)  # the least and the greatest document of a key
-                edge[1:-1] = (key[1:-1] != key[:-2]) | (key[1:-1] != key[2:])
-                yield pa.RecordBatch.from_arrays([pa.array(key[edge].view(np.int64)), pa.array(doc[edge])], names=["key", "doc_id"])
+                order = np.argsort(key, kind="stable")
+                key, doc, n = key[order], doc[order], n[order]
+                yield pa.RecordBatch.from_arrays(_summed(key.view(np.int64), doc, n), names=["key", "doc_id", "n"])
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # of the key that may go on: key, least, greatest, rows
+        held = None  # of the key that may go on
         for batch in batches:
-            key, doc = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            key, doc, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if held is not None:
+                key, doc, n = (np.concatenate(x) for x in zip(held, (key, doc, n), strict=True))
             if not len(key):
                 continue
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            k, lo, hi, n = key[first], np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first), np.diff(np.append(first, len(key)))
-            if held is not None:
-                if held[0] == k[0]:
-                    lo[0], hi[0], n[0] = min(lo[0], held[1]), max(hi[0], held[2]), n[0] + held[3]
-                elif held[1] < held[2]:
-                    yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[3]], pa.int64())], names=["key", "n"])
-            held = (k[-1], lo[-1], hi[-1], n[-1])
-            more = lo[:-1] < hi[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(k[:-1][more]), pa.array(n[:-1][more].astype(np.int64))], names=["key", "n"])
-        if held is not None and held[1] < held[2]:
-            yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[3]], pa.int64())], names=["key", "n"])
-
-    counted = docs.select("doc_id", "text").mapInArrow(count, "key long, doc_id long").repartition(parts, "key").sortWithinPartitions("key")
+            key, doc, n = (c.to_numpy() for c in _summed(key, doc, n))
+            held = key[-1:], doc[-1:], n[-1:]
+            more = n[:-1] < 0
+            yield pa.RecordBatch.from_arrays([pa.array(key[:-1][more]), pa.array(-n[:-1][more])], names=["key", "n"])
+        if held is not None:
+            more = held[2] < 0
+            yield pa.RecordBatch.from_arrays([pa.array(held[0][more]), pa.array(-held[2][more])], names=["key", "n"])
+
+    counted = docs.select("doc_id", "text").mapInArrow(count, "key long, doc_id long, n long").repartition(parts, "key").sortWithinPartitions("key")
     table = stored(counted.mapInArrow(repeated, "key long, n long"))
     total = table.agg(F.sum("n")).first()[0] or 0
     large = table.where(F.col("n") > max(heavy, total // 100_000)).select("key").toArrow()["key"].to_numpy()  # 100,000 keys at most
@@ -170,7 +183,11 @@ def spans(documents: DataFrame, length: int = 13, filter_bits: int = FILTER_BITS
                 whole = grams[start]
                 for k in [*range(PREFIX, length - PREFIX, PREFIX), length - PREFIX]:
                     whole = W.combine(whole, grams[start + k])
-                _, inverse = np.unique(whole, return_inverse=True)
+                _, one, inverse = np.unique(whole, return_index=True, return_inverse=True)
+                for k in range(length):  # equal hashes of other words settle nothing
+                    inverse = np.where((inverse >= 0) & (h[start + k] == h[start[one][inverse] + k]), inverse, -1)
+                odd = np.flatnonzero(inverse < 0)
+                inverse[odd] = len(one) + np.arange(len(odd))
                 least = np.full(int(inverse.max(initial=-1)) + 1, np.iinfo(np.int64).max)
                 np.minimum.at(least, inverse, doc[row])
                 gone = doc[row] > least[inverse]
@@ -205,9 +222,10 @@ def spans(documents: DataFrame, length: int = 13, filter_bits: int = FILTER_BITS
             ids = np.frombuffer(blob.buffers()[2], dtype="<u4") if blob.buffers()[2] is not None else np.zeros(0, "<u4")
             record = np.repeat(np.arange(len(key)), n)
             begin = W.ranges(offsets[:-1].astype(np.int64) // 4, n.astype(np.int64))
-            order, node = deep_nodes(ids, begin, key[record], length)
+            order, shared = suffix_trees(ids, begin, key[record], length)
             d = doc[record]
-            first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
+            first = np.flatnonzero(shared < length)
+            node = np.cumsum(shared < length) - 1
             least = np.minimum.reduceat(d[order], first)[node] if len(node) else d
             gone = np.zeros(len(record), dtype=bool)
             gone[order] = d[order] > least
@@ -247,15 +265,15 @@ def spans(documents: DataFrame, length: int = 13, filter_bits: int = FILTER_BITS
         if held:
             yield solve(pa.concat_tables(held).combine_chunks())[0]
 
-    sent = docs.mapInArrow(suffixes, "key long, doc_id long, th int, start int, n int, words binary")
-    out = sent.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(trees, "doc_id long, th int, low long, high long")
+    sent = docs.mapInArrow(suffixes, "key long, doc_id long, th long, start int, n int, words binary")
+    out = sent.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(trees, "doc_id long, th long, low long, high long")
     return stored(out)
 
 
 def _with_spans(documents: DataFrame, **parameters) -> DataFrame:
     """Documents (as a struct) with their spans as a sorted array, null where there are none."""
     cut = spans(documents, **parameters).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("cuts"))
-    keyed = documents.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_th", F.hash(F.col("text").cast("string")))
+    keyed = documents.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_th", F.xxhash64(F.col("text").cast("string")))
     return keyed.join(cut.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "cuts"), ["_id", "_th"], "left")
 
 
