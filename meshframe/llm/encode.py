@@ -18,7 +18,9 @@ import pyarrow as pa
 
 from . import words as W
 
-_WIDE_SPACE = re.compile("[\x85\xa0  -     　]")
+_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Bytes of text that are encoded at once (a longer text alone).
+CHUNK_BYTES = 2 << 20
 #: Id that ends every document.
 END_ID = 0
 
@@ -57,7 +59,7 @@ def _encoder(path: str):
 class _Known:
     """Ids of the units that this worker has met, by hash; bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         self.most = most
         self.clear()
 
@@ -182,5 +184,5 @@ def encode_chunk(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """For each chunk of (doc_id, text) batches: its rows, all ids, ids per row."""
     for batch in batches:
-        for low, high, texts in W.chunks(batch):
+        for low, high, texts in W.chunks(batch, limit=CHUNK_BYTES):
             yield batch.slice(low, high - low), *encode_chunk(texts, path)

@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from .encode import END_ID, encoded, tokenizer_path
 from .tables import stored
 
-#: Rounds of multiplicative weights.
-ROUNDS = 100
+#: Rounds of multiplicative weights end when the solution is within this share of its
+#: lower bound, and at the latest after so many.
+GAP, ROUNDS = 0.001, 256
 #: How strongly a round lowers prices.
-RATE = 0.15
+RATE = 0.03
 #: Pieces that one task ranks at most, about.
 PER_SALT = 1_000_000
 
@@ -34,8 +35,9 @@ PER_SALT = 1_000_000
 def pieces(documents: DataFrame, capacity: int = 2048, path: str | None = None) -> DataFrame:
     """documents: doc_id, text (null: empty). A document is the ids of its whole text
     and one end id. Only longer ones than ``capacity`` are cut; the first piece may
-    be shorter. A row per piece: doc_id, copy (its row's hash among repeated rows),
-    piece, start, length, ids_crc32 of its ids as little-endian unsigned 32 bits."""
+    be shorter. A row per piece: doc_id, piece, start, length, ids_crc32 of its ids as
+    little-endian unsigned 32 bits. Repeated rows and null ids give pieces each; other
+    columns are dropped."""
     path = path or tokenizer_path()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,31 +59,43 @@ def pieces(documents: DataFrame, capacity: int = 2048, path: str | None = None)
     return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(kernel, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def dearest(prices: np.ndarray, limits: np.ndarray, capacity: int) -> np.ndarray:
-    """The configuration of the highest price: a knapsack with repetition over the
-    lengths with a price. Returns how often it has each length, within limits."""
+def knapsack(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The highest price that fits each room, lengths repeated at will, and the largest room
+    up to it that its best filling fills, with the length laid there last: (room, length)."""
     lengths = np.flatnonzero(prices > 0)
     lengths = lengths[lengths > 0]
-    value = np.zeros(capacity + 1)
-    took = np.zeros(capacity + 1, dtype=np.int64)
     own = prices[lengths]
-    for room in range(1, capacity + 1):
-        fit = np.searchsorted(lengths, room, side="right")
-        if not fit:
-            continue
-        with_one = value[room - lengths[:fit]] + own[:fit]
-        best = int(np.argmax(with_one))
+    value, took = np.zeros(capacity + 1), np.zeros((capacity + 1, 2), dtype=np.int64)
+    if not len(lengths):
+        return value, took
+    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    for room in range(int(lengths[0]), capacity + 1):
+        n = fits[room]
+        with_one = value[room - lengths[:n]] + own[:n]
+        best = int(with_one.argmax())
         if with_one[best] > value[room - 1]:
-            value[room], took[room] = with_one[best], lengths[best]
-        else:
-            value[room] = value[room - 1]
-    out, room = np.zeros(capacity + 1, dtype=np.int64), capacity
-    while room > 0:
-        if not took[room]:
-            room -= 1
+            value[room], took[room] = with_one[best], (room, lengths[best])
         else:
-            out[took[room]] += 1
-            room -= took[room]
+            value[room], took[room] = value[room - 1], took[room - 1]
+    return value, took
+
+
+def filling(took: np.ndarray, room: int) -> dict[int, int]:
+    """How often the best filling of a room has each length."""
+    out: dict[int, int] = {}
+    while True:
+        full, n = took[room]
+        if not n:
+            return out
+        out[n] = out.get(n, 0) + 1
+        room = full - n
+
+
+def dearest(prices: np.ndarray, limits: np.ndarray, capacity: int) -> np.ndarray:
+    """The configuration of the highest price: how often it has each length, within limits."""
+    out = np.zeros(capacity + 1, dtype=np.int64)
+    for n, k in filling(knapsack(prices, capacity)[1].tolist(), capacity).items():
+        out[n] = k
     return np.minimum(out, limits)
 
 
@@ -105,52 +119,117 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     return out
 
 
-def configurations(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = RATE) -> list[tuple[np.ndarray, int]]:
-    """Configurations (count per length) and how often each is used, that together
-    hold exactly ``counts`` pieces of each length (counts[0] must be 0)."""
-    done = []
-    full = np.zeros(capacity + 1, dtype=np.int64)
-    full[capacity] = 1
-    left = counts.copy()
-    if left[capacity]:
-        done.append((full, int(left[capacity])))
-        left[capacity] = 0
-    if not left.any():
-        return done
-    demand = left.astype(float)
+def fractional(demand: np.ndarray, capacity: int, rounds: int, rate: float) -> Iterator[tuple[dict[tuple, float], float]]:
+    """The covering program by multiplicative weights: after 4, 8, 16, ... rounds, how often
+    each configuration (pairs of length and count) is used, as a fraction, covering no
+    length more than once over, and a lower bound of the number of sequences.
+
+    A round prices lengths, finds by dynamic programming the dearest filling of a sequence
+    around each length, uses those within ``rate`` of the dearest of all while they are
+    needed, and lowers the prices of what they cover. Prices over the dearest filling's are
+    a feasible dual solution, so each round gives a bound."""
+    lengths = np.flatnonzero(demand)
     sizes = np.arange(capacity + 1)
-    prices = np.where(left > 0, sizes / capacity, 0.0)
-    found: dict[bytes, list] = {}
+    bound = float((demand * sizes).sum()) / capacity
+    prices = np.where(demand > 0, sizes / capacity, 0.0)
+    used: dict[tuple, float] = {}
     covered = np.zeros(capacity + 1)
-    for _ in range(rounds):
-        use = dearest(prices, left, capacity)
-        if not use.any():
-            break
-        has = use > 0
-        amount = float((demand[has] / use[has]).min())
-        entry = found.setdefault(use.tobytes(), [use, 0.0])
-        entry[1] += amount
-        covered[has] += amount * use[has]
-        prices[has] *= np.exp(-rate * amount * use[has] / demand[has])
-        prices = np.where(left > 0, np.maximum(prices, 1e-12), 0.0)
-    # scaled so that no length is covered more than once over, then rounded down;
-    # configurations with more waste than the rest packs with are left to the rest
-    scale = 1.0 / max(1.0, float((covered[left > 0] / demand[left > 0]).max()))
+    for done in range(1, rounds + 1):
+        value, took = knapsack(prices, capacity)
+        took = took.tolist()
+        most = value[capacity]
+        bound = max(bound, float((demand * prices).sum()) / most)
+        around = value[capacity - lengths] + prices[lengths]
+        left = demand.astype(float)
+        for k in np.argsort(-around, kind="stable").tolist():
+            n = int(lengths[k])
+            if around[k] < (1 - rate) * most:
+                break
+            if left[n] <= 0:
+                continue
+            use = filling(took, capacity - n)
+            use[n] = use.get(n, 0) + 1
+            amount = min(left[m] / c for m, c in use.items())
+            if amount > 0:
+                for m, c in use.items():
+                    left[m] -= amount * c
+                key = tuple(sorted(use.items()))
+                used[key] = used.get(key, 0.0) + amount
+        share = np.where(demand > 0, 1 - left / np.maximum(demand, 1), 0.0)
+        covered += share
+        prices = np.where(demand > 0, prices * np.exp(-rate * (share - share[lengths].mean())), 0.0) / most
+        if done == rounds or (done >= 4 and not done & (done - 1)):
+            scale = 1 / max(covered[lengths].max(), 1e-12)
+            yield {k: x * scale for k, x in used.items()}, bound
+
+
+def rounded(left: np.ndarray, used: dict[tuple, float], capacity: int) -> list[tuple[np.ndarray, int]]:
+    """The fractions rounded down, then whole configurations while pieces for them are
+    left, those with the least waste first, then best-fit; of several limits of that waste
+    the one that gives the fewest sequences."""
+
+    def take(rest: np.ndarray, key: tuple, times: int) -> int:
+        for n, k in key:
+            times = min(times, int(rest[n]) // k)
+        for n, k in key:
+            rest[n] -= k * times
+        return times
+
+    def row(key: tuple) -> np.ndarray:
+        out = np.zeros(capacity + 1, dtype=np.int64)
+        for n, k in key:
+            out[n] = k
+        return out
+
+    left, done = left.copy(), []
+    for key, x in sorted(used.items(), key=lambda e: -e[1]):
+        if x >= 1 and (times := take(left, key, int(x + 1e-9))):
+            done.append((row(key), times))
+    waste = {key: capacity - sum(n * k for n, k in key) for key in used}
+    order = sorted(used, key=lambda k: (waste[k], -used[k]))
     options = []
-    for waste in (-1, 0, 1, 2, 4, 8, capacity):
-        rest, some = left.copy(), []
-        for whole in (False, True):  # the rounded fractions, then whole numbers of what they left
-            for use, x in sorted(found.values(), key=lambda e: -e[1]):
-                has = use > 0
-                if capacity - int((use * sizes).sum()) <= waste:
-                    times = int((rest[has] // use[has]).min())
-                    times = times if whole else min(int(x * scale), times)
-                    if times:
-                        rest -= use * times
-                        some.append((use, times))
-        some += best_fit(rest, capacity)
-        options.append(some)
-    return done + min(reversed(options), key=lambda o: sum(t for _, t in o))
+    for most in (-1, 0, 2, 8, capacity):
+        rest = left.copy()
+        some = [(row(key), t) for key in order if waste[key] <= most and (t := take(rest, key, 1 << 62))]
+        options.append(some + best_fit(rest, capacity))
+    return done + min(options, key=lambda o: sum(t for _, t in o))
+
+
+def packing_plan(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = RATE, gap: float = GAP) -> tuple[list[tuple[np.ndarray, int]], int]:
+    """Configurations (count per length) and how often each is used, that together hold
+    exactly ``counts`` pieces of each length (counts[0] must be 0), and a lower bound of
+    their number. Rounds double until the plan is within ``gap`` of the bound; if none is,
+    what the fractions leave when rounded down is a smaller program, solved alike."""
+    full = np.zeros(capacity + 1, dtype=np.int64)
+    full[capacity] = 1
+    whole = [(full, int(counts[capacity]))] if counts[capacity] else []
+    left = counts.copy()
+    left[capacity] = 0
+    best, bound = None, 0
+    if left.any():
+        for used, low in fractional(left, capacity, rounds, rate):
+            plan = rounded(left, used, capacity)
+            if best is None or sum(t for _, t in plan) < sum(t for _, t in best):
+                best = plan
+            bound = int(np.ceil(low - 1e-6))
+            if sum(t for _, t in best) <= max(bound + 1, (1 + gap) * bound):
+                break
+        else:
+            rest, some = left.copy(), []
+            for key, x in sorted(used.items(), key=lambda e: -e[1]):
+                use = np.zeros(capacity + 1, dtype=np.int64)
+                use[[n for n, _ in key]] = [k for _, k in key]
+                if (times := min(int(x + 1e-9), int((rest[use > 0] // use[use > 0]).min()))):
+                    rest -= use * times
+                    some.append((use, times))
+            if some and rounds >= 64:
+                some += packing_plan(rest, capacity, rounds // 2, rate, gap)[0]
+                best = min(best, some, key=lambda o: sum(t for _, t in o))
+    return whole + (best or []), bound + int(counts[capacity])
+
+
+def configurations(counts: np.ndarray, capacity: int, **parameters) -> list[tuple[np.ndarray, int]]:
+    return packing_plan(counts, capacity, **parameters)[0]
 
 
 def places(plan: list[tuple[np.ndarray, int]]) -> list[tuple[int, int, int, int, int, int]]:
