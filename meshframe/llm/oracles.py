@@ -54,7 +54,7 @@ def _rules() -> tuple[str, str]:
 
 
 def op10() -> str:
-    from .url_filter import BOUND_Z, LONG_SUFFIXES
+    from .url_filter import CELLS, LONG_SUFFIXES, SURE
 
     name, verdict = _rules()
     long = ", ".join(f"'{s}'" for s in LONG_SUFFIXES)
@@ -65,8 +65,16 @@ h0 AS (SELECT host, sum(bad) bad, CAST(count(*) AS DOUBLE) n, string_split(host,
 h1 AS (SELECT host, bad, n, l, array_to_string(l[greatest(len(l)-1, 1):], '.') IN ({long}) lng FROM h0),
 h AS (SELECT host, bad, n, array_to_string(l[greatest(len(l)-CASE WHEN lng THEN 2 ELSE 1 END, 1):], '.') dom, CASE WHEN lng THEN array_to_string(l[greatest(len(l)-1, 1):], '.') ELSE l[len(l)] END suf FROM h1),
 d AS (SELECT dom, suf, sum(bad) bad, sum(n) n FROM h GROUP BY dom, suf), s AS (SELECT suf, sum(bad) bad, sum(n) n FROM d GROUP BY suf),
-w AS (SELECT (sum(bad)+0.5)/(sum(n)+1) p0 FROM s), s1 AS (SELECT s.*, p0 FROM s, w), {_moments("s1", "s2")},
+w AS (SELECT (sum(bad)+0.5)/(sum(n)+1) p0, sum(bad)+0.5 wa, sum(n)-sum(bad)+0.5 wb FROM s), s1 AS (SELECT s.*, p0 FROM s, w), {_moments("s1", "s2")},
 d1 AS (SELECT d.*, a/(a+b) p0 FROM d JOIN s2 ON s2.suf = d.suf), {_moments("d1", "d2")},
 e1 AS (SELECT h.*, a/(a+b) p0 FROM h JOIN d2 ON d2.dom = h.dom AND d2.suf = h.suf), {_moments("e1", "e2")},
-t AS (SELECT host, a/(a+b) m, a+b k FROM e2)
-SELECT page_id, host, path, {name} AS rule, coalesce({verdict}, CASE WHEN m-{BOUND_Z}*sqrt(m*(1-m)/(k+1)) > 0.5 THEN 'block' ELSE 'allow' END) verdict FROM (SELECT v.*, m, k FROM v LEFT JOIN t ON t.host = v.host) z"""
+x0 AS (SELECT DISTINCT host, string_split(host, '.') l FROM v WHERE host <> '' AND host NOT IN (SELECT host FROM h0)),
+x1 AS (SELECT host, l, array_to_string(l[greatest(len(l)-1, 1):], '.') IN ({long}) lng FROM x0),
+x2 AS (SELECT host, array_to_string(l[greatest(len(l)-CASE WHEN lng THEN 2 ELSE 1 END, 1):], '.') dom, CASE WHEN lng THEN array_to_string(l[greatest(len(l)-1, 1):], '.') ELSE l[len(l)] END suf FROM x1),
+x AS (SELECT host, coalesce(d2.a, s2.a, wa) a, coalesce(d2.b, s2.b, wb) b FROM x2 LEFT JOIN d2 ON d2.dom = x2.dom AND d2.suf = x2.suf LEFT JOIN s2 ON s2.suf = x2.suf CROSS JOIN w),
+r AS (SELECT list_transform(range({CELLS}), lambda k: k + 0.5) mid),
+t0 AS (SELECT host, a, b, ln(a/b) u0, sqrt(1/a+1/b) s, -a*ln(1+b/a)-b*ln(1+a/b) top FROM (SELECT host, a, b FROM e2 UNION ALL SELECT host, a, b FROM x)),
+t1 AS (SELECT *, (greatest(-u0, 0)+9*s+30/greatest(a, 1)+CASE WHEN a < 1 THEN 30/a ELSE 0 END)/{CELLS} dl, (greatest(u0, 0)+9*s+30/greatest(b, 1)+CASE WHEN b < 1 THEN 30/b ELSE 0 END)/{CELLS} dh FROM t0),
+t2 AS (SELECT host, dl*list_sum(list_transform(mid, lambda k: exp(-a*(dl*k+ln(1+exp(-dl*k)))-b*ln(1+exp(-dl*k))-top))) l, dh*list_sum(list_transform(mid, lambda k: exp(-a*ln(1+exp(-dh*k))-b*(dh*k+ln(1+exp(-dh*k)))-top))) h FROM t1, r),
+t AS (SELECT host, h/(l+h) p FROM t2)
+SELECT page_id, host, path, {name} AS rule, coalesce({verdict}, CASE WHEN p > {SURE} THEN 'block' ELSE 'allow' END) verdict FROM (SELECT v.*, p FROM v LEFT JOIN t ON t.host = v.host) z"""

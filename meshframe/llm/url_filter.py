@@ -3,14 +3,16 @@
 Labelled page outcomes (good or bad) are counted by host, registered domain and
 suffix. Each level's beta prior has the mean of the level above and a strength
 fitted by moments, so a host with few labels is shrunk to its domain, a domain to
-its suffix, and a suffix to the whole table. A host without labels takes the posterior of its domain,
-else of its suffix, else of the whole table. A page is blocked when the posterior
-of its host puts the rate of bad pages above ``max_bad`` with confidence, that is,
-when the lower posterior bound exceeds it.
+its suffix, and a suffix to the whole table. A host without labels takes the posterior
+of its domain, else of its suffix, else of the whole table. A page is blocked when the
+posterior of its host says with confidence ``SURE`` that the rate of bad pages exceeds
+``max_bad``, that is, when the beta posterior's lower quantile lies above it.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +30,10 @@ RULES = (
 #: Public suffixes of more than one label.
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "com.br", "com.cn", "co.in", "co.za", "com.mx")
 
-#: Standard normal quantile of the one-sided posterior bound (95 %).
-BOUND_Z = 1.6449
+#: How sure a posterior must be that a host is bad.
+SURE = 0.95
+#: Cells of the integral of a posterior, on each side of the threshold.
+CELLS = 400
 
 
 def lower_ascii(c: Column) -> Column:
@@ -46,12 +50,13 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return lower_ascii(host), path
 
 
-def registered_domain(host: Column) -> tuple[Column, Column]:
-    """Registered domain and public suffix of a host."""
+def registered_domain(host: Column, long_suffixes=LONG_SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain and public suffix of a host. Suffixes have one label, but for
+    ``long_suffixes`` (of two), which may be the whole of a public list."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
     last2 = F.concat_ws(".", F.slice(labels, F.greatest(n - 1, F.lit(1)), 2))
-    long = last2.isin(*LONG_SUFFIXES)
+    long = last2.isin(*long_suffixes) if long_suffixes else F.lit(False)
     suffix = F.when(long, last2).otherwise(F.element_at(labels, -1))
     keep = F.when(long, 3).otherwise(2)
     domain = F.concat_ws(".", F.slice(labels, F.greatest(n - keep + 1, F.lit(1)), keep))
@@ -82,7 +87,31 @@ def _strength(counts: DataFrame, prior: Column) -> Column:
     return 1 / rho - 1
 
 
-def reputations(outcomes: DataFrame, others: DataFrame | None = None) -> DataFrame:
+def above(a: Column, b: Column, rate: float) -> Column:
+    """Probability that a beta variable with parameters a and b exceeds ``rate``: its
+    density over the log odds, summed at the middles of equal cells on either side."""
+    cut = math.log(rate / (1 - rate))
+    # the density's tails fall as exp(-a |u|) and exp(-b |u|) from its mode on
+    mode = F.log(a / b)
+    width = F.sqrt(1 / a + 1 / b)
+
+    def log_density(u: Column) -> Column:
+        bend = lambda v: F.greatest(v, F.lit(0.0)) + F.log1p(F.exp(-F.abs(v)))
+        return -a * bend(-u) - b * bend(u)
+
+    top = log_density(mode)
+
+    def side(reach: Column, sign: int) -> Column:
+        step = reach / CELLS
+        each = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda k: F.exp(log_density(cut + sign * step * (k + 0.5)) - top))
+        return F.aggregate(each, F.lit(0.0), lambda t, x: t + x) * step
+
+    low = side(F.greatest(cut - mode, F.lit(0.0)) + 9 * width + 30 / F.greatest(a, F.lit(1.0)) + F.when(a < 1, 30 / a).otherwise(0.0), -1)
+    high = side(F.greatest(mode - cut, F.lit(0.0)) + 9 * width + 30 / F.greatest(b, F.lit(1.0)) + F.when(b < 1, 30 / b).otherwise(0.0), 1)
+    return high / (low + high)
+
+
+def reputations(outcomes: DataFrame, others: DataFrame | None = None, long_suffixes=LONG_SUFFIXES) -> DataFrame:
     """outcomes: host, bad (0/1), a row per labelled page. Returns a row per labelled
     host (host, domain, suffix, a, b): the beta posterior of its rate of bad pages; and
     one per further host of ``others`` (host): that of its domain, else of its suffix,
@@ -90,7 +119,7 @@ def reputations(outcomes: DataFrame, others: DataFrame | None = None) -> DataFra
 
     Counts combine before each shuffle, so one host with a third of all pages is a
     few rows. Rows with a null host or outcome count for nothing."""
-    domain, suffix = registered_domain(F.col("host"))
+    domain, suffix = registered_domain(F.col("host"), long_suffixes)
     hosts = stored(
         outcomes.where(F.col("host").isNotNull() & F.col("bad").isNotNull())
         .groupBy("host").agg(F.sum(F.col("bad").cast("double")).alias("bad"), F.count("*").cast("double").alias("n"))
@@ -119,9 +148,10 @@ def reputations(outcomes: DataFrame, others: DataFrame | None = None) -> DataFra
     return labelled.unionByName(above.select("host", "domain", "suffix", a.alias("a"), b.alias("b")))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: float = 0.5, z: float = BOUND_Z) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: float = 0.5, sure: float = SURE, long_suffixes=LONG_SUFFIXES) -> DataFrame:
     """pages: page_id, url. outcomes: page_id, bad (0/1). A row per page: page_id, host,
-    path, rule (or null), verdict, bad_rate and bad_lower (null for the empty host without labels).
+    path, rule (or null), verdict, bad_rate (posterior mean) and p_bad (probability that the
+    rate exceeds ``max_bad``); both null for the empty host without labels.
 
     Repeated pages stay repeated rows; null and malformed urls have empty host and
     path, and are allowed unless their labels say otherwise: the empty host has no domain
@@ -129,12 +159,10 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: float = 0
     host, path = host_and_path(F.col("url"))
     seen = pages.select("page_id", host.alias("host"), path.alias("path"))
     one = outcomes.select("page_id", "bad").where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    table = reputations(seen.dropDuplicates(["page_id"]).join(one, "page_id").select("host", "bad"), seen.where("host <> ''"))
-    n = F.col("a") + F.col("b")
-    mean = F.col("a") / n
-    table = table.select("host", mean.alias("bad_rate"), (mean - z * F.sqrt(mean * (1 - mean) / (n + 1))).alias("bad_lower"))
+    table = reputations(seen.dropDuplicates(["page_id"]).join(one, "page_id").select("host", "bad"), seen.where("host <> ''"), long_suffixes)
+    table = stored(table.select("host", (F.col("a") / (F.col("a") + F.col("b"))).alias("bad_rate"), above(F.col("a"), F.col("b"), max_bad).alias("p_bad")))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    learnt = F.when(F.col("bad_lower") > max_bad, "block").otherwise("allow")
+    learnt = F.when(F.col("p_bad") > sure, "block").otherwise("allow")
     return seen.join(table, "host", "left").select(
-        "page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, learnt).alias("verdict"), "bad_rate", "bad_lower"
+        "page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, learnt).alias("verdict"), "bad_rate", "p_bad"
     )
