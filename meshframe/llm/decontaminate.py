@@ -24,8 +24,9 @@ from .url_filter import lower_ascii
 
 #: Bytes between words: everything in ASCII but digits and lower-case letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Windows that are sent to every executor at most; more are joined by a shuffle.
-BROADCAST_WINDOWS = 200_000
+#: Bytes of windows (words, items and shingles) that are sent to every executor at most;
+#: more are joined by a shuffle, with the same result.
+BROADCAST_BYTES = 64 << 20
 _END = 0
 
 
@@ -72,14 +73,16 @@ def _grams(words: Column, ks: list[int]) -> Column:
     return each[0] if len(each) == 1 else F.concat(*each)
 
 
-def hits(documents: DataFrame, items: DataFrame, length: int = 10, shingle: int = 3, between: str = BETWEEN, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def hits(documents: DataFrame, items: DataFrame, length: int = 10, shingle: int = 3, between: str = BETWEEN, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """documents: doc_id, text; items: item_id, text. A row per distinct (doc_id, text):
     doc_id, text_hash, n_words, spans (start and end of each occurrence, sorted) and
     items (ids as sorted strings). Null text has no words; repeated rows count once;
-    items without words have no windows; a null doc_id is an id like others; other columns
+    items without words have no windows; windows of an item without an id hit, too, but are
+    not listed; a null doc_id is an id like others; other columns
     are dropped."""
     windows = stored(benchmark_windows(items, length, between))
-    small = windows.count() <= broadcast_windows
+    strings = lambda c: F.octet_length(F.concat_ws("", c)) + 24 * F.size(c) + 48
+    small = (windows.agg(F.sum(strings("w").cast("long") + strings("items") + 64 * F.size("w"))).first()[0] or 0) <= broadcast_bytes
     each = stored(_shingles(windows, shingle))
     ks = sorted(r["k"] for r in each.select("k").distinct().collect()) or [shingle]  # at most ``shingle`` values
     docs = documents.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"), words_of(F.col("text").cast("string"), between).alias("words"))

@@ -112,6 +112,20 @@ def test_katz(spark, docs):
         assert r["score"] == pytest.approx(sum(math.log10(p2(a, b)) for a, b in zip([0, *x[:-1]], x, strict=True)))
 
 
+def test_good_turing():
+    n = [1000, 400, 210, 130, 90, 66]  # by hand: (r* / r - mu) / (1 - mu), mu = 6 n6 / n1
+    mu = 6 * 66 / 1000
+    stars = {1: 2 * 400 / 1000, 2: 3 * 210 / 400, 3: 4 * 130 / 210, 4: 5 * 90 / 130, 5: 6 * 66 / 90}
+    d = katz.discounts(n)
+    assert d[1:].tolist() == pytest.approx([(stars[r] / r - mu) / (1 - mu) for r in range(1, 6)])
+    # what the discounts take from counts up to K is what Turing gives to words never met
+    assert sum(r * k * (1 - x) for r, k, x in zip(range(1, 6), n, d[1:], strict=False)) == pytest.approx(n[0])
+    assert katz.kept(np.array([1, 5, 6, 100]), d).tolist() == pytest.approx([d[1], 5 * d[5], 6 - katz.DELTA, 100 - katz.DELTA])
+    uneven = katz.discounts([100, 300, 10, 200, 5, 4])
+    assert ((uneven[1:] > 0) & (uneven[1:] < 1)).all() and (np.diff(uneven[1:]) > 0).all()
+    assert katz.discounts([0] * 6)[1:].tolist() == pytest.approx([0.5, 0.75, 2.5 / 3, 3.5 / 4, 0.9])
+
+
 def test_katz_edges(spark, empty):
     assert katz.scores(empty).count() == 0
     rows = spark.createDataFrame([(None, "a b"), (1, None), (1, None)], "doc_id long, text string")
@@ -207,6 +221,67 @@ def test_toxicity(spark, empty):
     assert {r["expected_severity"] for r in toxicity.scored(docs, None).collect()} == {0.0}
 
 
+def test_ordinal_likelihood():
+    """The fit is where the gradient of the plainly written loss vanishes; grades use the
+    words of the other half."""
+    rng = np.random.default_rng(3)
+    x = rng.random((300, 6)) < 0.3
+    toxic = rng.random(300) < 1 / (1 + np.exp(2 - 2.5 * x[:, 0] - 1.5 * x[:, 1]))
+    row, col = np.nonzero(x)
+    times, half = rng.integers(1, 4, len(row)), rng.integers(0, 2, 300)
+    z = np.array([[5.0, 4, -1, 1, -2, 0.5], [5.0, -3, 2, -1, 1, 0.5]])
+    grade = toxicity.grades(row, col, times, toxic, z, half)
+    amount = [sum(t for r, c, t in zip(row, col, times, strict=True) if r == i and z[1 - half[i], c] > 0) for i in range(300)]
+    cuts = np.quantile([a for a, y in zip(amount, toxic, strict=True) if y], [1 / 3, 2 / 3])
+    assert grade.tolist() == [0 if not y else 1 + (a > cuts[0]) + (a > cuts[1]) for a, y in zip(amount, toxic, strict=True)]
+    model = toxicity.fit_arrays(row, col, times, toxic, np.arange(6, dtype=np.uint64), z, half, rounds=2000)
+
+    def loss(w, theta):
+        total = 0.0
+        for i in range(300):
+            below = [0.0, *(1 / (1 + math.exp(-(t - float(x[i] @ w)))) for t in theta), 1.0]
+            total -= math.log(below[grade[i] + 1] - below[grade[i]])
+        return total / 300 + toxicity.RIDGE / 2 * float(w @ w)
+
+    here = loss(model.weights, model.thresholds)
+    for k in range(6):
+        for step in (-0.05, 0.05):
+            assert loss(model.weights + step * (np.arange(6) == k), model.thresholds) > here
+    for k in range(3):
+        for step in (-0.05, 0.05):
+            assert loss(model.weights, model.thresholds + step * (np.arange(3) == k)) > here
+    e, p = model.severity(x @ model.weights)
+    for i in range(20):
+        above = [1 - 1 / (1 + math.exp(-(t - float(x[i] @ model.weights)))) for t in model.thresholds]
+        assert e[i] == pytest.approx(sum(above)) and p[i] == pytest.approx(above[0])
+
+
+def test_toxicity_of_odd_rows(spark):
+    rows = [(None, "foul vile", 1.0, "a"), (1, "foul " * 40_000, 2.0, "b"), (1, "other", None, None), (2, None, 3.0, "c"), *((k, "foul vile" if k % 5 == 0 else f"fine{k} tree{k}", 0.0, "d") for k in range(3, 80))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic double, keys string")
+    labels = spark.createDataFrame([(k, int(k % 5 == 0), "x") for k in range(3, 80)] + [(3, 1, "x"), (2, 1, "y"), (None, 1, None)], "doc_id long, toxic int, text string")
+    model = toxicity.fit(docs, labels)
+    out = toxicity.scored(docs, model).collect()
+    assert len(out) == len(rows)
+    assert {(str(r["doc_id"]), r["toxic"]) for r in out if r["doc_id"] is None or r["doc_id"] < 5} == {("None", True), ("1", True), ("1", False), ("2", False), ("3", False), ("4", False)}
+    assert toxicity.fit(docs, labels.where("doc_id = 3")) is None
+
+
+def test_licenses_by_text(spark):
+    gpl = "This work is licensed under the GNU General Public License, version 3."
+    rows = [(1, gpl + " one", "k", 5), (1, "two " + gpl, "k", 5), (1, "two " + gpl, "k", 5), (None, gpl, None, None), (None, "All rights reserved.", "k", 1), (2, "z " * 60_000 + gpl, "k", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, license_id string, shape int")
+    got = sorted((str(r["doc_id"]), r["license_id"], r["start"], r["n_windows"]) for r in license_scan.matches(docs).collect())
+    assert [g[:2] for g in got] == [("1", "gpl-3.0"), ("1", "gpl-3.0"), ("2", "gpl-3.0"), ("None", "all-rights-reserved"), ("None", "gpl-3.0")]
+
+
+def test_telling_words_hit_every_shingle():
+    rng = random.Random(8)
+    grams = [tuple(rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(rng.randrange(1, 6))) for _ in range(200)]
+    words = set(license_scan.telling_words(grams))
+    assert all(words & set(g) for g in grams)
+
+
 def test_licenses(spark, empty):
     gpl = "This work is licensed under the GNU General Public License, version 3."
     rows = [(1, "x " * 50 + "All  rights\nRESERVED. y"), (2, "a b " + gpl + " c"), (3, "foo " + gpl.replace("version", "edition")), (4, "this work is licensed"), (5, None), (6, ""), (1, "x " * 50 + "All  rights\nRESERVED. y"), (7, gpl + " " + "z " * 300 + "Released under the MIT License."), (8, gpl.replace("GNU", "XYZ"))]
@@ -319,14 +394,14 @@ def test_quality_rules_are_learnt(spark):
     assert quality_rules.kept(docs, labels).columns == docs.columns
 
 
-@pytest.mark.parametrize("most", [decontaminate.BROADCAST_WINDOWS, 0])
+@pytest.mark.parametrize("most", [decontaminate.BROADCAST_BYTES, 0])
 def test_decontamination(spark, docs, empty, most):
     texts = dict(corpus())
     w2 = texts[2].split()
     items = [(1, " ".join(w2[35:60])), (12, "One"), (3, " ".join(w2[40:52]).upper()), (4, None), (5, " ,. "), (6, "no such words at all in any of these texts here"), (7, "a-b")]
     items += [(1, " ".join(w2[35:60])), (8, " ".join(w2[35:46]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = by_id(decontaminate.contamination(docs, bench, broadcast_windows=most))
+    got = by_id(decontaminate.contamination(docs, bench, broadcast_bytes=most))
     windows = collections.defaultdict(set)
     for i, t in items:
         w = ALNUM.findall(low(t or ""))
@@ -344,21 +419,21 @@ def test_decontamination(spark, docs, empty, most):
         r = got[i]
         assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (len(w), len(hit), len(found), bool(hit))
         assert r["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
-    clean = decontaminate.decontaminated(docs, bench, broadcast_windows=most)
+    clean = decontaminate.decontaminated(docs, bench, broadcast_bytes=most)
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {i for i, r in got.items() if not r["contaminated"]}
     none = spark.createDataFrame([], "item_id long, text string")
-    assert decontaminate.contamination(empty, bench, broadcast_windows=most).count() == 0
-    assert not any(r["contaminated"] for r in decontaminate.contamination(docs, none, broadcast_windows=most).collect())
+    assert decontaminate.contamination(empty, bench, broadcast_bytes=most).count() == 0
+    assert not any(r["contaminated"] for r in decontaminate.contamination(docs, none, broadcast_bytes=most).collect())
 
 
-@pytest.mark.parametrize("most", [0, 200_000])
+@pytest.mark.parametrize("most", [0, decontaminate.BROADCAST_BYTES])
 def test_decontamination_of_null_ids(spark, most):
     leak = "one two three four five six seven eight nine ten eleven"
     docs = spark.createDataFrame([(None, "x " + leak), (None, "clean words only"), (1, leak + " y"), (2, "z")], "doc_id long, text string")
     items = spark.createDataFrame([(7, leak)], "item_id long, text string")
-    out = decontaminate.contamination(docs, items, broadcast_windows=most).collect()
+    out = decontaminate.contamination(docs, items, broadcast_bytes=most).collect()
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"]) for r in out) == [("1", 12, 11), ("2", 1, 0), ("None", 3, 0), ("None", 12, 11)]
-    kept = decontaminate.decontaminated(docs, items, broadcast_windows=most).collect()
+    kept = decontaminate.decontaminated(docs, items, broadcast_bytes=most).collect()
     assert sorted(r["text"] for r in kept) == ["clean words only", "z"]
 
 
@@ -461,7 +536,96 @@ def test_hosts_without_labels_take_the_reputation_above(spark):
     got = {r["page_id"]: r for r in judged}
     assert [got[5000 + k]["verdict"] for k in range(6)] == ["block", "allow", "block", "block", "allow", "block"]
     assert abs(got[5003]["bad_rate"] - 360.5 / 601) < 1e-9 and got[5004]["bad_rate"] is None
-    assert abs(got[5003]["bad_lower"] - (360.5 / 601 - 1.6449 * math.sqrt(360.5 * 240.5 / 601**2 / 602))) < 1e-9
+    assert got[5003]["p_bad"] == pytest.approx(beta_above(360.5, 240.5, 0.5), abs=1e-6)
+
+
+def beta_above(a, b, rate, cells=400_000):
+    """By the density itself, summed over its variable."""
+    t = (np.arange(cells) + 0.5) / cells
+    density = (a - 1) * np.log(t) + (b - 1) * np.log1p(-t)
+    density = np.exp(density - density.max())
+    return float(density[t > rate].sum() / density.sum())
+
+
+def test_posterior_tails(spark):
+    from pyspark.sql import functions as F
+
+    cases = [(1.0, 1.0, 0.5), (2.5, 7.0, 0.5), (40.0, 30.0, 0.5), (400.0, 300.0, 0.5), (3.0, 1.5, 0.9), (900.0, 1100.0, 0.4), (2.0, 50.0, 0.1), (1.2, 1.1, 0.05)]
+    for a, b, rate in cases:
+        got = spark.range(1).select(url_filter.above(F.lit(a), F.lit(b), rate)).first()[0]
+        assert got == pytest.approx(beta_above(a, b, rate), abs=2e-4), (a, b, rate)
+    got = spark.range(1).select(url_filter.above(F.lit(0.05), F.lit(0.05), 0.5)).first()[0]
+    assert got == pytest.approx(0.5, abs=1e-9)
+    assert spark.range(1).select(url_filter.above(F.lit(5000.0), F.lit(10.0), 0.5)).first()[0] == pytest.approx(1)
+
+
+def test_url_filter_of_odd_rows(spark):
+    none = spark.createDataFrame([], "page_id long, url string")
+    marks = spark.createDataFrame([(1, 1), (1, 0), (None, 1)], "page_id long, bad int")
+    assert url_filter.judge(none, marks).count() == 0
+    rows = [(1, "http://h/" + "x" * 300_000, "a", 1.0), (None, "http://h/", None, None), (None, None, "b", 2.0), (1, "http://h/" + "x" * 300_000, "a", 1.0), (2, "http://a.co.uk/", "c", 0.0)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, bad double")
+    out = url_filter.judge(pages, marks, long_suffixes=())
+    assert sorted((str(r["page_id"]), r["host"], len(r["path"])) for r in out.collect()) == [("1", "h", 300_001), ("1", "h", 300_001), ("2", "a.co.uk", 1), ("None", "", 0), ("None", "h", 1)]
+
+
+def test_substring_dedup_of_odd_rows(spark):
+    run = [f"w{k}" for k in range(30)]
+    rows = [(5, " ".join(run)), (5, " ".join(run)), (5, "x " + " ".join(run)), (7, "y " + " ".join(run[:20])), (8, None), (None, " ".join(run)), (9, " ".join(["a"] * 3000)), (10, " ".join(["a"] * 20))]
+    docs = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, th int, key string")
+    got = sorted(((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in substring_dedup.digests(docs).collect()))
+    assert got == sorted([("5", 30, 0), ("5", 30, 0), ("5", 31, 0), ("7", 21, 20), ("8", 0, 0), ("None", 30, 0), ("9", 3000, 0), ("10", 20, 20)])
+
+
+def test_suffix_trees_share_prefixes():
+    rng = np.random.default_rng(1)
+    ids = rng.integers(0, 3, 400).astype(np.uint32)
+    start, group = np.arange(380), rng.integers(0, 4, 380)
+    order, shared = substring_dedup.suffix_trees(ids, start, group, 9)
+    key = lambda k: (group[k], *ids[start[k] : start[k] + 9].tolist())
+    assert [key(k) for k in order] == sorted(key(k) for k in range(380))
+    for a, b, n in zip(order, order[1:], shared[1:], strict=False):
+        x, y = key(a), key(b)
+        same = next((k for k in range(10) if x[k] != y[k]), 10)
+        assert n == same - 1
+
+
+def test_rows_without_ids_and_repeated_rows(spark):
+    rows = [(None, "a b c"), (None, "a b c"), (3, "a b c"), (3, "a b c"), (4, None)]
+    docs = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, length int")
+    assert sorted(str(r["doc_id"]) for r in token_counts.lengths(docs).collect()) == ["3", "3", "4", "None", "None"]
+    packed = packing.packed(docs, 64).collect()
+    assert sorted(str(r["doc_id"]) for r in packed) == ["3", "3", "4", "None", "None"] and len({r["sequence_id"] for r in packed}) == 1
+    labels = spark.createDataFrame([(3, 1), (None, 0)], "doc_id long, bad int")
+    assert sorted(str(r["doc_id"]) for r in quality_rules.judged(docs, labels).collect()) == ["3", "3", "4", "None", "None"]
+    items = spark.createDataFrame([(None, "b c"), (1, "a b")], "item_id long, text string")
+    assert sorted((str(r["doc_id"]), r["n_hit"], r["n_items"]) for r in decontaminate.contamination(docs, items).collect()) == [("3", 3, 1), ("4", 0, 0), ("None", 3, 1)]
+
+
+def test_a_rule_grows_by_the_highest_gain():
+    """The first condition against all thresholds, tried one by one."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 12, (200, 9)).astype(float)
+    bad = (x[:, 2] >= 8) & (rng.random(200) < 0.9) | (rng.random(200) < 0.1)
+    rule = quality_rules._grow(x, bad, 1, 500)
+    best = 0.0
+    for f in range(9):
+        for t in set(x[:, f]):
+            for take in (x[:, f] >= t, x[:, f] <= t):
+                if bad[take].any() and take.sum() < 200:
+                    best = max(best, bad[take].sum() * (np.log2(bad[take].mean()) - np.log2(bad.mean())))
+    c = rule.covers(x)
+    assert bad[c].sum() * (np.log2(bad[c].mean()) - np.log2(bad.mean())) == pytest.approx(best)
+
+
+def test_packing_near_its_bound():
+    for low_, high_, n in ((600, 1100, 9000), (1, 2048, 5000)):
+        counts = np.bincount(np.random.default_rng(0).integers(low_, high_ + 1, n), minlength=2049)
+        plan, bound = packing.packing_plan(counts, 2048, rounds=128)
+        used = sum(t for _, t in plan)
+        assert (sum(u * t for u, t in plan) == counts).all() and all((u * np.arange(2049)).sum() <= 2048 for u, _ in plan)
+        assert bound <= used <= sum(t for _, t in packing.best_fit(counts, 2048))
+        assert used <= (1.07 if low_ > 1 else 1.01) * bound
 
 
 def test_reputation_shrinks_towards_the_domain(spark):
