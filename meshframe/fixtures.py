@@ -21,6 +21,13 @@ def grid(spark: SparkSession, sf_dir: str, keep=None, winding: str = "reference"
     return height_map(cells if keep is None else cells.where(keep), winding=winding)
 
 
+def terrain(spark: SparkSession, sf_dir: str) -> MeshFrame:
+    """A height map that grows with the table: 40 orders a row of cells, quantities along it."""
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet")  # noqa: E741
+    i, j = F.floor(F.col("l_orderkey") / 40).cast("int"), F.col("l_quantity").cast("int")
+    return height_map(l.groupBy(i.alias("i"), j.alias("j")).agg((F.avg("l_extendedprice") / 1000).alias("z")))
+
+
 def perforated(spark: SparkSession, sf_dir: str) -> MeshFrame:
     return grid(spark, sf_dir, (F.col("i") * 31 + F.col("j") * 17) % 11 != 0)
 

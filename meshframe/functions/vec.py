@@ -204,13 +204,11 @@ def lerp(a: Vec, b: Vec, t: Column) -> Vec:
 
 
 def givens(a: Column, b: Column) -> Column:
-    """Rotation that takes (a, b) to (r, 0): struct c, s, r, with r as long as (a, b)."""
+    """Rotation that takes (a, b) to (r, 0): struct c, s, r, with c a - s b = r >= 0 and
+    s a + c b = 0. (0, 0) is not turned."""
     r = F.hypot(a, b)
-    sign = F.when((F.abs(a) > F.abs(b)) & (a < 0), -1.0).when((F.abs(a) <= F.abs(b)) & (b < 0), -1.0).otherwise(1.0)
-    r = r * sign
-    c = F.when(b == 0, F.when(a < 0, -1.0).otherwise(1.0)).when(a == 0, 0.0).otherwise(a / r)
-    s = F.when(b == 0, 0.0).when(a == 0, F.when(b < 0, -1.0).otherwise(1.0)).otherwise(b / r)
-    return F.struct(c.alias("c"), s.alias("s"), F.when(b == 0, F.abs(a)).when(a == 0, F.abs(b)).otherwise(r).alias("r"))
+    c, s = F.coalesce(F.try_divide(a, r), F.lit(1.0)), F.coalesce(F.try_divide(-b, r), F.lit(0.0))
+    return F.struct(c.alias("c"), (s + 0.0).alias("s"), r.alias("r"))
 
 
 def crossing_time(tb: Column, ta: Column, a: Column, b: Column, theta: Column, slowness: Column) -> Column:

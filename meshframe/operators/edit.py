@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.vec import Vec, affine, area, field, from_barycentric, lerp, reflect, signed_distance
 from ..schema import MeshFrame
 from ..sources.meshes import corner_vecs, corners, soup, used_vertices
+from .texture import corner_uvs, textured, with_corner_uvs
 from .topology import EDGE, half_edges, vertex_degrees, vertex_faces
 
 
@@ -53,10 +54,21 @@ def reverse(faces: DataFrame, ids: DataFrame) -> DataFrame:
     return out.withColumns({"v0": F.when(F.col("_t"), F.col("v2")).otherwise(F.col("v0")), "v2": F.when(F.col("_t"), F.col("v0")).otherwise(F.col("v2"))}).select(*faces.columns)
 
 
+def turned(mesh: MeshFrame, ids: DataFrame | None = None) -> MeshFrame:
+    """Some faces (mesh_id, fid; all by default) turned over, and their UVs with them."""
+    if ids is None:
+        ids = mesh.faces
+    out = mesh.with_(faces=reverse(mesh.faces, ids))
+    if mesh.face_uvs is None:
+        return out
+    named = mesh.face_uvs.withColumnsRenamed({f"uv{k}": f"v{k}" for k in range(3)})
+    return out.with_(face_uvs=reverse(named, ids).withColumnsRenamed({f"v{k}": f"uv{k}" for k in range(3)}))
+
+
 def reflected(mesh: MeshFrame, on: Sequence[float], normal: Sequence[float]) -> MeshFrame:
     """Mirrored in a plane; faces are turned over, so that they still face outwards."""
     v = reflect(Vec.of(), Vec(*on), Vec(*normal).unit())
-    return mesh.with_(vertices=mesh.vertices.withColumns(dict(zip("xyz", v, strict=True))), faces=inverted(mesh.faces))
+    return turned(mesh.with_(vertices=mesh.vertices.withColumns(dict(zip("xyz", v, strict=True)))))
 
 
 def facet_cuts(mesh: MeshFrame, on: Sequence[float], normal: Sequence[float]) -> DataFrame:
@@ -104,7 +116,8 @@ def sliced(mesh: MeshFrame, on: Sequence[float], normal: Sequence[float]) -> Mes
 
 def subdivided(mesh: MeshFrame, points: DataFrame | None = None) -> MeshFrame:
     """Each face with a point (mesh_id, fid, x, y, z; all centroids by default) becomes
-    three around a new vertex, with the winding kept. New ids follow the old ones."""
+    three around a new vertex, with the winding kept. New ids follow the old ones. A new
+    corner of a textured face has the UV that its point has on the face."""
     f = corners(mesh.vertices, mesh.faces)
     a, b, c = corner_vecs()
     if points is None:
@@ -118,7 +131,17 @@ def subdivided(mesh: MeshFrame, points: DataFrame | None = None) -> MeshFrame:
     three = F.array(*[one(F.col("fid") * 3 + k, f"v{k}", f"v{(k + 1) % 3}", "nv") for k in range(3)])
     parts = F.when(F.col("nv").isNotNull(), three).otherwise(F.array(one(F.col("fid") * 3, "v0", "v1", "v2")))
     faces = f.select("mesh_id", F.explode(parts).alias("t")).select("mesh_id", "t.*")
-    return mesh.with_(vertices=mesh.vertices.select("mesh_id", "vid", "x", "y", "z").unionByName(new), faces=faces)
+    out = mesh.with_(vertices=mesh.vertices.select("mesh_id", "vid", "x", "y", "z").unionByName(new), faces=faces)
+    if not textured(mesh):
+        return out
+    at = texture_points(mesh, f.where("nv is not null").select(F.col("fid").alias("qid"), "mesh_id", "fid", *[F.col(f"p{k}").alias(k) for k in "xyz"]))
+    old = corner_uvs(mesh)
+    was = F.floor(F.col("fid") / 3).cast("bigint")
+    slots = faces.select("mesh_id", F.col("fid").alias("new"), was.alias("fid"), F.posexplode(F.array("v0", "v1", "v2")).alias("slot", "vid"))
+    kept = slots.join(old.drop("slot"), ["mesh_id", "fid", "vid"]).select("mesh_id", "mid", F.col("new").alias("fid"), "slot", "u", "v")
+    mids = old.select("mesh_id", "fid", "mid").distinct()
+    made = slots.where("slot = 2").join(f.where("nv is not null").select("mesh_id", F.col("nv").alias("vid")), ["mesh_id", "vid"]).join(at.select("mesh_id", "fid", "u", "v"), ["mesh_id", "fid"]).join(mids, ["mesh_id", "fid"])
+    return with_corner_uvs(out, kept.unionByName(made.select("mesh_id", "mid", F.col("new").alias("fid"), "slot", "u", "v")))
 
 
 def split_midpoints(mesh: MeshFrame) -> MeshFrame:
@@ -138,11 +161,13 @@ def split_midpoints(mesh: MeshFrame) -> MeshFrame:
     return mesh.with_(vertices=at.select("mesh_id", "vid", "x", "y", "z").unionByName(new), faces=faces)
 
 
-def split_to_area(mesh: MeshFrame, most: float, rounds: int = 30) -> MeshFrame:
-    """Centroid splits until no face's area exceeds ``most``."""
+def split_to_area(mesh: MeshFrame, most: float) -> MeshFrame:
+    """Centroid splits until no face's area exceeds ``most``: a round divides areas by three."""
     from ..plans.iterate import stored
 
-    for _ in range(rounds):
+    if most <= 0:
+        raise ValueError("areas can't shrink to 0")
+    while True:
         a, b, c = corner_vecs()
         big = corners(mesh.vertices, mesh.faces).where(area(a, b, c) > most)
         points = big.select("mesh_id", "fid", *((a + b + c) * (1 / 3)).columns())
@@ -164,6 +189,28 @@ def flipped(faces: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.withColumns({f"v{k}": F.coalesce(f"n{k}", f"v{k}") for k in range(3)}).select(*faces.columns)
 
 
+def flipped_mesh(mesh: MeshFrame, pairs: DataFrame) -> MeshFrame:
+    """``flipped`` with UVs: corners that a face keeps keep theirs, the new corner takes the
+    UV that its vertex has in the other face; where the two faces have different materials
+    (or one has none), both lose their UVs."""
+    faces = flipped(mesh.faces, pairs)
+    out = mesh.with_(faces=faces)
+    if not textured(mesh):
+        return out
+    h = half_edges(mesh.faces).join(pairs.select(*EDGE).distinct(), EDGE, "left_semi")
+    two = h.groupBy(*EDGE).agg(F.count("*").alias("n"), F.min(F.struct("fid", "o")).alias("p"), F.max(F.struct("fid", "o")).alias("q")).where("n = 2 and p.o <> q.o")
+    other = two.select("mesh_id", F.explode(F.array(F.struct(F.col("p.fid").alias("fid"), F.col("q.fid").alias("mate")), F.struct(F.col("q.fid").alias("fid"), F.col("p.fid").alias("mate")))).alias("t")).select("mesh_id", "t.*")
+    old = corner_uvs(mesh)
+    slots = faces.select("mesh_id", "fid", F.posexplode(F.array("v0", "v1", "v2")).alias("slot", "vid")).join(other, ["mesh_id", "fid"], "left")
+    mine = old.select("mesh_id", "fid", "vid", F.struct("mid", "u", "v").alias("own"))
+    mates = old.select("mesh_id", F.col("fid").alias("mate"), "vid", F.struct("mid", "u", "v").alias("far"))
+    kind = old.select("mesh_id", "fid", "mid").distinct()
+    same = other.join(kind, ["mesh_id", "fid"]).join(kind.withColumnsRenamed({"fid": "mate", "mid": "mid2"}), ["mesh_id", "mate"]).where("mid = mid2").select("mesh_id", "fid", F.lit(True).alias("same"))
+    rows = slots.join(mine, ["mesh_id", "fid", "vid"], "left").join(mates, ["mesh_id", "mate", "vid"], "left").join(same, ["mesh_id", "fid"], "left")
+    rows = rows.where("mate is null or same").withColumn("t", F.coalesce("own", "far")).where("t is not null")
+    return with_corner_uvs(out, rows.select("mesh_id", "t.mid", "fid", "slot", "t.u", "t.v"))
+
+
 def without_tetrahedra(mesh: MeshFrame) -> MeshFrame:
     """One round: vertices with exactly three faces and three neighbours go, and their
     faces are replaced by the base unless it is there. Of neighbouring such vertices the
@@ -234,7 +281,7 @@ def texture_points(mesh: MeshFrame, points: DataFrame) -> DataFrame:
         t = t.join(mesh.uvs.select("mesh_id", "mid", F.col("uvid").alias(f"uv{k}"), F.col("u").alias(f"s{k}"), F.col("v").alias(f"t{k}")), ["mesh_id", "mid", f"uv{k}"])
     out = f.join(t, ["mesh_id", "fid"], "left")
     mix = lambda s: F.coalesce(sum((F.col(f"b{k}") * F.col(f"{s}{k}") for k in range(3)), F.lit(0.0)), F.lit(-1.0))
-    return out.select("qid", "fid", mix("s").alias("u"), mix("t").alias("v"))
+    return out.select("qid", "mesh_id", "fid", mix("s").alias("u"), mix("t").alias("v"))
 
 
 def barycentric_round_trip(mesh: MeshFrame, points: DataFrame) -> DataFrame:

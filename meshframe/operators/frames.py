@@ -67,6 +67,10 @@ class Transform:
     def inverse(self) -> Transform:
         return Transform(np.linalg.inv(self.matrix))
 
+    def is_identity(self, precision: float = 1e-4) -> bool:
+        """Does it move nothing, to this precision? Positions that it was applied to are final."""
+        return bool(np.abs(self.matrix - np.eye(4)).max() <= precision)
+
     def entries(self) -> list[float]:
         return [float(a) for a in self.matrix.ravel()]
 
@@ -80,6 +84,35 @@ class Transform:
         return transformed(vertices, self.entries())
 
 
+def _text(v) -> str:
+    return " ".join(f"{float(a):g}" for a in v)
+
+
+def put_vertex(tree: dict, v) -> dict:
+    """The record with values under x, y and z."""
+    return tree | dict(zip("xyz", map(float, v), strict=True))
+
+
+def add_vertex(trees: list[dict], v) -> list[dict]:
+    """A list of records with one more, of a vertex."""
+    return [*trees, put_vertex({}, v)]
+
+
+def put_named(tree: dict, name: str, v) -> dict:
+    """The record with a child of that name, of a vertex."""
+    return tree | {name: put_vertex({}, v)}
+
+
+def vertex_of(tree: dict) -> tuple[float, float, float]:
+    return tuple(float(tree[a]) for a in "xyz")
+
+
+def named_vertex(tree: dict, name: str) -> tuple[float, float, float] | None:
+    """The vertex of a child, None without one."""
+    child = tree.get(name)
+    return vertex_of(child) if isinstance(child, dict) and all(a in child for a in "xyz") else None
+
+
 @dataclass(frozen=True)
 class Orientation:
     """A normal and an up vector, both of length 1."""
@@ -98,14 +131,16 @@ class Orientation:
         return cls(tuple(_unit(m[:3, 2])), tuple(_unit(m[:3, 1])))
 
     def to_tree(self) -> dict:
-        return {k: dict(zip("xyz", map(float, v), strict=True)) for k, v in (("normal", self.normal), ("up", self.up))}
+        return {k: put_vertex({}, v) for k, v in (("normal", self.normal), ("up", self.up))}
+
+    def __str__(self) -> str:
+        return f"normal {_text(self.normal)}; up {_text(self.up)}"
 
     @classmethod
     def from_tree(cls, tree: dict) -> Orientation | None:
         """None where a vector is absent."""
-        if not all(k in tree and all(a in tree[k] for a in "xyz") for k in ("normal", "up")):
-            return None
-        return cls(*(tuple(tree[k][a] for a in "xyz") for k in ("normal", "up")))
+        have = [named_vertex(tree, k) for k in ("normal", "up")]
+        return None if None in have else cls(*have)
 
 
 @dataclass(frozen=True)
@@ -125,6 +160,19 @@ class Camera:
         if np.linalg.norm(np.cross(np.subtract(self.focus, self.pos), self.up)) < 1e-12:
             raise ValueError("the view runs along the up vector")
 
+    def to_tree(self) -> dict:
+        tree = {k: put_vertex({}, getattr(self, k)) for k in ("pos", "focus", "up")}
+        return tree | {"fov": float(self.fov), "parallel_scale": float(self.parallel_scale)}
+
+    @classmethod
+    def from_tree(cls, tree: dict) -> Camera | None:
+        """None where a vector or a number is absent."""
+        have = {k: named_vertex(tree, k) for k in ("pos", "focus", "up")} | {k: tree.get(k) for k in ("fov", "parallel_scale")}
+        return None if None in have.values() else cls(**have)
+
+    def __str__(self) -> str:
+        return f"position {_text(self.pos)}; focus {_text(self.focus)}; up {_text(self.up)}; field of view {self.fov:g}; parallel scale {self.parallel_scale:g}"
+
     def axes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Right, up and view direction, all of length 1."""
         d = _unit(np.subtract(self.focus, self.pos))
@@ -176,9 +224,12 @@ def pair_sums(source: DataFrame, target: DataFrame, weight: Column | None = None
 
 
 def procrustes(source: DataFrame, target: DataFrame, scale: bool = True, weight: Column | None = None) -> Transform:
-    """The similarity that takes source to target with the least squares; no reflection."""
+    """The similarity that takes source to target with the least squares; no reflection. No
+    common vertices: nothing moves."""
     r = pair_sums(source, target, weight).first()
     n = r["n"]
+    if not n:
+        return Transform()
     s, t = (np.array([r[p + a] for a in "xyz"]) / n for p in "st")
     c = np.array([[r[f"p{a}{b}"] for b in "xyz"] for a in "xyz"]) / n - np.outer(s, t)
     u, d, vt = np.linalg.svd(c)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vec import Vec, angle, field
-from ..plans.iterate import fixpoint, stored
+from ..plans.iterate import discard, fixpoint, stored
 from ..schema import MeshFrame
 from ..sources.meshes import corner_vecs, corners, face_subset
 from .topology import EDGE, boundary_edges, boundary_vertices, dual_edges, edges, half_edges, neighbours, vertex_faces
@@ -78,21 +78,21 @@ def largest_manifolds(mesh: MeshFrame, n: int) -> MeshFrame:
 
 def winding(mesh: MeshFrame) -> tuple[DataFrame, DataFrame]:
     """Consistent windings: mesh_id, fid, root, sign (-1: to be turned over so that a
-    component winds as its least face does), and per component whether it is twisted."""
-    d = stored(dual_edges(mesh.faces).select("mesh_id", F.col("f"), F.col("g"), F.when(F.col("same"), 1).otherwise(-1).alias("s")))
-    comp = stored(components(d.select("mesh_id", F.col("f").alias("a"), F.col("g").alias("b")), mesh.faces.select("mesh_id", F.col("fid").alias("node"))))
-    start = comp.select("mesh_id", F.col("node").alias("fid"), "root", F.when(F.col("node") == F.col("root"), 1).alias("sign"))
-
-    def step(s: DataFrame) -> DataFrame:
-        new = d.join(s.where("sign is not null").select("mesh_id", F.col("fid").alias("f"), "sign"), ["mesh_id", "f"]).groupBy("mesh_id", "g").agg(F.min_by(F.col("s") * F.col("sign"), "f").alias("n"))
-        return s.join(new.withColumnRenamed("g", "fid"), ["mesh_id", "fid"], "left").select("mesh_id", "fid", "root", F.coalesce("sign", "n").alias("sign"))
-
-    signs = fixpoint(start, step, lambda s: (s.where("sign is not null").count(),))
-    a = signs.select("mesh_id", F.col("fid").alias("f"), "root", F.col("sign").alias("p"))
-    b = signs.select("mesh_id", F.col("fid").alias("g"), F.col("sign").alias("q"))
-    clash = d.join(a, ["mesh_id", "f"]).join(b, ["mesh_id", "g"]).groupBy("mesh_id", "root").agg(F.bool_or(F.col("p") * F.col("q") != F.col("s")).alias("twisted"))
-    roots = signs.select("mesh_id", "root").distinct().join(clash, ["mesh_id", "root"], "left")
-    return signs, roots.select("mesh_id", "root", F.coalesce("twisted", F.lit(False)).alias("twisted"))
+    component winds as its least face does), and per component whether it is twisted; then
+    no signs fit and all are 1.
+
+    Each face stands twice, as it is (2 fid) and turned over (2 fid + 1), and faces meet
+    as they wind alike. A component then falls into two halves, or into one if it is
+    twisted; finding them takes a logarithm of rounds."""
+    d = dual_edges(mesh.faces).select("mesh_id", "f", "g", F.when(F.col("same"), 0).otherwise(1).alias("turn"))
+    links = d.select("mesh_id", F.explode(F.array(*[F.struct((2 * F.col("f") + k).alias("a"), (2 * F.col("g") + F.col("turn").bitwiseXOR(F.lit(k))).alias("b")) for k in (0, 1)])).alias("l")).select("mesh_id", "l.*")
+    nodes = mesh.faces.select("mesh_id", F.explode(F.array(2 * F.col("fid"), 2 * F.col("fid") + 1)).alias("node"))
+    c = stored(components(links, nodes))
+    fid = F.shiftright("node", 1)
+    both = c.groupBy("mesh_id", fid.alias("fid")).agg(F.max(F.when(F.col("node") % 2 == 0, F.col("root"))).alias("up"), F.max(F.when(F.col("node") % 2 == 1, F.col("root"))).alias("down"))
+    twisted = F.col("up") == F.col("down")
+    signs = both.select("mesh_id", "fid", F.shiftright("up", 1).alias("root"), F.when(twisted | (F.col("up") % 2 == 0), 1).otherwise(-1).alias("sign"))
+    return signs, both.groupBy("mesh_id", F.shiftright("up", 1).alias("root")).agg(F.bool_or(twisted).alias("twisted"))
 
 
 def boundary_loops(mesh: MeshFrame) -> DataFrame:
@@ -133,28 +133,29 @@ def weighted_edges(mesh: MeshFrame, cost: Callable[[Vec, Vec], Column] | None =
     return e.select("mesh_id", "vid", "nbr", cost(Vec.of("a"), Vec.of("b")).alias("w"))
 
 
-def distances(links: DataFrame, sources: DataFrame, rounds: int = 100_000) -> DataFrame:
+def distances(links: DataFrame, sources: DataFrame) -> DataFrame:
     """links: mesh_id, vid, nbr, w; sources: mesh_id, src. Least cost from each source:
     mesh_id, src, vid, d, prev (of equal costs the least vertex before; null at the source).
     Each round relaxes only from vertices that changed."""
     links = stored(links)
     state = stored(sources.select("mesh_id", "src", F.col("src").alias("vid"), F.lit(0.0).alias("d"), F.lit(None).cast("bigint").alias("prev"), F.lit(True).alias("new")))
-    for _ in range(rounds):
+    while True:
         ahead = state.where("new").select("mesh_id", "src", "vid", "d").join(links, ["mesh_id", "vid"]).select("mesh_id", "src", F.col("nbr").alias("vid"), (F.col("d") + F.col("w")).alias("d"), F.col("vid").alias("prev"), F.lit(True).alias("new"))
         both = state.withColumn("new", F.lit(False)).unionByName(ahead)
         best = F.min(F.struct("d", F.coalesce("prev", F.lit(-1)).alias("p"), "prev", "new")).alias("b")
-        state = stored(both.groupBy("mesh_id", "src", "vid").agg(best).select("mesh_id", "src", "vid", "b.d", "b.prev", "b.new"))
+        last, state = state, stored(both.groupBy("mesh_id", "src", "vid").agg(best).select("mesh_id", "src", "vid", "b.d", "b.prev", "b.new"))
+        discard(last)
         if not state.where("new").take(1):
             break
     return state.drop("new")
 
 
-def paths(reached: DataFrame, pairs: DataFrame, rounds: int = 100_000) -> DataFrame:
+def paths(reached: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs: mesh_id, src, dst. The vertices from dst back to src: mesh_id, src, dst, back, vid."""
     step = stored(pairs.select("mesh_id", "src", "dst", F.lit(0).cast("bigint").alias("back"), F.col("dst").alias("vid")))
     step = stored(step.join(reached.select("mesh_id", "src", "vid"), ["mesh_id", "src", "vid"], "left_semi"))
     out = step
-    for _ in range(rounds):
+    while True:
         step = stored(step.join(reached, ["mesh_id", "src", "vid"]).where("prev is not null").select("mesh_id", "src", "dst", (F.col("back") + 1).alias("back"), F.col("prev").alias("vid")))
         if not step.take(1):
             break

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vec import Vec, affine, angle, face_vector, field
+from ..functions.vec import Vec, affine, angle, face_vector, field, givens
 from ..plans.iterate import fixpoint, stored
 from ..schema import MeshFrame
 from ..sources.meshes import corner_vecs, corners
@@ -57,6 +57,23 @@ def box_union(boxes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return boxes.groupBy(*by).agg(*[f(f"{n}_{a}").alias(f"{n}_{a}") for a in "xyz" for f, n in ((F.min, "min"), (F.max, "max"))])
 
 
+def framed_boxes(boxes: DataFrame, matrix: Sequence[float]) -> DataFrame:
+    """Boxes that stand in the frame of a matrix: lo_* and hi_* are where their least and
+    greatest corner are outside, ext_min_* and ext_max_* the straight box about all eight."""
+    at = lambda *s: affine(matrix, Vec(*(F.col(f"{n}_{a}") for n, a in zip(s, "xyz", strict=True))))
+    eight = [at(i, j, k) for i in ("min", "max") for j in ("min", "max") for k in ("min", "max")]
+    out = {f"{n}_{a}": c for n, v in (("lo", eight[0]), ("hi", eight[7])) for a, c in zip("xyz", v, strict=True)}
+    for axis, a in enumerate("xyz"):
+        out[f"ext_min_{a}"], out[f"ext_max_{a}"] = (f(*[tuple(v)[axis] for v in eight]) for f in (F.least, F.greatest))
+    return boxes.withColumns(out)
+
+
+def fixed_boxes(boxes: DataFrame, matrix: Sequence[float]) -> DataFrame:
+    """The same boxes with their two corners, as they are outside, for good."""
+    f = framed_boxes(boxes, matrix)
+    return f.select(*[F.col(f"{'lo' if c.startswith('min_') else 'hi'}_{c[-1]}").alias(c) if c[:4] in ("min_", "max_") and c[4:] in ("x", "y", "z") else F.col(c) for c in boxes.columns])
+
+
 def boxes_overlap(a: str, b: str) -> Column:
     """Do the closed boxes of two aliases meet?"""
     tests = [(F.col(f"{a}.min_{c}") <= F.col(f"{b}.max_{c}")) & (F.col(f"{b}.min_{c}") <= F.col(f"{a}.max_{c}")) for c in "xyz"]
@@ -90,7 +107,9 @@ def axes_to_rotation(vectors: np.ndarray) -> np.ndarray:
 
 def curvature(mesh: MeshFrame) -> DataFrame:
     """Principal curvatures of each vertex from the tensor sum of w k T T' over its ring,
-    read off the diagonal in the tangent frame: mesh_id, vid, nx, ny, nz, kp1, kp2."""
+    read off the diagonal in the tangent frame, and the frame's axes turned by the rotation
+    that takes that diagonal to its first axis: mesh_id, vid, nx, ny, nz, kp1, kp2, d1x, d1y,
+    d1z, d2x, d2y, d2z."""
     g = stored(face_geometry(mesh).select("mesh_id", "fid", "v0", "v1", "v2", "n", "area"))
     h = half_edges(mesh.faces).select(*EDGE, "fid").join(g.select("mesh_id", "fid", "area"), ["mesh_id", "fid"])
     s_edge = h.groupBy(*EDGE).agg(F.sum("area").alias("s_e"))
@@ -117,8 +136,28 @@ def curvature(mesh: MeshFrame) -> DataFrame:
         c = F.col
         return c("xx") * q.x * q.x + c("yy") * q.y * q.y + c("zz") * q.z * q.z + 2 * (c("xy") * q.x * q.y + c("xz") * q.x * q.z + c("yz") * q.y * q.z)
 
-    a, b = form(q2), form(q3)
-    return m.select("mesh_id", "vid", "nx", "ny", "nz", (3 * a - b).alias("kp1"), (3 * b - a).alias("kp2"))
+    m = m.select("*", form(q2).alias("fa"), form(q3).alias("fb"))
+    a, b = F.col("fa"), F.col("fb")
+    m = m.select("*", givens(a, b).alias("g"))
+    c, s = F.col("g.c"), F.col("g.s")
+    first, second = q2 * c - q3 * s, q2 * s + q3 * c
+    return m.select("mesh_id", "vid", "nx", "ny", "nz", (3 * a - b).alias("kp1"), (3 * b - a).alias("kp2"), *first.columns("d1"), *second.columns("d2"))
+
+
+def moved_curvature(mesh: MeshFrame, curved: DataFrame, updates: DataFrame) -> tuple[MeshFrame, DataFrame]:
+    """updates: mesh_id, vid, x, y, z. The mesh with some vertices moved, and its
+    ``curvature``, worked out again for these vertices and their rings only."""
+    from .edit import move
+
+    out = mesh.with_(vertices=move(mesh.vertices, updates))
+    here = updates.select("mesh_id", "vid").distinct()
+    ring = neighbours(mesh.faces).join(here, ["mesh_id", "vid"], "left_semi").select("mesh_id", F.col("nbr").alias("vid"))
+    touched = stored(here.unionByName(ring).distinct())
+    flat = mesh.faces.select("mesh_id", "fid", F.explode(F.array("v0", "v1", "v2")).alias("vid"))
+    near = flat.join(touched, ["mesh_id", "vid"], "left_semi").select("mesh_id", "fid").distinct()
+    part = out.with_(faces=mesh.faces.join(near, ["mesh_id", "fid"], "left_semi"))
+    new = curvature(part).join(touched, ["mesh_id", "vid"], "left_semi")
+    return out, curved.join(touched, ["mesh_id", "vid"], "left_anti").select(*new.columns).unionByName(new)
 
 
 def curvature_metrics(mesh: MeshFrame, curved: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -134,11 +173,11 @@ def curvature_metrics(mesh: MeshFrame, curved: DataFrame) -> tuple[DataFrame, Da
     return face, vertex
 
 
-def front(mesh: MeshFrame, rounds: int = 100) -> DataFrame:
+def front(mesh: MeshFrame) -> DataFrame:
     """The faces of a mesh's front: from all faces, those stay whose normals are near the
     mean (within twice the standard deviation) and whose centres lie before the mean
     position, until none go. Returns mesh_id, fid, unit, centre."""
-    return fixpoint(front_state(mesh), front_round, lambda d: tuple(d.agg(F.count("*"), F.sum("fid")).first()), rounds)
+    return fixpoint(front_state(mesh), front_round, lambda d: tuple(d.agg(F.count("*"), F.sum("fid")).first()))
 
 
 def front_state(mesh: MeshFrame) -> DataFrame:

@@ -85,8 +85,9 @@ def closest_surface_point(queries: DataFrame, mesh: MeshFrame, width: float, rou
     left, out = queries.select("qid", *Vec.of().columns()), None
     box = mesh.vertices.agg(*[F.min(a) for a in "xyz"], *[F.max(a) for a in "xyz"]).first()
     q = left.agg(*[F.min(a) for a in "xyz"], *[F.max(a) for a in "xyz"]).first()
-    if box[0] is None or q[0] is None:
-        raise ValueError("closest_surface_point needs vertices and queries")
+    if box[0] is None or q[0] is None or not mesh.faces.take(1):  # nothing to find, or nothing to look for
+        none = queries.limit(0).select("qid", F.lit(None).cast("bigint").alias("fid"), F.lit("").alias("part"), F.lit(0.0).alias("d2"), *Vec.of().columns())
+        return none
     reach = max(max(abs(box[3 + i] - q[i]), abs(q[3 + i] - box[i])) for i in range(3)) + 1e-9
     while True:
         last = width > reach or rounds <= 0
@@ -110,6 +111,8 @@ def ray_cast(rays: DataFrame, mesh: MeshFrame, width: float) -> DataFrame:
     the place; rays that miss give no row. Faces and rays meet on columns of cells along
     the ray's main axis (rays are cut into steps of a cell over the mesh's box)."""
     b = mesh.vertices.agg(*[F.min(a) for a in "xyz"], *[F.max(a) for a in "xyz"]).first()
+    if b[0] is None:
+        return rays.limit(0).select("qid", F.lit(None).cast("bigint").alias("fid"), F.lit(0.0).alias("t"), *Vec.of().columns())
     o, u = Vec.of(), Vec.of("u")
     # where the ray is inside the box of the mesh
     t0, t1 = F.lit(0.0), F.lit(float("inf"))

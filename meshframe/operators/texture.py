@@ -39,9 +39,47 @@ def remove_materials(mesh: MeshFrame, ids: DataFrame | None = None) -> MeshFrame
 
 
 def copy_materials(materials: DataFrame, other: DataFrame) -> DataFrame:
-    """Another mesh's materials beside one's own, under ids that follow."""
-    top = materials.groupBy("mesh_id").agg((F.max("mid") + 1).alias("_t"))
-    return materials.unionByName(other.join(top, "mesh_id", "left").withColumn("mid", F.col("mid") + F.coalesce("_t", F.lit(0))).select(*materials.columns))
+    """Another mesh's materials under their own ids; they take the place of materials that
+    have these ids already."""
+    kept = materials.join(other.select("mesh_id", "mid").distinct(), ["mesh_id", "mid"], "left_anti")
+    return kept.select(*materials.columns).unionByName(other.select(*materials.columns))
+
+
+def corner_uvs(mesh: MeshFrame) -> DataFrame:
+    """The UVs of textured corners: mesh_id, mid, fid, slot, vid, u, v."""
+    ids = mesh.face_uvs.select("mesh_id", "mid", "fid", F.posexplode(F.array("uv0", "uv1", "uv2")).alias("slot", "uvid"))
+    at = mesh.faces.select("mesh_id", "fid", F.posexplode(F.array("v0", "v1", "v2")).alias("slot", "vid"))
+    return ids.join(mesh.uvs, ["mesh_id", "mid", "uvid"]).join(at, ["mesh_id", "fid", "slot"]).select("mesh_id", "mid", "fid", "slot", "vid", "u", "v")
+
+
+def textured(mesh: MeshFrame) -> bool:
+    return mesh.uvs is not None and mesh.face_uvs is not None
+
+
+def with_corner_uvs(mesh: MeshFrame, corners: DataFrame) -> MeshFrame:
+    """The mesh with new UV tables, from a row per corner as ``set_face_uvs`` takes them."""
+    uvs, face_uvs = set_face_uvs(corners.select("mesh_id", "mid", "fid", "slot", "u", "v"))
+    return mesh.with_(uvs=uvs, face_uvs=face_uvs)
+
+
+def used_uvs(mesh: MeshFrame) -> MeshFrame:
+    """Without UVs of faces that are gone, and without UVs that no face has."""
+    if not textured(mesh):
+        return mesh
+    f = mesh.face_uvs.join(mesh.faces.select("mesh_id", "fid"), ["mesh_id", "fid"], "left_semi").select(*mesh.face_uvs.columns)
+    used = f.select("mesh_id", "mid", F.explode(F.array("uv0", "uv1", "uv2")).alias("uvid")).distinct()
+    return mesh.with_(face_uvs=f, uvs=mesh.uvs.join(used, ["mesh_id", "mid", "uvid"], "left_semi").select(*mesh.uvs.columns))
+
+
+def draped(mesh: MeshFrame, cells: DataFrame, rows: int, cols: int, texture: DataFrame) -> MeshFrame:
+    """A height map under one image. cells: mesh_id, vid, i, j, the grid place of each
+    vertex in a grid of rows x cols; texture: mesh_id, rows, cols, texture. All materials
+    go; u runs along columns and v along rows, as fractions."""
+    bare = remove_materials(mesh) if mesh.materials is not None else mesh
+    image = add_material(texture.limit(0).select("mesh_id", F.lit(0).cast("bigint").alias("mid"), "rows", "cols", "texture"), texture)
+    at = mesh.faces.select("mesh_id", "fid", F.posexplode(F.array("v0", "v1", "v2")).alias("slot", "vid")).join(cells, ["mesh_id", "vid"])
+    corners = at.select("mesh_id", F.lit(0).cast("bigint").alias("mid"), "fid", "slot", (F.col("j") / cols).alias("u"), (F.col("i") / rows).alias("v"))
+    return with_corner_uvs(bare.with_(materials=image), corners)
 
 
 def atlas(materials: DataFrame) -> DataFrame:

@@ -128,8 +128,9 @@ def remove_faces(mesh: MeshFrame, ids: DataFrame, orphans: bool = False) -> Mesh
     """Without some faces (and their UVs); vertices stay unless ``orphans`` go."""
     gone = ids.select("mesh_id", "fid").distinct()
     f = mesh.faces.join(gone, ["mesh_id", "fid"], "left_anti")
-    uvs = mesh.face_uvs.join(gone, ["mesh_id", "fid"], "left_anti") if mesh.face_uvs is not None else None
-    return mesh.with_(faces=f, face_uvs=uvs, vertices=used_vertices(mesh.vertices, f) if orphans else mesh.vertices)
+    from .texture import used_uvs
+
+    return used_uvs(mesh.with_(faces=f, vertices=used_vertices(mesh.vertices, f) if orphans else mesh.vertices))
 
 
 def remove_edges(mesh: MeshFrame, pairs: DataFrame) -> MeshFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import fixtures as X
 from .functions import vec
 from .functions.vec import Vec
-from .operators import edit, frames, graph, kernels, measure, spatial, texture, topology
+from .operators import edit, frames, graph, kernels, measure, spatial, surface, texture, topology
 from .schema import MeshFrame
 from .sources import meshes
 
@@ -52,6 +52,7 @@ def _grid(where: str = "", name: str = "") -> str:
 
 
 GRID = "WITH " + _grid()
+TERRAIN = GRID.replace("CAST(round(l_discount*100) AS INT) i", "CAST(l_orderkey//40 AS INT) i")
 PERFORATED = "WITH " + _grid("WHERE (i*31+j*17)%11 <> 0")
 STRIPS = "WITH " + _grid("WHERE j NOT IN (24,25)")
 RECURSIVE_STRIPS = "WITH RECURSIVE " + _grid("WHERE j NOT IN (24,25)")
@@ -180,9 +181,23 @@ def boundary_vertices(spark, d):
     return topology.boundary_vertices(X.perforated(spark, d).faces).select("vid")
 
 
-@query("SELECT CAST(mesh_id AS BIGINT) mesh_id, CAST(u AS BIGINT) u, CAST(w AS BIGINT) w, CAST(n AS BIGINT) nfaces FROM (VALUES (4,0,1,3),(4,0,2,1),(4,1,2,1),(4,0,3,1),(4,1,3,1),(4,0,4,1),(4,1,4,1)) t(mesh_id,u,w,n)")
+def _finned(spark, d) -> MeshFrame:
+    """The grid with a fin of one face on the first edge of every tenth face."""
+    m = X.grid(spark, d)
+    f = m.faces.where("fid % 10 = 0")
+    p = m.vertices.select("mesh_id", F.col("vid").alias("v0"), "x", "y", "z").join(f.select("mesh_id", "fid", "v0"), ["mesh_id", "v0"])
+    v = p.select("mesh_id", (F.col("fid") + 2_000_000).alias("vid"), "x", "y", (F.col("z") + 500).alias("z"))
+    fins = f.select("mesh_id", (F.col("fid") + 1_000_000).alias("fid"), "v0", "v1", (F.col("fid") + 2_000_000).alias("v2"))
+    return m.with_(vertices=m.vertices.unionByName(v), faces=m.faces.unionByName(fins))
+
+
+_FINS = GRID + """, g AS (SELECT u, w FROM fe UNION ALL SELECT least(v0,v1), greatest(v0,v1) FROM f WHERE fid%10=0 UNION ALL SELECT v0, fid+2000000 FROM f WHERE fid%10=0 UNION ALL SELECT v1, fid+2000000 FROM f WHERE fid%10=0),
+ gn AS (SELECT u, w, CAST(count(*) AS BIGINT) nfaces FROM g GROUP BY u, w)"""
+
+
+@query(_FINS + " SELECT u, w, nfaces FROM gn WHERE nfaces <> 2")
 def irregular_edges(spark, d):
-    return topology.irregular_edges(X.literal(spark, "cube", "book").faces).select("mesh_id", "u", "w", "nfaces")
+    return topology.irregular_edges(_finned(spark, d).faces).select("u", "w", "nfaces")
 
 
 @query(GRID + " SELECT p.u, p.w, p.fid f, q.fid g, p.a <> q.a AS same FROM fe p JOIN fe q ON p.u=q.u AND p.w=q.w AND p.fid<>q.fid")
@@ -406,11 +421,12 @@ def ray_cast(spark, d):
 
 # --- editing -------------------------------------------------------------------------
 
-@query(GRID + CORNERS + " SELECT fid qid, CAST(round(CAST(1 AS DOUBLE)/3,6) AS DOUBLE) b0, CAST(round(CAST(1 AS DOUBLE)/3,6) AS DOUBLE) b1, CAST(round(CAST(1 AS DOUBLE)/3,6) AS DOUBLE) b2, round((x0+x1+x2)/3,6)+0.0 x, round((y0+y1+y2)/3,6)+0.0 y, round((z0+z1+z2)/3,6)+0.0 z FROM k")
+@query(GRID + CORNERS + ", b AS (SELECT *, (fid%7+1)/16.0 b0, (fid%5+1)/16.0 b1 FROM k), w AS (SELECT *, 1-b0-b1 b2 FROM b) SELECT fid qid, CAST(b0 AS DOUBLE) b0, CAST(b1 AS DOUBLE) b1, CAST(b2 AS DOUBLE) b2, round(b0*x0+b1*x1+b2*x2,6)+0.0 x, round(b0*y0+b1*y1+b2*y2,6)+0.0 y, round(b0*z0+b1*z1+b2*z2,6)+0.0 z FROM w")
 def barycentric_roundtrip(spark, d):
     m = X.grid(spark, d)
+    u, v = ((F.col("fid") % k + 1) / 16 for k in (7, 5))
     a, b, c = meshes.corner_vecs()
-    p = meshes.corners(m.vertices, m.faces).select("mesh_id", "fid", F.col("fid").alias("qid"), *((a + b + c) * (1 / 3)).columns())
+    p = meshes.corners(m.vertices, m.faces).select("mesh_id", "fid", F.col("fid").alias("qid"), *(a * u + b * v + c * (1 - u - v)).columns())
     return edit.barycentric_round_trip(m, p).select("qid", *[r(f"b{k}").alias(f"b{k}") for k in range(3)], *xyz())
 
 
@@ -645,11 +661,16 @@ def saddle_edges(spark, d):
 
 # --- without SQL: sequential kernels, checked by tests ----------------------------------
 
-@query("SELECT CAST(8 AS BIGINT) mesh, CAST(count(*) AS BIGINT) n_faces FROM range(2)")
+_LOOPS = RECURSIVE_PERFORATED + """, b AS (SELECT u, w FROM e WHERE n=1), l AS (SELECT u a, w b FROM b UNION ALL SELECT w, u FROM b), re(a, r) AS (SELECT DISTINCT a, a FROM l UNION SELECT l.b, re.r FROM re JOIN l ON l.a=re.a),
+ c AS (SELECT a, min(r) root FROM re GROUP BY a), lo AS (SELECT root, CAST(count(*) AS BIGINT) n FROM b JOIN c ON c.a=b.u GROUP BY root), lk AS (SELECT *, row_number() OVER (ORDER BY n DESC, root)-1 k FROM lo)"""
+
+
+@query(_LOOPS + " SELECT root first, n-2 n_faces FROM lk WHERE k > 0")
 def fill_holes(spark, d):
-    m = X.literal(spark, "ring")
-    loops = graph.ordered_loops(m).join(m.vertices.where("vid = 4").select("mesh_id", F.col("vid").alias("loop")), ["mesh_id", "loop"])
-    return kernels.fill_holes(m, loops).groupBy().agg(F.count("*").alias("n_faces")).select(F.lit(8).cast("bigint").alias("mesh"), "n_faces")
+    """Closes every loop of the perforated grid but the outer one, the longest."""
+    m = X.grid(spark, d, (F.col("i") * 31 + F.col("j") * 17) % 11 != 0, "consistent")
+    new = kernels.fill_holes(m, kernels.split_loops(m).where("loop > 0"))
+    return new.groupBy("loop").agg(F.min(F.least("v0", "v1", "v2")).alias("first"), F.count("*").alias("n_faces")).select("first", "n_faces")
 
 
 @query()
@@ -664,7 +685,14 @@ def remesh_samples(spark, d):
     return kernels.remesh(m, m.vertices.where("vid = 1").select("mesh_id", F.col("vid").alias("src")), 8).select("vid", "label", r("t").alias("t"))
 
 
-@query()
+def _farthest(n: int) -> str:
+    out = "s0 AS (SELECT *, CAST(1 AS BIGINT) AS label, (x-(SELECT x FROM v WHERE vid=1))^2+(y-(SELECT y FROM v WHERE vid=1))^2+(z-(SELECT z FROM v WHERE vid=1))^2 d2 FROM v)"
+    for k in range(1, n):
+        out += f", p{k} AS (SELECT vid s, x sx, y sy, z sz FROM s{k - 1} ORDER BY d2 DESC, vid LIMIT 1), s{k} AS (SELECT vid, x, y, z, CASE WHEN (x-sx)^2+(y-sy)^2+(z-sz)^2 < d2 THEN s ELSE label END AS label, least(d2, (x-sx)^2+(y-sy)^2+(z-sz)^2) d2 FROM s{k - 1}, p{k})"
+    return f", {out} SELECT vid, label, round(d2,6)+0.0 d2 FROM s{n - 1}"
+
+
+@query(GRID + _farthest(6))
 def farthest_samples(spark, d):
     return graph.farthest_samples(X.grid(spark, d).vertices, 1, 6).select("vid", "label", r("d2").alias("d2"))
 
@@ -691,7 +719,7 @@ def unfolded_strip(spark, d):
     return kernels.unfold_strips(m, s).select("vid", r("u").alias("u"), r("v").alias("v"))
 
 
-@query()
+@query(_LOOPS + ' SELECT CAST(k AS BIGINT) AS "loop", n FROM lk')
 def split_boundary_loops(spark, d):
     return kernels.split_loops(X.grid(spark, d, (F.col("i") * 31 + F.col("j") * 17) % 11 != 0, "consistent")).groupBy("loop").agg(F.count("*").alias("n"))
 
@@ -702,7 +730,7 @@ def bending_energy(spark, d):
     return kernels.bending_energies(p.select(F.col("mesh_id").alias("pid"), "vid", "x", "y", "z", (F.col("x") * 2).alias("tx"), (F.col("y") + F.col("x") * F.col("x")).alias("ty"), F.col("z").alias("tz"))).select("pid", r("energy").alias("energy"))
 
 
-@query()
+@query(GRID + " SELECT least(v0,v1,v2) v0, v0+v1+v2-least(v0,v1,v2)-greatest(v0,v1,v2) v1, greatest(v0,v1,v2) v2 FROM f")
 def faces_from_edges(spark, d):
     e = topology.edges(X.grid(spark, d).faces)
     return kernels.faces_from_edges(e.select("mesh_id", F.col("u").alias("x"), F.col("w").alias("y"))).select("v0", "v1", "v2")
@@ -769,10 +797,11 @@ def remove_materials(spark, d):
     return texture.remove_materials(m, spark.createDataFrame([(0, 1)], "mesh_id bigint, mid bigint")).face_uvs.select("fid")
 
 
-@query("SELECT CAST(m AS BIGINT) mid, CAST(n AS BIGINT) n FROM (VALUES (0,3),(1,3),(2,7),(3,7)) t(m,n)")
+@query("SELECT CAST(n_nationkey+k*10 AS BIGINT) mid, CAST(CASE WHEN k=1 THEN 100 ELSE 0 END+n_nationkey AS BIGINT) n FROM nation, (SELECT unnest([0,1]) k) t WHERE k=1 OR n_nationkey < 10")
 def copy_materials(spark, d):
-    one = lambda n: spark.createDataFrame([(0, 0, n, 2, None), (0, 1, n, 2, None)], "mesh_id bigint, mid bigint, rows int, cols int, texture binary")
-    return texture.copy_materials(one(3), one(7)).select("mid", F.col("rows").cast("bigint").alias("n"))
+    n = spark.read.parquet(f"{d}/nation.parquet")
+    one = lambda first, more: n.select(F.lit(0).cast("bigint").alias("mesh_id"), (F.col("n_nationkey") + first).cast("bigint").alias("mid"), (F.col("n_nationkey") + more).cast("int").alias("rows"), F.lit(2).alias("cols"), F.lit(None).cast("binary").alias("texture"))
+    return texture.copy_materials(one(0, 0), one(10, 100)).select("mid", F.col("rows").cast("bigint").alias("n"))
 
 
 @query(GRID + " SELECT CASE WHEN v0//1000 <= 5 THEN 0 ELSE 1 END AS manifold, CAST(count(*) AS BIGINT) n FROM f GROUP BY 1")
@@ -810,12 +839,202 @@ def planar_path_on_a_plane(spark, d):
     return kernels.planar_paths(m.with_(vertices=m.vertices.withColumn("z", F.lit(0.0))), flat).select("qid", r("length").alias("length"))
 
 
-@query()
+@query(GRID + CORNERS + "," + CLOUD[5:] + """, q AS (SELECT vid qid, CAST(CASE WHEN vid%2=0 THEN 5025 ELSE 3010 END AS BIGINT) spot, x*40+25 qx, y*8+5 qy, z*20+50 qz FROM p),
+ s AS (SELECT qid, fid, (x0+x1+x2)/3-v.x ax, (y0+y1+y2)/3-v.y ay, (z0+z1+z2)/3-v.z az, qx-v.x bx, qy-v.y by_, qz-v.z bz FROM q JOIN v ON v.vid=spot JOIN k ON spot IN (v0,v1,v2))
+ SELECT qid, fid FROM (SELECT qid, fid, row_number() OVER (PARTITION BY qid ORDER BY (ax*bx+ay*by_+az*bz)/sqrt(ax*ax+ay*ay+az*az)/sqrt(bx*bx+by_*by_+bz*bz) DESC, fid) n FROM s) t WHERE n = 1""")
 def aligned_faces(spark, d):
     p = X.all_probes(spark, d).withColumn("vid", F.when(F.col("qid") % 2 == 0, 5025).otherwise(3010).cast("bigint"))
     return spatial.aligned_faces(p, X.grid(spark, d)).select("qid", "fid")
 
 
+# --- a mesh that grows with the tables -----------------------------------------------
+
+@query(TERRAIN + CORNERS + """ SELECT CAST((SELECT count(*) FROM v) AS BIGINT) n_v, CAST((SELECT count(*) FROM f) AS BIGINT) n_f, CAST(count(*) AS BIGINT) n_e,
+ CAST(sum(CASE WHEN n=1 THEN 1 ELSE 0 END) AS BIGINT) n_boundary, round((SELECT sum(sqrt(nx*nx+ny*ny+nz*nz))/2 FROM fv),4) area FROM e""")
+def terrain_summary(spark, d):
+    return topology.summary(X.terrain(spark, d)).select("n_v", "n_f", "n_e", "n_boundary", r("area", 4).alias("area"))
+
+
+@query(TERRAIN + CORNERS + _CURVED + " SELECT vid, " + rr("kp1", "kp2") + " FROM cu")
+def terrain_curvature(spark, d):
+    return measure.curvature(X.terrain(spark, d)).select("vid", r("kp1").alias("kp1"), r("kp2").alias("kp2"))
+
+
+@query(TERRAIN + " SELECT DISTINCT unnest([u,w]) vid FROM e WHERE n=1")
+def terrain_boundary(spark, d):
+    return topology.boundary_vertices(X.terrain(spark, d).faces).select("vid")
+
+
+@query(TERRAIN + CORNERS + " SELECT fid*4+k fid, round(area/4,6)+0.0 area FROM (SELECT fid, unnest([0,1,2,3]) k, sqrt(nx*nx+ny*ny+nz*nz)/2 area FROM fv) t")
+def terrain_subdivide(spark, d):
+    return measure.face_geometry(edit.split_midpoints(X.terrain(spark, d))).select("fid", r("area").alias("area"))
+
+
+# --- UVs through edits ---------------------------------------------------------------
+
+#: u and v of a corner k of a face of the textured grid
+_UV = "round(x{0}/50,6)+0.0 u{0}, round(y{0}/10,6)+0.0 v{0}"
+
+
+def _corner_rows(m: MeshFrame) -> DataFrame:
+    return texture.corner_uvs(m).select("fid", F.col("slot").cast("bigint").alias("slot"), "vid", r("u").alias("u"), r("v").alias("v"))
+
+
+_CORNER = "(SELECT fid, slot, a AS vid FROM fe) c JOIN v USING (vid)"
+
+
+@query(GRID + f" SELECT fid, CAST(CASE WHEN fid%2=0 THEN 2-slot ELSE slot END AS BIGINT) slot, vid, round(x/50,6)+0.0 u, round(y/10,6)+0.0 v FROM {_CORNER} WHERE fid%5<>0")
+def turned_uvs(spark, d):
+    m = _textured(spark, d)
+    return _corner_rows(edit.turned(m, m.faces.where("fid % 2 = 0")))
+
+
+@query(GRID + CORNERS + """, t AS (SELECT *, unnest([0,1,2]) q FROM k WHERE fid%5<>0), o AS (SELECT fid*3+q fid, CASE q WHEN 0 THEN [x0,x1,(x0+x1+x2)/3] WHEN 1 THEN [x1,x2,(x0+x1+x2)/3] ELSE [x2,x0,(x0+x1+x2)/3] END xs,
+ CASE q WHEN 0 THEN [y0,y1,(y0+y1+y2)/3] WHEN 1 THEN [y1,y2,(y0+y1+y2)/3] ELSE [y2,y0,(y0+y1+y2)/3] END ys FROM t)
+ SELECT fid, CAST(unnest([0,1,2]) AS BIGINT) slot, round(unnest(xs)/50,6)+0.0 u, round(unnest(ys)/10,6)+0.0 v FROM o""")
+def subdivided_uvs(spark, d):
+    return _corner_rows(edit.subdivided(_textured(spark, d))).drop("vid")
+
+
+@query(GRID + """, g AS (SELECT vid d, vid-1001 a, vid-1 b, vid-1000 c FROM v WHERE vid IN (SELECT v0 FROM f)), h AS (SELECT * FROM g WHERE (2*d)%5<>0 AND (2*d+1)%5<>0),
+ t AS (SELECT least(d,b,c) p, greatest(d,b,c) q, unnest([d,b,c]) vid FROM h UNION ALL SELECT least(a,b,c), greatest(a,b,c), unnest([a,b,c]) FROM h)
+ SELECT p, q, vid, round(x/50,6)+0.0 u, round(y/10,6)+0.0 v FROM t JOIN v USING (vid)""")
+def flipped_uvs(spark, d):
+    m = _textured(spark, d)
+    out = edit.flipped_mesh(m, topology.edges(m.faces).where("w - u = 1001"))
+    ends = out.faces.select("fid", F.least("v0", "v1", "v2").alias("p"), F.greatest("v0", "v1", "v2").alias("q"))
+    return _corner_rows(out).join(ends, "fid").select("p", "q", "vid", "u", "v")
+
+
+@query(GRID + ", n AS (SELECT fid, row_number() OVER (ORDER BY fid)-1 k FROM f), m AS (SELECT vid, row_number() OVER (ORDER BY vid)-1 nv FROM v)" + f" SELECT CAST(k AS BIGINT) fid, CAST(slot AS BIGINT) slot, CAST(nv AS BIGINT) vid, round(x/50,6)+0.0 u, round(y/10,6)+0.0 v FROM {_CORNER} JOIN n USING (fid) JOIN m USING (vid) WHERE fid%5<>0")
+def repacked_uvs(spark, d):
+    return _corner_rows(meshes.repacked(_textured(spark, d)))
+
+
+@query(GRID + f" SELECT x+100*k x, y, round(x/50+k,6)+0.0 u, round(y/10,6)+0.0 v, CAST(count(*) AS BIGINT) n FROM {_CORNER}, (SELECT unnest([0,1]) k) t WHERE fid%5<>0 GROUP BY ALL")
+def union_uvs(spark, d):
+    m = _textured(spark, d)
+    far = m.with_(vertices=m.vertices.withColumn("x", F.col("x") + 100), uvs=m.uvs.withColumn("u", F.col("u") + 1))
+    both = meshes.union(m, far)
+    rows = texture.corner_uvs(both).join(both.vertices, ["mesh_id", "vid"])
+    return rows.groupBy("x", "y", r("u").alias("u"), r("v").alias("v")).agg(F.count("*").alias("n"))
+
+
+@query(GRID + " SELECT DISTINCT unnest([v0,v1,v2]) uvid FROM f WHERE fid%5<>0 AND fid%3=0")
+def subset_uvs(spark, d):
+    m = _textured(spark, d)
+    return meshes.face_subset(m, m.faces.where("fid % 3 = 0")).uvs.select("uvid")
+
+
+@query(GRID + f" SELECT fid, CAST(slot AS BIGINT) slot, vid, round(j/50.0,6)+0.0 u, round(i/11.0,6)+0.0 v FROM {_CORNER}")
+def draped_uvs(spark, d):
+    m = X.grid(spark, d)
+    image = spark.createDataFrame([(0, 11, 50, b"")], "mesh_id bigint, rows int, cols int, texture binary")
+    cells = m.vertices.select("mesh_id", "vid", F.floor(F.col("vid") / 1000).alias("i"), (F.col("vid") % 1000).alias("j"))
+    return _corner_rows(texture.draped(m, cells, 11, 50, image))
+
+
+# --- frames, planes and curvature ----------------------------------------------------
+
+@query(GRID + CORNERS + _CURVED[: _CURVED.index(" cu AS")].rstrip(",\n ") + """, gv AS (SELECT h3.vid, ca, cb, sqrt(ca*ca+cb*cb) gr, q2x, q2y, q2z, q3x, q3y, q3z FROM h3 JOIN h4 USING (vid)), gd AS (SELECT *, ca/gr gc, -cb/gr gs FROM gv WHERE gr > 1e-6)
+ SELECT vid, round(gc*q2x-gs*q3x,4)+0.0 d1x, round(gc*q2y-gs*q3y,4)+0.0 d1y, round(gc*q2z-gs*q3z,4)+0.0 d1z, round(gs*q2x+gc*q3x,4)+0.0 d2x, round(gs*q2y+gc*q3y,4)+0.0 d2y, round(gs*q2z+gc*q3z,4)+0.0 d2z FROM gd""")
+def principal_directions(spark, d):
+    c = measure.curvature(X.grid(spark, d))
+    flat = F.hypot((3 * F.col("kp1") + F.col("kp2")) / 8, (F.col("kp1") + 3 * F.col("kp2")) / 8) > 1e-6  # the tensor's diagonal
+    return c.where(flat).select("vid", *[r(f"d{k}{a}", 4).alias(f"d{k}{a}") for k in (1, 2) for a in "xyz"])
+
+
+@query(GRID.replace("AS DOUBLE) y, z FROM", "AS DOUBLE) y, CASE WHEN i=5 AND j IN (20,25) THEN z+3 ELSE z END z FROM") + CORNERS + _CURVED + " SELECT vid, " + rr("kp1", "kp2") + " FROM cu")
+def moved_curvature(spark, d):
+    m = X.grid(spark, d)
+    up = m.vertices.where("vid in (5020, 5025)").withColumn("z", F.col("z") + 3)
+    return measure.moved_curvature(m, measure.curvature(m), up)[1].select("vid", r("kp1").alias("kp1"), r("kp2").alias("kp2"))
+
+
+@query(CLOUD + """, t AS (SELECT a.vid, a.x ax, a.y ay, a.z az, b.x bx, b.y by_, b.z bz, c.x cx, c.y cy, c.z cz FROM p a JOIN p b ON b.vid=a.vid+1 JOIN p c ON c.vid=a.vid+2),
+ u AS (SELECT *, sqrt(ax*ax+ay*ay) r, ax*bx+ay*by_+az*bz ab, bx*bx+by_*by_+bz*bz bb, bx*cx+by_*cy+bz*cz bc FROM t)
+ SELECT vid, round(ax/r,6)+0.0 c, round(-ay/r,6)+0.0 s, round(r,6)+0.0 r, round(ax-bx*(ab-bb)/bb,6)+0.0 px, round(ay-by_*(ab-bb)/bb,6)+0.0 py, round(az-bz*(ab-bb)/bb,6)+0.0 pz, round((ab-bb)/sqrt(bb),6)+0.0 dist,
+ least(ax,bx) lx, greatest(ax,bx) hx, least(ay,by_) ly, greatest(ay,by_) hy, least(az,bz) lz, greatest(az,bz) hz, round(ax+(bx-ax)/3,6)+0.0 mx, round(ay+(by_-ay)/3,6)+0.0 my, round(az+(bz-az)/3,6)+0.0 mz FROM u""")
+def plane_geometry(spark, d):
+    """Rotations, projections into planes, boxes of two corners, meetings of lines."""
+    p = X.points(spark, d)
+    at = lambda k, n: p.select((F.col("vid") - k).alias("vid"), *Vec.of().columns(n))
+    j = at(0, "a").join(at(1, "b"), "vid").join(at(2, "c"), "vid")
+    a, b, c = (Vec.of(n) for n in "abc")
+    g = vec.givens(a.x, a.y)
+    on = vec.project_to_plane(a, b, b)
+    cross = vec.line_intersection(a, b, a + (b - a) * (1 / 3) - (c - a), a + (b - a) * (1 / 3) + (c - a) * 2)
+    names = ("lx", "hx", "ly", "hy", "lz", "hz")
+    return j.select("vid", *[r(g[k]).alias(k) for k in ("c", "s", "r")], *[r(x).alias(f"p{k}") for k, x in zip("xyz", on, strict=True)], r(vec.signed_distance(a, b, b.unit())).alias("dist"), *[x.alias(n) for x, n in zip(vec.box6(a, b), names, strict=True)], *[r(x).alias(f"m{k}") for k, x in zip("xyz", cross, strict=True)])
+
+
+@query(CLOUD + """, t AS (SELECT vid, x+1 x, y+2 y, z+3 z FROM p), u AS (SELECT vid, x*cos(0.3)-y*sin(0.3) x, x*sin(0.3)+y*cos(0.3) y, z FROM t) SELECT vid, round(2*x,6)+0.0 x, round(2*y,6)+0.0 y, round(2*z,6)+0.0 z FROM u""")
+def transform_chain(spark, d):
+    p = X.points(spark, d)
+    t = frames.Transform.translation((1, 2, 3)).then(frames.Transform.angle_axis(0.3, (0, 0, 1))).then(frames.Transform.rotation([[2.0, 0, 0], [0, 2.0, 0], [0, 0, 2.0]], (0, 0, 0)))
+    return t.apply(p).select("vid", *xyz())
+
+
+@query(CLOUD + """, b AS (SELECT mesh_id, min(x) x0, max(x) x1, min(y) y0, max(y) y1, min(z) z0, max(z) z1 FROM p GROUP BY mesh_id)
+ SELECT mesh_id, round(1-y0,6)+0.0 min_x, round(1-y1,6)+0.0 max_x, round(x0,6)+0.0 min_y, round(x1,6)+0.0 max_y, round(z0+2,6)+0.0 min_z, round(z1+2,6)+0.0 max_z,
+ round(1-y1,6)+0.0 ext_min_x, round(1-y0,6)+0.0 ext_max_x, round(x0,6)+0.0 ext_min_y, round(x1,6)+0.0 ext_max_y FROM b""")
+def turned_boxes(spark, d):
+    m = [0.0, -1.0, 0.0, 1.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 2.0, 0.0, 0.0, 0.0, 1.0]
+    boxes = measure.bounds(X.points(spark, d))
+    ext = measure.framed_boxes(boxes, m).select("mesh_id", *[r(f"ext_{n}_{a}").alias(f"ext_{n}_{a}") for a in "xy" for n in ("min", "max")])
+    return measure.fixed_boxes(boxes, m).select("mesh_id", *[r(f"{n}_{a}").alias(f"{n}_{a}") for a in "xyz" for n in ("min", "max")]).join(ext, "mesh_id")
+
+
+# --- more of graphs and edits --------------------------------------------------------
+
+@query(STRIPS + CORNERS + """, c AS (SELECT fid, nz > 0 up, CASE WHEN v0%1000 <= 23 THEN 0 ELSE 1 END part FROM fv), r AS (SELECT part, min(fid) root FROM c GROUP BY part)
+ SELECT c.fid, r.root, CAST(CASE WHEN c.up = q.up THEN 1 ELSE -1 END AS BIGINT) sign FROM c JOIN r USING (part) JOIN c q ON q.fid = r.root""")
+def winding_signs(spark, d):
+    return graph.winding(X.strips(spark, d))[0].select("fid", "root", F.col("sign").cast("bigint").alias("sign"))
+
+
+@query(RECURSIVE_STRIPS + """, part AS (SELECT fid, v0, v1, v2, CASE WHEN v0%1000 <= 23 THEN 0 ELSE 1 END s FROM f), n AS (SELECT s, count(*) k, row_number() OVER (ORDER BY count(*) DESC, min(fid))-1 manifold FROM part GROUP BY s),
+ pv AS (SELECT s, count(DISTINCT vid) k FROM (SELECT s, unnest([v0,v1,v2]) vid FROM part) t GROUP BY s), pe AS (SELECT s, u, w, count(*) c FROM fe JOIN part USING (fid) GROUP BY s, u, w), pb AS (SELECT s, count(*) k FROM pe WHERE c%2=1 GROUP BY s)
+ SELECT CAST(manifold AS BIGINT) manifold, CAST(n.k AS BIGINT) n_faces, CAST(pv.k AS BIGINT) n_vertices, CAST(pb.k AS BIGINT) n_boundary FROM n JOIN pv USING (s) JOIN pb USING (s)""")
+def manifold_parts(spark, d):
+    m = X.strips(spark, d)
+    return graph.manifold_parts(m, graph.manifolds(m)).select(F.col("manifold").cast("bigint").alias("manifold"), "n_faces", "n_vertices", "n_boundary")
+
+
+@query(GRID + CORNERS + """, a AS (SELECT sqrt(nx*nx+ny*ny+nz*nz)/2 area FROM fv), k AS (SELECT area, CASE WHEN area <= 2.5 THEN 1 ELSE power(3, ceil(ln(area/2.5)/ln(3)-1e-12)) END n FROM a)
+ SELECT CAST(sum(n) AS BIGINT) n_f, CAST((SELECT count(*) FROM v)+sum((n-1)/2) AS BIGINT) n_v, round(sum(area),5)+0.0 area FROM k""".replace("k AS (SELECT area", "kk AS (SELECT area").replace("FROM k\"", "FROM kk\"").replace("area FROM k", "area FROM kk"))
+def split_to_area(spark, d):
+    s = topology.summary(edit.split_to_area(X.grid(spark, d), 2.5))
+    return s.select("n_f", "n_v", r("area", 5).alias("area"))
+
+
+@query()
+def surface_path(spark, d):
+    q = spark.createDataFrame([(0, 3.2, 1.1, 50.0, 44.7, 8.6, 50.0), (1, 10.0, 9.3, 40.0, 12.5, 0.4, 60.0)], "qid bigint, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
+    return graph.path_lengths(surface.surface_paths(q, X.grid(spark, d), 4.0), "qid").select("qid", r("length").alias("length"))
+
+
+@query(GRID + CORNERS + """, a AS (SELECT fid, (x0+x1+x2)/3 cx, (y0+y1+y2)/3 cy FROM k) SELECT CAST(0 AS BIGINT) qid, round(sqrt((p.cx-q.cx)^2+(p.cy-q.cy)^2),6)+0.0 length FROM a p, a q WHERE p.fid = 2*2005 AND q.fid = 2*8040""")
+def facet_path_on_a_plane(spark, d):
+    m, q = _between(spark, d)
+    flat = q.withColumns({"z0": F.lit(0.0), "z1": F.lit(0.0)})
+    level = m.with_(vertices=m.vertices.withColumn("z", F.lit(0.0)))
+    plane = flat.select("mesh_id", (F.col("y0") - F.col("y1")).alias("nx"), (F.col("x1") - F.col("x0")).alias("ny"), F.lit(0.0).alias("nz"))
+    return surface.facet_paths(level, flat, m.faces.select("mesh_id", "fid").join(plane, "mesh_id")).select("qid", r("length").alias("length"))
+
+
+@query(GRID + CORNERS + " SELECT fid, round(greatest(z0,z1,z2)-least(z0,z1,z2),6)+0.0 rise FROM k")
+def visited_faces(spark, d):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def rise(b: pa.RecordBatch) -> pa.RecordBatch:
+        z = [b.column(f"z{k}") for k in range(3)]
+        return pa.RecordBatch.from_arrays([b.column("fid"), pc.subtract(pc.max_element_wise(*z), pc.min_element_wise(*z))], names=["fid", "rise"])
+
+    return surface.visit(X.grid(spark, d), rise, "fid bigint, rise double").select("fid", r("rise").alias("rise"))
+
+
 # --- whole tables: without SQL, as a cross join of all rows is too slow; checked by tests ---
 
 @query()

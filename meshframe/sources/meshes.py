@@ -107,9 +107,11 @@ def used_vertices(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 
 
 def face_subset(mesh: MeshFrame, ids: DataFrame) -> MeshFrame:
-    """Some faces, and the vertices that they have."""
+    """Some faces, and the vertices and UVs that they have; all materials stay."""
+    from ..operators.texture import used_uvs
+
     f = mesh.faces.join(ids.select("mesh_id", "fid").distinct(), ["mesh_id", "fid"], "left_semi")
-    return mesh.with_(vertices=used_vertices(mesh.vertices, f), faces=f)
+    return used_uvs(mesh.with_(vertices=used_vertices(mesh.vertices, f), faces=f))
 
 
 def vertex_face_subset(mesh: MeshFrame, ids: DataFrame, hops: int = 0) -> MeshFrame:
@@ -127,7 +129,9 @@ def vertex_face_subset(mesh: MeshFrame, ids: DataFrame, hops: int = 0) -> MeshFr
 
 
 def union(a: MeshFrame, b: MeshFrame) -> MeshFrame:
-    """Two meshes as one: equal positions are one vertex, equal vertex sets one face."""
+    """Two meshes as one: equal positions are one vertex, equal vertex sets one face. The
+    second's materials take the place of the first's with the same ids, and its UVs that of
+    the first's on faces that both have."""
     tag = lambda m, k: m.vertices.select("mesh_id", F.lit(k).alias("src"), "vid", "x", "y", "z")
     points = tag(a, 0).unionByName(tag(b, 1)).withColumn("ord", F.struct("src", "vid"))
     vertices = cloud(points)
@@ -135,8 +139,33 @@ def union(a: MeshFrame, b: MeshFrame) -> MeshFrame:
     faces = a.faces.withColumn("src", F.lit(0)).unionByName(b.faces.withColumn("src", F.lit(1)))
     for k in range(3):
         faces = faces.join(to.withColumnsRenamed({"old": f"v{k}", "vid": f"n{k}"}), ["mesh_id", "src", f"v{k}"])
-    faces = _numbered(faces.withColumnRenamed("fid", "old"), "fid", "src", "old").select("mesh_id", "fid", *[F.col(f"n{k}").alias(f"v{k}") for k in range(3)])
-    return MeshFrame(vertices, valid_faces(vertices, faces))
+    numbered = _numbered(faces.withColumnRenamed("fid", "old"), "fid", "src", "old").select("mesh_id", "src", "old", "fid", *[F.col(f"n{k}").alias(f"v{k}") for k in range(3)])
+    out = MeshFrame(vertices, valid_faces(vertices, numbered.select("mesh_id", "fid", "v0", "v1", "v2")))
+    return _with_textures(out, numbered, a, b)
+
+
+def _with_textures(out: MeshFrame, numbered: DataFrame, a: MeshFrame, b: MeshFrame) -> MeshFrame:
+    """numbered: the faces of both meshes (src, old) with their new corners. UVs go to the
+    face with the same corners, each to the slot of its vertex."""
+    from ..operators import texture
+
+    have = [(k, m) for k, m in enumerate((a, b)) if texture.textured(m)]
+    kinds = [m.materials for m in (a, b) if m.materials is not None]
+    if kinds:
+        out = out.with_(materials=texture.copy_materials(*kinds) if len(kinds) == 2 else kinds[0])
+    if not have:
+        return out
+    key = F.array_sort(F.array("v0", "v1", "v2")).alias("_key")
+    rows = None
+    for k, m in have:
+        c = texture.corner_uvs(m).select("mesh_id", F.lit(k).alias("src"), F.col("fid").alias("old"), "slot", "mid", "u", "v")
+        rows = c if rows is None else rows.unionByName(c)
+    new = numbered.select("mesh_id", "src", "old", key, F.posexplode(F.array("v0", "v1", "v2")).alias("slot", "vid"))
+    rows = rows.join(new, ["mesh_id", "src", "old", "slot"])
+    first = F.max_by(F.struct("mid", "u", "v"), F.struct("src", (-F.col("old")).alias("o"))).alias("t")
+    to = out.faces.select("mesh_id", "fid", key, F.posexplode(F.array("v0", "v1", "v2")).alias("slot", "vid"))
+    rows = rows.groupBy("mesh_id", "_key", "vid").agg(first).join(to, ["mesh_id", "_key", "vid"])
+    return texture.with_corner_uvs(out, rows.select("mesh_id", "t.mid", "fid", "slot", "t.u", "t.v"))
 
 
 def repacked(mesh: MeshFrame) -> MeshFrame:
@@ -145,8 +174,12 @@ def repacked(mesh: MeshFrame) -> MeshFrame:
     faces = mesh.faces
     for k in range(3):
         faces = faces.join(v.select("mesh_id", F.col("old").alias(f"v{k}"), F.col("vid").alias(f"n{k}")), ["mesh_id", f"v{k}"])
-    faces = _numbered(faces.withColumnRenamed("fid", "old"), "fid", "old").select("mesh_id", "fid", *[F.col(f"n{k}").alias(f"v{k}") for k in range(3)])
-    return mesh.with_(vertices=v.select("mesh_id", "vid", "x", "y", "z"), faces=faces)
+    faces = _numbered(faces.withColumnRenamed("fid", "old"), "fid", "old").select("mesh_id", "old", "fid", *[F.col(f"n{k}").alias(f"v{k}") for k in range(3)])
+    out = mesh.with_(vertices=v.select("mesh_id", "vid", "x", "y", "z"), faces=faces.drop("old"))
+    if mesh.face_uvs is None:
+        return out
+    moved = mesh.face_uvs.withColumnRenamed("fid", "old").join(faces.select("mesh_id", "old", "fid"), ["mesh_id", "old"])
+    return out.with_(face_uvs=moved.select(*mesh.face_uvs.columns))
 
 
 def faces_from_text(lines: DataFrame, column: str = "value") -> DataFrame:
