@@ -36,13 +36,18 @@ def histogram(lengths: DataFrame) -> DataFrame:
     return stored(lengths.groupBy("length").agg(F.count("*").alias("n_docs"), F.sum("length").alias("n_tokens")))
 
 
-def answers(hist: DataFrame) -> DataFrame:
-    """For every context limit that is a length in the histogram: the documents and
-    tokens that are longer, what is left when documents are cut at the limit, and
-    the share of documents that fit (the quantile that the limit is).
+def answers(hist: DataFrame, limits: DataFrame | None = None) -> DataFrame:
+    """For every context limit that is a length in the histogram, or a row of ``limits``
+    (length: any numbers): the documents and tokens that are longer, what is left when
+    documents are cut at the limit, and the share of documents that fit (the quantile that
+    the limit is). Null limits are left out; an empty histogram answers nothing.
 
     Cumulative sums run over blocks of lengths and then over block totals, so no
     task holds the whole histogram when lengths are many."""
+    if limits is not None:
+        zero = F.lit(0).cast("long")
+        asked = limits.where("length is not null").select(F.col("length").cast("long").alias("length"), zero.alias("n_docs"), zero.alias("n_tokens"))
+        hist = hist.unionByName(asked).groupBy("length").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     block = F.floor(F.col("length") / 4096).cast("long")
     rows = hist.withColumn("block", block)
     sums = rows.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("n_tokens").alias("bt"))
@@ -56,11 +61,11 @@ def answers(hist: DataFrame) -> DataFrame:
         .withColumn("tokens_up_to", F.col("t0") + F.sum("n_tokens").over(here))
     )
     longer = F.col("docs") - F.col("docs_up_to")
-    return out.select(
+    return out.where("docs > 0").select(
         "length", "n_docs", "n_tokens", "docs_up_to", "tokens_up_to",
         longer.alias("docs_longer"), (F.col("tokens") - F.col("tokens_up_to")).alias("tokens_longer"),
         (F.col("tokens_up_to") + F.col("length") * longer).alias("tokens_truncated"),
-        (F.col("docs_up_to") / F.col("docs")).alias("quantile"),
+        F.try_divide("docs_up_to", "docs").alias("quantile"),
     )
 
 
