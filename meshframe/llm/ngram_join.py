@@ -411,6 +411,77 @@ def _banded(rows: DataFrame, least: int, tile: int) -> DataFrame:
     return rows.select(F.explode(F.array_distinct(F.concat(inside, ahead, behind))).alias("g"), F.col("node").alias("doc_id"), "grp")
 
 
+def _classes(documents: DataFrame, size: int, lower: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents with an id and a text column; their classes of equal sets (doc_id, n,
+    rep: the least id of the class, the own id for empty sets); and a bitmap per class."""
+    docs = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sets = stored(_sets(docs, size, lower))
+    classes = stored(sets.where("n > 0").groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep")))
+    members = stored(sets.join(classes, ["n", "one", "two"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.col("rep") == F.col("doc_id"), F.col("mark")).alias("mark")))
+    marks = stored(members.where("mark is not null").groupBy("rep", "n", "mark").agg(F.lit(1).alias("_")).drop("_"))
+    discard(sets, classes)
+    return docs, members, marks
+
+
+def linked_pairs(documents: DataFrame, size: int = 4, least: int = 85, tile: int = TILE, lower: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Every link between different sets, not only those that connect them: pairs a < b of
+    class representatives, and the membership doc_id, rep, n (documents of one class with
+    n > 0 are linked, too). Rows count as in ``joined``.
+
+    All pairs of a key are compared by their bitmaps, and all within the bound exactly, so
+    a group of near copies costs the number of its links."""
+    docs, members, marks = _classes(documents, size, lower)
+    keys = stored(_met(docs, size, least, lower))
+    met = stored(keys.join(members.where("n > 0").select("doc_id", "rep").distinct(), "doc_id").select("key", "rep").distinct())
+    held = stored(met.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key", F.ceil(F.when(F.col("k") > tile, F.col("k") / max(1, tile // 2)).otherwise(1)).cast("int").alias("blocks")))
+    i = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("i", j), F.greatest("i", j))))
+    at = met.join(held, "key").withColumn("i", i).select(F.explode(tiles).alias("t"), "rep").join(marks, "rep").select("t", "rep", "n", "mark")
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_group(batches, "t"):
+            ids, n, own = (rows.column(c).to_pylist() for c in ("rep", "n", "mark"))
+            for q in range(1, len(ids)):
+                yield _pairs([(min(ids[p], ids[q]), max(ids[p], ids[q])) for p in range(q) if ids[p] != ids[q] and within(n[p], own[p], n[q], own[q], least)])
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near_ = stored(at.repartition(parts, "t").sortWithinPartitions("t").mapInArrow(test, _PAIR).distinct())
+    many = stored(near_.groupBy("a").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks")))
+    rows = near_.join(many, "a").withColumn("g", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("blocks"))))
+    sent = rows.select("g", F.col("a").alias("doc_id"), F.lit(0).alias("part")).unionByName(rows.select("g", F.col("b").alias("doc_id"), F.lit(1).alias("part"))).distinct()
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_group(batches, "g"):
+            ids, part_of, arrays = rows.column("doc_id").to_pylist(), rows.column("part").to_pylist(), []
+            for _, _, part in W.chunks(rows.combine_chunks()):
+                value, begin = shingle_sets(part, size, lower)
+                arrays += np.split(value, begin[1:-1])
+            out = []
+            for k, x in enumerate(arrays):
+                for q, y in enumerate(arrays) if part_of[k] == 0 and len(x) else ():
+                    if part_of[q] == 1 and ids[k] < ids[q] and len(y):
+                        shared = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                        if 100 * shared >= least * (len(x) + len(y) - shared):
+                            out.append((ids[k], ids[q]))
+            yield _pairs(out)
+
+    found = docs.join(sent, "doc_id").select("g", "doc_id", "part", "text").repartition(parts, "g").sortWithinPartitions("g").mapInArrow(exact, _PAIR)
+    found = stored(found.distinct())
+    discard(keys, met, held, near_, many)
+    return found, members.select("doc_id", "rep", "n").distinct()
+
+
+def link_counts(documents: DataFrame, **parameters) -> DataFrame:
+    """doc_id, n_links: how many other documents each is linked to. For ids with several
+    texts, the links of all of them."""
+    pairs, members = linked_pairs(documents, **parameters)
+    pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    size = members.where("n > 0").groupBy("rep").agg(F.countDistinct("doc_id").alias("size"))
+    far = pairs.join(size.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("size").alias("far"))
+    per = size.join(far, "rep", "left").select("rep", (F.col("size") - 1 + F.coalesce("far", F.lit(0))).alias("k"))
+    return members.join(per, "rep", "left").groupBy("doc_id").agg(F.sum(F.coalesce("k", F.lit(0))).alias("n_links"))
+
+
 def joined(documents: DataFrame, size: int = 4, least: int = 85, tile: int = TILE, lower: bool = True) -> DataFrame:
     """documents: doc_id, text. A row per doc_id: doc_id, n_shingles, component_id (the
     least doc_id reachable by links, itself included).
@@ -418,19 +489,16 @@ def joined(documents: DataFrame, size: int = 4, least: int = 85, tile: int = TIL
     Null, empty and wordless texts are empty sets and link with nothing. Repeated rows
     are one document; rows of one id with other texts give it the larger set and all
     their links. Rows with a null id and all other columns are dropped."""
-    docs = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = stored(_sets(docs, size, lower))
-    classes = stored(sets.where("n > 0").groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep")))
-    members = stored(sets.join(classes, ["n", "one", "two"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.col("rep") == F.col("doc_id"), F.col("mark")).alias("mark")))
-    marks = stored(members.where("mark is not null").groupBy("rep", "n", "mark").agg(F.lit(1).alias("_")).drop("_"))
+    docs, members, marks = _classes(documents, size, lower)
     own = stored(members.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("top"), F.max("n").alias("n")))
 
     keys = stored(_met(docs, size, least, lower))
     met = stored(keys.join(members.where("n > 0").select("doc_id", "rep").distinct(), "doc_id").select("key", "rep").distinct())
+    discard(keys)
     hubs = _hubs(met, marks, least)
     more = _others(met, hubs, marks, least, tile)
     groups = stored(components(hubs.unionByName(more)))
-    discard(sets, classes, keys, met)
+    discard(met)
 
     total = groups.groupBy("root").agg(F.count("*").alias("total")).where(F.col("total") > tile)
     total = stored(total.select("root", F.ceil(F.col("total") / tile).cast("int").alias("blocks")))

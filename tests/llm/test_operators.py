@@ -155,6 +155,9 @@ def test_ngram_join(spark, docs):
                 root[max(x, y)] = min(x, y)
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == {i: (len(s), find(i)) for i, s in sets.items()}
     assert len({find(i) for i in sets}) < len(sets) - 5
+    # every link, not only those that connect
+    links = {a: sum(1 for b in sets if a != b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])) for a in sets}
+    assert {r["doc_id"]: r["n_links"] for r in ngram_join.link_counts(docs, tile=8).collect()} == links
 
 
 def test_linked_sets_share_a_key():
@@ -354,6 +357,12 @@ def test_token_counts(spark, docs, empty):
         assert r["n_docs"] == n.count(x)
         assert r["docs_longer"] == sum(k > x for k in n) and r["tokens_longer"] == sum(k for k in n if k > x)
         assert r["tokens_truncated"] == sum(min(k, x) for k in n)
+    asked = spark.createDataFrame([(k,) for k in (0, 1, 7, 7, 100, 10**6, None)], "length long")
+    got = {r["length"]: r for r in token_counts.answers(hist, asked).collect()}
+    assert set(got) == {0, 1, 7, 100, 10**6, *n}
+    for x, r in got.items():
+        assert (r["docs_longer"], r["tokens_longer"], r["tokens_truncated"]) == (sum(k > x for k in n), sum(k for k in n if k > x), sum(min(k, x) for k in n))
+        assert r["quantile"] == pytest.approx(sum(k <= x for k in n) / len(n))
     assert token_counts.quantile(hist, 0.5) == sorted(n)[math.ceil(len(n) / 2) - 1]
     assert token_counts.truncated_total(hist, 37) == sum(min(k, 37) for k in n)
     assert token_counts.answers(token_counts.histogram(token_counts.lengths(empty))).count() == 0
