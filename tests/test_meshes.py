@@ -150,7 +150,7 @@ def test_scalar_functions(spark):
     h = vec.line_plane(Vec(0, 0, 1), Vec(0, 0, 1), Vec(0, 0, 0), Vec(0, 0, 4))
     r = one.select(t.alias("t"), g.alias("g"), x.struct().alias("x"), h.struct().alias("h"), vec.meeting_parameter(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0), F.lit(2.0)).alias("m"), vec.quantise(F.lit(-1.23456)).alias("q")).first()
     assert r["t"] == pytest.approx(math.sqrt(0.5))
-    assert (r["g"]["c"], r["g"]["s"], r["g"]["r"]) == pytest.approx((0.6, 0.8, 5.0))
+    assert (r["g"]["c"], r["g"]["s"], r["g"]["r"]) == pytest.approx((0.6, -0.8, 5.0))
     assert (r["x"]["x"], r["x"]["y"]) == (0.5, 0.0)
     assert r["h"]["z"] == 1.0 and r["m"] == 0.5 and r["q"] == pytest.approx(-1.2345)
 
