@@ -186,3 +186,4 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.R
     for batch in batches:
         for low, high, texts in W.chunks(batch, limit=CHUNK_BYTES):
             yield batch.slice(low, high - low), *encode_chunk(texts, path)
+    W.trim()

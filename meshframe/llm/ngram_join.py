@@ -303,6 +303,7 @@ def _met(docs: DataFrame, size: int, least: int, lower: bool) -> DataFrame:
                 row, key = keys_of(value[keep], np.concatenate([[0], np.cumsum(sizes)]), least)
                 ids = batch.column(0).slice(low, high - low).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row])], names=["key", "doc_id"])
+        W.trim()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the last row so far, and whether it is told

@@ -264,6 +264,7 @@ def spans(documents: DataFrame, length: int = 13, filter_bits: int = FILTER_BITS
                 held = [rows]
         if held:
             yield solve(pa.concat_tables(held).combine_chunks())[0]
+        W.trim()
 
     sent = docs.mapInArrow(suffixes, "key long, doc_id long, th long, start int, n int, words binary")
     out = sent.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(trees, "doc_id long, th long, low long, high long")

@@ -7,6 +7,7 @@ here depends on the length of one text; callers bound the bytes of a chunk.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,15 @@ def combine(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * _K1 + (right ^ (right >> np.uint64(32))) + _K3)
 
 
+def trim() -> None:
+    """Gives memory that this worker has freed back to the system, as workers outlive
+    their tasks. Does nothing where the C library has no such call."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
+
+
 class Chunk:
     """Texts of one chunk and their words.
 
