@@ -330,7 +330,7 @@ def deduplicated(documents: DataFrame, **parameters) -> DataFrame:
 
     @F.udf("string", useArrow=True)
     def cut(text: str, spans_: list) -> str:
-        return cut_text(text, spans_)
+        return cut_text(text, spans_) if text is not None and spans_ else text  # it runs for every row
 
     rows = _with_spans(documents.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")), **parameters)
     text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(cut(F.col("text").cast("string"), F.coalesce("cuts", F.array().cast("array<struct<low:long,high:long>>"))))
