@@ -187,12 +187,15 @@ def rounded(left: np.ndarray, used: dict[tuple, float], capacity: int) -> list[t
             done.append((row(key), times))
     waste = {key: capacity - sum(n * k for n, k in key) for key in used}
     order = sorted(used, key=lambda k: (waste[k], -used[k]))
-    options = []
+    best = None  # the keys and their times of an option; its rows are made for the best one only
     for most in (-1, 0, 2, 8, capacity):
         rest = left.copy()
-        some = [(row(key), t) for key in order if waste[key] <= most and (t := take(rest, key, 1 << 62))]
-        options.append(some + best_fit(rest, capacity))
-    return done + min(options, key=lambda o: sum(t for _, t in o))
+        some = [(key, t) for key in order if waste[key] <= most and (t := take(rest, key, 1 << 62))]
+        more = best_fit(rest, capacity)
+        n = sum(t for _, t in some) + sum(t for _, t in more)
+        if best is None or n < best[0]:
+            best = (n, some, more)
+    return done + [(row(key), t) for key, t in best[1]] + best[2]
 
 
 def packing_plan(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = RATE, gap: float = GAP) -> tuple[list[tuple[np.ndarray, int]], int]:
