@@ -12,21 +12,14 @@ A document is the set of its distinct shingles. Two documents link when
    equal one remains. A document with too many thin parts is dealt again by another
    hash (its partners in a missed pair are, too), and at last meets on thin parts.
 3. Signatures. What meets is compared by parity bitmaps first, which bound the overlap
-   from above; only pairs within the bound go on. Each set meets one hub, the least
-   set of the keys that it shares most of; then every key whose sets are not yet one
-   group is a tile (or, if large, tiles of two blocks), where sets of different groups
-   are compared. So copies and near copies of one text cost their number, not its
-   square, and no text or array moves for what the bitmaps refuse.
-4. Tiles. The groups that pairs within the bound connect are counted by exact
-   intersection of sorted arrays, in tiles of bounded size. A larger group is cut into
-   blocks that each hold its hub; only if that leaves it in pieces do blocks meet,
-   banded by size. Pairs that are already connected are not compared again.
-
-Exact copies of a set are one class first, and one of them stands for all.
+   from above; only pairs within the bound go on to exact intersection.
+
+``meeting`` does the rest: hubs, tiles, exact intersection and groups.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -35,12 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import meeting
 from . import words as W
-from .components import components
+from .meeting import PAIR, TILE, bands, by_group, classes, keys_met, pairs_of, shingle_sets, tiles_of_keys
 from .tables import discard, stored
 
-#: Documents of a tile, at most about.
-TILE = 2048
 #: Fewest bits of a signature.
 BITS = 64
 #: Hashes by which a document can be dealt before thin parts become keys.
@@ -49,14 +41,6 @@ SEEDS = 4
 THICK = 2
 
 
-def bands(least: int, up_to: int) -> list[int]:
-    """First size of each band: linked sizes are in one band or in neighbours."""
-    out = [1]
-    while out[-1] <= up_to:
-        out.append(out[-1] * 100 // least + 1)
-    return out
-
-
 def dealing(low: int, high: int, far: int, least: int) -> tuple[int, int, int]:
     """For sizes low..high of a band and up to ``far`` in the next: parts, the fewest
     shingles of a key, and how many thin parts a document may have."""
@@ -73,38 +57,6 @@ def dealing(low: int, high: int, far: int, least: int) -> tuple[int, int, int]:
     return d + 1, 1, 0  # sets too small to leave room: documents with a thin part are dealt again
 
 
-def shingle_sets(texts: pa.Array, size: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, one after the other, and where each
-    text's begin (one more than texts). A text of fewer words is one shingle."""
-    chunk = W.Chunk(texts, lower=lower)
-    h = chunk.hashes()
-    count = np.diff(chunk.first)
-    start, row = W.windows(chunk.first, size)
-    values = [W.gram_hashes(h, size)[start]]
-    rows = [row]
-    for k in range(1, size):
-        short = np.flatnonzero(count == k)
-        if len(short):
-            values.append(W.gram_hashes(h, k)[chunk.first[short]])
-            rows.append(short)
-    value, row = np.concatenate(values), np.concatenate(rows)
-    order = np.argsort(value)
-    small = row[order].astype(np.uint16 if len(texts) < 65536 else np.int64)
-    order = order[np.argsort(small, kind="stable")]
-    value, row = value[order], row[order]
-    new = np.ones(len(value), dtype=bool)
-    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
-    value, row = value[new], row[new]
-    return value, np.searchsorted(row, np.arange(len(texts) + 1))
-
-
-def fingerprints(value: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each set."""
-    ends = lambda x: np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
-    one, two = ends(W.mix(value)), ends(W.mix(value ^ np.uint64(0x5851F42D4C957F2D)))
-    return one[begin[1:]] - one[begin[:-1]], two[begin[1:]] - two[begin[:-1]]
-
-
 def keys_of(value: np.ndarray, begin: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and keys on which sets meet."""
     sizes = np.diff(begin)
@@ -245,208 +197,37 @@ def links(value: np.ndarray, begin: np.ndarray, least: int, group: np.ndarray |
     return out
 
 
-def by_group(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
-    """Tables of the rows of one value each; rows of a value follow one another."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        key = batch.column(column).to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-        if held and held[-1].column(column)[0] != batch.column(column)[0]:
-            yield pa.Table.from_batches(held)
-            held = []
-        low = 0
-        for high in cuts.tolist():
-            yield pa.Table.from_batches([*held, batch.slice(low, high - low)])
-            held, low = [], high
-        held.append(batch.slice(low))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-_PAIR = "a long, b long"
-
-
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([q for _, q in found], pa.int64())], names=["a", "b"])
-
-
-def _sets(docs: DataFrame, size: int, lower: bool) -> DataFrame:
-    """doc_id, n, one, two, mark: the size of each text's set, two hashes of it, its bitmap."""
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, high, part in W.chunks(batch):
-                value, begin = shingle_sets(part, size, lower)
-                one, two = fingerprints(value, begin)
-                packed, base = signatures(value, begin)
-                mark = pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(base.astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(np.diff(begin)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), mark], names=["doc_id", "n", "one", "two", "mark"])
-
-    return docs.mapInArrow(prints, "doc_id long, n long, one long, two long, mark binary")
-
-
-def _met(docs: DataFrame, size: int, least: int, lower: bool) -> DataFrame:
-    """key, doc_id: the keys on which at least two documents meet."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, high, part in W.chunks(batch):
-                value, begin = shingle_sets(part, size, lower)
-                one, two = fingerprints(value, begin)
-                order = np.lexsort((two, one))  # of equal sets of a chunk one brings keys
-                first = np.ones(len(order), dtype=bool)
-                first[order[1:]] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
-                keep = np.repeat(first, np.diff(begin))
-                sizes = np.where(first, np.diff(begin), 0)
-                row, key = keys_of(value[keep], np.concatenate([[0], np.cumsum(sizes)]), least)
-                ids = batch.column(0).slice(low, high - low).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row])], names=["key", "doc_id"])
-        W.trim()
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the last row so far, and whether it is told
-        for batch in batches:
-            key, doc = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            told = False
-            if last is not None:
-                key, doc, told = np.append(last[0], key), np.append(last[1], doc), last[2]
-            if not len(key):
-                continue
-            fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
-            key, doc = key[fresh], doc[fresh]
-            same = key[1:] == key[:-1]
-            out = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            last = (key[-1:], doc[-1:], bool(out[-1]) or (told and len(key) == 1))
-            out[0] &= not told
-            yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(doc[out])], names=["key", "doc_id"])
-
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.mapInArrow(emit, "key long, doc_id long").repartition(parts, "key").sortWithinPartitions("key", "doc_id")
-    return keyed.mapInArrow(meet, "key long, doc_id long")
-
-
-def _hubs(met: DataFrame, marks: DataFrame, least: int) -> DataFrame:
-    """met: key, rep. A pair (a, b) within the bound for each set a and its hub b: of the
-    least sets of its keys, the one that it meets most often. Both sides of every join
-    are stored, so a hub's rows can be split."""
-    first = stored(met.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("_top")).where("hub <> _top").select("key", "hub"))
-    often = met.join(first, "key").where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("n"))
-    best = stored(often.groupBy("rep").agg(F.max_by("hub", F.struct(F.col("n"), (-F.col("hub")).alias("h"))).alias("hub")))
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            yield _pairs([(a, b) for a, b, n, x, m, y in rows if within(n, x, m, y, least)])
-
-    both = best.join(marks, "rep").join(marks.select(F.col("rep").alias("hub"), F.col("n").alias("m"), F.col("mark").alias("other")), "hub")
-    out = stored(both.select("rep", "hub", "n", "mark", "m", "other").mapInArrow(test, _PAIR).distinct())
-    discard(first, best)
-    return out
-
-
-def _others(met: DataFrame, hubs: DataFrame, marks: DataFrame, least: int, tile: int) -> DataFrame:
-    """Further pairs within the bound, from the keys whose sets are not all of one hub."""
-    above = hubs.select(F.col("a").alias("b"), F.col("b").alias("top"))
-    group = stored(hubs.join(above, "b", "left").groupBy("a").agg(F.min(F.coalesce("top", "b")).alias("grp")).withColumnRenamed("a", "rep"))
-    rows = stored(met.join(group, "rep", "left").select("key", "rep", F.coalesce("grp", "rep").alias("grp")))
-    open_ = stored(rows.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("key", F.ceil(F.when(F.col("k") > tile, F.col("k") / (tile // 2)).otherwise(1)).cast("int").alias("blocks")))
-    i = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    at = rows.join(open_, "key").withColumn("i", i)
-    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("i", j), F.greatest("i", j))))
-    at = at.select(F.explode(tiles).alias("t"), "rep", "grp").join(marks, "rep").select("t", "rep", "grp", "n", "mark")
+def _method(size: int, least: int, tile: int, lower: bool) -> meeting.Method:
+    def sketch(value: np.ndarray, begin: np.ndarray) -> pa.Array:
+        packed, base = signatures(value, begin)
+        return pa.Array.from_buffers(pa.binary(), len(begin) - 1, [None, pa.py_buffer(base.astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int]] = []
-        for rows in by_group(batches, "t"):
-            if len(rows) > 1:
-                out += near(*(rows.column(c).to_pylist() for c in ("rep", "grp", "n", "mark")), least)
-            if len(out) > 50_000:
-                yield _pairs(out)
-                out = []
-        yield _pairs(out)
-
-    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = stored(at.repartition(parts, "t").sortWithinPartitions("t").mapInArrow(test, _PAIR).distinct())
-    discard(group, rows, open_)
-    return out
+    def may_link(n: list[int], marks: list[bytes], m: list[int], others: list[bytes]) -> list[bool]:
+        return [within(*x, least) for x in zip(n, marks, m, others, strict=True)]
 
+    return meeting.Method(size, least, lower, tile, sketch, functools.partial(keys_of, least=least), may_link, functools.partial(near, least=least), links)
 
-def _compared(docs: DataFrame, tiles: DataFrame, size: int, least: int, lower: bool) -> DataFrame:
-    """tiles: g, doc_id, grp (sets of one group are connected). Linked pairs, by exact
-    intersection, as many as connect each tile; a stored table."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in by_group(batches, "g"):
-            ids, group, arrays = rows.column("doc_id").to_numpy(), rows.column("grp").to_numpy(), []
-            for _, _, part in W.chunks(rows.combine_chunks()):
-                value, begin = shingle_sets(part, size, lower)
-                arrays += np.split(value, begin[1:-1])
-            if len(ids) > 1:
-                begin = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int64)
-                yield _pairs([(int(ids[p]), int(ids[q])) for p, q in links(np.concatenate(arrays), begin, least, group) if ids[p] != ids[q]])
-
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.join(tiles, "doc_id").select("g", "doc_id", "grp", "text")
-    return stored(texts.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(compare, _PAIR))
-
-
-def _banded(rows: DataFrame, least: int, tile: int) -> DataFrame:
-    """rows: node, root, n, grp. Tiles of groups that are too large for one: nodes fall
-    into blocks by size band and hash, and a tile is a pair of blocks of one band or of
-    neighbouring ones. Returns g, doc_id, grp."""
-    band = F.lit(0)
-    for first in bands(least, 1 << 40)[1:]:
-        band = band + (F.col("n") >= F.lit(first)).cast("int")
-    rows = stored(rows.withColumn("band", band))
-    held = rows.groupBy("root", "band").agg(F.ceil(F.count("*") / max(1, tile // 2)).cast("int").alias("blocks"))
-    blocks = stored(held.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks")))  # a few hundred bands
-    nb = lambda b: F.coalesce(F.try_element_at("blocks", b), F.lit(0))
-    upto = lambda b: F.when(nb(b) > 0, F.sequence(F.lit(0), nb(b) - 1)).otherwise(F.array().cast("array<int>"))
-    b = F.col("band")
-    rows = rows.join(blocks, "root").withColumn("i", F.pmod(F.xxhash64("node"), nb(b)).cast("int"))
-    inside = F.transform(upto(b), lambda j: F.xxhash64("root", b, b, F.least("i", j), F.greatest("i", j)))
-    ahead = F.transform(upto(b + 1), lambda j: F.xxhash64("root", b, b + 1, F.col("i"), j))
-    behind = F.transform(upto(b - 1), lambda j: F.xxhash64("root", b - 1, b, j, F.col("i")))
-    return rows.select(F.explode(F.array_distinct(F.concat(inside, ahead, behind))).alias("g"), F.col("node").alias("doc_id"), "grp")
-
-
-def _classes(documents: DataFrame, size: int, lower: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The documents with an id and a text column; their classes of equal sets (doc_id, n,
-    rep: the least id of the class, the own id for empty sets); and a bitmap per class."""
-    docs = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = stored(_sets(docs, size, lower))
-    classes = stored(sets.where("n > 0").groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep")))
-    members = stored(sets.join(classes, ["n", "one", "two"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.col("rep") == F.col("doc_id"), F.col("mark")).alias("mark")))
-    marks = stored(members.where("mark is not null").groupBy("rep", "n", "mark").agg(F.lit(1).alias("_")).drop("_"))
-    discard(sets, classes)
-    return docs, members, marks
-
-
-def linked_pairs(documents: DataFrame, size: int = 4, least: int = 85, tile: int = TILE, lower: bool = True) -> tuple[DataFrame, DataFrame]:
+def linkedpairs_of(documents: DataFrame, size: int = 4, least: int = 85, tile: int = TILE, lower: bool = True) -> tuple[DataFrame, DataFrame]:
     """Every link between different sets, not only those that connect them: pairs a < b of
     class representatives, and the membership doc_id, rep, n (documents of one class with
     n > 0 are linked, too). Rows count as in ``joined``.
 
     All pairs of a key are compared by their bitmaps, and all within the bound exactly, so
     a group of near copies costs the number of its links."""
-    docs, members, marks = _classes(documents, size, lower)
-    keys = stored(_met(docs, size, least, lower))
-    met = stored(keys.join(members.where("n > 0").select("doc_id", "rep").distinct(), "doc_id").select("key", "rep").distinct())
+    method = _method(size, least, tile, lower)
+    docs, members, marks, parts = classes(documents, method)
+    met = keys_met(docs, members, marks, method, parts)
     held = stored(met.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key", F.ceil(F.when(F.col("k") > tile, F.col("k") / max(1, tile // 2)).otherwise(1)).cast("int").alias("blocks")))
-    i = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("i", j), F.greatest("i", j))))
-    at = met.join(held, "key").withColumn("i", i).select(F.explode(tiles).alias("t"), "rep").join(marks, "rep").select("t", "rep", "n", "mark")
+    at = tiles_of_keys(met, held).join(marks, "rep").select("t", "rep", "n", "mark")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_group(batches, "t"):
             ids, n, own = (rows.column(c).to_pylist() for c in ("rep", "n", "mark"))
             for q in range(1, len(ids)):
-                yield _pairs([(min(ids[p], ids[q]), max(ids[p], ids[q])) for p in range(q) if ids[p] != ids[q] and within(n[p], own[p], n[q], own[q], least)])
+                yield pairs_of([(min(ids[p], ids[q]), max(ids[p], ids[q])) for p in range(q) if ids[p] != ids[q] and within(n[p], own[p], n[q], own[q], least)])
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near_ = stored(at.repartition(parts, "t").sortWithinPartitions("t").mapInArrow(test, _PAIR).distinct())
+    near_ = stored(at.repartition(parts, "t").sortWithinPartitions("t").mapInArrow(test, PAIR).distinct())
     many = stored(near_.groupBy("a").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks")))
     rows = near_.join(many, "a").withColumn("g", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("blocks"))))
     sent = rows.select("g", F.col("a").alias("doc_id"), F.lit(0).alias("part")).unionByName(rows.select("g", F.col("b").alias("doc_id"), F.lit(1).alias("part"))).distinct()
@@ -464,11 +245,11 @@ def linked_pairs(documents: DataFrame, size: int = 4, least: int = 85, tile: int
                         shared = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
                         if 100 * shared >= least * (len(x) + len(y) - shared):
                             out.append((ids[k], ids[q]))
-            yield _pairs(out)
+            yield pairs_of(out)
 
-    found = docs.join(sent, "doc_id").select("g", "doc_id", "part", "text").repartition(parts, "g").sortWithinPartitions("g").mapInArrow(exact, _PAIR)
+    found = docs.join(sent, "doc_id").select("g", "doc_id", "part", "text").repartition(parts, "g").sortWithinPartitions("g").mapInArrow(exact, PAIR)
     found = stored(found.distinct())
-    discard(keys, met, held, near_, many)
+    discard(met, held, near_, many, marks)
     return found, members.select("doc_id", "rep", "n").distinct()
 
 
@@ -484,49 +265,11 @@ def link_counts(documents: DataFrame, **parameters) -> DataFrame:
 
 
 def joined(documents: DataFrame, size: int = 4, least: int = 85, tile: int = TILE, lower: bool = True) -> DataFrame:
-    """documents: doc_id, text. A row per doc_id: doc_id, n_shingles, component_id (the
-    least doc_id reachable by links, itself included).
-
-    Null, empty and wordless texts are empty sets and link with nothing. Repeated rows
-    are one document; rows of one id with other texts give it the larger set and all
-    their links. Rows with a null id and all other columns are dropped."""
-    docs, members, marks = _classes(documents, size, lower)
-    own = stored(members.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("top"), F.max("n").alias("n")))
-
-    keys = stored(_met(docs, size, least, lower))
-    met = stored(keys.join(members.where("n > 0").select("doc_id", "rep").distinct(), "doc_id").select("key", "rep").distinct())
-    discard(keys)
-    hubs = _hubs(met, marks, least)
-    more = _others(met, hubs, marks, least, tile)
-    groups = stored(components(hubs.unionByName(more)))
-    discard(met)
-
-    total = groups.groupBy("root").agg(F.count("*").alias("total")).where(F.col("total") > tile)
-    total = stored(total.select("root", F.ceil(F.col("total") / tile).cast("int").alias("blocks")))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    tiles = groups.join(total, "root", "left").select(F.when(F.col("blocks").isNull(), F.xxhash64("root")).otherwise(F.xxhash64("root", block)).alias("g"), F.col("node").alias("doc_id"))
-    # the hub that most sets of a large group have stands in all its blocks
-    degree = hubs.groupBy("b").agg(F.count("*").alias("n")).join(groups.withColumnRenamed("node", "b"), "b").groupBy("root").agg(F.max_by("b", F.struct("n", "b")).alias("hub"))
-    spread = degree.join(total, "root").select(F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("root", j))).alias("g"), F.col("hub").alias("doc_id"))
-    tiles = tiles.unionByName(spread).distinct().withColumn("grp", F.col("doc_id"))
-    found = _compared(docs, tiles, size, least, lower)
-    split = members.join(own.where("rep <> top").select("doc_id", F.col("rep").alias("lo")), "doc_id").select(F.col("lo").alias("a"), F.col("rep").alias("b"))
-    edges = stored(found.unionByName(split))
-    roots = stored(components(edges))
-    if not total.isEmpty():  # large groups that their hub left in pieces
-        large = groups.join(total, "root").join(roots.withColumnRenamed("root", "grp"), "node", "left").select("node", "root", F.coalesce("grp", "node").alias("grp"))
-        large = stored(large)
-        pieces = stored(large.groupBy("root").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("root"))
-        rest = large.join(pieces, "root").join(marks.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n")), "node")
-        more_found = _compared(docs, _banded(rest, least, tile), size, least, lower)
-        roots = stored(components(edges.unionByName(more_found)))
-    out = own.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.least("doc_id", F.coalesce("root", "rep")).alias("component_id"))
+    """A row per doc_id: doc_id, n_shingles, component_id; see ``meeting.joined``."""
+    return meeting.joined(documents, _method(size, least, tile, lower))
 
 
 def one_of_each(documents: DataFrame, **parameters) -> DataFrame:
     """The documents of the least id of each component, all columns kept; rows with a
-    null id stay. Of repeated rows of one id one stays."""
-    gone = joined(documents, **parameters).where("component_id <> doc_id").select("doc_id")
-    rows = documents.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).join(gone, "doc_id", "left_anti").select(*documents.columns)
-    return rows.unionByName(documents.where(F.col("doc_id").isNull()))
+    null id stay. For several rows of one id see ``meeting.least_of_each``."""
+    return meeting.least_of_each(documents, joined(documents, **parameters))

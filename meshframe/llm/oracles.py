@@ -78,3 +78,46 @@ t1 AS (SELECT *, (greatest(-u0, 0)+9*s+30/greatest(a, 1)+CASE WHEN a < 1 THEN 30
 t2 AS (SELECT host, dl*list_sum(list_transform(mid, lambda k: exp(-a*(dl*k+ln(1+exp(-dl*k)))-b*ln(1+exp(-dl*k))-top))) l, dh*list_sum(list_transform(mid, lambda k: exp(-a*ln(1+exp(-dh*k))-b*(dh*k+ln(1+exp(-dh*k)))-top))) h FROM t1, r),
 t AS (SELECT host, h/(l+h) p FROM t2)
 SELECT page_id, host, path, {name} AS rule, coalesce({verdict}, CASE WHEN p > {SURE} THEN 'block' ELSE 'allow' END) verdict FROM (SELECT v.*, p FROM v LEFT JOIN t ON t.host = v.host) z"""
+
+#: CRC-32 of a text of ASCII characters: a table by bytes, then a step per character.
+_CRC_TABLE = "SELECT list(v ORDER BY x) crc FROM (SELECT x, list_reduce(list_prepend(x, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) v FROM range(256) r(x)) t"
+
+
+def _crc(text: str) -> str:
+    step = "lambda a, b: xor(a >> 8, crc[CAST(xor(a, b) & 255 AS BIGINT) + 1])"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))), {step}), 4294967295)"
+
+
+OP11 = f"""WITH k AS ({_CRC_TABLE}),
+t AS (SELECT conv_id, coalesce(role, '') r, coalesce(text, '') x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) p FROM conversations WHERE conv_id IS NOT NULL),
+u AS (SELECT conv_id, dense_rank() OVER (ORDER BY r, x) id, strlen(x) b, p FROM t),
+c AS (SELECT conv_id, list(id ORDER BY p) ids, list(b ORDER BY p) bs FROM u GROUP BY conv_id),
+h AS (SELECT conv_id, ids, bs, conv_id - conv_id % 5 f, CAST({_crc("CAST(conv_id AS VARCHAR)")} % 9 AS BIGINT) h FROM c, k),
+q AS (SELECT h.conv_id, list_concat(coalesce(c.ids[1:h], []), h.ids[h+1:]) ids, list_concat(coalesce(c.bs[1:h], []), h.bs[h+1:]) bs FROM h LEFT JOIN c ON c.conv_id = h.f),
+m AS (SELECT conv_id, ids[1:d] s, d, coalesce(bs[d], 0) b, len(ids) = d e FROM (SELECT conv_id, ids, bs, unnest(range(len(ids)+1)) d FROM q) z),
+n AS (SELECT s, d, min(conv_id) conv_id, count(*) n, (count(*)-1)*max(b) v, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE e) ends FROM m GROUP BY s, d),
+g AS (SELECT s[1:d-1] s, d-1 d, count(*) n FROM n WHERE d > 0 GROUP BY ALL),
+y AS (SELECT s[1:i] s, i d, sum(v) v, sum(l) l FROM (SELECT n.s, n.d, n.v, CASE WHEN g.n IS NULL THEN 1 ELSE 0 END l, unnest(range(n.d+1)) i FROM n LEFT JOIN g ON g.s = n.s AND g.d = n.d) z GROUP BY ALL)
+SELECT n.conv_id, n.d depth, o.conv_id parent_conv_id, n.n n_convs, coalesce(g.n, 0) n_children, CAST(y.l AS BIGINT) n_leaves, CAST(y.v AS BIGINT) saved_tokens, sha256(coalesce(n.ends, '')) ends_sha256
+FROM n JOIN y ON y.s = n.s AND y.d = n.d LEFT JOIN g ON g.s = n.s AND g.d = n.d LEFT JOIN n o ON o.d = n.d - 1 AND o.s = n.s[1:n.d-1] AND n.d > 0"""
+
+OP12 = (
+    OP2.replace("w[i:i+3]", "w[i:i+2]").replace("len(w) < 4", "len(w) < 3").replace("len(w)-2, 2", "len(w)-1, 2")
+    .replace("SELECT d.doc_id, CAST(coalesce(n.n", "SELECT *, doc_id = component_id kept FROM (SELECT d.doc_id, CAST(coalesce(n.n")
+    + ") z"
+)
+
+OP13 = f"""WITH d AS (SELECT doc_id, coalesce(source, '') part, coalesce(text, '') t, {_words("text")} w FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) g, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) x FROM labels GROUP BY doc_id),
+f AS (SELECT part, CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100*len(list_distinct(w)) < 65*len(w) THEN 2 ELSE 0 END
+  + CASE WHEN 100*length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5*length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+  + CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END b, coalesce(g, 0) g, coalesce(x, 0) x FROM d LEFT JOIN l ON l.doc_id = d.doc_id),
+c AS (SELECT part, b, count(*) n, sum(g) g, sum(x) x FROM f GROUP BY part, b),
+a AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) v),
+o AS (SELECT a.v || b.v || c.v || d.v || e.v o FROM a, a b, a c, a d, a e WHERE len(list_distinct([a.v, b.v, c.v, d.v, e.v])) = 5),
+s AS (SELECT o, s, o[s] y, 1 << (ascii(o[s]) - 65) y1, list_sum(list_transform(string_split(o[:s], ''), lambda z: 1 << (ascii(z) - 65))) y2 FROM (SELECT o, unnest(range(1, 6)) s FROM o) z),
+r AS (SELECT part, o, s, y, CAST(sum(n) FILTER (WHERE b & CAST(y2 AS BIGINT) = 0) AS BIGINT) kept, CAST(sum(n) FILTER (WHERE b & CAST(y2 AS BIGINT) = y1) AS BIGINT) removed,
+  CAST(sum(n) FILTER (WHERE b & y1 > 0 AND b & CAST(y2 AS BIGINT) > y1 AND b & (CAST(y2 AS BIGINT) - y1) > 0) AS BIGINT) redundant, CAST(sum(n) FILTER (WHERE b = y1) AS BIGINT) unique_fails,
+  CAST(sum(c.g) FILTER (WHERE b & CAST(y2 AS BIGINT) = y1) AS BIGINT) good_lost, CAST(sum(c.x) FILTER (WHERE b & CAST(y2 AS BIGINT) = y1) AS BIGINT) toxic_lost FROM c, s GROUP BY ALL)
+SELECT part, o filter_order, CAST(s AS INTEGER) step, coalesce(kept, 0) kept, coalesce(removed, 0) removed, coalesce(redundant, 0) redundant, coalesce(unique_fails, 0) unique_fails,
+  coalesce(good_lost, 0) good_lost, coalesce(toxic_lost, 0) toxic_lost, CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, y) AS BIGINT) shapley FROM r"""

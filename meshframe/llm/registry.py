@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, katz, license_scan, ngram_join, oracles, packing, quality_rules, substring_dedup, token_counts, toxicity, url_filter
+from . import decontaminate, filter_audit, katz, license_scan, minhash_dedup, ngram_join, oracles, packing, prefix_trie, quality_rules, substring_dedup, token_counts, toxicity, url_filter
 from .tables import documents
 
 
@@ -59,6 +59,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.joined(documents(spark, sf_dir))
+
+
+def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audited(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
@@ -71,4 +83,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_benchmark_decontamination": oracles.OP7,
         "op9_substring_dedup": oracles.OP9,
         "op10_url_filters": oracles.op10(),
+        "op11_conversation_prefix_trie": oracles.OP11,
+        "op12_minhash_near_dedup": oracles.OP12,
+        "op13_filter_interaction_audit": oracles.OP13,
     }
