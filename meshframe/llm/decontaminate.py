@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import quoted, stored
 from .url_filter import lower_ascii
 
 #: Bytes between words: everything in ASCII but digits and lower-case letters.
@@ -148,5 +148,5 @@ def decontaminated(documents: DataFrame, items: DataFrame, **parameters) -> Data
     bad = contamination(documents, items, **parameters).where("contaminated").select("doc_id", "text_hash")
     bad = bad.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_bad"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_bad"))
-    rows = documents.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("_h"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"))
-    return rows.join(bad, same, "left_anti").select(*[F.col(f"_row.`{c}`").alias(c) for c in documents.columns])
+    rows = documents.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("_h"), F.struct(*[F.col(quoted(c)) for c in documents.columns]).alias("_row"))
+    return rows.join(bad, same, "left_anti").select(*[F.col(f"_row.{quoted(c)}").alias(c) for c in documents.columns])

@@ -22,6 +22,7 @@ DataFrame functions only. The templates are literals of the plan's small side.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -171,13 +172,13 @@ def matches(documents: DataFrame, templates=TEMPLATES, least: float = LEAST, shi
         s = shape(len(w), least, shingle)
         grams = list(dict.fromkeys(zip(*(w[i:] for i in range(s.k)), strict=False)))
         first += grams[: len(grams) - max(1, math.ceil(least * len(grams) - 1e-9)) + 1]
-    # lower() changes more letters than A-Z, so it keeps whatever could match; the row of a
-    # generator holds it, else it would move into each condition
+    # lower() changes more letters than A-Z, so only runs of ASCII are looked for in what it
+    # gives; the row of a generator holds it, else it would move into each condition
     text = documents.select("doc_id", F.col("text").cast("string").alias("_t")).where(F.col("_t").isNotNull())
     text = text.select("doc_id", F.inline(F.array(F.struct("_t", F.lower("_t").alias("_low")))))
     told = F.lit(False)
     for w in telling_words(first):
-        told = told | F.contains("_low", F.lit(w))
+        told = told | F.contains("_low", F.lit(max(re.findall(r"[\x00-\x7F]*", w), key=len)))
     docs = text.where(told).select("doc_id", F.xxhash64("_t").alias("_h"), words_of(F.col("_t"), BETWEEN).alias("_w"))
     perms = {k: max(-(-s.bands // 2) for s in shapes if s.k == k) if any(s.bands > 1 for s in shapes if s.k == k) else 0 for k in ks}
 

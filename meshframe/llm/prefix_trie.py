@@ -195,7 +195,7 @@ def trie(sequences: DataFrame, local: int = LOCAL) -> DataFrame:
     the node's last turn), ends_sha256 (of the members that end there). No sequences, no
     nodes."""
     state = stored(sequences.select(F.lit(0).cast("long").alias("parent"), F.lit(0).cast("long").alias("at"), F.lit(-1).cast("long").alias("digit"), "conv_id", "ids", "sizes"))
-    light, rounds, ends = [], [], []
+    light, rounds, ends, spent = [], [], [], []
     while True:
         turns = F.sum(F.size("ids") - F.col("at") + 1)
         big = stored(state.groupBy(*_KEY).agg(F.count("*").alias("n"), turns.alias("turns")).where((F.col("n") > 1) & (F.col("turns") > local)).select(*_KEY, "n"))
@@ -214,11 +214,12 @@ def trie(sequences: DataFrame, local: int = LOCAL) -> DataFrame:
         ends.append(placed.where(F.size("ids") == F.col("end")).select("node", F.col("end").alias("depth"), "conv_id"))
         ahead = placed.where(F.size("ids") > F.col("end"))
         state = stored(ahead.select(F.col("node").alias("parent"), (F.col("end") + 1).alias("at"), F.element_at("ids", (F.col("end") + 1).cast("int")).alias("digit"), "conv_id", "ids", "sizes"))
-        discard(big)
+        spent.append(big)
     rows = light[0]
     for more in light[1:]:
         rows = rows.unionByName(more)
     found = stored(_finished(rows.select(*_KEY, "conv_id", "ids", "sizes")))
+    discard(*spent)
     out = found.drop("top")
     if not rounds:
         return out

@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import quoted
+
 #: Labelled documents that a list is learnt from, at most.
 SAMPLE = 20_000
 #: White space between words.
@@ -147,7 +149,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, **paramet
     known = labels.where("doc_id is not null and bad is not null").groupBy("doc_id").agg(F.max("bad").alias("bad"))
     some = known.select("doc_id", "bad", F.xxhash64("doc_id").alias("_o")).orderBy("_o", "doc_id").limit(sample)
     rows = statistics(documents.select("doc_id", "text").join(F.broadcast(some), "doc_id"), "doc_id", "bad", "_o")
-    rows = rows.where(~base_failed()).groupBy("doc_id").agg(*[F.max(c).alias(c) for c in rows.columns if c != "doc_id"])
+    # of several texts of an id, the one with the least counts
+    rows = rows.where(~base_failed()).groupBy("doc_id").agg(F.min(F.struct(*[c for c in rows.columns if c != "doc_id"])).alias("_s")).select("doc_id", "_s.*")
     got = rows.select("doc_id", "bad", "_o", *[c.alias(k) for k, c in features().items()]).orderBy("doc_id").collect()
     if not got:
         return []
@@ -177,7 +180,7 @@ def judged(documents: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
 def kept(documents: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     """The documents that neither the base checks nor a rule rejects, all columns kept."""
     rules = fit(documents, labels, **parameters)
-    own = [c for c in documents.columns]
-    packed = documents.select(F.struct(*own).alias("_row"), F.col("text"))
+    own = documents.columns
+    packed = documents.select(F.struct(*[F.col(quoted(c)) for c in own]).alias("_row"), F.col("text"))
     rows = statistics(packed, "_row").where(~base_failed() & verdict(rules).isNull())
-    return rows.select(*[F.col(f"_row.`{c}`").alias(c) for c in own])
+    return rows.select(*[F.col(f"_row.{quoted(c)}").alias(c) for c in own])

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import stored
+from .tables import quoted, stored
 
 #: Words of an anchor.
 PREFIX = 4
@@ -332,9 +332,9 @@ def deduplicated(documents: DataFrame, **parameters) -> DataFrame:
     def cut(text: str, spans_: list) -> str:
         return cut_text(text, spans_) if text is not None and spans_ else text  # it runs for every row
 
-    rows = _with_spans(documents.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")), **parameters)
+    rows = _with_spans(documents.select("doc_id", "text", F.struct(*[F.col(quoted(c)) for c in names]).alias("_row")), **parameters)
     text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(cut(F.col("text").cast("string"), F.coalesce("cuts", F.array().cast("array<struct<low:long,high:long>>"))))
     out = rows.withColumn("_new", text)
-    own = {c: F.col(f"_row.`{c}`") for c in names}
+    own = {c: F.col(f"_row.{quoted(c)}") for c in names}
     cols = [F.col("_new").alias("text") if c == "text" else F.when(F.col("cuts").isNull(), own[c]).otherwise(F.length("_new")).alias(c) if c == "n_chars" else own[c].alias(c) for c in names]
     return out.select(*cols)
