@@ -174,11 +174,30 @@ def nearest_on_segment(p: Vec, a: Vec, b: Vec) -> Vec:
 
 
 def nearest_in_face(p: Vec, a: Vec, b: Vec, c: Vec) -> Column:
-    """Closest point of the closed triangle: struct of d2, part (0 inside, 1..3 the edges;
-    of equals the first) and x, y, z."""
-    options = [project_to_plane(p, a, face_vector(a, b, c)), *(nearest_on_segment(p, s, t) for s, t in ((a, b), (b, c), (c, a)))]
-    parts = [F.struct((p - q).norm2().alias("d2"), F.lit(k).alias("part"), *q.columns()) for k, q in enumerate(options)]
-    return F.when(inside_face(p, a, b, c, 0.0), parts[0]).otherwise(F.least(*parts[1:]))
+    """Closest point of the closed triangle: struct of d2, part (0 inside, 1..3 the edges
+    ab, bc, ca; of equals the first) and x, y, z.
+
+    All is told by five products of the sides from a and of the way to p, so the place is
+    two shares of the sides and the vectors are put together once, at the end."""
+    e, f, w = b - a, c - a, p - a
+    ee, ef, ff, we, wf = e.dot(e), e.dot(f), f.dot(f), w.dot(e), w.dot(f)
+    det = ee * ff - ef * ef
+    u, v = F.try_divide(ff * we - ef * wf, det), F.try_divide(ee * wf - ef * we, det)
+    share = lambda x, y: clamp(F.coalesce(F.try_divide(x, y), F.lit(0.0)), 0, 1)
+    ab, bc, ac = share(we, ee), share(wf - we - ef + ee, ee - 2 * ef + ff), share(wf, ff)
+    # squared distance from p, less that of a from p
+    edges = [
+        F.struct((ab * (ab * ee - 2 * we)).alias("k"), F.lit(1).alias("part"), ab.alias("u"), F.lit(0.0).alias("v")),
+        F.struct((ee - 2 * we + bc * (bc * (ee - 2 * ef + ff) - 2 * (wf - we - ef + ee))).alias("k"), F.lit(2).alias("part"), (1 - bc).alias("u"), bc.alias("v")),
+        F.struct((ac * (ac * ff - 2 * wf)).alias("k"), F.lit(3).alias("part"), F.lit(0.0).alias("u"), ac.alias("v")),
+    ]
+    inside = F.struct(F.lit(0.0).alias("k"), F.lit(0).alias("part"), u.alias("u"), v.alias("v"))
+    at = F.when((u >= 0) & (v >= 0) & (u + v <= 1), inside).otherwise(F.least(*edges))
+    return F.transform(F.array(at), lambda s: _placed(p, a + e * s["u"] + f * s["v"], s["part"]))[0]
+
+
+def _placed(p: Vec, q: Vec, part: Column) -> Column:
+    return F.struct((p - q).norm2().alias("d2"), part.alias("part"), *q.columns())
 
 
 def ray_hit(o: Vec, u: Vec, a: Vec, b: Vec, c: Vec) -> Column:

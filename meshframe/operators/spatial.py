@@ -1,7 +1,5 @@
-"""Spatial search as joins: grid cells, nearest neighbours, closest points, rays.
-
-Points meet on grid cells (an equi-join); the exact test follows. The cell width
-decides how much meets, never what is found.
+"""Spatial search as joins: nearest neighbours, closest points and rays go down a tree of
+boxes, radius and box joins meet on grid cells; the exact test follows.
 """
 
 from __future__ import annotations
@@ -10,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vec import Vec, field, nearest_in_face, ray_hit
-from ..plans.iterate import stored
 from ..schema import MeshFrame
 from ..sources.meshes import corner_vecs, corners
+from . import tree
 from .measure import boxes_overlap
 
 
@@ -38,118 +36,83 @@ def radius_join(queries: DataFrame, points: DataFrame, squared: float) -> DataFr
     return q.join(p, ["cx", "cy", "cz"]).select("qid", "vid", d2.alias("d2")).where(F.col("d2") < squared)
 
 
-def nearest(queries: DataFrame, points: DataFrame, n: int = 1, width: float | None = None, rounds: int = 24) -> DataFrame:
-    """The n nearest points of each query by (d2, vid): qid, k (from 1), vid, d2.
-
-    Queries look in 27 cells; those whose nth hit lies within a cell's width are done,
-    the others look again with cells twice as wide. The last round's cells hold all."""
-    p = points.select("vid", *Vec.of().columns())
-    left = queries.select("qid", *Vec.of().columns())
-    box = p.agg(*[F.max(a) - F.min(a) for a in "xyz"], F.count("*"), *[F.min(a) for a in "xyz"], *[F.max(a) for a in "xyz"]).first()
-    if not box[3]:
-        return p.limit(0).select(F.lit(None).cast("bigint").alias("qid"), F.lit(0).alias("k"), "vid", F.lit(0.0).alias("d2"))
-    q = left.agg(*[F.min(a) for a in "xyz"], *[F.max(a) for a in "xyz"]).first()
-    reach = max([1e-9, *(max(abs(box[7 + i] - (q[i] or 0)), abs((q[3 + i] or 0) - box[4 + i])) for i in range(3))])
-    width = width or max(max(box[:3]) * (n / box[3]) ** (1 / 3), reach / 2**rounds, 1e-12)
-    total, out = box[3], None
-    order = Window.partitionBy("qid").orderBy("d2", "vid")
-    while True:
-        last = width > reach
-        near = _around(left, width).withColumnsRenamed({a: f"q{a}" for a in "xyz"})
-        d2 = (Vec.of() - Vec.of("q")).norm2()
-        hits = near.join(p.select("*", *cell(width)), ["cx", "cy", "cz"]).select("qid", "vid", d2.alias("d2"))
-        best = hits.withColumn("k", F.row_number().over(order)).where(F.col("k") <= n)
-        if not last:
-            done = best.groupBy("qid").agg(F.count("*").alias("c"), F.max("d2").alias("far")).where((F.col("c") >= min(n, total)) & (F.col("far") <= width * width)).select("qid")
-            best = stored(best.join(done, "qid", "left_semi"))
-            left = stored(left.join(best.select("qid").distinct(), "qid", "left_anti"))
-        out = best if out is None else out.unionByName(best)
-        if last or not left.take(1):
-            return out.select("qid", "k", "vid", "d2")
-        width *= 2
-
-
-def _face_cells(mesh: MeshFrame, width: float) -> DataFrame:
-    """Faces on every cell that their boxes touch."""
-    f = corners(mesh.vertices, mesh.faces)
-    for a in "xyz":
-        low, high = F.least(*[f"{a}{k}" for k in range(3)]), F.greatest(*[f"{a}{k}" for k in range(3)])
-        f = f.withColumn(f"c{a}", F.explode(F.sequence(F.floor(low / width), F.floor(high / width))))
-    return f
+def nearest(queries: DataFrame, points: DataFrame, n: int = 1, leaf: int = tree.LEAF) -> DataFrame:
+    """The n nearest points of each query by (d2, vid): qid, k (from 1), vid, d2; fewer where
+    there are not so many. Points without a position are left out.
+
+    Points of one position are one item of the tree with its n least vids, so a position
+    that many points share is one row."""
+    p = points.where(~(F.isnan("x") | F.isnan("y") | F.isnan("z"))).select("vid", *Vec.of().columns())
+    least = p.withColumn("k", F.row_number().over(Window.partitionBy("x", "y", "z").orderBy("vid"))).where(F.col("k") <= n)
+    items = least.groupBy("x", "y", "z").agg(F.collect_list("vid").alias("vids"))
+    found = tree.nearest_items(queries, tree.build(items, Vec.of(), Vec.of(), leaf), lambda: F.struct((Vec.of() - Vec.of("q")).norm2().alias("d2")), n)
+    each = found.select("qid", "d2", F.explode("vids").alias("vid"))
+    return each.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy("d2", "vid"))).where(F.col("k") <= n).select("qid", "k", "vid", "d2")
+
 
+def face_tree(mesh: MeshFrame, leaf: int = tree.LEAF) -> tree.Tree:
+    """Faces with the positions of their corners, by their boxes."""
+    low, high = (Vec(*(f(*[f"{a}{k}" for k in range(3)]) for a in "xyz")) for f in (F.least, F.greatest))
+    return tree.build(corners(mesh.vertices, mesh.faces), low, high, leaf, by_size=True)
 
-def closest_surface_point(queries: DataFrame, mesh: MeshFrame, width: float, rounds: int = 24) -> DataFrame:
+
+def closest_surface_point(queries: DataFrame, mesh: MeshFrame, leaf: int = tree.LEAF) -> DataFrame:
     """The nearest point of the surface to each query, over all faces: qid, fid, part, d2,
-    x, y, z; equal distances give the least fid. Looks about the query in cells that
-    double until the hit is nearer than a cell's width."""
-    left, out = queries.select("qid", *Vec.of().columns()), None
-    box = mesh.vertices.agg(*[F.min(a) for a in "xyz"], *[F.max(a) for a in "xyz"]).first()
-    q = left.agg(*[F.min(a) for a in "xyz"], *[F.max(a) for a in "xyz"]).first()
-    if box[0] is None or q[0] is None or not mesh.faces.take(1):  # nothing to find, or nothing to look for
-        none = queries.limit(0).select("qid", F.lit(None).cast("bigint").alias("fid"), F.lit("").alias("part"), F.lit(0.0).alias("d2"), *Vec.of().columns())
-        return none
-    reach = max(max(abs(box[3 + i] - q[i]), abs(q[3 + i] - box[i])) for i in range(3)) + 1e-9
-    while True:
-        last = width > reach or rounds <= 0
-        if last:
-            width = max(width, reach)
-        near = _around(left, width).withColumnsRenamed({a: f"q{a}" for a in "xyz"})
-        hit = nearest_in_face(Vec.of("q"), *corner_vecs())
-        met = near.join(_face_cells(mesh, width), ["cx", "cy", "cz"]).select("qid", F.struct(hit.getField("d2").alias("d2"), "fid", hit.alias("p")).alias("b"))
-        best = met.groupBy("qid").agg(F.min("b").alias("b")).select("qid", "b.fid", "b.p.part", "b.d2", "b.p.x", "b.p.y", "b.p.z")
-        if not last:
-            best = stored(best.where(F.col("d2") <= width * width))
-            left = stored(left.join(best.select("qid"), "qid", "left_anti"))
-        out = best if out is None else out.unionByName(best)
-        if last or not left.take(1):
-            return out
-        width, rounds = width * 2, rounds - 1
-
-
-def ray_cast(rays: DataFrame, mesh: MeshFrame, width: float) -> DataFrame:
-    """rays: qid, x, y, z, ux, uy, uz. The first face that each ray meets: qid, fid, t and
-    the place; rays that miss give no row. Faces and rays meet on columns of cells along
-    the ray's main axis (rays are cut into steps of a cell over the mesh's box)."""
-    b = mesh.vertices.agg(*[F.min(a) for a in "xyz"], *[F.max(a) for a in "xyz"]).first()
-    if b[0] is None:
-        return rays.limit(0).select("qid", F.lit(None).cast("bigint").alias("fid"), F.lit(0.0).alias("t"), *Vec.of().columns())
-    o, u = Vec.of(), Vec.of("u")
-    # where the ray is inside the box of the mesh
-    t0, t1 = F.lit(0.0), F.lit(float("inf"))
-    for k, (p, d) in enumerate(zip(o, u, strict=True)):
-        low, high = F.lit(b[k] - width / 2), F.lit(b[3 + k] + width / 2)
-        a, c = F.try_divide(low - p, d), F.try_divide(high - p, d)
-        flat = F.when((p >= low) & (p <= high), F.lit(float("inf"))).otherwise(F.lit(-1.0))
-        t0 = F.greatest(t0, F.coalesce(F.least(a, c), F.lit(0.0)))
-        t1 = F.least(t1, F.coalesce(F.greatest(a, c), flat))
-    step = F.lit(width / 2) / u.norm()
-    r = rays.select("qid", *o.columns(), *u.columns("u"), t0.alias("t0"), t1.alias("t1"), step.alias("s")).where("t1 >= t0 and s is not null")
-    r = r.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil((F.col("t1") - F.col("t0")) / F.col("s")))))
-    at = Vec.of() + Vec.of("u") * (F.col("t0") + F.col("i") * F.col("s"))
-    cells = [F.floor(c / width).alias(f"k{a}") for c, a in zip(at, "xyz", strict=True)]
-    # a sample stands for the step about it, so its neighbours count too
-    r = r.select("qid", *o.columns("o"), *u.columns("u"), *cells)
+    x, y, z; equal distances give the least fid."""
+    met = tree.nearest_items(queries, face_tree(mesh, leaf), lambda: nearest_in_face(Vec.of("q"), *corner_vecs()))
+    best = met.groupBy("qid").agg(F.min(F.struct("d2", "fid", "part", "x", "y", "z")).alias("b"))
+    return best.select("qid", "b.fid", "b.part", "b.d2", "b.x", "b.y", "b.z")
+
+
+def _ray_meets(box: Column) -> Column:
+    """Does the ray from x, y, z along ux, uy, uz meet a box (a struct lx .. hz)?"""
+    slack = F.greatest(*[F.greatest(F.abs(box[f"l{a}"]), F.abs(box[f"h{a}"]), F.abs(F.col(a))) for a in "xyz"]) * 1e-12
+    enter, leave = F.lit(0.0), F.lit(float("inf"))
     for a in "xyz":
-        r = r.withColumn(f"c{a}", F.explode(F.array(*[F.col(f"k{a}") + d for d in (-1, 0, 1)])))
-    r = r.drop("kx", "ky", "kz").distinct()
+        low, high, u = box[f"l{a}"] - slack - F.col(a), box[f"h{a}"] + slack - F.col(a), F.col(f"u{a}")
+        p, q = F.try_divide(low, u), F.try_divide(high, u)
+        enter = F.greatest(enter, F.when(u != 0, F.least(p, q)).otherwise(F.when((low <= 0) & (high >= 0), 0.0).otherwise(float("inf"))))
+        leave = F.least(leave, F.when(u != 0, F.greatest(p, q)).otherwise(float("inf")))
+    return (enter <= leave * (1 + 1e-12)) & (enter < float("inf"))
+
+
+def ray_cast(rays: DataFrame, mesh: MeshFrame, leaf: int = tree.LEAF) -> DataFrame:
+    """rays: qid, x, y, z, ux, uy, uz (a direction of any length). The first face that each
+    ray meets: qid, fid, t (in lengths of u) and the place; rays that miss give no row."""
+    met = tree.down(rays.select("qid", *Vec.of().columns(), *Vec.of("u").columns("u")), faces := face_tree(mesh, leaf), _ray_meets)
+    met = met.withColumnsRenamed({a: f"o{a}" for a in "xyz"}).join(faces.items, "leaf")
     t = ray_hit(Vec.of("o"), Vec.of("u"), *corner_vecs())
-    met = r.join(_face_cells(mesh, width), ["cx", "cy", "cz"]).select("qid", F.struct(t.alias("t"), "fid").alias("h"), *Vec.of("o").columns("o"), *Vec.of("u").columns("u")).where("h.t is not null")
-    best = met.groupBy("qid").agg(F.min(F.struct("h", "ox", "oy", "oz", "ux", "uy", "uz")).alias("b")).select("qid", "b.h.fid", "b.h.t", "b.*")
-    return best.select("qid", "fid", "t", *(Vec.of("o") + Vec.of("u") * F.col("t")).columns())
-
-
-def overlapping_boxes(boxes: DataFrame, width: float) -> DataFrame:
-    """boxes: id, min_x.. max_z. Pairs (a < b) that meet: boxes meet on the cells that they
-    touch, and a pair counts on the first cell of their common part only."""
-    b = boxes
-    for c in "xyz":
-        b = b.withColumn(f"c{c}", F.explode(F.sequence(F.floor(F.col(f"min_{c}") / width), F.floor(F.col(f"max_{c}") / width))))
-    first = None
-    for c in "xyz":
-        t = F.col(f"p.c{c}") == F.greatest(F.floor(F.col(f"p.min_{c}") / width), F.floor(F.col(f"q.min_{c}") / width))
-        first = t if first is None else first & t
-    on = [F.col(f"p.c{c}") == F.col(f"q.c{c}") for c in "xyz"]
-    return b.alias("p").join(b.alias("q"), on).where((F.col("p.id") < F.col("q.id")) & boxes_overlap("p", "q") & first).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
+    hits = met.select("qid", t.alias("t"), "fid", *(Vec.of("o") + Vec.of("u") * t).columns()).where("t is not null")
+    return hits.groupBy("qid").agg(F.min(F.struct("t", "fid", "x", "y", "z")).alias("b")).select("qid", "b.fid", "b.t", "b.x", "b.y", "b.z")
+
+
+def overlapping_boxes(boxes: DataFrame) -> DataFrame:
+    """boxes: id, min_x .. max_z. Pairs a < b that meet.
+
+    Cells come in levels, each twice as wide as the one below. A box stands on the level of
+    its own size, where it touches few cells whatever its size, and looks for others there
+    and on each level above that has boxes. A pair counts on the first cell of its common
+    part only, on the level of the larger one."""
+    size = F.greatest(*[F.col(f"max_{a}") - F.col(f"min_{a}") for a in "xyz"])
+    b = boxes.select("id", *[f"{m}_{a}" for a in "xyz" for m in ("min", "max")], F.when(size > 0, F.ceil(F.log2(size))).cast("int").alias("level"))
+    levels = sorted(r["level"] for r in b.where("level is not null").select("level").distinct().collect())  # powers of two, so a few hundred at most
+    b = b.withColumn("level", F.coalesce("level", F.lit(levels[0] if levels else 0)))
+    wide = lambda level: F.pow(F.lit(2.0), level)
+
+    def on_cells(df: DataFrame, level: str) -> DataFrame:
+        for a in "xyz":
+            df = df.withColumn(f"c{a}", F.explode(F.sequence(F.floor(F.col(f"min_{a}") / wide(F.col(level))), F.floor(F.col(f"max_{a}") / wide(F.col(level))))))
+        return df
+
+    up = F.filter(F.array(*[F.lit(k) for k in levels or [0]]), lambda k: k >= F.col("level"))
+    p = on_cells(b.withColumn("up", F.explode(up)), "up").alias("p")
+    q = on_cells(b, "level").alias("q")
+    on = [F.col("p.up") == F.col("q.level"), *[F.col(f"p.c{a}") == F.col(f"q.c{a}") for a in "xyz"]]
+    once = (F.col("p.level") < F.col("q.level")) | (F.col("p.id") < F.col("q.id"))
+    for a in "xyz":
+        once = once & (F.col(f"q.c{a}") == F.floor(F.greatest(f"p.min_{a}", f"q.min_{a}") / wide(F.col("q.level"))))
+    met = p.join(q, on).where((F.col("p.id") != F.col("q.id")) & once & boxes_overlap("p", "q"))
+    return met.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"))
 
 
 def aligned_faces(points: DataFrame, mesh: MeshFrame) -> DataFrame:

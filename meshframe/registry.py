@@ -324,7 +324,7 @@ def affine_transform_bounds(spark, d):
 @query(CLOUD + ", b AS (SELECT mesh_id id, min(x) ax, max(x) bx, min(y) ay, max(y) by_, min(z) az, max(z) bz FROM p GROUP BY mesh_id) SELECT s.id a, t.id b FROM b s JOIN b t ON s.id<t.id AND s.ax<=t.bx AND t.ax<=s.bx AND s.ay<=t.by_ AND t.ay<=s.by_ AND s.az<=t.bz AND t.az<=s.bz")
 def overlapping_boxes(spark, d):
     b = measure.bounds(X.points(spark, d)).withColumnRenamed("mesh_id", "id")
-    return spatial.overlapping_boxes(b, 0.25)
+    return spatial.overlapping_boxes(b)
 
 
 @query(CLOUD + " SELECT " + ", ".join(f"round({m}({a}),6)+0.0 AS {m}_{a}" for a in "xyz" for m in ("min", "max")) + " FROM p")
@@ -409,14 +409,14 @@ def _segment(s: int, t: int) -> str:
   h*h*(nx*nx+ny*ny+nz*nz) dp, (x0+t0*(x1-x0)-qx)^2+(y0+t0*(y1-y0)-qy)^2+(z0+t0*(z1-z0)-qz)^2 d0, (x1+t1*(x2-x1)-qx)^2+(y1+t1*(y2-y1)-qy)^2+(z1+t1*(z2-z1)-qz)^2 d1, (x2+t2*(x0-x2)-qx)^2+(y2+t2*(y0-y2)-qy)^2+(z2+t2*(z0-z2)-qz)^2 d2 FROM j)
  SELECT qid, round(min(CASE WHEN b0>=0 AND b1>=0 AND b2>=0 THEN dp ELSE least(d0,d1,d2) END),6)+0.0 d2 FROM c GROUP BY qid""")
 def closest_surface_point(spark, d):
-    return spatial.closest_surface_point(X.probes(spark, d), X.grid(spark, d), 4.0).select("qid", r("d2").alias("d2"))
+    return spatial.closest_surface_point(X.probes(spark, d), X.grid(spark, d)).select("qid", r("d2").alias("d2"))
 
 
 @query("WITH " + _grid() + CORNERS + ", " + CLOUD[5:] + PROBES + """, j AS (SELECT qid, fid, x0, y0, z0, nx, ny, nz, x1, y1, x2, y2, qx, qy, z0 + ((x0-qx)*nx+(y0-qy)*ny)/nz hz, (x1-x0)*(qy-y0)-(y1-y0)*(qx-x0) s0, (x2-x1)*(qy-y1)-(y2-y1)*(qx-x1) s1, (x0-x2)*(qy-y2)-(y0-y2)*(qx-x2) s2 FROM q, fv WHERE nz <> 0),
  h AS (SELECT qid, hz + 0.0 t, hz FROM j WHERE (s0>=0 AND s1>=0 AND s2>=0) OR (s0<=0 AND s1<=0 AND s2<=0)) SELECT qid, round(min(t),6)+0.0 t, round(min(hz),6)+0.0 z FROM h GROUP BY qid""")
 def ray_cast(spark, d):
     rays = X.probes(spark, d).withColumn("z", F.lit(0.0)).select("qid", "x", "y", "z", F.lit(0.0).alias("ux"), F.lit(0.0).alias("uy"), F.lit(1.0).alias("uz"))
-    return spatial.ray_cast(rays, X.grid(spark, d), 2.0).select("qid", r("t").alias("t"), r("z").alias("z"))
+    return spatial.ray_cast(rays, X.grid(spark, d)).select("qid", r("t").alias("t"), r("z").alias("z"))
 
 
 # --- editing -------------------------------------------------------------------------
@@ -1035,9 +1035,12 @@ def visited_faces(spark, d):
     return surface.visit(X.grid(spark, d), rise, "fid bigint, rise double").select("fid", r("rise").alias("rise"))
 
 
-# --- whole tables: without SQL, as a cross join of all rows is too slow; checked by tests ---
+# --- whole tables: every row searches all rows ----------------------------------------
 
-@query()
+ALL_PROBES = PROBES.replace(" WHERE vid < 40", "")
+
+
+@query(CLOUD + ", h AS (SELECT a.vid qid, b.vid vid, (a.x-b.x)^2+(a.y-b.y)^2+(a.z-b.z)^2 d2 FROM p a, p b), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, vid) k FROM h) SELECT qid, CAST(k AS INT) k, vid, round(d2,6)+0.0 d2 FROM k WHERE k <= 5")
 def knn_vertices_all(spark, d):
     p = X.points(spark, d)
     return spatial.nearest(p.withColumnRenamed("vid", "qid"), p, 5).select("qid", "k", "vid", r("d2").alias("d2"))
@@ -1057,21 +1060,59 @@ def fill_holes_all(spark, d):
     return kernels.fill_holes(m, kernels.split_loops(m).where("loop > 0")).select("loop", "k", "v0", "v1", "v2")
 
 
-@query()
+@query(CLOUD + ALL_PROBES + ", h AS (SELECT a.qid, b.qid*100 vid, (a.qx-b.qx)^2+(a.qy-b.qy)^2+(a.qz-b.qz)^2 d2 FROM q a, q b), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, vid) k FROM h) SELECT qid, CAST(k AS INT) k, vid, round(d2,6)+0.0 d2 FROM k WHERE k <= 2")
 def nearest_vertex_all(spark, d):
     p = X.all_probes(spark, d)
     return spatial.nearest(p, p.select((F.col("qid") * 100).alias("vid"), "x", "y", "z"), 2).select("qid", "k", "vid", r("d2").alias("d2"))
 
 
-@query()
+_ON_FACE = "WITH " + _grid() + CORNERS + ", " + CLOUD[5:] + ALL_PROBES + f""", j AS (SELECT q.*, fv.*, {_segment(0, 1)} t0, {_segment(1, 2)} t1, {_segment(2, 0)} t2, ((qx-x0)*nx+(qy-y0)*ny+(qz-z0)*nz)/(nx*nx+ny*ny+nz*nz) h FROM q, fv),
+ c AS (SELECT *, (((y2-y1)*(qz-z1)-(z2-z1)*(qy-y1))*nx+((z2-z1)*(qx-x1)-(x2-x1)*(qz-z1))*ny+((x2-x1)*(qy-y1)-(y2-y1)*(qx-x1))*nz) b0, (((y0-y2)*(qz-z2)-(z0-z2)*(qy-y2))*nx+((z0-z2)*(qx-x2)-(x0-x2)*(qz-z2))*ny+((x0-x2)*(qy-y2)-(y0-y2)*(qx-x2))*nz) b1, (((y1-y0)*(qz-z0)-(z1-z0)*(qy-y0))*nx+((z1-z0)*(qx-x0)-(x1-x0)*(qz-z0))*ny+((x1-x0)*(qy-y0)-(y1-y0)*(qx-x0))*nz) b2 FROM j),
+ o AS (SELECT qid, qx, qy, qz, qx-h*nx x, qy-h*ny y, qz-h*nz z FROM c WHERE b0>=0 AND b1>=0 AND b2>=0 UNION ALL SELECT qid, qx, qy, qz, x0+t0*(x1-x0), y0+t0*(y1-y0), z0+t0*(z1-z0) FROM c UNION ALL SELECT qid, qx, qy, qz, x1+t1*(x2-x1), y1+t1*(y2-y1), z1+t1*(z2-z1) FROM c UNION ALL SELECT qid, qx, qy, qz, x2+t2*(x0-x2), y2+t2*(y0-y2), z2+t2*(z0-z2) FROM c),
+ b AS (SELECT qid, x, y, z, (x-qx)^2+(y-qy)^2+(z-qz)^2 d2 FROM o)
+ SELECT qid, round(min(d2),6)+0.0 d2, round(arg_min(x, d2),4)+0.0 x, round(arg_min(y, d2),4)+0.0 y, round(arg_min(z, d2),4)+0.0 z FROM b GROUP BY qid"""
+
+
+@query(_ON_FACE)
 def closest_surface_point_all(spark, d):
-    return spatial.closest_surface_point(X.all_probes(spark, d), X.grid(spark, d), 4.0).select("qid", r("d2").alias("d2"))
+    return spatial.closest_surface_point(X.all_probes(spark, d), X.grid(spark, d)).select("qid", r("d2").alias("d2"), *[r(a, 4).alias(a) for a in "xyz"])
 
 
-@query()
+_RAYS = "WITH " + _grid() + CORNERS + ", " + CLOUD[5:] + ALL_PROBES + """, ry AS (SELECT qid, qx, qy, qz, {ux} ux, {uy} uy, {uz} uz FROM (SELECT qid, qx, qy, {z} qz FROM q) t),
+ jr AS (SELECT ry.*, fid, x1-x0 ax, y1-y0 ay, z1-z0 az, x2-x0 bx, y2-y0 by_, z2-z0 bz, qx-x0 sx, qy-y0 sy, qz-z0 sz FROM ry, k),
+ mt AS (SELECT *, uy*bz-uz*by_ hx, uz*bx-ux*bz hy, ux*by_-uy*bx hz, sy*az-sz*ay ox, sz*ax-sx*az oy, sx*ay-sy*ax oz FROM jr),
+ dt AS (SELECT *, ax*hx+ay*hy+az*hz de FROM mt),
+ th AS (SELECT *, (sx*hx+sy*hy+sz*hz)/de f, (ux*ox+uy*oy+uz*oz)/de g, (bx*ox+by_*oy+bz*oz)/de t FROM dt WHERE abs(de) > 1e-12)
+ SELECT qid, round(min(t),6)+0.0 t, round(arg_min(qx+t*ux, t),5)+0.0 x, round(arg_min(qy+t*uy, t),5)+0.0 y, round(arg_min(qz+t*uz, t),5)+0.0 z FROM th WHERE f>=0 AND g>=0 AND f+g<=1 AND t>=0 GROUP BY qid"""
+
+
+def _hits(rays, mesh):
+    return spatial.ray_cast(rays, mesh).select("qid", r("t").alias("t"), *[r(a, 5).alias(a) for a in "xyz"])
+
+
+@query(_RAYS.format(z="0.0", ux="0.0", uy="0.0", uz="1.0"))
 def ray_cast_all(spark, d):
-    rays = X.all_probes(spark, d).withColumn("z", F.lit(0.0)).select("qid", "x", "y", "z", F.lit(0.0).alias("ux"), F.lit(0.0).alias("uy"), F.lit(1.0).alias("uz"))
-    return spatial.ray_cast(rays, X.grid(spark, d), 2.0).select("qid", r("t").alias("t"), r("z").alias("z"))
+    rays = X.all_probes(spark, d).select("qid", "x", "y", F.lit(0.0).alias("z"), F.lit(0.0).alias("ux"), F.lit(0.0).alias("uy"), F.lit(1.0).alias("uz"))
+    return _hits(rays, X.grid(spark, d))
+
+
+@query(_RAYS.format(z="qz - 40", ux="(qid % 7 - 3) / 4.0", uy="(qid % 5 - 2) / 8.0", uz="(qid % 3 + 1) / 2.0"))
+def ray_cast_oblique(spark, d):
+    """Rays of 105 directions, most of them slanting, from all probes."""
+    u = [((F.col("qid") % 7 - 3) / 4.0).alias("ux"), ((F.col("qid") % 5 - 2) / 8.0).alias("uy"), ((F.col("qid") % 3 + 1) / 2.0).alias("uz")]
+    return _hits(X.all_probes(spark, d).select("qid", "x", "y", (F.col("z") - 40).alias("z"), *u), X.grid(spark, d))
+
+
+_UNEVEN = CLOUD + """, b AS (SELECT vid id, x min_x, y min_y, z min_z, x + s max_x, y + s/2 max_y, z + s/4 max_z FROM (SELECT *, CASE WHEN vid % 50 = 0 THEN 1.5 ELSE (vid % 9) / 40.0 END s FROM p) t)
+ SELECT p.id a, q.id b FROM b p JOIN b q ON p.id < q.id AND p.min_x <= q.max_x AND q.min_x <= p.max_x AND p.min_y <= q.max_y AND q.min_y <= p.max_y AND p.min_z <= q.max_z AND q.min_z <= p.max_z"""
+
+
+@query(_UNEVEN)
+def overlapping_boxes_of_any_size(spark, d):
+    """Boxes at every embedding: points, small ones, and a few across most of the others."""
+    s = F.when(F.col("vid") % 50 == 0, 1.5).otherwise((F.col("vid") % 9) / 40.0)
+    p = X.points(spark, d).withColumn("s", s)
+    return spatial.overlapping_boxes(p.select(F.col("vid").alias("id"), *[F.col(a).alias(f"min_{a}") for a in "xyz"], *[(F.col(a) + F.col("s") / k).alias(f"max_{a}") for a, k in (("x", 1), ("y", 2), ("z", 4))]))
 
 
 def queries() -> dict[str, Query]:

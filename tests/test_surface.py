@@ -56,7 +56,7 @@ def test_surface_paths(spark, hill):
     for r in sorted(surface.surface_paths(q, hill, 1.0).collect(), key=lambda r: (r["qid"], r["pos"])):
         got.setdefault(r["qid"], []).append(np.array([r["x"], r["y"], r["z"]]))
     flat = spark.createDataFrame([(2 * k + s, *map(float, e[s])) for k, e in enumerate(ends) for s in (0, 1)], "qid long, x double, y double, z double")
-    spot = {r["qid"]: (r["fid"], np.array([r["x"], r["y"], r["z"]])) for r in spatial.closest_surface_point(flat, hill, 1.0).collect()}
+    spot = {r["qid"]: (r["fid"], np.array([r["x"], r["y"], r["z"]])) for r in spatial.closest_surface_point(flat, hill).collect()}
     for k, (a, b) in enumerate(ends):
         v = [min(p, key=lambda i: (round(float(((p[i] - np.array(e)) ** 2).sum()), 12), i)) for e in (a, b)]  # noqa: B023
         way = shortest(p, faces, *v)
@@ -173,8 +173,8 @@ def test_trees_and_texts():
 def test_empty_inputs(spark, hill):
     none = MeshFrame.empty(spark)
     q = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0)], "qid long, x double, y double, z double, ux double, uy double, uz double")
-    assert spatial.ray_cast(q, none, 1.0).count() == 0 and spatial.closest_surface_point(q, none, 1.0).count() == 0
-    assert spatial.closest_surface_point(q.where("false"), hill, 1.0).count() == 0
+    assert spatial.ray_cast(q, none).count() == 0 and spatial.closest_surface_point(q, none).count() == 0
+    assert spatial.closest_surface_point(q.where("false"), hill).count() == 0
     assert frames.procrustes(none.vertices, hill.vertices).is_identity()
 
 
