@@ -139,10 +139,10 @@ def classes(documents: DataFrame, method: Method) -> tuple[DataFrame, DataFrame,
     many tasks the shuffles after it need."""
     docs = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = stored(_sets(docs, method))
-    same = stored(sets.where("n > 0").groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep")))
-    members = stored(sets.join(same, ["n", "one", "two"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.col("rep") == F.col("doc_id"), F.col("mark")).alias("mark")))
-    marks = stored(members.where("mark is not null").groupBy("rep", "n", "mark").agg(F.lit(1).alias("_")).drop("_"))
-    discard(sets, same)
+    # equal sets have equal sketches
+    marks = stored(sets.where("n > 0").groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep"), F.first("mark").alias("mark")))
+    members = stored(sets.drop("mark").join(marks.drop("mark"), ["n", "one", "two"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
+    discard(sets)
     return docs, members, marks, tasks(docs.sparkSession, members.count())
 
 

@@ -113,15 +113,14 @@ def log_likelihood(similarity: np.ndarray, n: np.ndarray, m: np.ndarray, more: n
 
 
 def estimate(n: np.ndarray, m: np.ndarray, more: np.ndarray, less: np.ndarray, of: int = REGISTERS) -> np.ndarray:
-    """The most likely similarity. The likelihood has one peak; a golden section finds it."""
-    low, high = np.zeros(len(n)), np.minimum(n, m) / np.maximum(n, m)
-    ratio = (math.sqrt(5) - 1) / 2
-    at = lambda x: log_likelihood(x, n, m, more, less, of)
-    for _ in range(40):
-        p, q = high - ratio * (high - low), low + ratio * (high - low)
-        left = at(p) > at(q)
-        low, high = np.where(left, low, p), np.where(left, q, high)
-    return (low + high) / 2
+    """The most likely similarity. On so fine a scale ``_larger(x)`` is x, so the share of
+    equal registers is the similarity, and the likelihood's slope is zero at a root of a
+    quadratic."""
+    u, v = n / (n + m), m / (n + m)
+    equal = of - more - less
+    p, q = u * v * of, (equal * (u * u + v * v) + more * v * v + less * u * u) / 2
+    root = (q - np.sqrt(np.maximum(q * q - p * equal * u * v, 0))) / p
+    return np.clip(root, 0, np.minimum(u / v, v / u))
 
 
 def may_be_linked(n: np.ndarray, m: np.ndarray, more: np.ndarray, less: np.ndarray, least: int) -> np.ndarray:
