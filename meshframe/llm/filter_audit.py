@@ -23,9 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .katz import _bitmap
 from .tables import discard, stored
 
 FILTERS = "ABCDE"
+#: log2 of the bits of the map of rows whose texts are compared (2 MB).
+MAP_BITS = 24
 #: First block in bytes, and how many times as long as all before it each next one is.
 BLOCK, GROW = 64, 7
 
@@ -114,7 +117,18 @@ def duplicates(documents: DataFrame, rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array([len(t) for t in texts], pa.int64()), pa.array([blocks(t.encode()) for t in texts], pa.list_(pa.int64()))], names=["doc_id", "text", "n", "blocks"])
 
     texts = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = texts.join(found.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(blocked, "doc_id long, text string, n long, blocks array<long>")
+    # a map of fixed size spares other texts the way; those that it lets through are alone
+    # in their class and text, so they change nothing
+    place = F.xxhash64("doc_id")
+    known = documents.sparkSession.sparkContext.broadcast(_bitmap(found.select(place.alias("key")), MAP_BITS))
+
+    def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("place").to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - MAP_BITS)
+            keep = (known.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+            yield from blocked(iter([batch.filter(pa.array(keep.astype(bool)))]))
+
+    texts = texts.withColumn("place", place).mapInArrow(survivors, "doc_id long, text string, n long, blocks array<long>")
     texts = texts.select("doc_id", "text", class_of("n", "blocks").alias("cls"))
     groups = stored(texts.groupBy("cls", "text").agg(F.min("doc_id").alias("first")).select("cls", F.sha2("text", 256).alias("sha"), "first"))
     single = stored(groups.groupBy("cls").agg(F.count("*").alias("k"), F.min("first").alias("first")))

@@ -13,7 +13,7 @@ pytest.importorskip("meshframe.llm")
 
 from meshframe.llm import filter_audit, license_scan, meeting, minhash_dedup, ngram_join, prefix_trie, quality_rules
 
-from .test_operators import SPACE, by_id, corpus, low
+from test_operators import SPACE, by_id, corpus, low
 
 
 def said(seed=3, n=80):
