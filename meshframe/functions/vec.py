@@ -230,23 +230,31 @@ def givens(a: Column, b: Column) -> Column:
     return F.struct(c.alias("c"), (s + 0.0).alias("s"), r.alias("r"))
 
 
+def front_terms(u, a, b, cos, slowness) -> tuple:
+    """A planar front reached A at 0 and B at u, and goes on to C with |CB| = a, |CA| = b and
+    the corner's cosine. Its time is linear, with a gradient as long as the slowness; the
+    gradient from the two known times and an unknown t at C, squared by the sides' inverse
+    products, gives x t^2 - 2 y t + z = 0. Numbers or Columns: x, y, z."""
+    ab = a * b * cos
+    return a * a + b * b - 2 * ab, u * (b * b - ab), b * b * (u * u - slowness * slowness * a * a * (1 - cos * cos))
+
+
+def from_inside(t, u, a, b, cos) -> tuple:
+    """Two conditions under which the gradient at C points out of the corner, so that the
+    front came through the triangle. Numbers or Columns."""
+    return a * t >= b * cos * (t - u), b * (t - u) >= a * cos * t
+
+
 def crossing_time(tb: Column, ta: Column, a: Column, b: Column, theta: Column, slowness: Column) -> Column:
-    """Arrival of a planar front at corner C of a triangle: sides a = |CB| and b = |CA| with
-    the angle theta between them, arrivals ta <= tb at A and B. The quadratic's root holds
-    where the front comes from inside the corner, else the front follows an edge."""
-    u = tb - ta
-    cos, sin2 = F.cos(theta), 1 - F.cos(theta) * F.cos(theta)
-    qa = a * a + b * b - 2 * a * b * cos
-    qb = 2 * b * u * (a * cos - b)
-    qc = b * b * (u * u - slowness * slowness * a * a * sin2)
-    root = qb * qb - 4 * qa * qc
-    t = F.when((root >= 0) & (qa > 0), (-qb + F.sqrt(F.greatest(root, F.lit(0.0)))) / (2 * qa))
-    share = F.try_divide(b * (t - u), t)
-    lowest = F.when(cos > 0, a * cos).otherwise(F.lit(-math.inf))
-    upper = F.when(F.abs(cos) > 1e-12, a / cos)
-    inside = (u < t) & (share > F.when(cos > 0, lowest).otherwise(share - 1)) & F.coalesce(F.when(cos > 0, share < upper), share > a * cos)
+    """Arrival at corner C of a triangle: sides a = |CB| and b = |CA| with the angle theta
+    between them, arrivals ta <= tb at A and B. Where the front does not come through the
+    triangle it follows an edge."""
+    u, cos = tb - ta, F.cos(theta)
+    x, y, z = front_terms(u, a, b, cos, slowness)
+    t = F.when((x > 0) & (y * y >= x * z), (y + F.sqrt(F.greatest(y * y - x * z, F.lit(0.0)))) / x)
+    p, q = from_inside(t, u, a, b, cos)
     edge = F.least(slowness * b + ta, slowness * a + tb)
-    return F.when(F.coalesce(inside, F.lit(False)), t + ta).otherwise(edge)
+    return F.when(F.coalesce(p & q & (t > u), F.lit(False)), t + ta).otherwise(edge)
 
 
 def sorted3(a: Column, b: Column, c: Column) -> Column:

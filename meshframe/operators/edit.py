@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vec import Vec, affine, area, field, from_barycentric, lerp, reflect, signed_distance
+from ..plans.iterate import discard, stored
 from ..schema import MeshFrame
 from ..sources.meshes import corner_vecs, corners, soup, used_vertices
-from .texture import corner_uvs, textured, with_corner_uvs
+from .texture import corner_uvs, textured, used_uvs, with_corner_uvs
 from .topology import EDGE, half_edges, vertex_degrees, vertex_faces
 
 
@@ -110,8 +111,28 @@ def slice_soup(mesh: MeshFrame, on: Sequence[float], normal: Sequence[float]) ->
 
 
 def sliced(mesh: MeshFrame, on: Sequence[float], normal: Sequence[float]) -> MeshFrame:
-    """``slice_soup`` with shared vertices."""
-    return soup(slice_soup(mesh, on, normal).withColumn("fid", F.col("src") * 2 + F.col("part")))
+    """``slice_soup`` with shared vertices. Materials stay, and pieces of textured faces have
+    the UVs that their corners have on the face."""
+    out = soup(slice_soup(mesh, on, normal).withColumn("fid", F.col("src") * 2 + F.col("part")))
+    if textured(mesh):
+        out = out.with_(vertices=stored(out.vertices), faces=stored(out.faces))  # read again for the UVs
+    return uvs_by_place(mesh, out.with_(materials=mesh.materials), F.floor(F.col("fid") / 2))
+
+
+def uvs_by_place(old: MeshFrame, new: MeshFrame, source: Column) -> MeshFrame:
+    """The new mesh, whose faces lie on faces of the old one (``source``: their ids, from
+    the new fid), with the UVs that its corners have there."""
+    if not textured(old):
+        return new
+    from ..functions.vec import barycentric
+
+    slots = new.faces.select("mesh_id", F.col("fid").alias("new"), source.cast("bigint").alias("fid"), F.posexplode(F.array("v0", "v1", "v2")).alias("slot", "vid"))
+    at = slots.join(new.vertices.select("mesh_id", "vid", *Vec.of().columns("p")), ["mesh_id", "vid"]).join(corners(old.vertices, old.faces), ["mesh_id", "fid"])
+    b = barycentric(Vec.of("p"), *corner_vecs())
+    at = at.select("mesh_id", "fid", "new", "slot", *[c.alias(f"b{k}") for k, c in enumerate(b)])
+    own = corner_uvs(old).groupBy("mesh_id", "mid", "fid").agg(*[F.max(F.when(F.col("slot") == k, F.col(c))).alias(f"{c}{k}") for k in range(3) for c in "uv"])
+    mix = lambda c: sum((F.col(f"b{k}") * F.col(f"{c}{k}") for k in range(3)), F.lit(0.0)).alias(c)
+    return with_corner_uvs(new, at.join(own, ["mesh_id", "fid"]).select("mesh_id", "mid", F.col("new").alias("fid"), "slot", mix("u"), mix("v")))
 
 
 def subdivided(mesh: MeshFrame, points: DataFrame | None = None) -> MeshFrame:
@@ -145,7 +166,8 @@ def subdivided(mesh: MeshFrame, points: DataFrame | None = None) -> MeshFrame:
 
 
 def split_midpoints(mesh: MeshFrame) -> MeshFrame:
-    """Each face becomes four by its edges' midpoints; edges share their midpoints."""
+    """Each face becomes four by its edges' midpoints; edges share their midpoints. Corners
+    of textured faces have the UVs that they have on the face."""
     h = half_edges(mesh.faces)
     e = h.select(*EDGE).distinct()
     top = mesh.vertices.groupBy("mesh_id").agg(F.max("vid").alias("_tv"))
@@ -158,13 +180,12 @@ def split_midpoints(mesh: MeshFrame) -> MeshFrame:
     one = lambda k, *v: F.struct((F.col("fid") * 4 + k).alias("fid"), *[F.col(x).alias(f"v{i}") for i, x in enumerate(v)])
     parts = F.array(one(0, "v0", "m0", "m2"), one(1, "m0", "v1", "m1"), one(2, "m2", "m1", "v2"), one(3, "m0", "m1", "m2"))
     faces = f.select("mesh_id", F.explode(parts).alias("t")).select("mesh_id", "t.*")
-    return mesh.with_(vertices=at.select("mesh_id", "vid", "x", "y", "z").unionByName(new), faces=faces)
+    out = mesh.with_(vertices=at.select("mesh_id", "vid", "x", "y", "z").unionByName(new), faces=faces)
+    return uvs_by_place(mesh, out, F.floor(F.col("fid") / 4))
 
 
 def split_to_area(mesh: MeshFrame, most: float) -> MeshFrame:
     """Centroid splits until no face's area exceeds ``most``: a round divides areas by three."""
-    from ..plans.iterate import stored
-
     if most <= 0:
         raise ValueError("areas can't shrink to 0")
     while True:
@@ -178,9 +199,45 @@ def split_to_area(mesh: MeshFrame, most: float) -> MeshFrame:
     return mesh
 
 
+def independent_edges(faces: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs: mesh_id, u, w, any edges. A largest choice (none can be added) of those with
+    exactly two faces of which no two share a face: mesh_id, u, w.
+
+    Each edge has a priority by hash. In a round those go in that come first at both their
+    faces, and all that share a face with them go out; rounds grow with the logarithm."""
+    h = half_edges(faces).join(pairs.select(*EDGE).distinct(), EDGE, "left_semi").select(*EDGE, "fid")
+    two = h.groupBy(*EDGE).agg(F.count("*").alias("n"), F.collect_list("fid").alias("fids")).where("n = 2")
+    left = stored(two.select(*EDGE, F.explode("fids").alias("fid"), F.xxhash64(*EDGE).alias("rank")))
+    out = None
+    while not left.isEmpty():
+        first = left.groupBy("mesh_id", "fid").agg(F.min(F.struct("rank", "u", "w")).alias("f"))
+        mine = F.struct("rank", "u", "w")
+        won = left.join(first, ["mesh_id", "fid"]).groupBy(*EDGE).agg(F.bool_and(mine == F.col("f")).alias("won")).where("won").select(*EDGE)
+        won = stored(won)
+        shut = left.join(won, EDGE, "left_semi").select("mesh_id", "fid").distinct()
+        lost = left.join(shut, ["mesh_id", "fid"], "left_semi").select(*EDGE).distinct()
+        last, left = left, stored(left.join(lost, EDGE, "left_anti"))
+        discard(last)
+        out = won if out is None else out.unionByName(won)
+    return out if out is not None else left.select(*EDGE)
+
+
+def flip_all(faces: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs: mesh_id, u, w, any edges. Each is flipped once, if it is an edge of two faces
+    when its turn comes: a round flips independent ones, the others wait."""
+    faces, left = stored(faces.select("mesh_id", "fid", "v0", "v1", "v2")), stored(pairs.select(*EDGE).distinct())
+    while True:
+        turn = stored(independent_edges(faces, left))
+        if turn.isEmpty():
+            return faces
+        last, faces = (faces, left), stored(flipped(faces, turn))
+        left = stored(left.join(turn, EDGE, "left_anti"))
+        discard(*last)
+
+
 def flipped(faces: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs: mesh_id, u, w, edges of which no two share a face. Each with exactly two
-    faces is replaced by the other diagonal; face ids stay."""
+    """pairs: mesh_id, u, w, edges of which no two share a face (see ``independent_edges``,
+    ``flip_all``). Each with exactly two faces is replaced by the other diagonal; face ids stay."""
     h = half_edges(faces).join(pairs.select(*EDGE).distinct(), EDGE, "left_semi")
     two = h.groupBy(*EDGE).agg(F.count("*").alias("n"), F.min(F.struct("fid", "a", "b", "o")).alias("p"), F.max(F.struct("fid", "a", "b", "o")).alias("q")).where("n = 2 and p.o <> q.o")
     row = lambda fid, *v: F.struct(F.col(fid).alias("fid"), *[F.col(x).alias(f"n{k}") for k, x in enumerate(v)])
@@ -214,7 +271,9 @@ def flipped_mesh(mesh: MeshFrame, pairs: DataFrame) -> MeshFrame:
 def without_tetrahedra(mesh: MeshFrame) -> MeshFrame:
     """One round: vertices with exactly three faces and three neighbours go, and their
     faces are replaced by the base unless it is there. Of neighbouring such vertices the
-    least goes, so the round is a set of independent changes."""
+    least goes, so the round is a set of independent changes. Faces that go take their UVs
+    along; where all three have one material, the base has it, and at each corner the UV
+    of the least of them."""
     from .topology import neighbours
 
     apex = vertex_degrees(mesh.faces).where("n_faces = 3 and n_neighbours = 3").select("mesh_id", "vid")
@@ -228,7 +287,19 @@ def without_tetrahedra(mesh: MeshFrame) -> MeshFrame:
     key = F.array_sort(F.array("v0", "v1", "v2")).alias("_k")
     kept = mesh.faces.select("mesh_id", "fid", "v0", "v1", "v2").join(touching.select("mesh_id", "fid").distinct(), ["mesh_id", "fid"], "left_anti")
     base = base.select("*", key).join(kept.select("mesh_id", key), ["mesh_id", "_k"], "left_anti").drop("_k")
-    return mesh.with_(vertices=mesh.vertices.join(apex, ["mesh_id", "vid"], "left_anti"), faces=kept.unionByName(base))
+    out = mesh.with_(vertices=mesh.vertices.join(apex, ["mesh_id", "vid"], "left_anti"), faces=kept.unionByName(base))
+    if not textured(mesh):
+        return out
+    old = corner_uvs(mesh)
+    gone = touching.select("mesh_id", "fid", F.col("vid").alias("apex"))
+    lost = old.join(gone, ["mesh_id", "fid"])
+    rim = lost.groupBy("mesh_id", "apex").agg(F.min("mid").alias("mid"), (F.min("mid") == F.max("mid")).alias("one"), F.countDistinct("fid").alias("n"), F.min("fid").alias("least")).where("one and n = 3")
+    at = lost.where("vid <> apex").groupBy("mesh_id", "apex", "vid").agg(F.min(F.struct("fid", "u", "v")).alias("t"))
+    of = gone.groupBy("mesh_id", "apex").agg(F.min("fid").alias("fid"))
+    slots = base.select("mesh_id", "fid", F.posexplode(F.array("v0", "v1", "v2")).alias("slot", "vid"))
+    made = slots.join(of, ["mesh_id", "fid"]).join(rim.select("mesh_id", "apex", "mid"), ["mesh_id", "apex"]).join(at, ["mesh_id", "apex", "vid"]).select("mesh_id", "mid", "fid", "slot", "t.u", "t.v")
+    stay = old.join(gone.select("mesh_id", "fid").distinct(), ["mesh_id", "fid"], "left_anti").select("mesh_id", "mid", "fid", "slot", "u", "v")
+    return with_corner_uvs(out, stay.unionByName(made))
 
 
 def split_irregular(mesh: MeshFrame) -> MeshFrame:
@@ -253,7 +324,7 @@ def split_irregular(mesh: MeshFrame) -> MeshFrame:
 
 def collapsed(mesh: MeshFrame, ids: DataFrame) -> MeshFrame:
     """Some faces (mesh_id, fid; no two with a common vertex) shrink to their centroids;
-    faces that lose a corner go."""
+    faces that lose a corner go, and their UVs; corners of the others keep theirs."""
     from ..sources.meshes import valid_faces
 
     a, b, c = corner_vecs()
@@ -265,7 +336,7 @@ def collapsed(mesh: MeshFrame, ids: DataFrame) -> MeshFrame:
         out = out.join(to.select("mesh_id", F.col("vid").alias(f"v{k}"), F.col("t").alias(f"t{k}")), ["mesh_id", f"v{k}"], "left")
     out = out.select("mesh_id", "fid", *[F.coalesce(f"t{k}", f"v{k}").alias(f"v{k}") for k in range(3)])
     out = valid_faces(v, out)
-    return mesh.with_(vertices=used_vertices(v, out), faces=out)
+    return used_uvs(mesh.with_(vertices=used_vertices(v, out), faces=out))
 
 
 def texture_points(mesh: MeshFrame, points: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.eigen import best_rotation, turned_by
 from ..functions.vec import Vec
 from ..schema import MeshFrame
 from .edit import transformed
@@ -239,6 +240,35 @@ def procrustes(source: DataFrame, target: DataFrame, scale: bool = True, weight:
     return Transform.rotation(k * rot, t - k * rot @ s)
 
 
+def procrustes_each(source: DataFrame, target: DataFrame, scale: bool = True, weight: Column | None = None) -> DataFrame:
+    """The fit of ``procrustes`` for every mesh_id on its own: mesh_id, n, rotation (9
+    entries), size, tx, ty, tz. Sums and solutions are Columns, so a table of a million
+    meshes is fitted in one aggregate. Meshes without common vertices give no row; a mesh
+    on one spot is moved only."""
+    w = F.lit(1.0) if weight is None else weight
+    j = source.select("mesh_id", "vid", *Vec.of().columns("s")).join(target.select("mesh_id", "vid", *Vec.of().columns("t")), ["mesh_id", "vid"]).withColumn("w", w)
+    mean = [(F.sum(F.col("w") * F.col(p + a)) / F.sum("w")).alias(f"m{p}{a}") for p in "st" for a in "xyz"]
+    product = [(F.sum(F.col("w") * F.col(f"s{a}") * F.col(f"t{b}")) / F.sum("w")).alias(f"p{a}{b}") for a in "xyz" for b in "xyz"]
+    sums = j.groupBy("mesh_id").agg(F.sum("w").alias("n"), *mean, *product, (F.sum(F.col("w") * Vec.of("s").norm2()) / F.sum("w")).alias("ss")).where("n > 0")
+    c = {a + b: F.col(f"p{a}{b}") - F.col(f"ms{a}") * F.col(f"mt{b}") for a in "xyz" for b in "xyz"}
+    spread = F.col("ss") - Vec.of("ms").norm2()
+    sums = sums.select("*", F.inline(F.array(F.struct(best_rotation(c).alias("rotation"), spread.alias("spread")))))
+    fitted = sum((F.get("rotation", F.lit(3 * i + k)) * c[b + a] for i, a in enumerate("xyz") for k, b in enumerate("xyz")), F.lit(0.0))
+    size = F.when(F.col("spread") > 0, fitted / F.col("spread")).otherwise(F.lit(1.0)) if scale else F.lit(1.0)
+    out = sums.withColumn("size", size)
+    moved = turned_by(F.col("rotation"), Vec.of("ms")) * F.col("size")
+    return out.select("mesh_id", "n", "rotation", "size", *(Vec.of("mt") - moved).columns("t"))
+
+
+def fitted(vertices: DataFrame, fits: DataFrame) -> DataFrame:
+    """vertices with the fit of their mesh (from ``procrustes_each``) applied; those of meshes
+    without one stay."""
+    f = fits.select("mesh_id", "rotation", "size", *Vec.of("t").columns("_t"))
+    v = turned_by(F.col("rotation"), Vec.of()) * F.col("size") + Vec.of("_t")
+    out = vertices.join(f, "mesh_id", "left").withColumns({f"_{a}": F.coalesce(c, F.col(a)) for a, c in zip("xyz", v, strict=True)})
+    return out.select(*[F.col(f"_{c}").alias(c) if c in ("x", "y", "z") else F.col(f"`{c}`") for c in vertices.columns])
+
+
 def icp(source: DataFrame, target: MeshFrame, rounds: int = 10) -> Transform:
     """Point-to-plane registration: each round every source vertex meets its nearest target
     vertex, and 27 sums give the small motion that brings them onto the tangent planes."""

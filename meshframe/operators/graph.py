@@ -151,16 +151,26 @@ def distances(links: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def paths(reached: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs: mesh_id, src, dst. The vertices from dst back to src: mesh_id, src, dst, back, vid."""
-    step = stored(pairs.select("mesh_id", "src", "dst", F.lit(0).cast("bigint").alias("back"), F.col("dst").alias("vid")))
-    step = stored(step.join(reached.select("mesh_id", "src", "vid"), ["mesh_id", "src", "vid"], "left_semi"))
-    out = step
+    """reached: what ``distances`` or ``routes.routes`` gives; pairs: mesh_id, src, dst. The
+    vertices from dst back to src: mesh_id, src, dst, back, vid.
+
+    Steps back double: a round adds, to the vertices found so far, those twice as far back,
+    and squares the step, so a path takes a logarithm of rounds."""
+    of = [c for c in ("mesh_id", "src", "dst") if c in reached.columns]
+    step = stored(reached.where("prev is not null").select(*of, "vid", F.col("prev").alias("far")))
+    ends = pairs.select("mesh_id", "src", "dst", F.lit(0).cast("bigint").alias("back"), F.col("dst").alias("vid"))
+    out = stored(ends.join(reached.select(*of, "vid"), [*of, "vid"], "left_semi"))
+    width = 1
     while True:
-        step = stored(step.join(reached, ["mesh_id", "src", "vid"]).where("prev is not null").select("mesh_id", "src", "dst", (F.col("back") + 1).alias("back"), F.col("prev").alias("vid")))
-        if not step.take(1):
-            break
-        out = out.unionByName(step)
-    return out
+        more = stored(out.join(step, [*of, "vid"]).select("mesh_id", "src", "dst", (F.col("back") + width).alias("back"), F.col("far").alias("vid")))
+        if more.isEmpty():
+            return out
+        last, out = out, stored(out.unionByName(more))
+        discard(last, more)
+        on = step.select(*of, F.col("vid").alias("far"), F.col("far").alias("next"))
+        last, step = step, stored(step.join(on, [*of, "far"]).select(*of, "vid", F.col("next").alias("far")))
+        discard(last)
+        width *= 2
 
 
 def path_lengths(points: DataFrame, by: str = "path_id", order: str = "pos") -> DataFrame:

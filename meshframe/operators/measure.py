@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.eigen import symmetric_eigen
 from ..functions.vec import Vec, affine, angle, face_vector, field, givens
 from ..plans.iterate import fixpoint, stored
 from ..schema import MeshFrame
@@ -94,6 +95,14 @@ def principal_axes(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return w[order], v[:, order]
 
 
+def axes(vertices: DataFrame, by: Sequence[str] = ("mesh_id",)) -> DataFrame:
+    """Principal axes of each group of vertices: n, centre m_x .. m_z, values (variances along
+    the axes, the largest first) and vectors (an array each), all as Columns."""
+    entries = F.array(*[F.col("c_" + "".join(sorted((a, b)))) for a in "xyz" for b in "xyz"])
+    c = covariance(vertices, by)
+    return c.select(*by, "n", *[f"m_{a}" for a in "xyz"], F.inline(F.array(symmetric_eigen(entries, 3))))
+
+
 def axes_to_rotation(vectors: np.ndarray) -> np.ndarray:
     """Each axis goes to the coordinate it is nearest to, with a positive sign there."""
     out, free = np.zeros((3, 3)), [0, 1, 2]

@@ -5,21 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vec import Vec
-from ..plans.iterate import stored
+from ..plans.iterate import discard, stored
 from ..schema import MeshFrame
 from ..sources.meshes import corners
-from . import graph
-from .kernels import Local, per_mesh
-from .spatial import closest_surface_point, nearest
+from . import graph, routes, tree
+from .spatial import closest_surface_point, face_tree, nearest
+from .topology import EDGE, half_edges
 
 
-def surface_paths(queries: DataFrame, mesh: MeshFrame, width: float) -> DataFrame:
+def surface_paths(queries: DataFrame, mesh: MeshFrame) -> DataFrame:
     """queries: qid, x0, y0, z0, x1, y1, z1; a bundle of one mesh. The shortest way along
     edges from the vertex nearest to the first point to the one nearest to the second, with
     its ends trimmed: where the face on which a point lies has the first edge of the way,
@@ -30,12 +29,12 @@ def surface_paths(queries: DataFrame, mesh: MeshFrame, width: float) -> DataFram
     ends = [q.select((F.col("qid") * 2 + k).alias("qid"), *[F.col(f"{a}{k}").alias(a) for a in "xyz"]) for k in (0, 1)]
     ends = stored(ends[0].unionByName(ends[1]))
     at = nearest(ends, mesh.vertices).select("qid", "vid")
-    on = closest_surface_point(ends, mesh, width).select("qid", "fid", "x", "y", "z")
+    on = closest_surface_point(ends, mesh).select("qid", "fid", "x", "y", "z")
     at = stored(at.join(on, "qid"))
     side = lambda k, v, f, p: at.where(F.pmod("qid", F.lit(2)) == k).select(((F.col("qid") - k) / 2).cast("bigint").alias("qid"), F.col("vid").alias(v), F.col("fid").alias(f), *Vec.of().columns(p))
     both = stored(side(0, "src", "f0", "a").join(side(1, "dst", "f1", "b"), "qid").join(mesh.vertices.select("mesh_id", F.col("vid").alias("src")), "src"))
-    reached = graph.distances(graph.weighted_edges(mesh), both.select("mesh_id", "src").distinct())
-    chain = graph.paths(reached, both.select("mesh_id", "src", "dst").distinct())
+    pairs = both.select("mesh_id", "src", "dst").distinct()
+    chain = graph.paths(routes.routes(mesh, pairs)[1], pairs)
     last = chain.groupBy("src", "dst").agg(F.max("back").alias("n"))
     walk = stored(both.join(chain.drop("mesh_id"), ["src", "dst"]).join(last, ["src", "dst"]).withColumn("pos", F.col("n") - F.col("back")))
     # the first and the last edge of each way, and whether the points' faces have them
@@ -53,58 +52,88 @@ def surface_paths(queries: DataFrame, mesh: MeshFrame, width: float) -> DataFram
     return way
 
 
-def facet_paths(mesh: MeshFrame, queries: DataFrame, normals: DataFrame) -> DataFrame:
+_TRACE = "mesh_id long, qid long, side int, fid long, a long, b long, x double, y double, z double, length double, n int, f0 long, f1 long, gx double, gy double, gz double, most long"
+_FACE = [*[f"v{k}" for k in range(3)], *[f"{a}{k}" for k in range(3) for a in "xyz"], *[f"o{k}" for k in range(3)], "nx", "ny", "nz"]
+
+
+def _trace(table: pa.Table) -> pa.Table:
+    """The faces of one cell and the traces in it: each trace goes on until it leaves the
+    cell (with the face that it enters), arrives (b is -2) or ends (left out)."""
+    names = [x.split()[0] for x in _TRACE.split(", ")]
+    rows = table.to_pylist()
+    faces = {r["fid"]: r for r in rows if r["kind"] == 0}
+    out = []
+    for r in (r for r in rows if r["kind"] == 1):
+        x, length, n, fid, over = np.array([r[c] for c in "xyz"]), r["length"], r["n"], r["fid"], (r["a"], r["b"])
+        while fid in faces and fid != r["f1"]:
+            face = faces[fid]
+            at = [np.array([face[f"{c}{k}"] for c in "xyz"]) for k in range(3)]
+            if face["nx"] is None or n > r["most"]:
+                fid = None
+                break
+            height = [float(np.dot([face["nx"], face["ny"], face["nz"]], p - x)) for p in at]
+            cut = [k for k in range(3) if (height[k] < 0) != (height[(k + 1) % 3] < 0)]  # edge k joins corners k and k + 1
+            sides = [{face[f"v{k}"], face[f"v{(k + 1) % 3}"]} for k in range(3)]
+            if over[0] is not None:  # on through the face, never back over the edge it came by
+                cut = [k for k in cut if sides[k] != set(over)] if any(sides[k] == set(over) for k in cut) else []
+            if len(cut) <= (r["side"] if over[0] is None else 0):
+                fid = None
+                break
+            k = cut[r["side"] if over[0] is None else 0]
+            p, q, h = at[k], at[(k + 1) % 3], (height[k], height[(k + 1) % 3])
+            to = p + (q - p) * (h[0] / (h[0] - h[1]))
+            length, n, x, over, fid = length + float(np.linalg.norm(to - x)), n + 1, to, (face[f"v{k}"], face[f"v{(k + 1) % 3}"]), face[f"o{k}"]
+            if fid is None or fid == r["f0"]:  # a border, or once round
+                fid = None
+                break
+        if fid is not None:
+            done = fid == r["f1"]
+            if done:
+                length, n, over = length + float(np.linalg.norm(np.array([r["gx"], r["gy"], r["gz"]]) - x)), n + 1, (-2, -2)
+            out.append(r | {"x": x[0], "y": x[1], "z": x[2], "length": length, "n": n, "fid": fid, "a": over[0], "b": over[1]})
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    return pa.table([pa.array([r[c] for r in out], kinds[x.split()[1]]) for c, x in zip(names, _TRACE.split(", "), strict=True)], names=names)
+
+
+def facet_paths(mesh: MeshFrame, queries: DataFrame, normals: DataFrame, cell: int = tree.LEAF) -> DataFrame:
     """queries: qid, mesh_id, f0, x0, y0, z0, f1, x1, y1, z1; normals: mesh_id, fid, nx, ny,
-    nz, the plane that cuts each face. From face to face: each is cut by its own plane through
-    the last point, and the way leaves over the first cut edge whose other face is new. Of
-    the ways to either side the shorter one: mesh_id, qid, length, n (points); a null length
-    where none arrives. A mesh is walked in one task."""
-    planes = normals.select("mesh_id", "fid", F.array("nx", "ny", "nz").alias("u"))
-    table = planes.groupBy("mesh_id").agg(F.map_from_entries(F.collect_list(F.struct("fid", "u"))).alias("planes"))
-
-    def kernel(m: Local, more: pd.DataFrame) -> pd.DataFrame:
-        face_at = {int(k): i for i, k in enumerate(m.fids)}
-
-        def leave(face: int, x: np.ndarray, n: np.ndarray, barred: set[int]) -> tuple[int, np.ndarray] | None:
-            t = [int(v) for v in m.tri[face]]
-            d = [float(np.dot(m.p[v] - x, n)) for v in t]
-            inside = [e >= 0 for e in d]
-            if sum(inside) in (0, 3):
-                return None
-            lone = next(k for k in range(3) if inside.count(inside[k]) == 1)
-            for other in (lone + 1, lone + 2):
-                a, b = lone, other % 3
-                face_b = m.across(face, t[a], t[b])
-                if face_b not in barred:
-                    return face_b, m.p[t[a]] + (m.p[t[b]] - m.p[t[a]]) * (d[a] / (d[a] - d[b]))
-            return None
-
-        out = []
-        for q in more.itertuples():
-            first, goal = face_at.get(int(q.f0)), face_at.get(int(q.f1))
-            x0, x1 = (np.array([getattr(q, f"{a}{k}") for a in "xyz"], float) for k in (0, 1))
-            unit = {face_at[int(k)]: np.asarray(u, float) for k, u in dict(q.planes or {}).items() if int(k) in face_at}
-            best, barred = (None, 0), {-1}
-            for _ in range(2 if first is not None and goal is not None else 0):
-                face, way, seen = first, [x0], []
-                while face is not None and face != goal:
-                    seen.append(face)
-                    barred.add(face)
-                    step = leave(face, way[-1], unit[face], barred) if face in unit else None
-                    face = step[0] if step else None
-                    if step:
-                        way.append(step[1])
-                if face == goal:
-                    way.append(x1)
-                    length = float(sum(np.linalg.norm(b - a) for a, b in zip(way, way[1:], strict=False)))
-                    if best[0] is None or length < best[0]:
-                        best = (length, len(way))
-                seen.append(face)
-                barred |= {seen[1]} if len(seen) > 1 and seen[1] is not None else set()
-            out.append((int(q.qid), *best))
-        return pd.DataFrame(out, columns=["qid", "length", "n"])
-
-    return per_mesh(mesh, queries.join(table, "mesh_id", "left"), kernel, "qid bigint, length double, n int")
+    nz, a direction for each face. mesh_id, qid, length, n (points): the shorter of two
+    traces from the first point to the second; nulls where neither arrives.
+
+    A trace is a line over the surface. In a face it keeps to the plane that has the face's
+    direction and holds the point where the trace came in, so it has two ways out of its
+    first face, and one out of every other. It ends at a border, at an edge of more than
+    two faces, where a face has no direction, and where it comes back to its first face.
+
+    Faces are dealt to cells of bounded size by place. A round takes all traces of all
+    queries through the cells that they are in, so rounds count cells; a cell with many
+    traces is taken in blocks."""
+    half = half_edges(mesh.faces)
+    two = half.groupBy(*EDGE).agg(F.count("*").alias("k"), F.min("fid").alias("lo"), F.max("fid").alias("hi")).where("k = 2")
+    other = half.join(two, EDGE).groupBy("mesh_id", "fid").agg(*[F.max(F.when(F.col("slot") == k, F.col("lo") + F.col("hi") - F.col("fid"))).alias(f"o{k}") for k in range(3)])
+    dealt = face_tree(mesh, cell).items.withColumnRenamed("leaf", "cell")
+    faces = dealt.join(other, ["mesh_id", "fid"], "left").join(normals.select("mesh_id", "fid", "nx", "ny", "nz"), ["mesh_id", "fid"], "left")
+    faces = stored(faces.select("mesh_id", "cell", "fid", *_FACE))
+    place = faces.select("mesh_id", "fid", "cell")
+    most = faces.groupBy("mesh_id").agg(F.count("*").alias("most"))
+    names = [x.split()[0] for x in _TRACE.split(", ")]
+    none = F.lit(None).cast("long")
+    start = queries.select("mesh_id", "qid", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), F.col("f0").alias("fid"), none.alias("a"), none.alias("b"), *[F.col(f"{c}0").alias(c) for c in "xyz"], F.lit(0.0).alias("length"), F.lit(1).alias("n"), "f0", "f1", *[F.col(f"{c}1").alias(f"g{c}") for c in "xyz"])
+    now = stored(start.join(most, "mesh_id").join(place, ["mesh_id", "fid"]).join(place.select("mesh_id", F.col("fid").alias("f1")), ["mesh_id", "f1"]).select(*names, "cell"))
+    arrived = None
+    while not now.isEmpty():
+        blocks = now.groupBy("mesh_id", "cell").agg(F.ceil(F.count("*") / 4096).cast("int").alias("blocks"))
+        sent = now.join(blocks, ["mesh_id", "cell"]).withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int"))
+        there = faces.join(blocks, ["mesh_id", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = sent.select(F.lit(1).alias("kind"), "block", "cell", *names).unionByName(there.select(F.lit(0).alias("kind"), "block", "cell", "mesh_id", "fid", *_FACE), allowMissingColumns=True)
+        moved = stored(rows.groupBy("mesh_id", "cell", "block").applyInArrow(_trace, _TRACE))
+        done = moved.where("b = -2")
+        arrived = done if arrived is None else arrived.unionByName(done)
+        last, now = now, stored(moved.where("b is null or b <> -2").join(place, ["mesh_id", "fid"]).select(*names, "cell"))
+        discard(last)
+    best = F.min(F.struct("length", "n")).alias("_b")
+    found = (arrived if arrived is not None else start.withColumn("most", F.lit(0)).limit(0)).groupBy("mesh_id", "qid").agg(best)
+    return queries.select("mesh_id", "qid").distinct().join(found, ["mesh_id", "qid"], "left").select("mesh_id", "qid", "_b.length", "_b.n")
 
 
 def visit(mesh: MeshFrame, visitor: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, order: DataFrame | None = None) -> DataFrame:

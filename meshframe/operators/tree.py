@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,18 +50,19 @@ def build(items: DataFrame, low: Vec, high: Vec, leaf: int = LEAF, by_size: bool
     at = [c.alias(f"_{n}") for v, e in ((low, "l"), (high, "h")) for c, n in zip(v, (f"{e}{a}" for a in "xyz"), strict=True)]
     now = items.select(own, *at, F.lit(1).cast("long").alias("_node"))
     now = stored(now.select("*", *[((F.col(f"_l{a}") + F.col(f"_h{a}")) / 2).alias(f"_c{a}") for a in "xyz"]))
-    done, kids = None, []
+    done, sums_of, spent = None, [], [now]
     for level in range(DEEPEST + 1):
         sums = [f(f"_{e}{a}").alias(f"{e}{a}") for e, f in (("l", F.min), ("h", F.max)) for a in "xyz"]
         spans = [f(f"_c{a}").alias(f"{n}{a}") for n, f in (("from", F.min), ("to", F.max)) for a in "xyz"]
         size = F.max(F.greatest(*[F.col(f"_h{a}") - F.col(f"_l{a}") for a in "xyz"])).alias("size")
         stats = stored(now.groupBy("_node").agg(F.count("*").alias("n"), *sums, *spans, size))
         big = F.lit(True) if by_size and level == 0 else F.col("n") > leaf
-        kid = F.struct(F.col("_node").alias("node"), "n", (~big).alias("leaf"), *_BOX)
-        kids.append(stored(stats.groupBy(F.shiftright("_node", BITS).alias("node")).agg(F.collect_list(kid).alias("kids"))))
+        sums_of.append(stats.select(F.lit(level).alias("level"), F.col("_node").alias("node"), "n", (~big).alias("leaf"), *_BOX))
         widest = F.greatest(*[F.struct((F.col(f"to{a}") - F.col(f"from{a}")).alias("w"), F.lit(k).alias("k"), F.col(f"from{a}").alias("from"), F.col(f"to{a}").alias("to")) for k, a in enumerate("xyz")])
-        split = stats.where(big).select("_node", widest.alias("_w"), F.col("size").alias("_size"))
-        split = split.select("_node", F.when(F.col("_w.w") > 0, F.col("_w.k")).otherwise(-1).alias("_axis"), F.col("_w.from").alias("_from"), F.col("_w.to").alias("_to"), "_size")
+        # as many pieces, a power of two, as make full leaves
+        pieces = F.least(F.lit(float(WAYS)), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / leaf))))
+        split = stats.where(big).select("_node", widest.alias("_w"), F.col("size").alias("_size"), (WAYS / F.greatest(pieces, F.lit(2.0))).cast("int").alias("_every"))
+        split = split.select("_node", "_every", F.when(F.col("_w.w") > 0, F.col("_w.k")).otherwise(-1).alias("_axis"), F.col("_w.from").alias("_from"), F.col("_w.to").alias("_to"), "_size")
         rest = now.join(split.select("_node"), "_node", "left_anti")
         done = rest if done is None else done.unionByName(rest)
         if split.isEmpty():
@@ -74,14 +76,20 @@ def build(items: DataFrame, low: Vec, high: Vec, leaf: int = LEAF, by_size: bool
             piece = F.when(span > 0, F.least(F.lit(WAYS - 1), F.floor(F.log2(F.col("_size") / span)))).otherwise(WAYS - 1)
         else:
             marks = F.percentile_approx(value, [k / WAYS for k in range(1, WAYS)], 1000)
-            cuts = rows.where("_axis >= 0").groupBy("_node", "_from", "_to").agg(marks.alias("q"))
-            inner = F.array_distinct(F.filter("q", lambda b: b < F.col("_to")))
+            cuts = rows.where("_axis >= 0").groupBy("_node", "_from", "_to", "_every").agg(marks.alias("q"))
+            inner = F.array_distinct(F.filter("q", lambda b, k: (b < F.col("_to")) & ((k + 1) % F.col("_every") == 0)))
             half = F.col("_from") + (F.col("_to") - F.col("_from")) / 2
             inner = F.when(F.size(inner) > 0, inner).otherwise(F.array(F.when(half < F.col("_to"), half).otherwise(F.col("_from"))))
-            rows = rows.join(stored(cuts.select("_node", inner.alias("_cuts"))), "_node", "left")
+            rows = rows.join(cuts.select("_node", inner.alias("_cuts")), "_node", "left")
             piece = F.when(F.col("_axis") < 0, F.pmod(F.xxhash64("_item"), F.lit(WAYS))).otherwise(F.size(F.filter("_cuts", lambda b: b < value)))
         now = stored(rows.select("_item", *[f"_{c}" for c in _BOX], *[f"_c{a}" for a in "xyz"], (F.shiftleft("_node", BITS) + piece).cast("long").alias("_node")))
-    return Tree(stored(done.select(F.col("_node").alias("leaf"), *[F.col(f"_item.`{c}`").alias(c) for c in names])), kids)
+        spent.append(now)
+    out = stored(done.select(F.col("_node").alias("leaf"), *[F.col(f"_item.`{c}`").alias(c) for c in names]))
+    nodes = reduce(DataFrame.unionByName, sums_of)
+    kid = F.struct("node", "n", "leaf", *_BOX)
+    kids = stored(nodes.groupBy("level", F.shiftright("node", BITS).alias("above")).agg(F.collect_list(kid).alias("kids")))
+    discard(*spent)
+    return Tree(out, [kids.where(F.col("level") == k).select(F.col("above").alias("node"), "kids") for k in range(len(sums_of))])
 
 
 def box_distance(p: Vec, box: Column) -> Column:

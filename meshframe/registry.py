@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from . import fixtures as X
 from .functions import vec
 from .functions.vec import Vec
-from .operators import edit, frames, graph, kernels, measure, spatial, surface, texture, topology
+from .operators import edit, frames, graph, kernels, measure, routes, spatial, surface, texture, topology
+from .plans.iterate import stored
 from .schema import MeshFrame
 from .sources import meshes
 
@@ -576,6 +577,30 @@ def procrustes_fit(spark, d):
     return frames.procrustes(p, t).apply(p).select("vid", *[r(a, 5).alias(a) for a in "xyz"])
 
 
+@query(CLOUD + """, c AS (SELECT mesh_id, covar_pop(x,x) a, covar_pop(x,y) b, covar_pop(x,z) c, covar_pop(y,y) d, covar_pop(y,z) e, covar_pop(z,z) f FROM p GROUP BY mesh_id),
+ q AS (SELECT *, (a+d+f)/3 q FROM c), s AS (SELECT *, sqrt(((a-q)^2+(d-q)^2+(f-q)^2+2*(b*b+c*c+e*e))/6) s FROM q),
+ h AS (SELECT *, acos(greatest(-1, least(1, ((a-q)*((d-q)*(f-q)-e*e)-b*(b*(f-q)-e*c)+c*(b*e-(d-q)*c))/(2*s^3))))/3 h FROM s)
+ SELECT mesh_id, round(q+2*s*cos(h),6)+0.0 v0, round(3*q-(q+2*s*cos(h))-(q+2*s*cos(h+2*pi()/3)),6)+0.0 v1, round(q+2*s*cos(h+2*pi()/3),6)+0.0 v2, CAST(0 AS DOUBLE) AS off, CAST(0 AS DOUBLE) AS skew FROM h""")
+def principal_axes(spark, d):
+    """Variances along the axes of each mesh; how far M v is from its value times v, and
+    how far the axes are from right angles."""
+    p = X.points(spark, d)
+    a = measure.axes(p).join(measure.covariance(p).drop("n", "m_x", "m_y", "m_z"), "mesh_id")
+    v = [Vec(*(F.get(F.col("vectors")[k], F.lit(i)) for i in range(3))) for k in range(3)]
+    row = [Vec(*(F.col("c_" + "".join(sorted((s, t)))) for t in "xyz")) for s in "xyz"]
+    off = F.greatest(*[F.abs(row[i].dot(v[k]) - F.col("values")[k] * list(v[k])[i]) for k in range(3) for i in range(3)])
+    skew = F.greatest(*[F.abs(v[i].dot(v[k]) - float(i == k)) for i in range(3) for k in range(i, 3)])
+    return a.select("mesh_id", *[r(F.col("values")[k]).alias(f"v{k}") for k in range(3)], r(off).alias("off"), r(skew).alias("skew"))
+
+
+@query("SELECT vid, x, y, z FROM (" + CLOUD + " SELECT vid, round((mesh_id+1)*(-y)+mesh_id,5)+0.0 x, round((mesh_id+1)*x-2,5)+0.0 y, round((mesh_id+1)*z+mesh_id*mesh_id,5)+0.0 z FROM p) t")
+def procrustes_fits(spark, d):
+    """Each mesh is turned, scaled and moved in its own way, and fitted on its own."""
+    p, m = X.points(spark, d), F.col("mesh_id")
+    t = p.select("mesh_id", "vid", (-(m + 1) * F.col("y") + m).alias("x"), ((m + 1) * F.col("x") - 2).alias("y"), ((m + 1) * F.col("z") + m * m).alias("z"))
+    return frames.fitted(p, frames.procrustes_each(p, t)).select("vid", *[r(a, 5).alias(a) for a in "xyz"])
+
+
 # --- graph ---------------------------------------------------------------------------
 
 _STEPS = "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)-1 pos, value x, CAST(event_id%7 AS DOUBLE) y, CAST(event_id%5 AS DOUBLE) z FROM events"
@@ -642,6 +667,30 @@ def shortest_path_hops(spark, d):
     return graph.paths(found, pairs).groupBy("dst").agg(F.max("back").alias("hops"))
 
 
+_ROUTES = RECURSIVE_GRID + """, nb AS (SELECT p.vid, q.vid nbr, sqrt((p.x-q.x)^2+(p.y-q.y)^2+(p.z-q.z)^2) {more} AS c FROM (SELECT u, w FROM e UNION ALL SELECT w, u FROM e) b JOIN v p ON p.vid=b.u JOIN v q ON q.vid=b.w),
+ re(k, src, vid, d) AS (SELECT 0, vid, vid, CAST(0 AS DOUBLE) FROM v WHERE vid % 131 = 0 UNION ALL SELECT k+1, src, vid, min(d) FROM (SELECT k, src, nbr vid, d+c d FROM re JOIN nb USING (vid) UNION ALL SELECT k, src, vid, d FROM re) t WHERE k < 90 GROUP BY ALL)
+ SELECT src, vid dst, round(d,6)+0.0 d FROM re WHERE k = 90 AND vid IN (5025, 9048, 1001)"""
+
+
+def _ends(m):
+    some = m.vertices.where("vid % 131 = 0")
+    return some.select("mesh_id", F.col("vid").alias("src"), F.explode(F.array(*[F.lit(v).cast("bigint") for v in (5025, 9048, 1001)])).alias("dst"))
+
+
+@query(_ROUTES.format(more=""))
+def route_lengths(spark, d):
+    m = X.grid(spark, d)
+    return routes.routes(m, _ends(m))[0].select("src", "dst", r("d").alias("d"))
+
+
+@query(_ROUTES.format(more="+ greatest(q.z-p.z, 0)*3"))
+def route_costs(spark, d):
+    """Going up costs more than going down."""
+    m = X.grid(spark, d)
+    found, _ = routes.routes(m, _ends(m), lambda a, b: (b - a).norm() + F.greatest(b.z - a.z, F.lit(0.0)) * 3)
+    return found.select("src", "dst", r("d").alias("d"))
+
+
 @query(GRID + """, nb AS (SELECT u vid, w nbr FROM e UNION ALL SELECT w, u FROM e), i AS (SELECT vid FROM v WHERE (x-25)^2+(y-5)^2 <= 16), o AS (SELECT vid, bool_or(nbr NOT IN (SELECT vid FROM i)) o FROM nb GROUP BY vid), b AS (SELECT DISTINCT unnest([u,w]) vid FROM e WHERE n=1)
  SELECT vid, o OR vid IN (SELECT vid FROM b) AS front FROM i JOIN o USING (vid)""")
 def region_select(spark, d):
@@ -896,6 +945,40 @@ def subdivided_uvs(spark, d):
     return _corner_rows(edit.subdivided(_textured(spark, d))).drop("vid")
 
 
+def _pieces(x: str) -> str:
+    """Corners of the four pieces of a face by its midpoints."""
+    a, b, c = (f"({x}{k}+{x}{(k + 1) % 3})/2" for k in range(3))
+    return f"CASE q WHEN 0 THEN [{x}0,{a},{c}] WHEN 1 THEN [{a},{x}1,{b}] WHEN 2 THEN [{c},{b},{x}2] ELSE [{a},{b},{c}] END"
+
+
+@query(GRID + CORNERS + f""", t AS (SELECT *, unnest([0,1,2,3]) q FROM k WHERE fid%5<>0), o AS (SELECT fid*4+q fid, {_pieces("x")} xs, {_pieces("y")} ys FROM t)
+ SELECT fid, CAST(unnest([0,1,2]) AS BIGINT) slot, round(unnest(xs)/50,5)+0.0 u, round(unnest(ys)/10,5)+0.0 v FROM o""")
+def midpoint_uvs(spark, d):
+    return texture.corner_uvs(edit.split_midpoints(_textured(spark, d))).select("fid", F.col("slot").cast("bigint").alias("slot"), r("u", 5).alias("u"), r("v", 5).alias("v"))
+
+
+@query(GRID + CORNERS + """, h AS (SELECT *, (CASE WHEN z0>=50 THEN 1 ELSE 0 END)+(CASE WHEN z1>=50 THEN 1 ELSE 0 END)+(CASE WHEN z2>=50 THEN 1 ELSE 0 END) n FROM k WHERE fid%5<>0),
+ g AS (SELECT fid, unnest([[x0,y0,z0,x1,y1,z1],[x1,y1,z1,x2,y2,z2],[x2,y2,z2,x0,y0,z0]]) e FROM h WHERE n IN (1,2)),
+ c AS (SELECT fid, e[1]+(e[4]-e[1])*(50-e[3])/(e[6]-e[3]) x, e[2]+(e[5]-e[2])*(50-e[3])/(e[6]-e[3]) y FROM g WHERE (e[3]>=50)<>(e[6]>=50)),
+ w AS (SELECT fid, unnest([x0,x1,x2]) x, unnest([y0,y1,y2]) y, unnest([z0,z1,z2]) z FROM h WHERE n > 0),
+ o AS (SELECT fid, x, y FROM w WHERE z >= 50 UNION ALL SELECT fid, x, y FROM c)
+ SELECT DISTINCT fid, round(x/50,4)+0.0 u, round(y/10,4)+0.0 v FROM o""")
+def sliced_uvs(spark, d):
+    """The UVs of the corners that a face's pieces have above the plane z = 50."""
+    m = edit.sliced(_textured(spark, d), (0, 0, 50), (0, 0, 1))
+    return texture.corner_uvs(m).select(F.floor(F.col("fid") / 2).cast("bigint").alias("fid"), r("u", 4).alias("u"), r("v", 4).alias("v")).distinct()
+
+
+@query(GRID + CORNERS + """ SELECT fid, CAST(unnest([0,1,2]) AS BIGINT) slot, round(unnest([x0,x1,x2])/50,5)+0.0 u, round(unnest([y0,y1,y2])/10,5)+0.0 v FROM k WHERE fid%5<>0""")
+def tetra_uvs(spark, d):
+    """Centroid splits undone: the bases have the corners and UVs of the faces that were split."""
+    split = edit.subdivided(_textured(spark, d))
+    split = split.with_(**{k: stored(getattr(split, k)) for k in ("vertices", "faces", "uvs", "face_uvs")})
+    whole = edit.without_tetrahedra(split)
+    back = texture.corner_uvs(whole).join(X.grid(spark, d).faces.select("mesh_id", F.col("fid").alias("old"), F.posexplode(F.array("v0", "v1", "v2")).alias("at", "vid")), ["mesh_id", "vid"]).where("old = floor(fid / 3)")
+    return back.select(F.col("old").alias("fid"), F.col("at").cast("bigint").alias("slot"), r("u", 5).alias("u"), r("v", 5).alias("v"))
+
+
 @query(GRID + """, g AS (SELECT vid d, vid-1001 a, vid-1 b, vid-1000 c FROM v WHERE vid IN (SELECT v0 FROM f)), h AS (SELECT * FROM g WHERE (2*d)%5<>0 AND (2*d+1)%5<>0),
  t AS (SELECT least(d,b,c) p, greatest(d,b,c) q, unnest([d,b,c]) vid FROM h UNION ALL SELECT least(a,b,c), greatest(a,b,c), unnest([a,b,c]) FROM h)
  SELECT p, q, vid, round(x/50,6)+0.0 u, round(y/10,6)+0.0 v FROM t JOIN v USING (vid)""")
@@ -1011,7 +1094,7 @@ def split_to_area(spark, d):
 @query()
 def surface_path(spark, d):
     q = spark.createDataFrame([(0, 3.2, 1.1, 50.0, 44.7, 8.6, 50.0), (1, 10.0, 9.3, 40.0, 12.5, 0.4, 60.0)], "qid bigint, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
-    return graph.path_lengths(surface.surface_paths(q, X.grid(spark, d), 4.0), "qid").select("qid", r("length").alias("length"))
+    return graph.path_lengths(surface.surface_paths(q, X.grid(spark, d)), "qid").select("qid", r("length").alias("length"))
 
 
 @query(GRID + CORNERS + """, a AS (SELECT fid, (x0+x1+x2)/3 cx, (y0+y1+y2)/3 cy FROM k) SELECT CAST(0 AS BIGINT) qid, round(sqrt((p.cx-q.cx)^2+(p.cy-q.cy)^2),6)+0.0 length FROM a p, a q WHERE p.fid = 2*2005 AND q.fid = 2*8040""")

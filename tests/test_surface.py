@@ -53,7 +53,7 @@ def test_surface_paths(spark, hill):
     ends = [((0.3, 0.2, 1.0), (5.6, 4.7, 0.0)), ((6.0, 0.0, 3.0), (0.0, 6.0, -1.0)), ((3.1, 3.2, 0.0), (3.0, 3.1, 0.1)), ((2.4, 1.3, 2.0), (2.1, 5.8, 1.0))]
     q = spark.createDataFrame([(k, *map(float, a), *map(float, b)) for k, (a, b) in enumerate(ends)], "qid long, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
     got = {}
-    for r in sorted(surface.surface_paths(q, hill, 1.0).collect(), key=lambda r: (r["qid"], r["pos"])):
+    for r in sorted(surface.surface_paths(q, hill).collect(), key=lambda r: (r["qid"], r["pos"])):
         got.setdefault(r["qid"], []).append(np.array([r["x"], r["y"], r["z"]]))
     flat = spark.createDataFrame([(2 * k + s, *map(float, e[s])) for k, e in enumerate(ends) for s in (0, 1)], "qid long, x double, y double, z double")
     spot = {r["qid"]: (r["fid"], np.array([r["x"], r["y"], r["z"]])) for r in spatial.closest_surface_point(flat, hill).collect()}
