@@ -70,6 +70,8 @@ def _relax(table: pa.Table) -> pa.Table:
         cheaper = d < known.get(v, (float("inf"), 0))[0]
         known[v] = (d, prev)
         changed[v] = f - d
+        if v == key[2]:
+            goal = min(goal, d)
         for nbr, w, ncell, ahead in edges.get(v, ()) if cheaper else ():
             to = d + w
             if to + ahead > goal:
