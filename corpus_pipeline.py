@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshframe.llm import decontaminate, ngram_join, packing, quality_rules, substring_dedup
-from meshframe.llm.tables import documents, stored
+from meshframe.llm.tables import discard, documents, stored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as a table and read again."""
+    """All stages over documents, each written as a table and read again; a stage's table
+    goes when the next one's is there."""
     docs = documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        last, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs)
+            if k:
+                discard(last)
     return docs
