@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import fixtures as X
 from .functions import vec
 from .functions.vec import Vec
-from .operators import edit, frames, graph, kernels, measure, routes, spatial, surface, texture, topology
+from .operators import bending, edit, frames, graph, kernels, measure, routes, spatial, surface, texture, topology
 from .plans.iterate import stored
 from .schema import MeshFrame
 from .sources import meshes
@@ -776,7 +776,7 @@ def split_boundary_loops(spark, d):
 @query()
 def bending_energy(spark, d):
     p = X.points(spark, d)
-    return kernels.bending_energies(p.select(F.col("mesh_id").alias("pid"), "vid", "x", "y", "z", (F.col("x") * 2).alias("tx"), (F.col("y") + F.col("x") * F.col("x")).alias("ty"), F.col("z").alias("tz"))).select("pid", r("energy").alias("energy"))
+    return bending.energies(p.select(F.col("mesh_id").alias("pid"), "vid", "x", "y", "z", (F.col("x") * 2).alias("tx"), (F.col("y") + F.col("x") * F.col("x")).alias("ty"), F.col("z").alias("tz"))).select("pid", r("energy").alias("energy"))
 
 
 @query(GRID + " SELECT least(v0,v1,v2) v0, v0+v1+v2-least(v0,v1,v2)-greatest(v0,v1,v2) v1, greatest(v0,v1,v2) v2 FROM f")

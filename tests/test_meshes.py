@@ -10,7 +10,7 @@ from meshframe import fixtures as X
 from meshframe import registry
 from meshframe.functions import vec
 from meshframe.functions.vec import Vec
-from meshframe.operators import edit, frames, graph, kernels, measure, spatial, texture, topology
+from meshframe.operators import bending, edit, frames, graph, kernels, measure, spatial, texture, topology
 from meshframe.schema import MeshFrame
 from meshframe.sources import meshes
 
@@ -334,3 +334,16 @@ def test_heights_that_are_no_decimals(spark, tmp_path):
     spark.createDataFrame(rows, "l_quantity double, l_extendedprice double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
     z = {r["j"]: r["z"] for r in X.grid_cells(spark, str(tmp_path)).collect()}
     assert math.isnan(z[1]) and z[2] == 4.0 and z[3] is None and z[4] == 1e297
+
+
+def test_energies_of_patches_larger_than_a_block(spark):
+    rng = np.random.default_rng(2)
+    p = {1: rng.normal(size=(170, 3)), 2: np.repeat(rng.normal(size=(90, 3)), 2, 0), 3: np.c_[rng.normal(size=(130, 2)), np.full(130, 0.5)], 4: rng.normal(size=(3, 3)), 5: rng.normal(size=(20, 3)), None: rng.normal(size=(30, 3))}
+    q = {k: np.c_[a[:, 0] * 2, a[:, 1] + a[:, 0] ** 2, a[:, 2]] + rng.normal(size=a.shape) * 0.1 for k, a in p.items()}
+    want = {k: kernels.bending_energy(p[k], q[k]) for k in p}
+    q[5][7, 1] = math.nan
+    rows = [(k, i, *map(float, a), *map(float, b)) for k in p for i, (a, b) in enumerate(zip(p[k], q[k], strict=True))]
+    df = spark.createDataFrame(rows, "pid bigint, vid bigint, x double, y double, z double, tx double, ty double, tz double")
+    got = {r["pid"]: r["energy"] for r in bending.energies(df, block=60).collect()}
+    assert set(got) == set(p) and math.isnan(got.pop(5))
+    assert all(got[k] == pytest.approx(want[k], rel=1e-8, abs=1e-9) for k in got)
