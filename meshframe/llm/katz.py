@@ -1,31 +1,39 @@
-"""LM scoring: a Katz backoff bigram model over all tokens of a corpus.
+"""LM scoring: a Katz backoff model of any order over all tokens of a corpus.
 
-    P(w | h) = d(c) c / c(h)     where the pair (h, w) was counted c > 0 times
-             = alpha(h) P(w)     otherwise (alpha is 1 for a history never met)
-    P(w)     = d'(c) c / N       for a word counted c times, and what that leaves
-                                 for all unknown words together
+    P(w | h) = d(c) c / c(h)      where the n-gram (h, w) was counted c > 0 times
+             = alpha(h) P(w | h') otherwise: h' is h without its farthest word, and
+                                  alpha is 1 for a history never met
+    P(w)     = d'(c) c / N        for a word counted c times, and what that leaves
+                                  for all unknown words together
 
-d and d' are Good-Turing discounts for counts up to ``K``; higher counts give up
-``DELTA`` each, so every history keeps some mass, and alpha(h) hands exactly that mass
-to the words not met after h. Texts begin with a mark and end with an end token. Words
-are told by 64-bit hashes, histories by the first 48 bits of theirs.
+and so on down to the word alone. Each order has its own Good-Turing discounts for
+counts up to ``K``; higher counts give up ``DELTA`` each, so every history keeps some
+mass, and alpha(h) hands exactly that mass to the words not met after h. A begin mark
+stands before a text and an end token after it; the first tokens of a text have the
+shorter histories that there are. Words are told by 64-bit hashes, words of histories
+by the first 48 bits of theirs, histories of several words by 48 bits of a hash.
 
 Counts, weights and evaluation are partitioned by hash, never gathered:
 
 1. ``unigrams``: a stored table of word counts.
-2. Every chunk of texts sends its pairs, sorted and packed, to buckets by word, with
-   the texts that hold them. A word with more than 1/64 of all tokens is split over the
-   buckets by its histories. So each bucket has all counts of its pairs and words.
-3. A bucket evaluates its tokens as far as it can: log scores are sums, and where the
+2. Every chunk of texts sends its n-grams, sorted and packed, to buckets by word, with
+   the texts that hold them. A word with more tokens than a bucket is meant for is split
+   over the buckets by its histories. So each bucket has all counts of its n-grams of
+   every order. Buckets are filled in ``PASSES`` turns, each of which reads the texts
+   again, so that only a part of what is sent stands on disk at once.
+3. A bucket evaluates its tokens as far as it can: each goes down from its longest
+   history to the first n-gram that was counted. Log scores are sums, and where the
    discounts or alpha(h) are still unknown it sends what they apply to: how many tokens
-   have a pair counted once, twice, ...; the masses of its pairs by history; and the
-   tokens that back off. These are stored tables, partitioned by kind.
-4. Histories are summed up and give alpha; backed-off tokens join them; the parts of
-   each text's score are added.
+   have an n-gram counted once, twice, ...; the masses of its n-grams by history; and,
+   for tokens that back off, the histories they pass. These are stored tables,
+   partitioned by kind.
+4. Histories meet in buckets by their nearest word and give a table of log c(h) and
+   log alpha(h) c(h); backed-off tokens join it; the parts of each text's score are added.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,20 +45,24 @@ from pyspark.sql import functions as F
 from . import words as W
 from .tables import discard, stored
 
+#: Words of the longest n-gram of the registered query.
+ORDER = 3
 #: Highest count that Good-Turing discounts.
 K = 5
 #: What higher counts give up.
 DELTA = 0.01
 #: Tokens of a bucket, about.
-PER_BUCKET = 1_600_000
+PER_BUCKET = 1_200_000
 #: Entries of a bucket that are expanded at once.
-AT_ONCE = 400_000
+AT_ONCE = 200_000
 #: Bytes of text that send their pairs together.
 SEND_BYTES = 5 << 20
-#: log2 of the bits of the bitmap of words that stand in held-out texts (2 MB).
-FILTER_BITS = 24
+#: log2 of the bits of the bitmap of histories that stand in held-out texts (4 MB).
+FILTER_BITS = 25
+#: Turns in which buckets are filled.
+PASSES = 3
 
-END, BEGIN = np.uint64(0x0F0E0D0C0B0A0908), np.uint64(0x1716151413121110)
+END, BEGIN, NONE = np.uint64(0x0F0E0D0C0B0A0908), np.uint64(0x1716151413121110), np.uint64(0)
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -80,20 +92,36 @@ def kept(c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.where(c > K, c - DELTA, d[np.minimum(c, K).astype(int)] * c)
 
 
-def tokens(chunk: W.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word, history and row of each token of a chunk, ends included."""
+def tokens(chunk: W.Chunk, order: int = 2) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Word, the ``order`` - 1 words before it (nearest first, 48 bits of their hashes)
+    and row of each token of a chunk, ends included. One begin mark stands before a
+    text, and ``NONE`` before that."""
     h = chunk.hashes()
     rows = np.arange(chunk.rows)
     count = np.diff(chunk.first)
     word = np.empty(len(h) + chunk.rows, dtype=np.uint64)
     word[np.arange(len(h)) + chunk.doc] = h
     word[chunk.first[1:] + rows] = END
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
-    before[chunk.first[:-1] + rows] = BEGIN
+    before, last, start = [], word >> np.uint64(16), BEGIN >> np.uint64(16)
+    for _ in range(order - 1):
+        shifted = np.empty_like(word)
+        shifted[1:] = last[:-1]
+        shifted[chunk.first[:-1] + rows] = start
+        before.append(shifted)
+        last, start = shifted, NONE
     return word, before, np.repeat(rows, count + 1)
 
 
+def histories(before: list[np.ndarray]) -> list[np.ndarray]:
+    """The key of each token's history for the orders 2, 3, ...: its order above 48 bits
+    of a hash of all its words; 0 where the text begins too late for it."""
+    out, h = [], before[0]
+    for k, b in enumerate(before):
+        h = W.combine(h, b) >> np.uint64(16) if k else h
+        out.append(np.where(b != NONE, h | np.uint64((k + 2) << 48), np.uint64(0)))
+    return out
+
+
 def _input(documents: DataFrame, train) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
 
@@ -138,13 +166,46 @@ def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-_PACKED = "bucket int, chunk long, w binary, pairs binary, low binary, high binary, texts binary, row binary, times binary"
-_OUT = pa.schema(
-    [("kind", pa.string()), ("h", pa.int64()), ("chunk", pa.int64()), ("idx", pa.int32()), ("n", pa.int64())]
-    + [(f"m{r}", pa.int64()) for r in range(1, K + 1)]
-    + [("big", pa.float64()), ("mass", pa.float64()), ("payload", pa.binary())]
-)
-_OUT_DDL = "kind string, h long, chunk long, idx int, n long, " + ", ".join(f"m{r} long" for r in range(1, K + 1)) + ", big double, mass double, payload binary"
+def _held_out(docs: DataFrame, order: int, bits: int) -> np.ndarray:
+    """A bitmap of the histories of held-out tokens; its size is fixed."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(1 << (bits - 6), dtype=np.uint64)
+        for batch in batches:
+            for _, _, part in W.chunks(batch):
+                _, before, _ = tokens(W.Chunk(part, lower=True), order)
+                for h in histories(before):
+                    at = W.mix(h[h > 0]) >> np.uint64(64 - bits)
+                    np.bitwise_or.at(cells, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        blocks = cells.reshape(-1, min(len(cells), 4096))
+        have = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(have), pa.array([blocks[i].tobytes() for i in have], pa.binary())], names=["block", "bits"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        bits = functools.reduce(np.bitwise_or, (np.frombuffer(x.as_buffer(), np.uint64) for x in table["bits"]))
+        return pa.table({"block": table["block"][:1], "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    found = docs.where("not train").select("text").mapInArrow(mark, "block long, bits binary").groupBy("block").applyInArrow(merge, "block long, bits binary").toArrow()
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    for i, x in zip(found["block"].to_pylist(), found["bits"].to_pylist(), strict=True):
+        x = np.frombuffer(x, np.uint64)
+        out[i * len(x) : (i + 1) * len(x)] = x
+    return out
+
+
+def _marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = W.mix(h) >> np.uint64(64 - (len(bits).bit_length() + 5))
+    return ((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def _columns(order: int) -> list[str]:
+    """What is sent: words; for each word of history, how many there are and their two
+    parts; how many texts hold each n-gram, which, and how often."""
+    return ["w", *(f"{c}{k}" for k in range(order - 1) for c in ("n", "low", "high")), "texts", "row", "times"]
+
+
+_OUT = pa.schema([("kind", pa.string()), ("h", pa.int64()), ("chunk", pa.int64()), ("idx", pa.int32()), ("n", pa.int64()), ("less", pa.int64()), ("payload", pa.binary())])
+_OUT_DDL = "kind string, h long, chunk long, idx int, n long, less long, payload binary"
 
 
 def _by_history(h: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
@@ -162,14 +223,79 @@ def _rows(size: int, /, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in _OUT], schema=_OUT)
 
 
-def scores(documents: DataFrame, train=None, filter_bits: int = FILTER_BITS) -> DataFrame:
+def _masses(c: np.ndarray) -> list[np.ndarray]:
+    """What the discounted counts are made of: which are 1, 2, ... K, and the rest."""
+    return [*((c == r).astype(float) for r in range(1, K + 1)), np.where(c > K, c - DELTA, 0.0)]
+
+
+#: Columns of a history: key, key of the one below, tokens, its n-grams' ``_masses``,
+#: those of the same n-grams one order below, and the mass of words alone.
+_HISTORY = 4 + 2 * (K + 1)
+
+
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of one length; counts are narrowed."""
+    columns = [x if x.dtype == np.uint64 or x.min(initial=0) < 0 or x.max(initial=0) >= 2**32 or (x != np.floor(x)).any() else _narrow(x) for x in columns]
+    return np.int64(len(columns[0])).tobytes() + b"".join(x.dtype.str.encode() + x.tobytes() for x in columns)
+
+
+def _unpack(payload: bytes) -> list[np.ndarray]:
+    size, at, out = int(np.frombuffer(payload, "<i8", 1)[0]), 8, []
+    while at < len(payload):
+        t = np.dtype(payload[at : at + 3].decode())
+        out.append(np.frombuffer(payload, t, size, at + 3))
+        at += 3 + size * t.itemsize
+    return out
+
+
+def _weights(found: DataFrame, d: list[np.ndarray], hot48: np.ndarray, hot_counts: np.ndarray) -> DataFrame:
+    """found: h (a bucket that holds the histories of some nearest words), payload.
+    A row per history: h, count (log c(h)), hand (log of alpha(h) c(h))."""
+
+    def weigh(table: pa.Table) -> pa.Table:
+        parts = [_unpack(x.as_py()) for x in table["payload"]]
+        key = np.concatenate([p[0] for p in parts])
+        keys, first = np.unique(key, return_index=True)
+        lower = np.concatenate([p[1] for p in parts])[first]
+        sums = _by_history(key, *(np.concatenate([p[k] for p in parts]).astype(float) for k in range(2, _HISTORY)))[1:]
+        n, own, below, mass = sums[0], sums[1 : K + 2], sums[K + 2 : 2 * K + 3], sums[-1]
+        order = (keys >> np.uint64(48)).astype(np.int64)
+        met, rest = np.zeros(len(keys)), 1 - mass
+        for k in range(2, len(d) + 1):
+            at = np.flatnonzero(order == k)
+            if not len(at):
+                continue
+            met[at] = own[K][at] + sum(r * d[k - 1][r] * own[r - 1][at] for r in range(1, K + 1))
+            if k > 2:  # c(h') of the history below, which is here too, or is a split word
+                low = lower[at]
+                where = np.minimum(np.searchsorted(keys, low), len(keys) - 1)
+                c = np.where(keys[where] == low, n[where], 1.0)
+                if len(hot48) and k == 3:
+                    word = low & np.uint64(2**48 - 1)
+                    where = np.minimum(np.searchsorted(hot48, word), len(hot48) - 1)
+                    c = np.where(hot48[where] == word, hot_counts[where], c)
+                rest[at] = 1 - (below[K][at] + sum(r * d[k - 2][r] * below[r - 1][at] for r in range(1, K + 1))) / c
+        return pa.Table.from_arrays(
+            [pa.array(keys.view(np.int64)), pa.array(np.log10(n)), pa.array(np.log10(np.maximum(n - met, 1e-12) / np.maximum(rest, 1e-12)))], names=["h", "count", "hand"]
+        )
+
+    return stored(found.groupBy("h").applyInArrow(weigh, "h long, count double, hand double"))
+
+
+def scores(documents: DataFrame, train=None, filter_bits: int = FILTER_BITS, order: int = 2, passes: int = PASSES, per_bucket: int | None = None) -> DataFrame:
     """documents: doc_id, text; train: a boolean column, which texts the model learns
-    from (null: learns). A row per row of documents: doc_id, held_out, n_tokens, n_known
-    (tokens whose word training knows), train_tokens, base_score (add-0.1 unigrams),
-    score (the model's log10 probability of the text), vocabulary.
+    from (null: learns); order: words of the longest n-gram, 2 or more. A row per row of
+    documents: doc_id, held_out, n_tokens, n_known (tokens whose word training knows),
+    train_tokens, base_score (add-0.1 unigrams), score (the model's log10 probability of
+    the text), vocabulary.
 
     A null or wordless text is its end token. Repeated rows are trained on and scored
-    each. Without training texts every word is unknown and all scores are 0."""
+    each. Without training texts every word is unknown and all scores are 0. The texts
+    are read in several passes; if these find other rows or another order of them, it
+    raises an error."""
+    if order < 2:
+        raise ValueError("order must be 2 or more")
+    per_bucket = per_bucket or PER_BUCKET
     train = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) != 0 if train is None else train
     docs = _input(documents, train)
     uni = unigrams(docs)
@@ -178,15 +304,18 @@ def scores(documents: DataFrame, train=None, filter_bits: int = FILTER_BITS) ->
     d1 = discounts([stats[f"n{r}"] for r in range(1, K + 2)])
     mass = uni.where("c > 0").agg(F.sum(F.when(F.col("c") > K, F.col("c") - DELTA).otherwise(F.element_at(F.array(*map(F.lit, d1[1:].tolist())), F.greatest(F.least(F.col("c"), F.lit(K)), F.lit(1)).cast("int")) * F.col("c")))).first()[0] or 0.0
     unknown = 1 - mass / n_train if n_train else 1.0
-    hot = {r["w"] % 2**64: r["c"] for r in uni.where(F.col("c") + F.col("other") > min((n_train + held) / 64, PER_BUCKET)).collect()}  # of as many words as buckets, or 64, at most
-    wanted = _bitmap(uni.where("other > 0").select(F.col("w").alias("key")), filter_bits)
-    # begin marks are histories too; the bitmap is by the 48 bits that stand for a history
-    wanted[int(BEGIN) >> (64 - filter_bits) >> 6] |= np.uint64(1) << np.uint64((int(BEGIN) >> (64 - filter_bits)) & 63)
+    hot = {r["w"] % 2**64: r["c"] for r in uni.where(F.col("c") + F.col("other") > min((n_train + held) / 64, per_bucket)).collect()}  # of as many words as buckets, or 64, at most
     discard(uni)
-    buckets = max(1, -(-(n_train + held) // PER_BUCKET))
-    shared = documents.sparkSession.sparkContext.broadcast((wanted, np.array(sorted(hot), dtype=np.uint64), np.array([hot[w] for w in sorted(hot)], dtype=np.float64)))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    buckets = max(1, -(-(n_train + held) // per_bucket))
+    passes = max(1, min(passes, buckets))
+    hot_words, hot_counts = np.array(sorted(hot), dtype=np.uint64), np.array([hot[w] for w in sorted(hot)], dtype=np.float64)
+    hot48 = hot_words >> np.uint64(16)
+    shared = documents.sparkSession.sparkContext.broadcast((_held_out(docs, order, filter_bits), hot_words, hot_counts))
+    columns = _columns(order)
+    packed = "bucket int, chunk long, " + ", ".join(f"{c} binary" for c in columns)
+    levels = range(2, order + 1)
+
+    def send(turn: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_words = shared.value[1]
         serial = TaskContext.get().partitionId() << 32
         for batch in batches:
@@ -194,169 +323,244 @@ def scores(documents: DataFrame, train=None, filter_bits: int = FILTER_BITS) ->
                 for low in range(a, b, 32768):
                     n = min(b - low, 32768)
                     chunk = W.Chunk(part.slice(low - a, n), lower=True)
-                    word, before, row = tokens(chunk)
-                    before >>= np.uint64(16)
+                    word, before, row = tokens(chunk, order)
+                    ids = batch.column("doc_id").slice(low, n)
+                    trains = batch.column("train").slice(low, n).to_numpy(zero_copy_only=False)
+                    serial += 1
+                    # what the chunk's rows are, for the end, and what tells that each pass met the same
+                    sums = np.zeros(n, dtype=np.uint64)
+                    np.add.at(sums, row, W.mix(word + before[0]))
+                    own = [np.asarray(ids.fill_null(0), dtype="<i8"), (np.diff(chunk.first) + 1).astype("<i8"), trains.astype("u1") | (np.asarray(ids.is_null()).astype("u1") << 1), sums]
+                    own = [x.tobytes() for x in own]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([-1 - serial % 1_000_003], pa.int32()), pa.array([serial], pa.int64()), *[pa.array([x], pa.binary()) for x in own], *[pa.nulls(1, pa.binary())] * (len(columns) - 4)],
+                        names=["bucket", "chunk", *columns],
+                    )
                     to = W.mix(word ^ W._K3)
                     if len(hot_words):
                         is_hot = hot_words[np.minimum(np.searchsorted(hot_words, word), len(hot_words) - 1)] == word
-                        to[is_hot] = W.combine(word[is_hot], before[is_hot])
+                        to[is_hot] = W.combine(word[is_hot], before[0][is_hot])
                     to = (to % np.uint64(buckets)).astype(np.int32)
-                    ids = batch.column("doc_id").slice(low, n)
-                    trains = batch.column("train").slice(low, n).to_numpy(zero_copy_only=False)
-                    order = np.lexsort((row, before, word, to))
-                    to, word, before, row = to[order], word[order], before[order], row[order]
+                    if passes > 1:
+                        keep = to % passes == turn
+                        to, word, row, before = to[keep], word[keep], row[keep], [x[keep] for x in before]
+                    if not len(to):
+                        continue
+                    rank = np.lexsort((*before[::-1], word, to.astype(np.int16) if buckets < 2**15 else to))  # rows stay in order
+                    to, word, row, before = to[rank], word[rank], row[rank], [x[rank] for x in before]
                     change = lambda x: np.concatenate([[True], x[1:] != x[:-1]])
-                    at_b = change(to)
-                    at_w = at_b | change(word)
-                    at_p = at_w | change(before)
-                    at_e = np.flatnonzero(at_p | change(row))
-                    e_times = np.diff(np.append(at_e, len(to))).astype("<u4")
-                    e_row = (row[at_e] | (trains[row[at_e]].astype(np.int64) << 15)).astype("<u2")
-                    e_new = np.flatnonzero(at_p[at_e])
-                    p = at_e[e_new]
-                    p_texts = np.diff(np.append(e_new, len(at_e))).astype("<u4")
-                    p_new = np.flatnonzero(at_w[p])
-                    w = p[p_new]
-                    w_pairs = np.diff(np.append(p_new, len(p))).astype("<u4")
-                    starts = np.flatnonzero(at_b)
-                    cuts = [np.searchsorted(x, np.append(starts, len(to))) for x in (w, p, at_e)]
-                    p_low, p_high = (before[p] & np.uint64(0xFFFFFFFF)).astype("<u4"), (before[p] >> np.uint64(32)).astype("<u2")
-                    parts = [(word[w], 0), (w_pairs, 0), (p_low, 1), (p_high, 1), (p_texts, 1), (e_row, 2), (e_times, 2)]
+                    at = change(to)
+                    starts = np.flatnonzero(at)
+                    at = at | change(word)
+                    firsts = [np.flatnonzero(at)]  # of each word, each history word, each text
+                    for x in before:
+                        at = at | change(x)
+                        firsts.append(np.flatnonzero(at))
+                    firsts.append(np.flatnonzero(at | change(row)))
+                    # how many of the next there are in each
+                    inner = [np.diff(np.append(np.searchsorted(y, x), len(y))).astype("<u4") for x, y in zip(firsts, firsts[1:], strict=False)]
+                    e = firsts[-1]
+                    parts = [(word[firsts[0]], 0)]
+                    for k, x in enumerate(before):
+                        x = x[firsts[k + 1]]
+                        parts += [(inner[k], k), ((x & np.uint64(0xFFFFFFFF)).astype("<u4"), k + 1), ((x >> np.uint64(32)).astype("<u2"), k + 1)]
+                    parts += [(inner[-1], order - 1), ((row[e] | (trains[row[e]].astype(np.int64) << 15)).astype("<u2"), order), (np.diff(np.append(e, len(to))).astype("<u4"), order)]
+                    cuts = [np.searchsorted(x, np.append(starts, len(to))) for x in firsts]
                     cols = [[x[cuts[k][i] : cuts[k][i + 1]].tobytes() for i in range(len(starts))] for x, k in parts]
-                    serial += 1
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(to[starts], pa.int32()), pa.array([serial] * len(starts), pa.int64()), *[pa.array(c, pa.binary()) for c in cols]],
-                        names=["bucket", "chunk", "w", "pairs", "low", "high", "texts", "row", "times"],
-                    )
-                    # what the chunk's rows are, for the end
-                    own = [np.asarray(ids.fill_null(0), dtype="<i8").tobytes(), (np.diff(chunk.first) + 1).astype("<i8").tobytes(), (trains.astype("u1") | (np.asarray(ids.is_null()).astype("u1") << 1)).tobytes()]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([-1 - serial % 1_000_003], pa.int32()), pa.array([serial], pa.int64()), *[pa.array([x], pa.binary()) for x in own], *[pa.nulls(1, pa.binary())] * 4],
-                        names=["bucket", "chunk", "w", "pairs", "low", "high", "texts", "row", "times"],
+                        names=["bucket", "chunk", *columns],
                     )
 
-    def evaluate(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def met(keep: np.ndarray, key: np.ndarray, lower: np.ndarray, near: np.ndarray, c: np.ndarray, below: list[np.ndarray], mass: np.ndarray) -> list[np.ndarray]:
+        """The histories of some n-grams, with the bucket they go to."""
+        key, lower, near, c = key[keep], lower[keep], near[keep], c[keep]
+        keys, first, inv = np.unique(key, return_index=True, return_inverse=True)
+        total = lambda v: np.bincount(inv, weights=v, minlength=len(keys))
+        return [near[first], keys, lower[first], total(c), *map(total, _masses(c)), *(total(x[keep]) for x in below), total(mass[keep])]
+
+    def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, hot_words, hot_counts = shared.value
-        table = table.combine_chunks()
+        table = pa.Table.from_batches(batches)
         chunk_of = table["chunk"].to_numpy()
         if table["bucket"][0].as_py() < 0:
             for i in range(len(table)):
-                payload = b"".join(np.int64(len(x)).tobytes() + x for x in (table[c][i].as_py() for c in ("w", "pairs", "low")))
+                payload = b"".join(np.int64(len(x)).tobytes() + x for x in (table[c][i].as_py() for c in columns[:4]))
                 yield _rows(1, kind=["rows"], chunk=[int(chunk_of[i])], payload=[payload])
             return
         read = lambda c, t: [np.frombuffer(x.as_buffer(), dtype=t) if len(x.as_buffer()) else np.zeros(0, t) for x in table[c]]
-        w_of, pairs, low, high, texts, e_row, e_times = (read(c, t) for c, t in (("w", "<u8"), ("pairs", "<u4"), ("low", "<u4"), ("high", "<u2"), ("texts", "<u4"), ("row", "<u2"), ("times", "<u4")))
+        w_of, texts, e_row, e_times = (read(c, t) for c, t in (("w", "<u8"), ("texts", "<u4"), ("row", "<u2"), ("times", "<u4")))
+        inner = [read(f"n{k}", "<u4") for k in range(order - 1)] + [texts]
+        low, high = ([read(f"{c}{k}", t) for k in range(order - 1)] for c, t in (("low", "<u4"), ("high", "<u2")))
         ends = lambda x: np.concatenate([np.zeros(1, np.int64), np.cumsum(x, dtype=np.int64)])
-        p_ends, e_ends = [ends(x) for x in pairs], [ends(x) for x in texts]
+        inner_ends = [[ends(x) for x in xs] for xs in inner]
         size = 1 + max((int(x.max()) & 32767 for x in e_row if len(x)), default=0)
         parts: list[list[np.ndarray]] = []  # by text that has tokens here: its number and sums
-        few, met = np.zeros(K + 2, dtype=np.int64), []
+        few, pairs = np.zeros((order + 1, K + 2), dtype=np.int64), []
         slices = max(1, -(-sum(map(len, e_row)) // AT_ONCE))
+
+        def told(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            to, *cols = found
+            rank = np.lexsort((cols[0], cols[1], to))
+            to, cols = to[rank], [x[rank] for x in cols]
+            at = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
+            stops = np.append(at, len(to))
+            yield _rows(len(at), kind=["histories"] * len(at), h=to[at], payload=[_pack([x[i:j] for x in cols]) for i, j in zip(stops, stops[1:], strict=False)])
+
         for k in range(slices):  # words in order of their hashes, so that a bucket is never whole in memory
             edge = [np.uint64(min(2**64 - 1, 2**64 * x // slices)) for x in (k, k + 1)]
             a = [int(np.searchsorted(w, edge[0])) for w in w_of]
             b = [int(np.searchsorted(w, edge[1])) if k + 1 < slices else len(w) for w in w_of]
-            pa_, pb_ = [int(p_ends[i][x]) for i, x in enumerate(a)], [int(p_ends[i][x]) for i, x in enumerate(b)]
-            ea_, eb_ = [int(e_ends[i][x]) for i, x in enumerate(pa_)], [int(e_ends[i][x]) for i, x in enumerate(pb_)]
             cut = lambda x, lo, hi: np.concatenate([v[lo[i] : hi[i]] for i, v in enumerate(x)])
-            word = np.repeat(cut(w_of, a, b), cut(pairs, a, b))
-            if not len(word):
+            nested = [cut(w_of, a, b)]  # the word, then the words before it, of each n-gram
+            if not len(nested[0]):
                 continue
-            before = cut(low, pa_, pb_).astype(np.uint64) | (cut(high, pa_, pb_).astype(np.uint64) << np.uint64(32))
-            e_pair = np.repeat(np.arange(len(word)), cut(texts, pa_, pb_))
-            rows = cut(e_row, ea_, eb_).astype(np.int64)
-            times = cut(e_times, ea_, eb_).astype(np.float64)
-            chunk_at = np.repeat(np.arange(len(chunk_of)), [y - x for x, y in zip(ea_, eb_, strict=True)])
+            for j in range(order - 1):
+                count = cut(inner[j], a, b)
+                a, b = ([int(inner_ends[j][i][x]) for i, x in enumerate(y)] for y in (a, b))
+                nested = [np.repeat(x, count) for x in nested]
+                nested.append(cut(low[j], a, b).astype(np.uint64) | (cut(high[j], a, b).astype(np.uint64) << np.uint64(32)))
+            e_gram = np.repeat(np.arange(len(nested[0])), cut(texts, a, b))
+            a, b = ([int(inner_ends[-1][i][x]) for i, x in enumerate(y)] for y in (a, b))
+            rows = cut(e_row, a, b).astype(np.int64)
+            times = cut(e_times, a, b).astype(np.float64)
+            chunk_at = np.repeat(np.arange(len(chunk_of)), [y - x for x, y in zip(a, b, strict=True)])
             train_, rows = rows >> 15, rows & 32767
-            order = np.lexsort((before, word))
-            sw, sb = word[order], before[order]
-            new_w = np.concatenate([[True], sw[1:] != sw[:-1]])
-            new_p = new_w | np.concatenate([[True], sb[1:] != sb[:-1]])
-            type_of, word_of = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-            type_of[order], word_of[order] = np.cumsum(new_p) - 1, np.cumsum(new_w) - 1
-            types, type_word = order[new_p], (np.cumsum(new_w) - 1)[new_p]
-            c_type = np.bincount(type_of[e_pair], weights=times * train_, minlength=len(types))
-            c_word = np.bincount(type_word, weights=c_type)
-            words_ = sw[new_w]
+            # types of each order: which one an n-gram is, and a place where each stands
+            rank = np.lexsort(nested[::-1])
+            new, type_of, place = np.zeros(len(rank), dtype=bool), [], []
+            new[:1] = True
+            for x in nested:
+                y = x[rank]
+                new[1:] |= y[1:] != y[:-1]
+                t = np.empty(len(rank), np.int64)
+                t[rank] = np.cumsum(new) - 1
+                type_of.append(t)
+                place.append(rank[new])
+            counts = [np.bincount(type_of[-1][e_gram], weights=times * train_, minlength=len(place[-1]))]
+            for j in range(order - 2, -1, -1):
+                counts.insert(0, np.bincount(type_of[j][place[j + 1]], weights=counts[0], minlength=len(place[j])))
+            words_ = nested[0][place[0]]
             if len(hot_words):
                 at = np.minimum(np.searchsorted(hot_words, words_), len(hot_words) - 1)
                 is_hot = hot_words[at] == words_
-                c_word[is_hot] = hot_counts[at[is_hot]]
+                counts[0][is_hot] = hot_counts[at[is_hot]]
+            keys = histories(nested[1:])
+            for j in range(1, order):  # an n-gram that would begin before its text is none
+                counts[j][keys[j - 1][place[j]] == 0] = 0
+            c_word = counts[0]
             p_word = np.where(c_word > 0, kept(c_word, d1) / max(n_train, 1), unknown)
-            # texts: parts of their sums, looked up by pair or word
-            log_word, log_base = np.log10(np.maximum(p_word, 1e-300)), np.log10(c_word + 0.1)
-            as_history = np.where((c_word > 0) & (words_ != END), np.log10(np.maximum(c_word, 1)), 0.0)
-            log_type = np.where(c_type > K, np.log10(np.maximum(c_type - DELTA, 0.5)), 0.0)
+            # each token's order: the longest there is, and the longest that was counted
+            types = [t[e_gram] for t in type_of]
+            c = [x[t] for x, t in zip(counts, types, strict=True)]
+            longest, found = np.ones(len(rows), np.int64), np.ones(len(rows), np.int64)
+            score = np.log10(np.maximum(p_word, 1e-300))[types[0]]
+            charge = np.log10(np.maximum(c_word, 1))[types[0]]
+            for j in range(1, order):
+                longest[keys[j - 1][e_gram] > 0] = j + 1
+                have = c[j] > 0
+                found[have] = j + 1
+                score[have] = np.where(c[j][have] > K, np.log10(np.maximum(c[j][have] - DELTA, 0.5)), 0.0)
+                if j < order - 1:  # as the history of the next token, with all words it can have
+                    charge = np.where(keys[j - 1][e_gram] > 0, np.log10(np.maximum(c[j], 1)), charge)
+            charge[nested[0][e_gram] == END] = 0.0
             key = chunk_at * size + rows
-            e_type, e_word = type_of[e_pair], word_of[e_pair]
-            c = c_type[e_type]
             own, at = np.unique(key, return_inverse=True)
             total = lambda v: np.bincount(at, weights=v, minlength=len(own))  # noqa: E731, B023
-            score = times * (np.where(c > 0, log_type[e_type], log_word[e_word]) - as_history[e_word])
-            parts.append([own, total(times * (c_word[e_word] > 0)), total(times * log_base[e_word]), total(score), *(total(times * (c == r)) for r in range(1, K + 1))])
-            # histories: mass of their pairs
-            have = np.flatnonzero(c_type > 0)
-            h = before[types[have]]
-            top = h >> np.uint64(48 - filter_bits)
-            use = ((bits[(top >> np.uint64(6)).astype(np.int64)] >> (top & np.uint64(63))) & np.uint64(1)).astype(bool)
-            have, h = have[use], h[use]
-            met.append(_by_history(h, c_type[have], *((c_type[have] == r).astype(float) for r in range(1, K + 1)), np.where(c_type[have] > K, c_type[have] - DELTA, 0.0), p_word[type_word[have]]))
-            # tokens that back off, and how many types have each low count
-            off = np.flatnonzero(c == 0)
-            yield _rows(len(off), kind=["backoff"] * len(off), h=before[e_pair[off]].view(np.int64), chunk=chunk_of[chunk_at[off]], idx=rows[off].astype(np.int32), n=times[off].astype(np.int64))
-            few += np.array([(c_type == r).sum() for r in range(K + 2)])
-        if met:
-            hs, n, *ms, big, mass_ = _by_history(*(np.concatenate(x) for x in zip(*met, strict=True)))
-            yield _rows(len(hs), kind=["histories"] * len(hs), h=hs.view(np.int64), n=n.astype(np.int64), big=big, mass=mass_, **{f"m{r}": m.astype(np.int64) for r, m in enumerate(ms, 1)})
-        yield _rows(K + 1, kind=["counts"] * (K + 1), idx=np.arange(1, K + 2, dtype=np.int32), n=few[1:])
-        own, *sums = _by_history(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else [np.zeros(0, np.int64)] * (4 + K)
+            lows = (total(times * ((found == j) & (c[j - 1] == r))) for j in levels for r in range(1, K + 1))
+            parts.append([own, total(times * np.log10(c_word + 0.1)[types[0]]), total(times * (score - charge)), *map(_narrow, (total(times * (c[0] > 0)), *lows))])
+            # histories: mass of their n-grams
+            for j in levels:
+                h = keys[j - 2][place[j - 1]]
+                keep = (counts[j - 1] > 0) & (h > 0)
+                keep[keep] = _marked(bits, h[keep])
+                below = counts[j - 2][type_of[j - 2][place[j - 1]]]
+                near = nested[1][place[j - 1]]
+                near_to = W.mix(near)
+                if len(hot_words):
+                    at48 = hot_words >> np.uint64(16)
+                    split = at48[np.minimum(np.searchsorted(at48, near), len(at48) - 1)] == near
+                    near_to[split] = W.mix((keys[1] if j > 2 else keys[0])[place[j - 1]][split])
+                near_to = (near_to % np.uint64(buckets)).astype(np.int64)
+                none = np.zeros(len(h))
+                if j == 2:
+                    pairs.append(met(keep, h, np.zeros_like(h), near_to, counts[1], [none] * (K + 1), p_word[type_of[0][place[1]]]))
+                else:
+                    yield from told(met(keep, h, keys[j - 3][place[j - 1]], near_to, counts[j - 1], _masses(below), none))
+            # the histories that tokens pass on their way down, and how many tokens have each low count
+            for j in levels:
+                off = np.flatnonzero((longest >= j) & (found < longest) & (found <= j))
+                n = times[off].astype(np.int64)
+                yield _rows(
+                    len(off), kind=["backoff"] * len(off), h=keys[j - 2][e_gram[off]].view(np.int64), chunk=chunk_of[chunk_at[off]], idx=rows[off].astype(np.int32),
+                    n=np.where(found[off] < j, n, 0), less=np.where(longest[off] > j, n, 0),
+                )
+                few[j] += np.array([(counts[j - 1] == r).sum() for r in range(K + 2)])
+        if pairs:
+            to, key, _, *sums = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            _, first = np.unique(key, return_index=True)
+            hs, *sums = _by_history(key, *sums)
+            yield from told([to[first], hs, np.zeros_like(hs), *sums])
+        for j in levels:
+            yield _rows(K + 1, kind=["counts"] * (K + 1), h=np.full(K + 1, j), idx=np.arange(1, K + 2, dtype=np.int32), n=few[j][1:])
+        own, at = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+        sums = []
+        for k in range(1, len(parts[0])):
+            x = np.bincount(at, weights=np.concatenate([p[k] for p in parts]), minlength=len(own))
+            sums.append(x if k < 3 else _narrow(x))
         cuts = np.searchsorted(own, np.arange(len(chunk_of) + 1) * size)
         payloads = []
         for i in range(len(chunk_of)):
             s = slice(cuts[i], cuts[i + 1])
-            cols = [(own[s] - i * size).astype("<u2"), sums[1][s], sums[2][s], *(_narrow(x[s]) for x in (sums[0], *sums[3:]))]
-            payloads.append(np.int64(s.stop - s.start).tobytes() + bytes(x.itemsize for x in cols[3:]) + b"".join(x.tobytes() for x in cols))
+            payloads.append(_pack([(own[s] - i * size).astype("<u2"), *(x[s] for x in sums)]))
         yield _rows(len(payloads), kind=["texts"] * len(payloads), chunk=chunk_of, payload=payloads)
         W.trim()
 
-    model = stored(docs.mapInArrow(send, _PACKED).groupBy("bucket").applyInArrow(lambda t: pa.Table.from_batches(evaluate(t), _OUT), _OUT_DDL), "kind")
-    counts = {r["idx"]: r["n"] for r in model.where("kind = 'counts'").groupBy("idx").agg(F.sum("n").alias("n")).collect()}
-    d2 = discounts([counts.get(r, 0) for r in range(1, K + 2)])
-    sums = [F.sum(c).alias(c) for c in ("n", *[f"m{r}" for r in range(1, K + 1)], "big", "mass")]
-    histories = model.where("kind = 'histories'").groupBy("h").agg(*sums)
-    left = F.col("n") - F.col("big") - sum((F.col(f"m{r}") * float(r * d2[r]) for r in range(1, K + 1)), F.lit(0.0))
-    weight = F.log10(F.greatest(left, F.lit(1e-12)) / F.greatest(1 - F.col("mass"), F.lit(1e-12)))  # of alpha(h) c(h)
-    off = model.where("kind = 'backoff'").select("h", "chunk", "idx", "n").join(histories.select("h", weight.alias("weight")), "h", "left")
-    off = off.groupBy("chunk", "idx").agg(F.sum(F.col("n") * F.coalesce("weight", F.lit(0.0))).alias("mass"))
+    turns = [stored(docs.mapInArrow(functools.partial(send, turn), packed).groupBy("bucket").applyInArrow(evaluate, _OUT_DDL), "kind") for turn in range(passes)]
+
+    def drop(kind: str) -> None:
+        for table in turns:
+            part = table.where(F.col("kind") == kind)
+            part.stored_at = f"{table.stored_at}/kind={kind}"
+            discard(part)
+
+    model = functools.reduce(lambda x, y: x.unionAll(y), turns)
+    seen = {(r["h"], r["idx"]): r["n"] for r in model.where("kind = 'counts'").groupBy("h", "idx").agg(F.sum("n").alias("n")).collect()}
+    d = [d1, *(discounts([seen.get((j, r), 0) for r in range(1, K + 2)]) for j in levels)]
+    met_ = model.where("kind = 'histories'").select("h", "payload")
+    # in turns too, so that only a part of the histories is in a shuffle
+    parts = [_weights(met_.where(F.col("h") % passes == turn), d, hot48, hot_counts) for turn in range(passes)]
+    weights = functools.reduce(lambda x, y: x.unionAll(y), parts)
+    drop("histories")
+    off = model.where("kind = 'backoff'").select("h", "chunk", "idx", "n", "less").join(weights, "h", "left")
+    off = off.groupBy("chunk", "idx").agg(F.sum(F.col("n") * F.coalesce("hand", F.lit(0.0)) - F.col("less") * F.coalesce("count", F.lit(0.0))).alias("mass"))
+    off = stored(off)  # a row per held-out text
+    drop("backoff")
+    discard(*parts)
     begun = docs.where("train").count()
     at_begin = -float(np.log10(begun)) if begun else 0.0
-    low_logs = [float(np.log10(d2[r] * r)) for r in range(1, K + 1)]
+    low_logs = [float(np.log10(x[r] * r)) for x in d[1:] for r in range(1, K + 1)]
     norm = float(np.log10(n_train + 0.1 * (vocabulary + 1)))
 
     def finish(table: pa.Table) -> pa.Table:
         kind = table["kind"].to_pylist()
         payload = table["payload"].to_pylist()
-        ids = n = flags = None
-        for k, x in zip(kind, payload, strict=True):
-            if k == "rows":
-                out, at = [], 0
-                for t in ("<i8", "<i8", "u1"):
-                    size = int(np.frombuffer(x, "<i8", 1, at)[0])
-                    out.append(np.frombuffer(x[at + 8 : at + 8 + size], t))
-                    at += 8 + size
-                ids, n, flags = out
+        told = [x for k, x in zip(kind, payload, strict=True) if k == "rows"]
+        if len(told) != passes or len(set(told)) > 1:
+            raise RuntimeError("the texts differ between two readings: store them first")
+        out, at = [], 0
+        for t in ("<i8", "<i8", "u1"):
+            size = int(np.frombuffer(told[0], "<i8", 1, at)[0])
+            out.append(np.frombuffer(told[0][at + 8 : at + 8 + size], t))
+            at += 8 + size
+        ids, n, flags = out
         known, base, score = np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.full(len(ids), at_begin)
         for k, x, i, m in zip(kind, payload, table["idx"].to_pylist(), table["mass"].to_pylist(), strict=True):
             if k == "texts":
-                size, at = int(np.frombuffer(x, "<i8", 1)[0]), 8 + K + 1
-                cols = []
-                for t in ("<u2", "<f8", "<f8", *(f"<u{w}" for w in x[8:at])):
-                    cols.append(np.frombuffer(x, t, size, at))
-                    at += size * np.dtype(t).itemsize
-                r = cols[0]
-                base[r] += cols[1]
-                known[r] += cols[3]
-                score[r] += cols[2] + sum(a * b for a, b in zip(low_logs, cols[4:], strict=True))
+                r, log_base, log_score, count, *lows = _unpack(x)
+                known[r] += count.astype(np.int64)
+                base[r] += log_base
+                score[r] += log_score + sum(a * b for a, b in zip(low_logs, lows, strict=True))
             elif k == "backoff":
                 score[i] += m
         return pa.Table.from_arrays(
@@ -364,7 +568,7 @@ def scores(documents: DataFrame, train=None, filter_bits: int = FILTER_BITS) ->
             names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
         )
 
-    ends = model.where("kind in ('rows', 'texts')").select("kind", "chunk", F.lit(None).cast("int").alias("idx"), F.lit(None).cast("double").alias("mass"), "payload")
-    ends = ends.unionByName(off.select(F.lit("backoff").alias("kind"), "chunk", "idx", "mass", F.lit(None).cast("binary").alias("payload")))
-    out = ends.groupBy("chunk").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    parts = model.where("kind in ('rows', 'texts')").select("kind", "chunk", F.lit(None).cast("int").alias("idx"), F.lit(None).cast("double").alias("mass"), "payload")
+    parts = parts.unionByName(off.select(F.lit("backoff").alias("kind"), "chunk", "idx", "mass", F.lit(None).cast("binary").alias("payload")))
+    out = parts.groupBy("chunk").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score", F.lit(vocabulary).cast("long").alias("vocabulary"))

@@ -12,7 +12,7 @@ from .tables import documents
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.scores(documents(spark, sf_dir))
+    return katz.scores(documents(spark, sf_dir), order=katz.ORDER)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

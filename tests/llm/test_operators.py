@@ -112,6 +112,49 @@ def test_katz(spark, docs):
         assert r["score"] == pytest.approx(sum(math.log10(p2(a, b)) for a, b in zip([0, *x[:-1]], x, strict=True)))
 
 
+@pytest.mark.parametrize("order, bucket", [(3, None), (4, 900)])
+def test_katz_recurses_over_orders(spark, docs, order, bucket):
+    got = by_id(katz.scores(docs, order=order, per_bucket=bucket))
+    toks = {i: SPACE.findall(low(t or "")) + [None] for i, t in corpus()}
+    train = {i: zlib.crc32(str(i).encode()) % 10 != 0 for i in toks}
+    grams = lambda x, k: [((0, *x)[p + 2 - k : p + 1], w) for p, w in enumerate(x) if p + 2 >= k]
+    c = {1: collections.Counter(((), w) for i, x in toks.items() if train[i] for w in x)}
+    c |= {k: collections.Counter(g for i, x in toks.items() if train[i] for g in grams(x, k)) for k in range(2, order + 1)}
+    d = {k: katz.discounts([sum(1 for v in c[k].values() if v == r) for r in range(1, katz.K + 2)]) for k in c}
+    kept = lambda n, k: float(katz.kept(np.array([n]), d[k])[0])
+    n = sum(c[1].values())
+    unknown = 1 - sum(kept(x, 1) for x in c[1].values()) / n
+    after = collections.defaultdict(dict)
+    for k in range(2, order + 1):
+        for (h, w), x in c[k].items():
+            after[h][w] = x
+    alphas = {}
+
+    def p(h, w):
+        if not h:
+            return kept(c[1][h, w], 1) / n if (h, w) in c[1] else unknown
+        words = after.get(h, {})
+        if w in words:
+            return kept(words[w], len(h) + 1) / sum(words.values())
+        if words and h not in alphas:
+            alphas[h] = (1 - sum(p(h, x) for x in words)) / (1 - sum(p(h[1:], x) for x in words))
+        return alphas.get(h, 1.0) * p(h[1:], w)
+
+    for h in [h for h in after if len(h) == order - 1][:20]:  # exactly normalised
+        assert sum(p(h, w) for _, w in c[1]) + p(h, "never met") == pytest.approx(1)
+    passed = collections.Counter()
+    for i, x in toks.items():
+        want = 0.0
+        for at, w in enumerate(x):
+            h = (0, *x)[max(0, at + 2 - order) : at + 1]
+            want += math.log10(p(h, w))
+            passed[len(h) - next((k for k in range(len(h)) if w in after.get(h[k:], {})), len(h))] += 1
+        assert (got[i]["held_out"], got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (not train[i], len(x), sum(((), w) in c[1] for w in x), n)
+        assert got[i]["score"] == pytest.approx(want)
+        assert got[i]["base_score"] == pytest.approx(sum(math.log10((c[1][(), w] + 0.1) / (n + 0.1 * (len(c[1]) + 1))) for w in x))
+    assert all(passed[k] for k in range(order))  # tokens end at every order
+
+
 def test_good_turing():
     n = [1000, 400, 210, 130, 90, 66]  # by hand: (r* / r - mu) / (1 - mu), mu = 6 n6 / n1
     mu = 6 * 66 / 1000
