@@ -25,10 +25,11 @@ Counts, weights and evaluation are partitioned by hash, never gathered:
    history to the first n-gram that was counted. Log scores are sums, and where the
    discounts or alpha(h) are still unknown it sends what they apply to: how many tokens
    have an n-gram counted once, twice, ...; the masses of its n-grams by history; and,
-   for tokens that back off, the histories they pass. These are stored tables,
+   for tokens that back off, the histories they pass, packed. These are stored tables,
    partitioned by kind.
-4. Histories meet in buckets by their nearest word and give a table of log c(h) and
-   log alpha(h) c(h); backed-off tokens join it; the parts of each text's score are added.
+4. Histories and the tokens that passed them meet in buckets by the nearest word. Such a
+   bucket has log c(h) and log alpha(h) c(h), and gives what they add to each text; the
+   parts of each text's score are added.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import discard, stored
+from .tables import discard, settings, stored
 
 #: Words of the longest n-gram of the registered query.
 ORDER = 3
@@ -59,6 +60,8 @@ AT_ONCE = 200_000
 SEND_BYTES = 5 << 20
 #: log2 of the bits of the bitmap of histories that stand in held-out texts (4 MB).
 FILTER_BITS = 25
+#: Bytes of a batch on its way to Python: one chunk, not thousands of rows of any length.
+BATCH_BYTES = 19 * SEND_BYTES // 20
 #: Turns in which buckets are filled.
 PASSES = 3
 
@@ -122,6 +125,26 @@ def histories(before: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+def _placed(h: np.ndarray) -> np.ndarray:
+    """np.argsort of 64-bit hashes, equal ones in order: sorts numbers of which the low
+    bits are places, which is several times as fast."""
+    low = np.uint64((1 << max(len(h) - 1, 1).bit_length()) - 1)
+    packed = np.sort((h & ~low) | np.arange(len(h), dtype=np.uint64))
+    rank = (packed & low).astype(np.int64)
+    x = h[rank]
+    if ((x[1:] != x[:-1]) & ((packed[1:] ^ packed[:-1]) <= low)).any():  # two differ in these low bits only
+        return np.argsort(h, kind="stable")
+    return rank
+
+
+def ranked(word: np.ndarray, before: list[np.ndarray]) -> np.ndarray:
+    """np.lexsort of n-grams: by word, then by the words before it, nearest first."""
+    rank = None
+    for x in (*(b << np.uint64(16) for b in before[::-1]), word):  # 48 bits, moved up
+        rank = _placed(x) if rank is None else rank[_placed(x[rank])]
+    return rank
+
+
 def _input(documents: DataFrame, train) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
 
@@ -204,8 +227,8 @@ def _columns(order: int) -> list[str]:
     return ["w", *(f"{c}{k}" for k in range(order - 1) for c in ("n", "low", "high")), "texts", "row", "times"]
 
 
-_OUT = pa.schema([("kind", pa.string()), ("h", pa.int64()), ("chunk", pa.int64()), ("idx", pa.int32()), ("n", pa.int64()), ("less", pa.int64()), ("payload", pa.binary())])
-_OUT_DDL = "kind string, h long, chunk long, idx int, n long, less long, payload binary"
+_OUT = pa.schema([("kind", pa.string()), ("h", pa.int64()), ("chunk", pa.int64()), ("idx", pa.int32()), ("n", pa.int64()), ("payload", pa.binary())])
+_OUT_DDL = "kind string, h long, chunk long, idx int, n long, payload binary"
 
 
 def _by_history(h: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
@@ -215,8 +238,9 @@ def _by_history(h: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
-    """Counts in one byte each, or in four where one is larger."""
-    return x.astype("u1" if x.max(initial=0) < 256 else "<u4")
+    """Counts in one byte each, or in two or four where one is larger."""
+    most = x.max(initial=0)
+    return x.astype("u1" if most < 256 else "<u2" if most < 65536 else "<u4")
 
 
 def _rows(size: int, /, **columns) -> pa.RecordBatch:
@@ -248,12 +272,16 @@ def _unpack(payload: bytes) -> list[np.ndarray]:
     return out
 
 
-def _weights(found: DataFrame, d: list[np.ndarray], hot48: np.ndarray, hot_counts: np.ndarray) -> DataFrame:
-    """found: h (a bucket that holds the histories of some nearest words), payload.
-    A row per history: h, count (log c(h)), hand (log of alpha(h) c(h))."""
+def _handed(found: DataFrame, d: list[np.ndarray], hot48: np.ndarray, hot_counts: np.ndarray) -> DataFrame:
+    """found: h (a bucket that holds the histories of some nearest words), kind, payload:
+    histories, and the backed-off tokens that passed them. A row per chunk with such
+    tokens: chunk, payload (which texts, and what c(h) and alpha(h) add to each)."""
 
     def weigh(table: pa.Table) -> pa.Table:
-        parts = [_unpack(x.as_py()) for x in table["payload"]]
+        sent = {kind: [_unpack(x) for k, x in zip(table["kind"].to_pylist(), table["payload"].to_pylist(), strict=True) if k == kind] for kind in ("histories", "backoff")}
+        parts, passed = sent["histories"], sent["backoff"]
+        if not parts or not passed:  # nothing met, so alpha is 1, or nobody asks
+            return pa.table({"chunk": pa.array([], pa.int64()), "payload": pa.array([], pa.binary())})
         key = np.concatenate([p[0] for p in parts])
         keys, first = np.unique(key, return_index=True)
         lower = np.concatenate([p[1] for p in parts])[first]
@@ -275,11 +303,20 @@ def _weights(found: DataFrame, d: list[np.ndarray], hot48: np.ndarray, hot_count
                     where = np.minimum(np.searchsorted(hot48, word), len(hot48) - 1)
                     c = np.where(hot48[where] == word, hot_counts[where], c)
                 rest[at] = 1 - (below[K][at] + sum(r * d[k - 2][r] * below[r - 1][at] for r in range(1, K + 1))) / c
-        return pa.Table.from_arrays(
-            [pa.array(keys.view(np.int64)), pa.array(np.log10(n)), pa.array(np.log10(np.maximum(n - met, 1e-12) / np.maximum(rest, 1e-12)))], names=["h", "count", "hand"]
-        )
+        h, task, serial, idx, gone, less = (np.concatenate([p[k] for p in passed]) for k in range(6))
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        known = keys[at] == h
+        count, hand = np.log10(n), np.log10(np.maximum(n - met, 1e-12) / np.maximum(rest, 1e-12))
+        adds = np.where(known, gone * hand[at] - less * count[at], 0.0)
+        chunks, which = np.unique((task.astype(np.int64) << 32) | serial.astype(np.int64), return_inverse=True)
+        own, which = np.unique(which * 32768 + idx, return_inverse=True)
+        adds = np.bincount(which, weights=adds, minlength=len(own))
+        cuts = np.searchsorted(own, np.arange(len(chunks) + 1) * 32768)
+        payload = [_pack([own[i:j] % 32768, adds[i:j]]) for i, j in zip(cuts, cuts[1:], strict=False)]
+        W.trim()
+        return pa.table({"chunk": pa.array(chunks), "payload": pa.array(payload, pa.binary())})
 
-    return stored(found.groupBy("h").applyInArrow(weigh, "h long, count double, hand double"))
+    return stored(found.groupBy("h").applyInArrow(weigh, "chunk long, payload binary"))
 
 
 def scores(documents: DataFrame, train=None, filter_bits: int = FILTER_BITS, order: int = 2, passes: int = PASSES, per_bucket: int | None = None) -> DataFrame:
@@ -298,7 +335,9 @@ def scores(documents: DataFrame, train=None, filter_bits: int = FILTER_BITS, ord
     per_bucket = per_bucket or PER_BUCKET
     train = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) != 0 if train is None else train
     docs = _input(documents, train)
-    uni = unigrams(docs)
+    small = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    with settings(documents.sparkSession, small):
+        uni = unigrams(docs)
     stats = uni.agg(F.sum("c").alias("N"), F.count_if(F.col("c") > 0).alias("V"), F.sum("other").alias("O"), *[F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(1, K + 2)]).first()
     n_train, vocabulary, held = stats["N"] or 0, stats["V"] or 0, stats["O"] or 0
     d1 = discounts([stats[f"n{r}"] for r in range(1, K + 2)])
@@ -310,7 +349,9 @@ def scores(documents: DataFrame, train=None, filter_bits: int = FILTER_BITS, ord
     passes = max(1, min(passes, buckets))
     hot_words, hot_counts = np.array(sorted(hot), dtype=np.uint64), np.array([hot[w] for w in sorted(hot)], dtype=np.float64)
     hot48 = hot_words >> np.uint64(16)
-    shared = documents.sparkSession.sparkContext.broadcast((_held_out(docs, order, filter_bits), hot_words, hot_counts))
+    with settings(documents.sparkSession, small):
+        marked = _held_out(docs, order, filter_bits)
+    shared = documents.sparkSession.sparkContext.broadcast((marked, hot_words, hot_counts))
     columns = _columns(order)
     packed = "bucket int, chunk long, " + ", ".join(f"{c} binary" for c in columns)
     levels = range(2, order + 1)
@@ -346,7 +387,8 @@ def scores(documents: DataFrame, train=None, filter_bits: int = FILTER_BITS, ord
                         to, word, row, before = to[keep], word[keep], row[keep], [x[keep] for x in before]
                     if not len(to):
                         continue
-                    rank = np.lexsort((*before[::-1], word, to.astype(np.int16) if buckets < 2**15 else to))  # rows stay in order
+                    rank = ranked(word, before)  # rows stay in order
+                    rank = rank[np.argsort((to.astype(np.int16) if buckets < 2**15 else to)[rank], kind="stable")]
                     to, word, row, before = to[rank], word[rank], row[rank], [x[rank] for x in before]
                     change = lambda x: np.concatenate([[True], x[1:] != x[:-1]])
                     at = change(to)
@@ -379,6 +421,17 @@ def scores(documents: DataFrame, train=None, filter_bits: int = FILTER_BITS, ord
         total = lambda v: np.bincount(inv, weights=v, minlength=len(keys))
         return [near[first], keys, lower[first], total(c), *map(total, _masses(c)), *(total(x[keep]) for x in below), total(mass[keep])]
 
+    def home(before: np.ndarray, keys: list[np.ndarray], j: int, at: np.ndarray) -> np.ndarray:
+        """The buckets of the histories of order j of some n-grams: by the nearest word, or,
+        of a split word, by the nearest two."""
+        near = before[at]
+        to = W.mix(near)
+        if len(hot_words):
+            at48 = hot_words >> np.uint64(16)
+            split = at48[np.minimum(np.searchsorted(at48, near), len(at48) - 1)] == near
+            to[split] = W.mix((keys[1] if j > 2 else keys[0])[at[split]])
+        return (to % np.uint64(buckets)).astype(np.int64)
+
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, hot_words, hot_counts = shared.value
         table = pa.Table.from_batches(batches)
@@ -396,16 +449,16 @@ def scores(documents: DataFrame, train=None, filter_bits: int = FILTER_BITS, ord
         inner_ends = [[ends(x) for x in xs] for xs in inner]
         size = 1 + max((int(x.max()) & 32767 for x in e_row if len(x)), default=0)
         parts: list[list[np.ndarray]] = []  # by text that has tokens here: its number and sums
-        few, pairs = np.zeros((order + 1, K + 2), dtype=np.int64), []
+        few, pairs, passed = np.zeros((order + 1, K + 2), dtype=np.int64), [], []
         slices = max(1, -(-sum(map(len, e_row)) // AT_ONCE))
 
-        def told(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        def told(found: list[np.ndarray], kind: str = "histories") -> Iterator[pa.RecordBatch]:
             to, *cols = found
-            rank = np.lexsort((cols[0], cols[1], to))
+            rank = np.lexsort((cols[0], cols[1], to) if kind == "histories" else (cols[0], to))
             to, cols = to[rank], [x[rank] for x in cols]
             at = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
             stops = np.append(at, len(to))
-            yield _rows(len(at), kind=["histories"] * len(at), h=to[at], payload=[_pack([x[i:j] for x in cols]) for i, j in zip(stops, stops[1:], strict=False)])
+            yield _rows(len(at), kind=[kind] * len(at), h=to[at], payload=[_pack([x[i:j] for x in cols]) for i, j in zip(stops, stops[1:], strict=False)])
 
         for k in range(slices):  # words in order of their hashes, so that a bucket is never whole in memory
             edge = [np.uint64(min(2**64 - 1, 2**64 * x // slices)) for x in (k, k + 1)]
@@ -427,7 +480,7 @@ def scores(documents: DataFrame, train=None, filter_bits: int = FILTER_BITS, ord
             chunk_at = np.repeat(np.arange(len(chunk_of)), [y - x for x, y in zip(a, b, strict=True)])
             train_, rows = rows >> 15, rows & 32767
             # types of each order: which one an n-gram is, and a place where each stands
-            rank = np.lexsort(nested[::-1])
+            rank = ranked(nested[0], nested[1:])
             new, type_of, place = np.zeros(len(rank), dtype=bool), [], []
             new[:1] = True
             for x in nested:
@@ -475,13 +528,7 @@ def scores(documents: DataFrame, train=None, filter_bits: int = FILTER_BITS, ord
                 keep = (counts[j - 1] > 0) & (h > 0)
                 keep[keep] = _marked(bits, h[keep])
                 below = counts[j - 2][type_of[j - 2][place[j - 1]]]
-                near = nested[1][place[j - 1]]
-                near_to = W.mix(near)
-                if len(hot_words):
-                    at48 = hot_words >> np.uint64(16)
-                    split = at48[np.minimum(np.searchsorted(at48, near), len(at48) - 1)] == near
-                    near_to[split] = W.mix((keys[1] if j > 2 else keys[0])[place[j - 1]][split])
-                near_to = (near_to % np.uint64(buckets)).astype(np.int64)
+                near_to = home(nested[1], keys, j, place[j - 1])
                 none = np.zeros(len(h))
                 if j == 2:
                     pairs.append(met(keep, h, np.zeros_like(h), near_to, counts[1], [none] * (K + 1), p_word[type_of[0][place[1]]]))
@@ -490,17 +537,18 @@ def scores(documents: DataFrame, train=None, filter_bits: int = FILTER_BITS, ord
             # the histories that tokens pass on their way down, and how many tokens have each low count
             for j in levels:
                 off = np.flatnonzero((longest >= j) & (found < longest) & (found <= j))
-                n = times[off].astype(np.int64)
-                yield _rows(
-                    len(off), kind=["backoff"] * len(off), h=keys[j - 2][e_gram[off]].view(np.int64), chunk=chunk_of[chunk_at[off]], idx=rows[off].astype(np.int32),
-                    n=np.where(found[off] < j, n, 0), less=np.where(longest[off] > j, n, 0),
-                )
+                n, gram, chunk = times[off], e_gram[off], chunk_of[chunk_at[off]]
+                passed.append([
+                    home(nested[1], keys, j, gram), keys[j - 2][gram], *map(_narrow, (chunk >> 32, chunk & 0xFFFFFFFF, rows[off], np.where(found[off] < j, n, 0), np.where(longest[off] > j, n, 0)))
+                ])
                 few[j] += np.array([(counts[j - 1] == r).sum() for r in range(K + 2)])
         if pairs:
             to, key, _, *sums = (np.concatenate(x) for x in zip(*pairs, strict=True))
             _, first = np.unique(key, return_index=True)
             hs, *sums = _by_history(key, *sums)
             yield from told([to[first], hs, np.zeros_like(hs), *sums])
+        if passed:
+            yield from told([np.concatenate(x) for x in zip(*passed, strict=True)], "backoff")
         for j in levels:
             yield _rows(K + 1, kind=["counts"] * (K + 1), h=np.full(K + 1, j), idx=np.arange(1, K + 2, dtype=np.int32), n=few[j][1:])
         own, at = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
@@ -516,7 +564,8 @@ def scores(documents: DataFrame, train=None, filter_bits: int = FILTER_BITS, ord
         yield _rows(len(payloads), kind=["texts"] * len(payloads), chunk=chunk_of, payload=payloads)
         W.trim()
 
-    turns = [stored(docs.mapInArrow(functools.partial(send, turn), packed).groupBy("bucket").applyInArrow(evaluate, _OUT_DDL), "kind") for turn in range(passes)]
+    with settings(documents.sparkSession, small):
+        turns = [stored(docs.mapInArrow(functools.partial(send, turn), packed).groupBy("bucket").applyInArrow(evaluate, _OUT_DDL), "kind") for turn in range(passes)]
 
     def drop(kind: str) -> None:
         for table in turns:
@@ -527,16 +576,12 @@ def scores(documents: DataFrame, train=None, filter_bits: int = FILTER_BITS, ord
     model = functools.reduce(lambda x, y: x.unionAll(y), turns)
     seen = {(r["h"], r["idx"]): r["n"] for r in model.where("kind = 'counts'").groupBy("h", "idx").agg(F.sum("n").alias("n")).collect()}
     d = [d1, *(discounts([seen.get((j, r), 0) for r in range(1, K + 2)]) for j in levels)]
-    met_ = model.where("kind = 'histories'").select("h", "payload")
+    met_ = model.where("kind in ('histories', 'backoff')").select("h", "kind", "payload")
     # in turns too, so that only a part of the histories is in a shuffle
-    parts = [_weights(met_.where(F.col("h") % passes == turn), d, hot48, hot_counts) for turn in range(passes)]
-    weights = functools.reduce(lambda x, y: x.unionAll(y), parts)
+    with settings(documents.sparkSession, small):
+        handed = [_handed(met_.where(F.col("h") % passes == turn), d, hot48, hot_counts) for turn in range(passes)]
     drop("histories")
-    off = model.where("kind = 'backoff'").select("h", "chunk", "idx", "n", "less").join(weights, "h", "left")
-    off = off.groupBy("chunk", "idx").agg(F.sum(F.col("n") * F.coalesce("hand", F.lit(0.0)) - F.col("less") * F.coalesce("count", F.lit(0.0))).alias("mass"))
-    off = stored(off)  # a row per held-out text
     drop("backoff")
-    discard(*parts)
     begun = docs.where("train").count()
     at_begin = -float(np.log10(begun)) if begun else 0.0
     low_logs = [float(np.log10(x[r] * r)) for x in d[1:] for r in range(1, K + 1)]
@@ -555,20 +600,22 @@ def scores(documents: DataFrame, train=None, filter_bits: int = FILTER_BITS, ord
             at += 8 + size
         ids, n, flags = out
         known, base, score = np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.full(len(ids), at_begin)
-        for k, x, i, m in zip(kind, payload, table["idx"].to_pylist(), table["mass"].to_pylist(), strict=True):
+        for k, x in zip(kind, payload, strict=True):
             if k == "texts":
                 r, log_base, log_score, count, *lows = _unpack(x)
                 known[r] += count.astype(np.int64)
                 base[r] += log_base
                 score[r] += log_score + sum(a * b for a, b in zip(low_logs, lows, strict=True))
             elif k == "backoff":
-                score[i] += m
+                r, adds = _unpack(x)
+                score[r] += adds
         return pa.Table.from_arrays(
             [pa.array(ids, mask=(flags & 2) > 0), pa.array((flags & 1) == 0), pa.array(n), pa.array(known), pa.array(base - n * norm), pa.array(score)],
             names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
         )
 
-    parts = model.where("kind in ('rows', 'texts')").select("kind", "chunk", F.lit(None).cast("int").alias("idx"), F.lit(None).cast("double").alias("mass"), "payload")
-    parts = parts.unionByName(off.select(F.lit("backoff").alias("kind"), "chunk", "idx", "mass", F.lit(None).cast("binary").alias("payload")))
+    parts = model.where("kind in ('rows', 'texts')").select("kind", "chunk", "payload")
+    for part in handed:
+        parts = parts.unionByName(part.select(F.lit("backoff").alias("kind"), "chunk", "payload"))
     out = parts.groupBy("chunk").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score", F.lit(vocabulary).cast("long").alias("vocabulary"))

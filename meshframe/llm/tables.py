@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.iterate import discard, shared_folder, stored
+from ..plans.iterate import discard, settings, shared_folder, stored
 
-__all__ = ["discard", "documents", "quoted", "shared_folder", "stored", "tasks"]
+__all__ = ["discard", "documents", "quoted", "settings", "shared_folder", "stored", "tasks"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

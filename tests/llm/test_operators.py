@@ -169,6 +169,30 @@ def test_good_turing():
     assert katz.discounts([0] * 6)[1:].tolist() == pytest.approx([0.5, 0.75, 2.5 / 3, 3.5 / 4, 0.9])
 
 
+def test_katz_stores_backed_off_tokens_packed(spark, docs, monkeypatch):
+    """Not a row each: sorted, joined and shuffled rows took an executor's memory."""
+    rows, stored = [], katz.stored
+
+    def counted(df, *by):
+        out = stored(df, *by)
+        rows.extend([out.where("kind = 'backoff'").count()] if by else [])
+        return out
+
+    monkeypatch.setattr(katz, "stored", counted)
+    held = sum(r["n_tokens"] for r in katz.scores(docs, order=3).collect() if r["held_out"])
+    assert 0 < sum(rows) < held / 20
+
+
+def test_katz_ranks_as_lexsort():
+    rng = np.random.default_rng(5)
+    for top in (2**64 - 1, 40):  # 40: hashes that differ in low bits only
+        values = rng.integers(0, top, 60, dtype=np.uint64)
+        word, *before = (values[rng.integers(0, 60, 5000)] for _ in range(3))
+        before = [b >> np.uint64(16) if top > 40 else b for b in before]
+        assert (katz.ranked(word, before) == np.lexsort((*before[::-1], word))).all()
+    assert [len(katz.ranked(x, [x, x])) for x in (word[:0], word[:1])] == [0, 1]
+
+
 def test_katz_edges(spark, empty):
     assert katz.scores(empty).count() == 0
     rows = spark.createDataFrame([(None, "a b"), (1, None), (1, None)], "doc_id long, text string")
